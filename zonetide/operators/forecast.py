@@ -80,7 +80,7 @@ def ema_baseline(series: DataFrame, zone: str, order: str, value: str, alpha: fl
     w = Window.partitionBy(zone).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     past = F.collect_list(F.col(value).cast("double")).over(w)
     folded = F.aggregate(
-        F.slice(F.col("_past"), 2, 100000), F.element_at(F.col("_past"), 1), lambda s, v: s * (1 - alpha) + v * alpha
+        F.slice(F.col("_past"), F.lit(2), F.greatest(F.size("_past") - 1, F.lit(0))), F.element_at(F.col("_past"), 1), lambda s, v: s * (1 - alpha) + v * alpha
     )
     return series.withColumn("_past", past).withColumn("ema", F.when(F.size("_past") > 0, folded)).drop("_past")
 

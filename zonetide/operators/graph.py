@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from zonetide.functions import geo
 from zonetide.functions.numbers import ratio
+from zonetide.operators.joins import pairs_within_score
 from zonetide.operators.ranking import keep_first
+from zonetide.operators.spatial import calm_cell_size
+from zonetide.session import cut_lineage
 
 
 def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
@@ -44,14 +47,12 @@ def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int, start
     k + 1 smallest ids, so a pile of copies cannot produce all its pairs.  Rings
     of cells grow until every site has k neighbours inside the ring's reach.
     """
-    from zonetide.session import cut_lineage
-
     rows = points.select(F.col(key).alias("_id"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
     first = Window.partitionBy("_la", "_lo").orderBy("_id")
     kept = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
     sites = cut_lineage(kept.groupBy("_la", "_lo").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "sites")
     rest = sites.select(F.col("_la"), F.col("_lo"))
-    size, done = float(start), None
+    size, done = calm_cell_size(sites, "_lo", "_la", start), None
     while True:
         whole = size > 180
         cell = (lambda c: F.lit(0).cast("bigint")) if whole else (lambda c, s=size: F.floor(c / F.lit(s)))
@@ -122,8 +123,6 @@ def same_label_edges(nodes: DataFrame, key: str, label: str, k: int = 3, seed: i
 
 def score_edges(nodes: DataFrame, key: str, score: str, least: float = 0.3) -> DataFrame:
     """Both directions where 1 / (1 + |difference|) is above ``least``."""
-    from zonetide.operators.joins import pairs_within_score
-
     pairs = pairs_within_score(nodes, key, score, 1 / least - 1)
     weight = 1 / (1 + F.abs(F.col("sa") - F.col("sb")))
     pairs = pairs.withColumn("weight", weight).filter(F.col("weight") > least)

@@ -15,12 +15,28 @@ from pyspark.sql.window import Window
 
 from zonetide.functions import geo
 from zonetide.operators.ranking import keep_first
+from zonetide.session import cut_lineage
 
 
 def _cell(col: Column, size: float) -> Column:
     return F.floor(col / F.lit(float(size)))
 
 
+def calm_cell_size(points: DataFrame, x: str, y: str, start: float, most: int = 500) -> float:
+    """Halve a cell size until no cell holds more than ``most`` distinct places.
+
+    Each try is one small aggregation; copies of a place count once.
+    """
+    places = points.select(x, y).distinct()
+    size = float(start)
+    while size > 1e-6:
+        cells = places.groupBy(_cell(F.col(x), size), _cell(F.col(y), size)).agg(F.count(F.lit(1)).alias("_n"))
+        if (cells.agg(F.max("_n")).first()[0] or 0) <= most:
+            break
+        size /= 2
+    return size
+
+
 def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float) -> DataFrame:
     """(poly_id, _edges, _cx, _cy): one row per grid cell under the bounding box."""
     xs = F.transform(F.col(ring), lambda p: p["x"])
@@ -63,7 +79,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
     sites = sites.select(F.col(site_id), F.col(x).alias("_sx"), F.col(y).alias("_sy"))
     rest = points.select(point_id, x, y)
     done: DataFrame | None = None
-    size = float(start)
+    size = calm_cell_size(sites, "_sx", "_sy", start)
     while True:
         whole = size > 180
         if whole:
@@ -83,8 +99,6 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
         # a degree of longitude shrinks with latitude; stay on the safe side
         reach = F.lit(size * geo.KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs(F.col(y)) + size, F.lit(89.0)))) * 0.98
         settled = F.lit(True) if whole else F.coalesce(F.col("km") <= reach, F.lit(False))
-        from zonetide.session import cut_lineage
-
         found = cut_lineage(found.withColumn("_ok", settled), "nearest")
         ready = found.filter("_ok").select(point_id, site_id, "km")
         done = ready if done is None else done.unionByName(ready)
