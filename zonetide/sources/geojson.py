@@ -17,9 +17,9 @@ def _schema(properties: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField("features", T.ArrayType(feature))])
 
 
-def read_features(spark: SparkSession, path: str, properties: Sequence[str], with_path: bool = False) -> DataFrame:
+def read_features(spark: SparkSession, path: str, properties: Sequence[str], with_path: bool = False, multi_line: bool = True) -> DataFrame:
     """One row per polygon part: properties, ``part`` number and outer ``ring``."""
-    docs = spark.read.schema(_schema(properties)).option("multiLine", True).json(path)
+    docs = spark.read.schema(_schema(properties)).option("multiLine", multi_line).json(path)
     extra = [F.col("_metadata.file_path").alias("file_path")] if with_path else []
     rows = docs.select(*extra, F.explode("features").alias("f"))
     single = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
@@ -32,8 +32,8 @@ def read_features(spark: SparkSession, path: str, properties: Sequence[str], wit
 
 
 def write_features(df: DataFrame, path: str, properties: Sequence[str], ring: str, per_file: Sequence[str] = ()) -> None:
-    """Feature collections, one document per row group; ``per_file`` columns
-    become folders."""
+    """Feature collections, one document per line; ``per_file`` columns become
+    folders."""
     coords = F.array(F.transform(F.col(ring), lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(
         F.lit("Feature").alias("type"), F.struct(*[F.col(p).cast("string").alias(p) for p in properties]).alias("properties"),
@@ -57,6 +57,6 @@ def snapshot_columns(df: DataFrame, label_pattern: str = SNAPSHOT_LABEL) -> Data
     return df.withColumn("date", day).withColumn("label", F.regexp_extract("file_path", label_pattern, 1)).drop("file_path")
 
 
-def read_snapshots(spark: SparkSession, root: str, properties: Sequence[str], label_pattern: str = SNAPSHOT_LABEL) -> DataFrame:
-    files = read_features(spark, root, properties, with_path=True)
+def read_snapshots(spark: SparkSession, root: str, properties: Sequence[str], label_pattern: str = SNAPSHOT_LABEL, multi_line: bool = True) -> DataFrame:
+    files = read_features(spark, root, properties, with_path=True, multi_line=multi_line)
     return snapshot_columns(files, label_pattern)

@@ -20,18 +20,19 @@ def _row_schema(fields: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f, T.StringType()) for f in fields])
 
 
-def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], table: str | None = None) -> DataFrame:
+def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], table: str | None = None, multi_line: bool = True) -> DataFrame:
     """Rows of every wrapped document below ``path``, all fields as text.
 
-    One multi-line read covers the three layouts: unknown keys come back null,
-    and a bare list yields the row fields at the top level.
+    One read covers the three layouts: unknown keys come back null, and a bare
+    list yields the row fields at the top level.  With ``multi_line`` a file is
+    one document, else each line is one.
     """
     row = _row_schema(fields)
     outer = [T.StructField("type", T.StringType()), T.StructField("name", T.StringType())]
     outer += [T.StructField(k, T.ArrayType(row)) for k in ROW_KEYS]
     known = {f.name for f in outer}
     outer += [f for f in row.fields if f.name not in known]
-    docs = spark.read.schema(T.StructType(outer)).option("multiLine", True).json(path)
+    docs = spark.read.schema(T.StructType(outer)).option("multiLine", multi_line).json(path)
     wrapped = docs
     if table is not None:
         wrapped = docs.filter((F.col("type") == "table") & (F.col("name") == table))
@@ -48,7 +49,7 @@ def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], tab
 
 
 def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document: int = 10_000) -> None:
-    """Header plus table documents of bounded size.
+    """Header plus table documents of bounded size, one document per line.
 
     Rows are numbered inside their partition, so a document holds at most
     ``rows_per_document`` rows and none gathers the whole table.
@@ -57,26 +58,25 @@ def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document:
     block = df.withColumn("_doc", F.floor(row_id / rows_per_document))
     text = F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])
     docs = block.groupBy("_doc").agg(F.collect_list(text).alias("data"))
-    parts = F.array(
-        F.struct(F.lit("header").alias("type"), F.lit(table).alias("name"), F.lit(None).cast(docs.schema["data"].dataType).alias("data")),
-        F.struct(F.lit("table").alias("type"), F.lit(table).alias("name"), F.col("data")),
-    )
-    docs.select(F.explode(parts).alias("p")).select("p.*").write.json(path)
+    header = F.struct(F.lit("header").alias("type"), F.lit(table).alias("name"))
+    body = F.struct(F.lit("table").alias("type"), F.lit(table).alias("name"), F.col("data"))
+    line = F.concat(F.lit("["), F.to_json(header), F.lit(","), F.to_json(body), F.lit("]"))
+    docs.select(line.alias("value")).write.text(path)
 
 
-def read_json_folder(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
+def read_json_folder(spark: SparkSession, paths: dict[str, str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """Union of several JSON layouts: ``list``, ``data`` and ``features``."""
     parts = []
     for layout, path in paths.items():
         if layout == "list":
-            parts.append(spark.read.schema(schema).option("multiLine", True).json(path))
+            parts.append(spark.read.schema(schema).option("multiLine", multi_line).json(path))
         elif layout == "data":
             wrap = T.StructType([T.StructField("data", T.ArrayType(schema))])
-            parts.append(spark.read.schema(wrap).option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*"))
+            parts.append(spark.read.schema(wrap).option("multiLine", multi_line).json(path).select(F.explode("data").alias("r")).select("r.*"))
         elif layout == "features":
             feature = T.StructType([T.StructField("properties", schema)])
             wrap = T.StructType([T.StructField("features", T.ArrayType(feature))])
-            rows = spark.read.schema(wrap).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+            rows = spark.read.schema(wrap).option("multiLine", multi_line).json(path).select(F.explode("features").alias("f"))
             parts.append(rows.select("f.properties.*"))
         else:
             raise ValueError(f"unknown layout {layout!r}")
