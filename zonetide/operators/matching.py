@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonetide.functions import geo
-
-# A list of this size fits every task many times over; longer lists are matched
-# slice by slice.
-NAMES_PER_SLICE = 20_000
-
+from zonetide.operators.joins import name_slices
 
 def _ratio_udf(names: Sequence[str]):
     """Best (score, name) of one slice; exact names win at once."""
@@ -42,28 +38,29 @@ def _ratio_udf(names: Sequence[str]):
     return best
 
 
+def _best_of(winners: DataFrame, column: str) -> DataFrame:
+    """Merge the winners of several slices: best score, then smaller name."""
+    best = F.min(F.struct((-F.col("_m.score")).alias("s"), F.col("_m.name").alias("n"))).alias("_w")
+    return winners.groupBy(column).agg(best).select(
+        column, F.struct((-F.col("_w.s")).alias("score"), F.col("_w.n").alias("name")).alias("_m")
+    )
+
+
 def match_by_ratio(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5, inclusive: bool = True) -> DataFrame:
     """(column, matched, score) for each distinct raw name.
 
     Only distinct names reach Python.  The official list is a dimension whose
-    size is checked; a long one is cut into slices by hash and the slices'
-    winners are merged.
+    size is checked; the winners of the slices of a long one are merged.
     """
-    listed = official.select(F.col(name).alias("_o")).filter(F.col("_o").isNotNull()).distinct()
-    slices = listed.count() // NAMES_PER_SLICE + 1
-    names = raw.select(column).filter(F.col(column).isNotNull()).distinct()
-    if slices == 1:
-        # spread the few distinct names: scoring is the cost, not their volume
-        names = names.repartition(column)
+    slices = name_slices(official, name)
+    # spread the few distinct names: scoring is the cost, not their volume
+    names = raw.select(column).filter(F.col(column).isNotNull()).distinct().repartition(column)
     winners = None
-    for i in range(slices):
-        part = listed.filter(F.pmod(F.xxhash64("_o"), F.lit(slices)) == i)
+    for part in slices:
         scored = names.select(column, _ratio_udf([r[0] for r in part.collect()])(F.col(column)).alias("_m"))
         winners = scored if winners is None else winners.unionByName(scored)
-    if slices > 1:
-        winners = winners.groupBy(column).agg(F.min(F.struct((-F.col("_m.score")).alias("s"), F.col("_m.name").alias("n"))).alias("_w")).select(
-            column, F.struct((-F.col("_w.s")).alias("score"), F.col("_w.n").alias("name")).alias("_m")
-        )
+    if len(slices) > 1:
+        winners = _best_of(winners, column)
     ok = F.col("_m.score") >= least if inclusive else F.col("_m.score") > least
     return winners.select(column, F.when(ok, F.col("_m.name")).alias("matched"), F.col("_m.score").alias("score"))
 
@@ -71,20 +68,27 @@ def match_by_ratio(raw: DataFrame, column: str, official: DataFrame, name: str,
 def match_by_distance(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5) -> DataFrame:
     """As above with edit distance: 1 - levenshtein / longer length, native.
 
-    The official dimension travels as one array and each distinct name folds
-    over it in place (ties: smaller name).
+    Each distinct name folds over the official list in place (ties: smaller
+    name); the list travels as an array of checked size.
     """
-    listed = official.select(F.array_sort(F.collect_set(name))).scalar()
+    slices = name_slices(official, name)
 
     def similar(o: Column) -> Column:
         longest = F.greatest(F.length(column), F.length(o))
         return 1 - F.levenshtein(F.col(column), o) / longest
 
-    names = raw.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("_list", listed)
-    pick = F.array_min(F.transform("_list", lambda o: F.struct((-similar(o)).alias("s"), o.alias("o"))))
-    scored = names.withColumn("_p", pick)
-    score = -F.col("_p.s")
-    return scored.select(column, F.when(score >= least, F.col("_p.o")).alias("matched"), score.alias("score"))
+    names = raw.select(column).filter(F.col(column).isNotNull()).distinct()
+    winners = None
+    for part in slices:
+        listed = part.select(F.array_sort(F.collect_list("_o"))).scalar()
+        pick = F.array_min(F.transform("_list", lambda o: F.struct((-similar(o)).alias("s"), o.alias("o"))))
+        scored = names.withColumn("_list", listed).select(column, pick.alias("_p"))
+        scored = scored.select(column, F.struct((-F.col("_p.s")).alias("score"), F.col("_p.o").alias("name")).alias("_m"))
+        winners = scored if winners is None else winners.unionByName(scored)
+    if len(slices) > 1:
+        winners = _best_of(winners, column)
+    score = F.col("_m.score")
+    return winners.select(column, F.when(score >= least, F.col("_m.name")).alias("matched"), score.alias("score"))
 
 
 def apply_matches(df: DataFrame, column: str, matches: DataFrame, keep_original: bool = True, unknown: str = "NAO INFORMADO") -> DataFrame:

@@ -78,6 +78,30 @@ def with_seed_zones(counts: DataFrame, zones: DataFrame, zone: str, date: str, a
     return counts.unionByName(missing.withColumn(date, at), allowMissingColumns=True)
 
 
+def common_panel(
+    a: DataFrame, b: DataFrame, zone: str, date: str, of_a: Sequence[str], of_b: Sequence[str], lagged: str | None = None
+) -> DataFrame:
+    """Panel of two sources on their common zones and common period.
+
+    The period runs from the later first date to the earlier last date.  Rows of
+    both sources are stacked and summed, so one shuffle aligns them; a zero row
+    at the first date keeps zones that are silent inside the period.
+    """
+    (low_a, high_a), (low_b, high_b) = bounds(a, date), bounds(b, date)
+    low, high = F.greatest(low_a, low_b), F.least(high_a, high_b)
+    shared = a.select(zone).intersect(b.select(zone))
+    inside = F.col(date).between(low, high)
+    seeds = shared.withColumn(date, low)
+    rows = a.filter(inside).unionByName(b.filter(inside), allowMissingColumns=True).join(shared, zone, "left_semi")
+    rows = rows.unionByName(seeds, allowMissingColumns=True)
+    metrics = [*of_a, *of_b]
+    sums = rows.groupBy(zone, date).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics])
+    out = densify(sums, zone, date, metrics, low, high)
+    if lagged:
+        out = out.withColumn(f"{lagged}_before", F.lag(lagged, 1, 0).over(Window.partitionBy(zone).orderBy(date)))
+    return out
+
+
 def sliding_windows(panel: DataFrame, zone: str, date: str, value: str, width: int) -> DataFrame:
     """Array of the last ``width`` values for every full window."""
     frame = Window.partitionBy(zone).orderBy(date).rowsBetween(-(width - 1), 0)

@@ -1 +1,227 @@
-"""To come."""
+"""X* and GR*: geometry and zone graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from zonetide.functions import geo
+from zonetide.operators import graph, spatial
+from zonetide.plans.registry import query
+from zonetide.plans.views import with_sql
+
+CELL = 0.05
+KM = "2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+KM_AB = KM.format(a="a.", b="b.")
+
+
+@query("x1_point_in_polygon", with_sql("pip", "SELECT id, poly FROM pip"))
+def _(v):
+    return spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", CELL).select("id", "poly")
+
+
+@query("x1_point_in_polygon_left", with_sql("pip", "SELECT pt.id, coalesce(pip.poly, -1) AS poly FROM pt LEFT JOIN pip ON pip.id = pt.id"))
+def _(v):
+    hits = spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", CELL, how="left")
+    return hits.select("id", F.coalesce("poly", F.lit(-1)).alias("poly"))
+
+
+@query(
+    "x2_nearest_fallback",
+    with_sql(
+        "pip cen",
+        f"SELECT a.id, coalesce(pip.poly, n.poly) AS poly, pip.poly IS NULL AS fallback FROM pt a LEFT JOIN pip ON pip.id = a.id JOIN (SELECT a.id, arg_min(b.poly, ({KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')}, b.poly)) AS poly FROM pt a CROSS JOIN cen b GROUP BY a.id) n ON n.id = a.id",
+    ),
+)
+def _(v):
+    pts, polys = v.point(), v.polygon()
+    hits = spatial.points_in_polygons(pts, polys, "poly", "ring", "lon", "lat", CELL, how="left")
+    lost = hits.filter(F.col("poly").isNull()).select("id", "lon", "lat")
+    seats = spatial.centroids(polys, "poly", "ring").select("poly", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    near = spatial.nearest_sites(lost, seats, "id", "poly", "lon", "lat", CELL).select("id", "poly", F.lit(True).alias("fallback"))
+    return hits.filter(F.col("poly").isNotNull()).select("id", "poly", F.lit(False).alias("fallback")).unionByName(near)
+
+
+@query("x2_nearest_site", with_sql("pt cen", f"SELECT id, poly, km FROM (SELECT a.id, b.poly, {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')} AS km, row_number() OVER (PARTITION BY a.id ORDER BY {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')}, b.poly) AS rn FROM pt a CROSS JOIN cen b) WHERE rn = 1", "km"))
+def _(v):
+    seats = spatial.centroids(v.polygon(), "poly", "ring").select("poly", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    return spatial.nearest_sites(v.point(), seats, "id", "poly", "lon", "lat", CELL)
+
+
+@query("x3_centroid", with_sql("cen", "SELECT poly, x, y FROM cen", "x y"))
+def _(v):
+    return spatial.centroids(v.polygon(), "poly", "ring")
+
+
+_GRID = 20
+_DOM = (
+    "bb AS (SELECT poly, min(x) AS mx0, max(x) AS mx1, min(y) AS my0, max(y) AS my1 FROM cor GROUP BY poly), "
+    f"smp AS (SELECT poly, i, j, mx0 + (mx1 - mx0) * (i + 0.5) / {_GRID} AS lon, my0 + (my1 - my0) * (j + 0.5) / {_GRID} AS lat FROM bb, (SELECT unnest(range({_GRID})) AS i), (SELECT unnest(range({_GRID})) AS j)), "
+    "ins AS (SELECT s.poly, s.i, s.j, s.lon, s.lat FROM smp s JOIN edge e ON e.poly = s.poly GROUP BY ALL HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1), "
+    "lc AS (SELECT CASE WHEN r_regionkey = 2 THEN 'DISPUTA' ELSE r_name END AS label, c.pos, x0 + (x1 - x0) * (r_regionkey + c.st) / 5.0 + (x1 - x0) * c.lean AS x, CASE WHEN c.top THEN y1 ELSE y0 END AS y FROM region, box, (VALUES (0, 0, 0.1, FALSE), (1, 1, 0.1, FALSE), (2, 1, -0.1, TRUE), (3, 0, -0.1, TRUE)) c(pos, st, lean, top)), "
+    "le AS (SELECT a.label, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM lc a JOIN lc b ON a.label = b.label AND b.pos = (a.pos + 1) % 4), "
+    "lh AS (SELECT i.poly, i.i, i.j, l.label FROM ins i, le l GROUP BY i.poly, i.i, i.j, l.label HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1), "
+    "lk AS (SELECT poly, label, count(*) AS n FROM lh GROUP BY 1, 2), "
+    "tp AS (SELECT poly, label, n FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY n DESC, label) AS rn FROM lk) WHERE rn = 1) "
+)
+
+
+@query(
+    "x4_dominance",
+    with_sql(
+        "edge",
+        "SELECT z.poly, CASE WHEN tp.n IS NULL THEN 'NEUTRO' WHEN coalesce(d.n, 0) > tp.n * 0.5 THEN 'DISPUTA' ELSE tp.label END AS dominant, coalesce(tp.n / z.total, 0) AS degree FROM "
+        "(SELECT poly, count(*) AS total FROM ins GROUP BY poly) z LEFT JOIN tp ON tp.poly = z.poly LEFT JOIN lk d ON d.poly = z.poly AND d.label = 'DISPUTA'",
+        "degree",
+    ).replace(" SELECT * REPLACE", ", " + _DOM + "SELECT * REPLACE", 1).replace("FROM lh", "FROM lh"),
+)
+def _(v):
+    return spatial.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring", _GRID, CELL)
+
+
+@query("x5_touching_vertex", with_sql("cor", "SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7) AND a.poly <> b.poly"))
+def _(v):
+    return spatial.touching(v.polygon(), "poly", "ring", "vertex")
+
+
+@query(
+    "x5_touching_edge",
+    with_sql("edge", "SELECT DISTINCT a.poly AS src, b.poly AS dst FROM edge a JOIN edge b ON round(a.x1, 7) = round(b.x2, 7) AND round(a.y1, 7) = round(b.y2, 7) AND round(a.x2, 7) = round(b.x1, 7) AND round(a.y2, 7) = round(b.y1, 7) AND a.poly <> b.poly"),
+)
+def _(v):
+    return spatial.touching(v.polygon(), "poly", "ring", "edge")
+
+
+@query("x6_haversine", with_sql("pip cen", f"SELECT a.id, {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')} AS km FROM pt a JOIN pip ON pip.id = a.id JOIN cen b ON b.poly = pip.poly", "km"))
+def _(v):
+    polys = v.polygon()
+    hits = spatial.points_in_polygons(v.point(), polys, "poly", "ring", "lon", "lat", CELL)
+    rows = hits.join(spatial.centroids(polys, "poly", "ring"), "poly")
+    return rows.select("id", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km"))
+
+
+@query("x7_point_struct", with_sql("pt", "SELECT id, lon AS px, lat AS py FROM pt", "px py"))
+def _(v):
+    return spatial.with_point(v.point(), "lon", "lat").select("id", F.col("point.x").alias("px"), F.col("point.y").alias("py"))
+
+
+@query("x8_thin_vertices", with_sql("cor", "SELECT poly, CAST(pos AS INTEGER) AS pos, x, y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM cor WINDOW w AS (PARTITION BY poly ORDER BY pos)) WHERE px IS NULL OR sqrt(pow(x - px, 2) + pow(y - py, 2)) >= 0.14", "x y"))
+def _(v):
+    return spatial.thin_vertices(v.polygon(), "poly", "ring", 0.14)
+
+
+_D = f"de AS (SELECT a.id AS src, b.id AS dst, {KM_AB} AS km FROM pt a JOIN pt b ON a.id <> b.id WHERE {KM_AB} < 3.0), we AS (SELECT src, dst, 1 / (1 + km) AS weight FROM de) "
+
+
+def _edges(v):
+    return graph.inverse_weights(graph.distance_edges(v.point(), "id", "lat", "lon", 3.0)).select("src", "dst", "weight")
+
+
+def _g(body: str, rnd: str = "", needs: str = "pt") -> str:
+    text = with_sql(needs, body, rnd)
+    at = text.index(" SELECT * REPLACE") if rnd else text.index(" " + body[:30])
+    return text[:at] + ", " + _D + text[at + 1:]
+
+
+@query("gr1_distance_edges", _g("SELECT src, dst, km FROM de", "km"))
+def _(v):
+    return graph.distance_edges(v.point(), "id", "lat", "lon", 3.0)
+
+
+@query("gr2_nearest_edges", with_sql("pt", f"SELECT src, dst, km, CAST(pos AS INTEGER) AS pos FROM (SELECT a.id AS src, b.id AS dst, {KM_AB} AS km, row_number() OVER (PARTITION BY a.id ORDER BY {KM_AB}, b.id) AS pos FROM pt a JOIN pt b ON a.id <> b.id) WHERE pos <= 5", "km"))
+def _(v):
+    return graph.nearest_edges(v.point(), "id", "lat", "lon", 5)
+
+
+@query("gr3_inverse_weights", _g("SELECT src, dst, weight FROM we", "weight"))
+def _(v):
+    return _edges(v)
+
+
+@query("gr4_border_adjacency", with_sql("cor", "SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7)"))
+def _(v):
+    return graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly")
+
+
+@query("gr5_same_label_edges")
+def _(v):
+    return graph.same_label_edges(v.table("customer"), "c_custkey", "c_mktsegment", 3)
+
+
+@query("gr5_same_label_degree", "SELECT c_mktsegment AS label, count(*) AS nodes, count(*) * 3 AS links FROM customer GROUP BY 1")
+def _(v):
+    e = graph.same_label_edges(v.table("customer"), "c_custkey", "c_mktsegment", 3)
+    per = e.filter(F.col("src") != F.col("dst")).groupBy("src", "label").agg(F.count_distinct("dst").alias("k"))
+    return per.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("k").alias("links"))
+
+
+_ZS = "zs AS (SELECT s_nationkey AS zone, avg(s_acctbal) / 100 AS score FROM supplier GROUP BY 1) "
+
+
+@query("gr6_score_edges", "WITH " + _ZS + "SELECT a.zone AS src, b.zone AS dst, round(1 / (1 + abs(a.score - b.score)), 6) AS weight FROM zs a JOIN zs b ON a.zone <> b.zone WHERE 1 / (1 + abs(a.score - b.score)) > 0.3")
+def _(v):
+    scores = v.table("supplier").groupBy(F.col("s_nationkey").alias("zone")).agg((F.avg("s_acctbal") / 100).alias("score"))
+    return graph.score_edges(scores, "zone", "score")
+
+
+_MV = (
+    "mv AS (SELECT label AS zone, i, avg(CAST(e AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2), "
+    "cs AS (SELECT a.zone AS src, b.zone AS dst, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS cosine FROM mv a JOIN mv b ON a.i = b.i AND a.zone <> b.zone GROUP BY 1, 2) "
+)
+
+
+@query("gr6_cosine_edges", "WITH " + _MV + "SELECT src, dst, round(cosine, 6) + 0.0 AS cosine FROM cs WHERE cosine > 0.3 OR ((SELECT count(*) FROM cs WHERE cosine > 0.3) = 0 AND (SELECT count(*) FROM cs c WHERE c.src = cs.src AND (c.cosine > cs.cosine OR (c.cosine = cs.cosine AND c.dst < cs.dst))) < 5)")
+def _(v):
+    return graph.cosine_edges(graph.mean_vectors(v.table("embeddings"), "label", "embedding"), "label", "vector")
+
+
+@query(
+    "gr7_attach_isolated",
+    _g("SELECT src, dst FROM de UNION SELECT id, r FROM pt, (VALUES (0), (1)) t(r) WHERE id NOT IN (SELECT src FROM de) AND id <> r UNION SELECT r, id FROM pt, (VALUES (0), (1)) t(r) WHERE id NOT IN (SELECT src FROM de) AND id <> r"),
+)
+def _(v):
+    return graph.attach_isolated(_edges(v), v.point(), "id", [0, 1])
+
+
+@query("gr8_degrees", _g("SELECT src, count(*) AS degree, sum(weight) AS strength FROM we GROUP BY src", "strength"))
+def _(v):
+    return graph.degrees(_edges(v))
+
+
+@query(
+    "gr8_graph_stats",
+    _g("SELECT count(*) AS edges, (SELECT count(*) FROM pt) AS nodes, min(weight) AS min_weight, max(weight) AS max_weight, avg(weight) AS mean_weight, count(*) / ((SELECT count(*) FROM pt) * ((SELECT count(*) FROM pt) - 1)) AS density, count(*) / (SELECT count(*) FROM pt) AS mean_degree FROM we",
+       "min_weight max_weight mean_weight density mean_degree"),
+)
+def _(v):
+    return graph.graph_stats(_edges(v), v.point(), "id")
+
+
+_DEG = "(SELECT src AS k, sum(weight) + 1e-8 AS d FROM we GROUP BY src)"
+
+
+@query("gr9_normalise", _g(f"SELECT w.src, w.dst, w.weight / (sqrt(s.d) * sqrt(t.d)) AS weight FROM we w JOIN {_DEG} s ON s.k = w.src JOIN {_DEG} t ON t.k = w.dst", "weight"))
+def _(v):
+    return graph.normalise(_edges(v))
+
+
+@query(
+    "gr10_one_hop",
+    _g(f"SELECT w.src AS zone, p.date, sum(w.weight / (sqrt(s.d) * sqrt(t.d)) * p.n) AS n, sum(w.weight / (sqrt(s.d) * sqrt(t.d)) * p.click) AS click FROM we w JOIN {_DEG} s ON s.k = w.src JOIN {_DEG} t ON t.k = w.dst JOIN panel p ON p.zone = w.dst GROUP BY 1, 2", "n click", "pt panel"),
+)
+def _(v):
+    return graph.hop(v.panel().select("zone", "date", "n", "click"), graph.normalise(_edges(v)), "zone", "date", ["n", "click"])
+
+
+@query(
+    "gr10_border_hop",
+    with_sql(
+        "cor oe",
+        "SELECT t.src AS zone, count(*) AS n FROM (SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7)) t JOIN oe ON oe.zone = t.dst GROUP BY 1",
+    ),
+)
+def _(v):
+    e = graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly").withColumn("weight", F.lit(1))
+    counts = v.outcome_event().groupBy("zone").agg(F.count(F.lit(1)).alias("n")).withColumn("date", F.lit(0))
+    return graph.hop(counts, e, "zone", "date", ["n"]).drop("date")
+
+
