@@ -139,7 +139,7 @@ def _(v):
 
 @query(
     "j13_name_in_text",
-    "SELECT d.page_id, w.name AS found FROM pages d JOIN (SELECT DISTINCT upper('lang="' || lang || '"') AS name FROM documents UNION SELECT DISTINCT upper(r_name) FROM region) w ON contains(upper(d.html), w.name)",
+    'SELECT d.page_id, w.name AS found FROM pages d JOIN (SELECT DISTINCT upper(\'lang="\' || lang || \'"\') AS name FROM documents UNION SELECT DISTINCT upper(r_name) FROM region) w ON contains(upper(d.html), w.name)',
 )
 def _(v):
     names = v.table("documents").select(F.concat(F.lit('lang="'), "lang", F.lit('"')).alias("name")).unionByName(v.table("region").select(F.col("r_name").alias("name"))).distinct()
