@@ -350,9 +350,8 @@ def dose_response(bands: DataFrame, dose: str) -> DataFrame:
     )
 
 
-def coverage_ratio(actions: DataFrame, outcomes: DataFrame, zone: str) -> DataFrame:
-    """Actions per outcome on zones present in both."""
-    a = actions.groupBy(zone).agg(F.count(F.lit(1)).alias("actions"))
-    o = outcomes.groupBy(zone).agg(F.count(F.lit(1)).alias("outcomes"))
+def coverage_ratio(actions: DataFrame, outcomes: DataFrame, zone: str, action: str, outcome: str) -> DataFrame:
+    """Actions per outcome on zones present in both, from counts per zone."""
+    a = actions.groupBy(zone).agg(F.sum(action).alias("actions"))
+    o = outcomes.groupBy(zone).agg(F.sum(outcome).alias("outcomes"))
     return a.join(o, zone).withColumn("ratio", ratio(F.col("actions"), F.col("outcomes")))
-

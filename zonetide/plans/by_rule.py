@@ -1 +1,173 @@
-"""To come."""
+"""E* and R*: name matching, recommendations, risk tables and cards."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from zonetide.functions.ladders import two_column_ladder
+from zonetide.operators import matching, rules
+from zonetide.plans.registry import query
+from zonetide.plans.views import with_sql
+
+# Raw names: the part's words with one letter dropped, by key.
+_RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN upper(left(p_name, 2) || substr(p_name, 4)) ELSE upper(p_brand || '@') END AS name FROM part), off AS (SELECT DISTINCT upper(p_name) AS o FROM part WHERE p_partkey % 3 = 0) "
+_BEST = _RAW + ", sc AS (SELECT name, o, 1 - levenshtein(name, o) / greatest(length(name), length(o)) AS s FROM (SELECT DISTINCT name FROM raw) CROSS JOIN off), m AS (SELECT name, CASE WHEN s >= 0.7 THEN o END AS matched, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc) WHERE rn = 1) "
+
+
+def _raw(v):
+    key, name = F.col("p_partkey"), F.col("p_name")
+    text = F.when(key % 3 == 0, F.upper(name)).when(key % 3 == 1, F.upper(F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)")))).otherwise(
+        F.upper(F.concat("p_brand", F.lit("@")))
+    )
+    return v.table("part").select(key.alias("id"), text.alias("name"))
+
+
+def _official(v):
+    return v.table("part").filter(F.col("p_partkey") % 3 == 0).select(F.upper("p_name").alias("o")).distinct()
+
+
+@query("e1_match_by_distance", "WITH " + _BEST + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
+def _(v):
+    return matching.match_by_distance(_raw(v), "name", _official(v), "o", 0.7)
+
+
+@query("e1_match_by_ratio")
+def _(v):
+    return matching.match_by_ratio(_raw(v), "name", _official(v), "o", 0.5)
+
+
+@query("e2_keep_or_unknown", "WITH " + _BEST + "SELECT id, coalesce(matched, nullif(trim(raw.name), ''), 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
+def _(v):
+    raw = _raw(v)
+    return matching.apply_matches(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7)).select("id", "standard")
+
+
+@query("e2_unknown_literal", "WITH " + _BEST + "SELECT id, coalesce(matched, 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
+def _(v):
+    raw = _raw(v)
+    return matching.apply_matches(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7), keep_original=False).select("id", "standard")
+
+
+@query("e3_mapping_audit", "WITH " + _BEST + "SELECT m.name, matched, round(score, 6) + 0.0 AS score, count(raw.id) AS rows, CASE WHEN matched IS NULL THEN 'unmatched' ELSE 'matched' END AS status FROM m LEFT JOIN raw ON raw.name = m.name GROUP BY ALL")
+def _(v):
+    raw = _raw(v)
+    return matching.match_audit(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7))
+
+
+@query("e4_report_remap", "WITH " + _BEST + "SELECT id, coalesce(matched, upper(trim(raw.name))) AS name FROM raw LEFT JOIN m ON m.name = raw.name AND matched IS NOT NULL")
+def _(v):
+    raw = _raw(v)
+    stored = matching.match_by_distance(raw, "name", _official(v), "o", 0.7).filter("matched IS NOT NULL")
+    return matching.remap(raw, "name", stored, "name", "matched").select("id", "name")
+
+
+_START, _END = "2024-01-20", "2024-01-30"
+_REC = (
+    "rk AS (SELECT zone, predicted / 10 AS risk FROM pred ORDER BY predicted / 10 DESC, zone LIMIT 15), "
+    "cnt AS (SELECT zone, count(*) FILTER (kind = 'purchase' AND date >= DATE '2024-01-20') AS outcomes, count(*) FILTER (kind = 'purchase') AS outcomes_history, count(*) FILTER (date >= DATE '2024-01-20') AS events, count(*) FILTER (date < DATE '2024-01-20') AS events_before FROM ev WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-30' GROUP BY zone), "
+    "rr AS (SELECT rk.zone, risk, coalesce(outcomes, 0) AS outcomes, coalesce(outcomes_history, 0) AS outcomes_history, coalesce(events, 0) AS events, coalesce(events_before, 0) AS events_before, "
+    "CASE WHEN events_before > 0 THEN (events - events_before) * 100.0 / events_before WHEN events > 0 THEN 100 ELSE 0 END AS trend FROM rk LEFT JOIN cnt ON cnt.zone = rk.zone), "
+    "ru AS (SELECT *, CASE WHEN outcomes_history > 10 THEN 1 WHEN outcomes_history > 5 THEN 2 WHEN outcomes_history > 0 OR risk > 0.25 THEN 3 WHEN risk < 0.15 AND outcomes_history = 0 AND events_before = 0 THEN 4 WHEN trend < -50 AND outcomes = 0 AND risk < 0.2 THEN 5 ELSE 6 END AS rule FROM rr), "
+    "rx AS (SELECT zone, risk, outcomes, outcomes_history, events, events_before, trend, (['INTENSIFICAR','AUMENTAR','MANTER','REDUZIR','REDUZIR','MANTER'])[rule] AS action, (['CRITICO','ALTO','MEDIO','BAIXO','BAIXO','MEDIO'])[rule] AS priority, CAST(([3,2,0,-1,-1,0])[rule] AS INTEGER) AS teams, "
+    "CASE WHEN outcomes > 3 OR outcomes_history > 15 THEN '20h-04h' ELSE '18h-06h' END AS peak_hours, CAST(CASE WHEN outcomes_history > 0 THEN 90 ELSE 80 END AS INTEGER) AS confidence FROM ru), "
+    "rz AS (SELECT * FROM rx ORDER BY list_position(['CRITICO','ALTO','MEDIO','BAIXO'], priority), risk DESC, zone LIMIT 10) "
+)
+
+
+def _recommend(v, shown=10):
+    p = v.prediction().select("zone", (F.col("predicted") / 10).alias("risk"))
+    day = lambda s: F.lit(s).cast("date")
+    return rules.recommendations(p, v.event(), "zone", "date", F.col("kind") == "purchase", "risk", day(_START), day(_END), shown=shown)
+
+
+def _with(needs: str, extra: str, body: str, rnd: str) -> str:
+    return with_sql(needs, body, rnd).replace(" SELECT * REPLACE", ", " + extra + "SELECT * REPLACE", 1)
+
+
+@query("r1_recommendations", _with("pred ev", _REC, "SELECT * FROM rz", "risk trend"))
+def _(v):
+    return _recommend(v)
+
+
+@query("r1_recommendation_totals", _with("pred ev", _REC, "SELECT CAST(coalesce(sum(teams) FILTER (teams > 0), 0) AS BIGINT) AS teams, CAST(least(coalesce(sum(teams) FILTER (teams > 0), 0) * 6, 40) AS BIGINT) AS impact, avg(confidence) AS confidence FROM rx", "confidence"))
+def _(v):
+    return rules.recommendation_totals(_recommend(v, shown=15))
+
+
+_RISK = (
+    "q AS (SELECT s_nationkey AS zone, avg(s_acctbal) / 50000 AS risk FROM supplier GROUP BY 1), oc AS (SELECT c_nationkey AS zone, o_orderpriority AS kind FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "tk AS (SELECT zone, kind FROM (SELECT zone, kind, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, kind) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1), "
+    "rt AS (SELECT zd.zone, CASE WHEN region = 'ASIA' THEN 'RMF' WHEN region = 'EUROPE' THEN 'INTERIOR' ELSE 'CAPITAL' END AS region, coalesce(q.risk, 0) AS risk, (SELECT count(*) FROM oc WHERE oc.zone = zd.zone) AS events, tk.kind AS top_kind, (SELECT count(*) FROM supplier WHERE s_nationkey = zd.zone AND s_acctbal < 1000) AS exogenous FROM zd LEFT JOIN q ON q.zone = zd.zone LEFT JOIN tk ON tk.zone = zd.zone), "
+    "ra AS (SELECT *, exogenous > 0 AS has_exogenous, risk >= (SELECT quantile_cont(risk, 0.9) FROM rt) * 1.15 AS critical, risk * CASE region WHEN 'INTERIOR' THEN 30 WHEN 'RMF' THEN 6 ELSE 3 END AS k FROM rt) "
+)
+
+
+@query(
+    "r2_risk_table",
+    _with("zd", _RISK, "SELECT zone, region, risk, events, top_kind, exogenous, has_exogenous, critical, CASE WHEN critical OR k > 0.8 THEN 'CRITICO' WHEN k > 0.5 THEN 'ALTO' WHEN k > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS alert FROM ra", "risk"),
+)
+def _(v):
+    region = F.when(F.col("region") == "ASIA", "RMF").when(F.col("region") == "EUROPE", "INTERIOR").otherwise("CAPITAL")
+    zones = v.zone_dim().select("zone", region.alias("region"))
+    preds = v.table("supplier").groupBy(F.col("s_nationkey").alias("zone")).agg((F.avg("s_acctbal") / 50000).alias("risk"))
+    extra = v.table("supplier").filter("s_acctbal < 1000").select(F.col("s_nationkey").alias("zone"))
+    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
+    events = v.table("orders").select("o_custkey", F.col("o_orderpriority").alias("kind")).join(cust, "o_custkey").select("zone", "kind")
+    return rules.risk_table(zones, preds, events, extra, "zone", "kind", "risk", "region")
+
+
+_OCR = "oc AS (SELECT z.region, z.zone, o_orderstatus AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN zd z ON z.zone = c_nationkey)"
+
+
+@query(
+    "r3_top_territories",
+    with_sql("zd", "SELECT t.region, t.zone, t.events, CAST(t.pos AS INTEGER) AS pos, m.label AS dominant FROM (SELECT region, zone, count(*) AS events, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, zone) AS pos FROM oc GROUP BY 1, 2) t JOIN "
+             "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 3").replace(" SELECT t.region", ", " + _OCR + " SELECT t.region", 1),
+)
+def _(v):
+    return rules.top_territories(_orders_by_zone(v), "region", "zone", "label", 3)
+
+
+def _orders_by_zone(v):
+    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
+    o = v.table("orders").select("o_custkey", F.col("o_orderstatus").alias("label"))
+    return o.join(cust, "o_custkey").join(v.zone_dim().select("zone", "region"), "zone").select("region", "zone", "label")
+
+
+@query(
+    "r4_presence",
+    with_sql("ev", "SELECT kind, count(*) AS events, count(DISTINCT zone) AS zones, count(*) * 100.0 / (SELECT count(*) FROM ev) AS pct_events, count(DISTINCT zone) * 100.0 / (SELECT count(DISTINCT zone) FROM ev) AS pct_zones FROM ev GROUP BY kind", "pct_events pct_zones"),
+)
+def _(v):
+    return rules.presence(v.event().select("kind", "zone"), "kind", "zone")
+
+
+@query(
+    "r5_zone_cards",
+    with_sql(
+        "panel",
+        "SELECT zone, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, max(n) AS peak, count(*) FILTER (n > 0) AS active_days, max(CASE WHEN n > 0 THEN date END) AS last_active, sum(n) * 100.0 / max(sum(n)) OVER () AS score, CASE WHEN zone % 2 = 0 THEN 'CAPITAL' ELSE 'INTERIOR' END AS region FROM panel GROUP BY zone",
+        "mean score",
+    ),
+)
+def _(v):
+    region = v.event().select("zone").distinct().withColumn("region", F.when(F.col("zone") % 2 == 0, "CAPITAL").otherwise("INTERIOR"))
+    return rules.zone_cards(v.panel(), "zone", "date", "n", region)
+
+
+@query(
+    "r6_volatility_ladder",
+    with_sql("panel", "SELECT zone, CASE WHEN p > 0.5 OR q > 0.7 THEN 'CRITICO' WHEN p > 0.3 OR q > 0.4 THEN 'ALTO' WHEN p > 0.1 OR q > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS class FROM (SELECT zone, (zone % 10) / 20.0 AS p, stddev_pop(n) / (max(n) + 1e-6) AS q FROM panel GROUP BY zone)"),
+)
+def _(v):
+    rows = v.panel().groupBy("zone").agg((F.stddev_pop("n") / (F.max("n") + 1e-6)).alias("q"))
+    return rows.select("zone", two_column_ladder(F.col("zone") % 10 / 20.0, F.col("q")).alias("class"))
+
+
+@query(
+    "r1_period_trend",
+    with_sql("ev", "SELECT zone, c AS current, p AS previous, CASE WHEN p > 0 THEN (c - p) * 100.0 / p WHEN c > 0 THEN 100 ELSE 0 END AS trend FROM (SELECT zone, count(*) FILTER (date >= DATE '2024-01-16') AS c, count(*) FILTER (date < DATE '2024-01-16') AS p FROM ev WHERE date BETWEEN DATE '2024-01-02' AND DATE '2024-01-30' GROUP BY zone)", "trend"),
+)
+def _(v):
+    return rules.period_trend(v.event(), "zone", "date", F.lit("2024-01-16").cast("date"), F.lit("2024-01-30").cast("date"))
+

@@ -306,9 +306,7 @@ def _(v):
     with_sql("oe", "SELECT a.zone, actions, outcomes, actions / outcomes AS ratio FROM (SELECT s_nationkey AS zone, count(*) AS actions FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY 1) a JOIN (SELECT zone, count(*) AS outcomes FROM oe GROUP BY 1) o ON o.zone = a.zone ORDER BY ratio DESC, a.zone LIMIT 20", "ratio"),
 )
 def _(v):
-    actions = v.treat_m().groupBy("zone").agg(F.sum("x").alias("actions"))
-    outcomes = v.outcome_m().groupBy("zone").agg(F.sum("y").alias("outcomes"))
-    rows = actions.join(outcomes, "zone").withColumn("ratio", F.col("actions") / F.col("outcomes"))
+    rows = study.coverage_ratio(v.treat_m(), v.outcome_m(), "zone", "x", "y")
     return top_k(rows, [F.col("ratio").desc(), F.col("zone")], 20)
 
 
