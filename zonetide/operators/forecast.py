@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from zonetide.functions.numbers import clip, ratio
 from zonetide.functions.stats import safe_corr
-from zonetide.operators.ranking import quantiles, scalar_quantile
+from zonetide.operators.ranking import column_quantiles, quantiles, scalar_quantile
 
 # Decay and season of the blended forecast.
 HORIZON, DECAY_AFTER, DECAY_STEP, SEASON_GAIN, SEASON_DAYS = 210, 120, 0.003, 0.2, 30
@@ -106,9 +106,10 @@ def errors(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -
 
 def alignment_gaps(df: DataFrame, predicted: str, action: str) -> DataFrame:
     """High prediction without action, and low prediction with much action."""
-    hi, lo = scalar_quantile(df, predicted, 0.75), scalar_quantile(df, predicted, 0.25)
-    much = scalar_quantile(df, action, 0.75)
-    kind = F.when((F.col(predicted) > hi) & (F.col(action) == 0), "gap").when((F.col(predicted) < lo) & (F.col(action) > much), "surplus")
+    q = column_quantiles(df, {"hi": (predicted, 0.75), "lo": (predicted, 0.25), "much": (action, 0.75)})
+    gap = (F.col(predicted) > q["hi"]) & (F.col(action) == 0)
+    surplus = (F.col(predicted) < q["lo"]) & (F.col(action) > q["much"])
+    kind = F.when(gap, "gap").when(surplus, "surplus")
     return df.withColumn("kind", kind).filter(F.col("kind").isNotNull())
 
 

@@ -41,7 +41,8 @@ def _ratio_udf(names: Sequence[str]):
 def _best_of(winners: DataFrame, column: str) -> DataFrame:
     """Merge the winners of several slices: best score, then smaller name."""
     best = F.min(F.struct((-F.col("_m.score")).alias("s"), F.col("_m.name").alias("n"))).alias("_w")
-    return winners.groupBy(column).agg(best).select(
+    # an empty slice has no winner
+    return winners.filter(F.col("_m.name").isNotNull()).groupBy(column).agg(best).select(
         column, F.struct((-F.col("_w.s")).alias("score"), F.col("_w.n").alias("name")).alias("_m")
     )
 
@@ -134,6 +135,7 @@ MASS_PATTERNS = [
     r"(\d+(?:\.\d+)?)\s*g(?:ramas?)?(?:\s+de\s+drogas?|de\s+cocaína)",
     r"(?:drogas?).*?(\d+(?:\.\d+)?)\s*(?:kg|g)",
 ]
+MASS_VALUE = r"(\d+(?:\.\d+)?)"
 WEAPON_PATTERNS = [
     r"(\d+)\s+(?:revólver|revól|arma|espingarda|fuzil|pistola|metralhadora|carabina)",
     r"(?:arma|revólver|espingarda).*?(\d+)",
@@ -157,24 +159,27 @@ def _first_group(text: Column, patterns: Sequence[str]) -> Column:
 def narrative_fields(df: DataFrame, text: str) -> DataFrame:
     """Counts, mass in grams, coordinates, kind and a quality score hits / 4."""
     low = F.lower(F.col(text))
-    people, weapons = _first_group(low, PEOPLE_PATTERNS), _first_group(low, WEAPON_PATTERNS)
-    grams = None
-    for p in MASS_PATTERNS:
-        whole = F.regexp_extract(low, p, 0)
-        value = F.regexp_extract(low, p, 1).try_cast("double") * F.when(whole.contains("kg"), 1000.0).otherwise(1.0)
-        grams = F.when(whole != "", value) if grams is None else grams.when(whole != "", value)
-    lat, lon = geo.parse_coordinates(F.concat_ws(",", F.nullif(F.regexp_extract(text, DECIMAL_PAIR, 1), F.lit("")), F.nullif(F.regexp_extract(text, DECIMAL_PAIR, 2), F.lit(""))))
-    kind = (
-        F.when(low.contains("grande apreensão") | low.contains("megaoperação"), "megaoperacao")
+    # matched texts first, values from them afterwards: each pattern runs once
+    masses = [F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in MASS_PATTERNS]
+    found = df.withColumns({
+        "_people": _first_group(low, PEOPLE_PATTERNS), "_weapons": _first_group(low, WEAPON_PATTERNS),
+        "_mass": F.coalesce(*masses), "_pair": F.nullif(F.regexp_extract(text, DECIMAL_PAIR, 0), F.lit("")),
+        "kind": F.when(low.contains("grande apreensão") | low.contains("megaoperação"), "megaoperacao")
         .when(low.contains("com_pouca_incidência"), "baixa_incidencia").when(low.contains("patrulhamento"), "patrulhamento")
-        .otherwise("operacao_rotina")
-    )
-    out = df.withColumns({
-        "people": F.coalesce(people.try_cast("int"), F.lit(0)), "grams": F.coalesce(grams, F.lit(0.0)),
-        "weapons": F.coalesce(weapons.try_cast("int"), F.lit(0)), "lat": lat, "lon": lon, "kind": kind,
+        .otherwise("operacao_rotina"),
+    })
+    # the value is the first number of a match, or the last for "drogas ... 5 kg"
+    mass = F.col("_mass")
+    number = F.when(mass.startswith("droga"), F.regexp_extract(mass, MASS_PATTERNS[3], 1)).otherwise(F.regexp_extract(mass, MASS_VALUE, 1))
+    grams = number.try_cast("double") * F.when(mass.contains("kg"), 1000.0).otherwise(1.0)
+    pair = F.concat_ws(",", F.nullif(F.regexp_extract("_pair", DECIMAL_PAIR, 1), F.lit("")), F.nullif(F.regexp_extract("_pair", DECIMAL_PAIR, 2), F.lit("")))
+    lat, lon = geo.parse_lat_lon(pair)
+    out = found.withColumns({
+        "people": F.coalesce(F.col("_people").try_cast("int"), F.lit(0)), "grams": F.coalesce(grams, F.lit(0.0)),
+        "weapons": F.coalesce(F.col("_weapons").try_cast("int"), F.lit(0)), "lat": lat, "lon": lon,
     })
-    hits = people.isNotNull().cast("int") + grams.isNotNull().cast("int") + weapons.isNotNull().cast("int") + F.col("lat").isNotNull().cast("int")
-    return out.withColumn("score", F.coalesce(hits / 4.0, F.lit(0.0)))
+    hits = sum((F.col(c).isNotNull().cast("int") for c in ("_weapons", "_mass", "lat")), F.col("_people").isNotNull().cast("int"))
+    return out.withColumn("score", hits / 4.0).drop("_people", "_weapons", "_mass", "_pair")
 
 
 def structured_narrative_fields(df: DataFrame, text: str, registered: str, lat: str, lon: str) -> DataFrame:

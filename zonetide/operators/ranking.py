@@ -25,7 +25,11 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     """
     spark = df.sparkSession
     by = list(by)
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # written once: the cut points, the totals and the order all read this table,
+    # and the source behind it is scanned a single time
+    distinct = cut_lineage(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counts"
+    )
     # cut points only balance the buckets; any points give the same ranks, so an
     # approximate percentile of bounded size is enough
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 256)
@@ -50,8 +54,20 @@ def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
     )
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", percent: bool = False) -> DataFrame:
-    """Rank from 1 with ties averaged, or that rank over the group size."""
+def average_rank(
+    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", percent: bool = False, bounded: bool = False
+) -> DataFrame:
+    """Rank from 1 with ties averaged, or that rank over the group size.
+
+    ``bounded`` says that a group is as long as a calendar at most; it is then
+    ranked by plain windows on one shuffle.
+    """
+    if bounded:
+        group = Window.partitionBy(*by)
+        ties = F.count(value).over(Window.partitionBy(*by, value))
+        rank = F.rank().over(group.orderBy(F.col(value).asc_nulls_last())) + (ties - 1) / 2
+        rank = rank / F.count(value).over(group) if percent else rank
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     ranks = cumulative_counts(df, value, by)
     rank = F.col("_before") + (F.col("_n") + 1) / 2
     ranks = ranks.select(*by, value, (rank / F.col("_total") if percent else rank).alias(out))
@@ -78,6 +94,18 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     )
 
 
+def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, Column]:
+    """Exact quantiles of several columns as scalar subqueries, from one pass.
+
+    ``wanted`` maps a name to its column and probability.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    name = {p: f"q{i}" for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_c", "_x")
+    rows = quantiles(long, "_x", {q: p for p, q in name.items()}, ["_c"])
+    return {n: rows.filter(F.col("_c") == c).select(name[p]).scalar() for n, (c, p) in wanted.items()}
+
+
 def scalar_quantile(df: DataFrame, value: str, p: float) -> Column:
     """An exact quantile of a whole column as a scalar subquery."""
     return quantiles(df, value, {"q": p}).scalar()

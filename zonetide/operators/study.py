@@ -41,8 +41,8 @@ def correlation_test(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFr
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks."""
-    ranked = average_rank(average_rank(df, x, by, "_rx"), y, by, "_ry")
+    """Pearson correlation of average ranks; a group is one calendar of rows."""
+    ranked = average_rank(average_rank(df, x, by, "_rx", bounded=True), y, by, "_ry", bounded=True)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho"))
 
 

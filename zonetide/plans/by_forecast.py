@@ -92,7 +92,7 @@ def _(v):
 _BL = (
     "be AS (SELECT p.zone, p.period, p.level, lag(p.level) OVER (PARTITION BY p.zone ORDER BY p.period) AS base, r.s AS ema, (SELECT regr_intercept(b.level, b.period) + regr_slope(b.level, b.period) * p.period FROM per b WHERE b.zone = p.zone AND b.period < p.period) AS linear "
     "FROM per p LEFT JOIN rec r ON r.zone = p.zone AND r.period = p.period - 1), "
-    "bs AS (SELECT CASE WHEN abs(level - base) <= 1.05 THEN 0 ELSE sign(level - base) END AS a, CASE WHEN abs(ema - base) <= 1.05 THEN 0 ELSE sign(ema - base) END AS e, CASE WHEN abs(linear - base) <= 1.05 THEN 0 ELSE sign(linear - base) END AS l FROM be WHERE period >= 2) "
+    "bs AS (SELECT CASE WHEN abs(level - base) <= 1.03717 THEN 0 ELSE sign(level - base) END AS a, CASE WHEN abs(ema - base) <= 1.03717 THEN 0 ELSE sign(ema - base) END AS e, CASE WHEN abs(linear - base) <= 1.03717 THEN 0 ELSE sign(linear - base) END AS l FROM be WHERE period >= 2) "
 )
 
 
@@ -105,7 +105,7 @@ def _(v):
     rows = rows.withColumn("stable", F.lag("level").over(_order()))
     out = None
     for name in ("ema", "linear", "stable"):
-        signs = forecast.directions(rows, "zone", "period", "level", name, 1.05).filter("period >= 2")
+        signs = forecast.directions(rows, "zone", "period", "level", name, 1.03717).filter("period >= 2")
         one = forecast.direction_accuracy(signs).select(F.lit(name).alias("baseline"), "n", "accuracy")
         out = one if out is None else out.unionByName(one)
     return out

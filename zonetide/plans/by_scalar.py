@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from zonetide.functions import dates, geo, ladders, numbers, text
 from zonetide.operators.matching import narrative_fields, structured_narrative_fields
 from zonetide.operators.panel import bounds
-from zonetide.operators.ranking import scalar_quantile
+from zonetide.operators.ranking import column_quantiles
 from zonetide.operators.rules import effective_start
 from zonetide.operators.spatial import in_box
 from zonetide.plans.registry import query
@@ -221,7 +221,8 @@ _CAP = "least(greatest({c} / (SELECT quantile_cont({c}, 0.99) FROM panel), 0), 1
 @query("p16_cap_scale", with_sql("panel", f"SELECT zone, date, {_CAP.format(c='click')} AS click_norm, {_CAP.format(c='view')} AS view_norm FROM panel", "click_norm view_norm"))
 def _(v):
     p = v.panel()
-    return p.select("zone", "date", *[numbers.cap_scale(F.col(c), scalar_quantile(p, c, 0.99)).alias(c + "_norm") for c in ("click", "view")])
+    caps = column_quantiles(p, {c: (c, 0.99) for c in ("click", "view")})
+    return p.select("zone", "date", *[numbers.cap_scale(F.col(c), cap).alias(c + "_norm") for c, cap in caps.items()])
 
 
 @query(
@@ -230,8 +231,9 @@ def _(v):
 )
 def _(v):
     p = v.panel()
-    a, b, c = (numbers.cap_scale(F.col(x), scalar_quantile(p, x, 0.99)) for x in ("n", "click", "view"))
-    return p.select("zone", "date", numbers.intensity(a, b, c).alias("intensity"))
+    caps = column_quantiles(p, {c: (c, 0.99) for c in ("n", "click", "view")})
+    scaled = [numbers.cap_scale(F.col(c), cap) for c, cap in caps.items()]
+    return p.select("zone", "date", numbers.intensity(*scaled).alias("intensity"))
 
 
 @query(

@@ -91,7 +91,8 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], files_per_par
 def metadata_row(df: DataFrame, date: str, measures: Sequence[str], ps: dict[str, float]) -> DataFrame:
     """One row: row count, date range and quantiles of each measure."""
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
-    for m in measures:
-        q = quantiles(df, m, ps)
-        row = row.withColumns({f"{m}_{name}": q.select(name).scalar() for name in ps})
-    return row
+    long = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], list(measures), "_c", "_x")
+    q = quantiles(long, "_x", ps, ["_c"])
+    return row.withColumns({
+        f"{m}_{name}": q.filter(F.col("_c") == m).select(name).scalar() for m in measures for name in ps
+    })
