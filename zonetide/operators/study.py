@@ -212,12 +212,15 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
         F.covar_pop(xs, ys).alias("_c"), F.var_pop(xs).alias("_vx"), F.var_pop(ys).alias("_vy"), safe_corr(x, y).alias("r"),
     )
     out = out.withColumn("slope", F.try_divide("_c", "_vx"))
-    left = F.greatest(F.col("_vy") - F.col("slope") * F.col("_c"), F.lit(0.0))
+    left = F.col("_vy") - F.col("slope") * F.col("_c")
+    # an exact fit leaves rounding noise only
+    left = F.when(left > F.col("_vy") * 1e-12, left).otherwise(0.0)
     out = out.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).withColumn(
         "stderr", F.sqrt(F.try_divide(left, F.col("_vx") * F.when(F.col("n") > 2, F.col("n") - 2)))
     )
-    t = F.try_divide("slope", "stderr")
-    return out.withColumn("p", student_p(t, F.col("n") - 2)).drop("_mx", "_my", "_c", "_vx", "_vy")
+    p = student_p(F.try_divide("slope", "stderr"), F.col("n") - 2)
+    exact = (F.col("stderr") == 0) & (F.col("slope") != 0)
+    return out.withColumn("p", F.when(exact, 0.0).otherwise(p)).drop("_mx", "_my", "_c", "_vx", "_vy")
 
 
 DF_CRITICAL = -2.86  # Fixed value: 5 % point of the Dickey-Fuller t with constant.

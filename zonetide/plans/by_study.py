@@ -21,7 +21,11 @@ def _(v):
     return study.correlation_matrix(v.panel(), ["n", "click", "view", "purchase"])
 
 
-@query("st2_correlation_per_zone", with_sql("pm", "SELECT zone, count(*) AS n, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r FROM pm GROUP BY zone", "r"))
+# r where it is defined: at least two distinct values on both sides
+_CORR = "CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN corr(x, y) END"
+
+
+@query("st2_correlation_per_zone", with_sql("pm", f"SELECT zone, count(*) AS n, {_CORR} AS r FROM pm GROUP BY zone", "r"))
 def _(v):
     return study.grouped_correlation(v.pairs_m(), ["zone"], "x", "y")
 
@@ -38,10 +42,10 @@ def _p(t: str, df: str) -> str:
     return f"greatest(1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {simpson}, 0)"
 
 
-_R = "(SELECT zone, count(*) AS n, corr(x, y) AS r FROM pm GROUP BY zone)"
+_R = f"(SELECT zone, count(*) AS n, {_CORR} AS r FROM pm GROUP BY zone)"
 
 
-@query("st3_correlation_test", with_sql("pm", f"SELECT zone, n, r, {_p('t', '(n - 2)')} AS p FROM (SELECT *, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM {_R})", "r p"))
+@query("st3_correlation_test", with_sql("pm", f"SELECT zone, n, r, CASE WHEN n > 2 AND r IS NOT NULL THEN CASE WHEN abs(r) > 1 - 1e-12 THEN 0 ELSE {_p('t', '(n - 2)')} END END AS p FROM (SELECT *, r * sqrt(greatest(n - 2, 0)) / sqrt(greatest(1 - r * r, 1e-300)) AS t FROM {_R})", "r p"))
 def _(v):
     return study.correlation_test(v.pairs_m(), ["zone"], "x", "y")
 
@@ -127,7 +131,7 @@ def _(v):
         "pm",
         f"SELECT zone, n, r, {_p('t', '(n - 2)')} AS p, ty AS total_outcome, tx AS total_treatment, my AS mean_outcome, mx AS mean_treatment, coalesce(-ty / nullif(tx, 0), 0) AS reduction, "
         "CASE WHEN r < -0.5 THEN 'MUITO ALTA' WHEN r < -0.2 THEN 'ALTA' WHEN r > 0.5 THEN 'INEFICAZ' WHEN r > 0.2 THEN 'BAIXA' ELSE 'NEUTRA' END AS class FROM "
-        "(SELECT *, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM (SELECT zone, count(*) AS n, corr(x, y) AS r, CAST(sum(y) AS BIGINT) AS ty, CAST(sum(x) AS BIGINT) AS tx, avg(y) AS my, avg(x) AS mx FROM pm GROUP BY zone)) WHERE n >= 4",
+        f"(SELECT *, r * sqrt(greatest(n - 2, 0)) / sqrt(greatest(1 - r * r, 1e-300)) AS t FROM (SELECT zone, count(*) AS n, {_CORR} AS r, CAST(sum(y) AS BIGINT) AS ty, CAST(sum(x) AS BIGINT) AS tx, avg(y) AS my, avg(x) AS mx FROM pm GROUP BY zone)) WHERE n >= 4 AND r IS NOT NULL",
         "r p mean_outcome mean_treatment reduction",
     ),
 )
@@ -154,7 +158,7 @@ def _(v):
     "st11_paired_test",
     with_sql(
         "om tm",
-        f"SELECT zone, pairs, mean_drop, median_drop, share_drop, t, {_p('t', '(pairs - 1)')} AS p FROM (SELECT zone, count(*) AS pairs, avg(prev - next) AS mean_drop, median(prev - next) AS median_drop, avg(CASE WHEN prev > next THEN 1.0 ELSE 0.0 END) AS share_drop, "
+        f"SELECT zone, pairs, mean_drop, median_drop, share_drop, t, CASE WHEN t IS NOT NULL THEN {_p('t', '(pairs - 1)')} END AS p FROM (SELECT zone, count(*) AS pairs, avg(prev - next) AS mean_drop, median(prev - next) AS median_drop, avg(CASE WHEN prev > next THEN 1.0 ELSE 0.0 END) AS share_drop, "
         "avg(prev - next) * sqrt(count(*)) / nullif(stddev_samp(prev - next), 0) AS t FROM ba GROUP BY zone HAVING count(*) >= 2)",
         "mean_drop median_drop share_drop t p",
     ).replace(" SELECT * REPLACE", ", " + _BA + "SELECT * REPLACE", 1),
@@ -202,7 +206,7 @@ def _(v):
     with_sql(
         "oe",
         "SELECT zone, w AS weekday, shift FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY shift DESC, w) AS rn FROM (SELECT zone, w, round(rc / sum(rc) OVER (PARTITION BY zone) - bc / sum(bc) OVER (PARTITION BY zone), 12) AS shift FROM "
-        "(SELECT zone, CAST(isodow(date) - 1 AS INTEGER) AS w, count(*) FILTER (year(date) >= 1999) AS rc, count(*) FILTER (year(date) < 1999) AS bc FROM oe GROUP BY 1, 2))) WHERE rn = 1",
+        "(SELECT zone, CAST(isodow(date) - 1 AS INTEGER) AS w, count(*) FILTER (year(date) >= 1999) AS rc, count(*) FILTER (year(date) < 1999) AS bc FROM oe GROUP BY 1, 2) QUALIFY sum(rc) OVER (PARTITION BY zone) > 0 AND sum(bc) OVER (PARTITION BY zone) > 0)) WHERE rn = 1",
         "shift",
     ),
 )
@@ -223,8 +227,9 @@ def _(v):
     "st16_dickey_fuller",
     with_sql(
         "om",
-        "SELECT zone, n, t, t < -2.86 AS stationary FROM (SELECT zone, count(*) AS n, regr_slope(d, l) / sqrt((var_pop(d) - regr_slope(d, l) * covar_pop(d, l)) / var_pop(l) / (count(*) - 2)) AS t FROM "
-        "(SELECT zone, lag(y) OVER w AS l, y - lag(y) OVER w AS d FROM om WINDOW w AS (PARTITION BY zone ORDER BY month)) WHERE l IS NOT NULL GROUP BY zone)",
+        "SELECT zone, n, t, t < -2.86 AS stationary FROM (SELECT zone, n, CASE WHEN rest > 1e-12 * vd AND n > 2 THEN slope / sqrt(rest / vl / (n - 2)) END AS t FROM "
+        "(SELECT zone, count(*) AS n, regr_slope(d, l) AS slope, var_pop(d) AS vd, var_pop(l) AS vl, var_pop(d) - regr_slope(d, l) * covar_pop(d, l) AS rest FROM "
+        "(SELECT zone, lag(y) OVER w AS l, y - lag(y) OVER w AS d FROM om WINDOW w AS (PARTITION BY zone ORDER BY month)) WHERE l IS NOT NULL GROUP BY zone))",
         "t",
     ),
 )
@@ -269,7 +274,7 @@ def _(v):
     return study.viability_b(v.panel(), "zone", "date", ["n", "click", "purchase"], "n")
 
 
-_CL = "(SELECT zone, n, r, CASE WHEN r < -0.3 THEN 'Eficaz' WHEN r > 0.3 THEN 'Ineficaz' ELSE 'Neutro' END AS class FROM (SELECT zone, count(*) AS n, corr(x, y) AS r FROM pm GROUP BY zone))"
+_CL = f"(SELECT zone, n, r, CASE WHEN r < -0.3 THEN 'Eficaz' WHEN r > 0.3 THEN 'Ineficaz' ELSE 'Neutro' END AS class FROM (SELECT zone, count(*) AS n, {_CORR} AS r FROM pm GROUP BY zone) WHERE r IS NOT NULL)"
 
 
 @query("st19_cross_series_class", with_sql("pm", f"SELECT * FROM {_CL}", "r"))
