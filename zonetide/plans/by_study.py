@@ -227,7 +227,7 @@ def _(v):
     "st16_dickey_fuller",
     with_sql(
         "om",
-        "SELECT zone, n, t, t < -2.86 AS stationary FROM (SELECT zone, n, CASE WHEN rest > 1e-12 * vd AND n > 2 THEN slope / sqrt(rest / vl / (n - 2)) END AS t FROM "
+        "SELECT zone, n, t, t < -2.86 AS stationary FROM (SELECT zone, n, CASE WHEN vl > 1e-12 AND rest > 1e-12 * vd AND n > 2 THEN slope / sqrt(rest / vl / (n - 2)) END AS t FROM "
         "(SELECT zone, count(*) AS n, regr_slope(d, l) AS slope, var_pop(d) AS vd, var_pop(l) AS vl, var_pop(d) - regr_slope(d, l) * covar_pop(d, l) AS rest FROM "
         "(SELECT zone, lag(y) OVER w AS l, y - lag(y) OVER w AS d FROM om WINDOW w AS (PARTITION BY zone ORDER BY month)) WHERE l IS NOT NULL GROUP BY zone))",
         "t",

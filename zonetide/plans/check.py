@@ -38,13 +38,11 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return str(list(v))
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
-        if isinstance(v, (pd.Timestamp,)) or hasattr(v, "isoformat"):
+        if hasattr(v, "isoformat"):
             return str(pd.Timestamp(v))
-        if isinstance(v, float) and v == int(v) if isinstance(v, float) and abs(v) < 1e15 else False:
-            return repr(float(v))
-        return repr(v) if isinstance(v, float) else str(v)
+        return repr(float(v)) if isinstance(v, float) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
 
