@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from zonetide.functions.numbers import clip, ratio
 from zonetide.functions.stats import safe_corr
-from zonetide.operators.ranking import column_quantiles, quantiles, scalar_quantile
+from zonetide.operators.ranking import column_quantiles, one_row, quantiles, scalar_quantile
 
 # Decay and season of the blended forecast.
 HORIZON, DECAY_AFTER, DECAY_STEP, SEASON_GAIN, SEASON_DAYS = 210, 120, 0.003, 0.2, 30
@@ -121,8 +121,7 @@ def fixed_gaps(df: DataFrame, predicted: str, action: str) -> DataFrame:
 
 def quantile_classes(df: DataFrame, value: str, out: str = "class") -> DataFrame:
     """Above p90 critical, p75 high, p50 medium, else low."""
-    q = quantiles(df, value, {"p50": 0.5, "p75": 0.75, "p90": 0.9})
-    cut = {n: q.select(n).scalar() for n in ("p50", "p75", "p90")}
+    cut = one_row(quantiles(df, value, {"p50": 0.5, "p75": 0.75, "p90": 0.9}))
     v = F.col(value)
     return df.withColumn(out, F.when(v > cut["p90"], "CRITICO").when(v > cut["p75"], "ALTO").when(v > cut["p50"], "MEDIO").otherwise("BAIXO"))
 

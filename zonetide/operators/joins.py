@@ -52,14 +52,19 @@ def cascade(candidates: DataFrame, key: str, layer: str, order: Sequence[str], *
     return keep_first(candidates.filter(place > 0), [key], [place, *ties])
 
 
+def month_number(col: Column | str) -> Column:
+    """Months since year 0, so that calendar months are one apart."""
+    return F.year(col) * 12 + F.month(col)
+
+
 def period_neighbours(series: DataFrame, zone: str, month: str, value: str, offsets: Sequence[int]) -> DataFrame:
-    """Values at other months, by calendar arithmetic (months may be missing)."""
-    out = series
-    for k in offsets:
-        name = f"{value}_{'prev' if k < 0 else 'next'}{abs(k) if abs(k) > 1 else ''}"
-        other = series.select(zone, F.add_months(month, -k).alias(month), F.col(value).alias(name))
-        out = out.join(other, [zone, month], "left")
-    return out
+    """Values at other months, by calendar arithmetic (months may be missing).
+
+    A frame of exactly one month at each distance replaces a self-join.
+    """
+    w = Window.partitionBy(zone).orderBy(month_number(month))
+    names = {k: f"{value}_{'prev' if k < 0 else 'next'}{abs(k) if abs(k) > 1 else ''}" for k in offsets}
+    return series.withColumns({n: F.max(value).over(w.rangeBetween(k, k)) for k, n in names.items()})
 
 
 def as_of(panel: DataFrame, snapshots: DataFrame, zone: str, date: str, value: str, exact: bool = False) -> DataFrame:
@@ -106,8 +111,9 @@ def names_in_text(df: DataFrame, text: str, names: DataFrame, name: str) -> Data
     out = None
     for part in name_slices(names.select(F.upper(name).alias(name)), name):
         listed = part.select(F.array_sort(F.collect_list("_o"))).scalar()
-        found = F.explode(F.filter("_list", lambda n: F.upper(F.col(text)).contains(n)))
-        hits = df.withColumn("_list", listed).withColumn("found", found).drop("_list")
+        # the upper-case text is bound once, not once per name
+        found = F.transform(F.array(F.upper(text)), lambda t: F.filter("_list", lambda n: t.contains(n)))
+        hits = df.withColumn("_list", listed).withColumn("found", F.explode(F.element_at(found, 1))).drop("_list")
         out = hits if out is None else out.unionByName(hits)
     return out
 

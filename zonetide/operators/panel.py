@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonetide.functions.numbers import ratio
+from zonetide.operators.ranking import one_row
+from zonetide.session import cut_lineage
 
 STEPS = {"day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH"}
 
@@ -23,8 +25,9 @@ def keyed_counts(events: DataFrame, keys: Sequence[str], count: str = "n", **agg
 
 
 def bounds(df: DataFrame, date: str = "date") -> tuple[Column, Column]:
-    """First and last date as scalar subqueries."""
-    return df.select(F.min(date)).scalar(), df.select(F.max(date)).scalar()
+    """First and last date as fields of one scalar subquery."""
+    row = one_row(df.agg(F.min(date).alias("first"), F.max(date).alias("last")))
+    return row["first"], row["last"]
 
 
 def densify(
@@ -83,19 +86,29 @@ def common_panel(
 ) -> DataFrame:
     """Panel of two sources on their common zones and common period.
 
-    The period runs from the later first date to the earlier last date.  Rows of
-    both sources are stacked and summed, so one shuffle aligns them; a zero row
-    at the first date keeps zones that are silent inside the period.
+    The period runs from the later first date to the earlier last date.  Both
+    sources are stacked and summed by one shuffle and written; zones and period
+    are then read off that small table.  A zero row at the first date keeps
+    zones that are silent inside the period.
     """
-    (low_a, high_a), (low_b, high_b) = bounds(a, date), bounds(b, date)
-    low, high = F.greatest(low_a, low_b), F.least(high_a, high_b)
-    shared = a.select(zone).intersect(b.select(zone))
-    inside = F.col(date).between(low, high)
-    seeds = shared.withColumn(date, low)
-    rows = a.filter(inside).unionByName(b.filter(inside), allowMissingColumns=True).join(shared, zone, "left_semi")
-    rows = rows.unionByName(seeds, allowMissingColumns=True)
     metrics = [*of_a, *of_b]
-    sums = rows.groupBy(zone, date).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics])
+    stacked = a.withColumn("_a", F.lit(1)).unionByName(b.withColumn("_b", F.lit(1)), allowMissingColumns=True)
+    cells = cut_lineage(
+        stacked.groupBy(zone, date).agg(
+            *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics], F.count("_a").alias("_a"), F.count("_b").alias("_b")
+        ),
+        "cells",
+    )
+    d, in_a, in_b = F.col(date), F.col("_a") > 0, F.col("_b") > 0
+    ends = one_row(cells.agg(
+        F.greatest(F.min(F.when(in_a, d)), F.min(F.when(in_b, d))).alias("low"),
+        F.least(F.max(F.when(in_a, d)), F.max(F.when(in_b, d))).alias("high"),
+    ))
+    low, high = ends["low"], ends["high"]
+    shared = cells.groupBy(zone).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).filter(in_a & in_b).select(zone)
+    inside = cells.filter(d.between(low, high)).join(shared, zone, "left_semi").select(zone, date, *metrics)
+    seeds = shared.withColumn(date, low)
+    sums = inside.unionByName(seeds, allowMissingColumns=True).groupBy(zone, date).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics])
     out = densify(sums, zone, date, metrics, low, high)
     if lagged:
         out = out.withColumn(f"{lagged}_before", F.lag(lagged, 1, 0).over(Window.partitionBy(zone).orderBy(date)))
@@ -123,12 +136,13 @@ def window_targets(panel: DataFrame, zone: str, date: str, value: str, width: in
     )
 
 
-def temporal_split(panel: DataFrame, date: str, shares: Mapping[str, float]) -> DataFrame:
+def temporal_split(panel: DataFrame, date: str, shares: Mapping[str, float], period: tuple[Column, Column] | None = None) -> DataFrame:
     """Label each date with its split, in time order; the last split is closed.
 
-    On the dense grid the share of a date is its offset over the calendar.
+    On the dense grid the share of a date is its offset over the calendar, whose
+    ends may be given where they are known more cheaply.
     """
-    first, last = bounds(panel, date)
+    first, last = bounds(panel, date) if period is None else period
     place = F.datediff(F.col(date), first) / (F.datediff(last, first) + 1)
     names = list(shares)
     result, upto = None, 0.0
@@ -141,13 +155,9 @@ def temporal_split(panel: DataFrame, date: str, shares: Mapping[str, float]) ->
 
 def standardise(panel: DataFrame, train: DataFrame, columns: Sequence[str], eps: float = 1e-5, skip_zeros: bool = False) -> DataFrame:
     """(x - mean) / (sd + eps) with statistics of the training rows only."""
-    out = panel
-    for c in columns:
-        x = F.when(F.col(c) != 0, F.col(c)) if skip_zeros else F.col(c)
-        mean = train.select(F.avg(x)).scalar()
-        sd = train.select(F.stddev_samp(x)).scalar()
-        out = out.withColumn(c + "_std", (F.col(c) - mean) / (sd + eps))
-    return out
+    xs = {c: F.when(F.col(c) != 0, F.col(c)) if skip_zeros else F.col(c) for c in columns}
+    stats = one_row(train.agg(*[F.avg(x).alias(f"{c}_m") for c, x in xs.items()], *[F.stddev_samp(x).alias(f"{c}_s") for c, x in xs.items()]))
+    return panel.withColumns({f"{c}_std": (F.col(c) - stats[f"{c}_m"]) / (stats[f"{c}_s"] + eps) for c in columns})
 
 
 def array_export(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunk: Column | None = None) -> DataFrame:

@@ -94,8 +94,17 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     )
 
 
+def one_row(df: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row frame as fields of a single scalar subquery.
+
+    Several ``scalar()`` calls on one frame would plan it several times.
+    """
+    packed = df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+    return {c: packed[c] for c in df.columns}
+
+
 def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, Column]:
-    """Exact quantiles of several columns as scalar subqueries, from one pass.
+    """Exact quantiles of several columns as scalars, from one pass.
 
     ``wanted`` maps a name to its column and probability.
     """
@@ -103,7 +112,7 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dic
     name = {p: f"q{i}" for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_c", "_x")
     rows = quantiles(long, "_x", {q: p for p, q in name.items()}, ["_c"])
-    return {n: rows.filter(F.col("_c") == c).select(name[p]).scalar() for n, (c, p) in wanted.items()}
+    return one_row(rows.agg(*[F.max(F.when(F.col("_c") == c, F.col(name[p]))).alias(n) for n, (c, p) in wanted.items()]))
 
 
 def scalar_quantile(df: DataFrame, value: str, p: float) -> Column:

@@ -37,27 +37,51 @@ def calm_cell_size(points: DataFrame, x: str, y: str, start: float, most: int =
     return size
 
 
+def typical_cell(polygons: DataFrame, ring: str) -> float:
+    """Half the median longer side of the bounding boxes."""
+    xs = F.transform(F.col(ring), lambda p: p["x"])
+    ys = F.transform(F.col(ring), lambda p: p["y"])
+    side = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    median = polygons.select(F.percentile_approx(side, 0.5)).first()[0]
+    return float(median) / 2 if median else 1.0
+
+
 def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float) -> DataFrame:
-    """(poly_id, _edges, _cx, _cy): one row per grid cell under the bounding box."""
+    """(poly_id, _edges, _cx, _cy): one row per grid cell under the bounding box.
+
+    A cell keeps only the edges a ray to the right from inside it can meet, so a
+    long border is not repeated whole in every cell; cells no ray leaves through
+    an edge lie outside and are dropped.
+    """
     xs = F.transform(F.col(ring), lambda p: p["x"])
     ys = F.transform(F.col(ring), lambda p: p["y"])
     boxed = polygons.select(
         poly_id,
-        geo.edges(F.col(ring)).alias("_edges"),
+        geo.edges(F.col(ring)).alias("_all"),
         F.sequence(_cell(F.array_min(xs), size), _cell(F.array_max(xs), size)).alias("_xs"),
         F.sequence(_cell(F.array_min(ys), size), _cell(F.array_max(ys), size)).alias("_ys"),
     )
-    return boxed.withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys")).drop("_xs", "_ys")
+    cells = boxed.withColumn("_cx", F.explode("_xs")).withColumn("_cy", F.explode("_ys"))
+    slack = size * 1e-6
+    left, low = F.col("_cx") * size - slack, F.col("_cy") * size - slack
+    high = (F.col("_cy") + 1) * size + slack
+    near = F.filter(
+        "_all",
+        lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left),
+    )
+    return cells.select(poly_id, near.alias("_edges"), "_cx", "_cy").filter(F.size("_edges") > 0)
 
 
 def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, poly_id: str, ring: str, x: str, y: str, size: float, how: str = "inner"
+    points: DataFrame, polygons: DataFrame, poly_id: str, ring: str, x: str, y: str, size: float | None = None, how: str = "inner"
 ) -> DataFrame:
     """Points with the polygon they lie strictly inside of.
 
     Overlapping polygons give one row each.  With ``how='left'`` points outside
     every polygon keep a null id.  A hot cell is split by the adaptive skew join.
+    The cell size follows the polygons unless given.
     """
+    size = typical_cell(polygons, ring) if size is None else size
     cover = cell_cover(polygons, poly_id, ring, size)
     celled = points.withColumn("_cx", _cell(F.col(x), size)).withColumn("_cy", _cell(F.col(y), size))
     hit = geo.within(F.col("_edges"), F.col(x), F.col(y))

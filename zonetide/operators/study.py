@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from zonetide.functions.ladders import ladder
 from zonetide.functions.numbers import percent_change, ratio
 from zonetide.functions.stats import safe_corr, student_p, t_of_r
-from zonetide.operators.ranking import average_rank
+from zonetide.operators.joins import month_number
+from zonetide.operators.ranking import average_rank, one_row
 from zonetide.operators.windows import next_deltas
 
 
@@ -28,16 +29,17 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def grouped_correlation(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(x, y).alias("r"))
+def grouped_correlation(df: DataFrame, by: Sequence[str], x: str, y: str, *more: Column) -> DataFrame:
+    """Rows, Pearson r and any further aggregates per group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe_corr(x, y).alias("r"), *more)
 
 
-def correlation_test(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+def correlation_test(df: DataFrame, by: Sequence[str], x: str, y: str, *more: Column) -> DataFrame:
     """r with its two-sided p-value on n - 2 degrees of freedom."""
-    out = grouped_correlation(df, by, x, y)
+    out = grouped_correlation(df, by, x, y, *more)
     t = t_of_r(F.col("r"), F.col("n"))
     p = F.when(F.abs(F.col("r")) >= 1, F.lit(0.0)).otherwise(student_p(t, F.col("n") - 2))
-    return out.withColumn("p", F.when(F.col("n") > 2, p))
+    return out.withColumn("p", F.when((F.col("n") > 2) & F.col("r").isNotNull(), p))
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -81,20 +83,23 @@ def profile_comparison(a: DataFrame, b: DataFrame, zone: str, month: str, value:
     Sums over twelve calendar months are written with the number twelve, so the
     empty months need no rows.
     """
-    left = a.groupBy(zone, month).agg(F.sum(value).cast("double").alias("x"))
-    right = b.groupBy(zone, month).agg(F.sum(value).cast("double").alias("y"))
-    shared = a.select(zone).distinct().join(b.select(zone).distinct(), zone, "left_semi")
-    cells = left.join(right, [zone, month], "full_outer").na.fill(0, subset=["x", "y"]).join(shared, zone, "left_semi")
+    left = a.select(zone, month, F.col(value).cast("double").alias("x"))
+    right = b.select(zone, month, F.col(value).cast("double").alias("y"))
+    cells = left.unionByName(right, allowMissingColumns=True).groupBy(zone, month).agg(
+        F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"), F.count("x").alias("_nx"), F.count("y").alias("_ny")
+    )
     sx, sy = F.sum("x"), F.sum("y")
     cov = F.sum(F.col("x") * F.col("y")) - sx * sy / 12
     vx = F.sum(F.col("x") * F.col("x")) - sx * sx / 12
     vy = F.sum(F.col("y") * F.col("y")) - sy * sy / 12
     gap = F.abs(F.col("x") - F.col("y"))
-    return cells.groupBy(zone).agg(
+    out = cells.groupBy(zone).agg(
         F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(cov, F.sqrt(vx * vy))).alias("r"),
         (F.sum(gap) / 12).alias("mean_abs"), F.max(gap).alias("max_abs"),
         F.count_if(F.col("x") != 0).alias("months_x"), F.count_if(F.col("y") != 0).alias("months_y"),
+        F.sum("_nx").alias("_nx"), F.sum("_ny").alias("_ny"),
     )
+    return out.filter((F.col("_nx") > 0) & (F.col("_ny") > 0)).drop("_nx", "_ny")
 
 
 # Correlation bands of the effect class.
@@ -111,25 +116,30 @@ def effect_class(r: Column) -> Column:
 
 def effectiveness(pairs: DataFrame, by: Sequence[str], treatment: str, outcome: str, min_periods: int = 4) -> DataFrame:
     """Correlation test, totals, means, -sum(y)/sum(x) and the effect class."""
-    tested = correlation_test(pairs, by, treatment, outcome)
-    sums = pairs.groupBy(*by).agg(
+    out = correlation_test(
+        pairs, by, treatment, outcome,
         F.sum(outcome).alias("total_outcome"), F.sum(treatment).alias("total_treatment"),
         F.avg(outcome).alias("mean_outcome"), F.avg(treatment).alias("mean_treatment"),
-    ).withColumn("reduction", F.coalesce(ratio(-F.col("total_outcome"), F.col("total_treatment")), F.lit(0.0)))
-    return (
-        tested.join(sums, list(by)).filter((F.col("n") >= min_periods) & F.col("r").isNotNull())
-        .withColumn("class", effect_class(F.col("r")))
-    )
+    ).filter((F.col("n") >= min_periods) & F.col("r").isNotNull())
+    reduction = F.coalesce(ratio(-F.col("total_outcome"), F.col("total_treatment")), F.lit(0.0))
+    return out.withColumn("reduction", reduction).withColumn("class", effect_class(F.col("r")))
 
 
 def before_after(treatment: DataFrame, outcome: DataFrame, zone: str, month: str, x: str, y: str, p: float = 0.75) -> DataFrame:
     """Outcome before and after the months whose treatment is at or above the
-    zone's own quantile.  A zone's months are bounded by the calendar."""
-    high = treatment.groupBy(zone).agg(F.percentile(x, p).alias("_cut"))
-    marked = treatment.join(high, zone).filter(F.col(x) >= F.col("_cut")).select(zone, month, x)
-    prev = outcome.select(zone, F.add_months(month, 1).alias(month), F.col(y).alias("prev"))
-    following = outcome.select(zone, F.add_months(month, -1).alias(month), F.col(y).alias("next"))
-    return marked.join(prev, [zone, month]).join(following, [zone, month])
+    zone's own quantile.
+
+    Both series are stacked by (zone, month); the neighbouring months are frames
+    of one calendar month, so a zone is shuffled once and is as long as the
+    calendar.
+    """
+    both = treatment.unionByName(outcome, allowMissingColumns=True).groupBy(zone, month).agg(F.max(x).alias(x), F.max(y).alias(y))
+    w = Window.partitionBy(zone).orderBy(month_number(month))
+    marked = both.withColumns({
+        "_cut": F.percentile(x, F.lit(p)).over(Window.partitionBy(zone)),
+        "prev": F.max(y).over(w.rangeBetween(-1, -1)), "next": F.max(y).over(w.rangeBetween(1, 1)),
+    })
+    return marked.filter((F.col(x) >= F.col("_cut")) & F.col("prev").isNotNull() & F.col("next").isNotNull()).select(zone, month, x, "prev", "next")
 
 
 def before_after_mean(pairs: DataFrame, zone: str) -> DataFrame:
@@ -287,31 +297,34 @@ def viability_a(panel: DataFrame, date: str, total: str, outcome: str) -> DataFr
 
 
 def viability_b(panel: DataFrame, zone: str, date: str, features: Sequence[str], outcome: str) -> DataFrame:
-    """Mean feature score plus a bonus for correlated features, at most 100."""
-    n_zones = panel.select(F.count_distinct(zone)).scalar()
-    corr = panel.agg(*[safe_corr(outcome, f).alias(f) for f in features if f != outcome])
-    scores = None
+    """Mean feature score plus a bonus for correlated features, at most 100.
+
+    Three passes over the panel whatever the number of features: cells, days and
+    zones.
+    """
+    others = [f for f in features if f != outcome]
+    cells = one_row(panel.agg(
+        *[(1 - F.count_if(F.col(f) != 0) / F.count(F.lit(1))).alias(f"sparse_{f}") for f in features],
+        *[F.coalesce(F.avg(F.when(F.col(f) > 0, F.col(f))), F.lit(0.0)).alias(f"signal_{f}") for f in features],
+        *[F.coalesce(F.abs(safe_corr(outcome, f)), F.lit(0.0)).alias(f"r_{f}") for f in others],
+    ))
+    sums = [F.sum(f).alias(f) for f in features]
+    busy = {f: F.when(F.col(f) > 0, F.col(f)) for f in features}
+    days = one_row(panel.groupBy(date).agg(*sums).agg(
+        *[F.coalesce(ratio(F.stddev_pop(x), F.avg(x)), F.lit(0.0)).alias(f) for f, x in busy.items()]
+    ))
+    zones = panel.groupBy(zone).agg(*sums).agg(F.count(F.lit(1)).alias("_n"), *[F.count(x).alias(f) for f, x in busy.items()])
+    score = F.lit(0.0)
     for f in features:
-        x = F.col(f)
-        cells = panel.agg(
-            (1 - F.count_if(x != 0) / F.count(F.lit(1))).alias("sparsity"),
-            F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0)).alias("signal"),
+        score = score + (
+            F.greatest(F.lit(0.0), 100 - cells[f"sparse_{f}"] * 150) * 0.25 + F.least(F.lit(100.0), cells[f"signal_{f}"] * 1000) * 0.35
+            + F.greatest(F.lit(0.0), 100 - F.abs(days[f] - 0.5) * 50) * 0.2 + F.col(f) / F.col("_n") * 100 * 0.2
         )
-        daily = panel.groupBy(date).agg(F.sum(x).alias("_d")).filter("_d > 0").agg(F.coalesce(ratio(F.stddev_pop("_d"), F.avg("_d")), F.lit(0.0)).alias("cv"))
-        active = panel.groupBy(zone).agg(F.sum(x).alias("_z")).filter("_z > 0").agg(F.count(F.lit(1)).alias("active"))
-        row = cells.withColumn("feature", F.lit(f)).withColumn("cv", daily.scalar()).withColumn("coverage", active.scalar() / n_zones * 100)
-        scores = row if scores is None else scores.unionByName(row)
-    feature_score = (
-        F.greatest(F.lit(0.0), 100 - F.col("sparsity") * 150) * 0.25 + F.least(F.lit(100.0), F.col("signal") * 1000) * 0.35
-        + F.greatest(F.lit(0.0), 100 - F.abs(F.col("cv") - 0.5) * 50) * 0.2 + F.col("coverage") * 0.2
-    )
-    mean = scores.agg(F.avg(feature_score).alias("mean_score"))
     bonus = F.lit(0.0)
-    for f in features:
-        if f != outcome:
-            r = F.abs(F.coalesce(corr.select(f).scalar(), F.lit(0.0)))
-            bonus = bonus + F.when(r > 0.1, r * 10).otherwise(0.0)
-    return mean.withColumn("bonus", bonus).withColumn("score", F.least(F.col("mean_score") + F.col("bonus"), F.lit(100.0)))
+    for f in others:
+        bonus = bonus + F.when(cells[f"r_{f}"] > 0.1, cells[f"r_{f}"] * 10).otherwise(0.0)
+    out = zones.select((score / len(features)).alias("mean_score"), bonus.alias("bonus"))
+    return out.withColumn("score", F.least(F.col("mean_score") + F.col("bonus"), F.lit(100.0)))
 
 
 def cross_series_classes(pairs: DataFrame, zone: str, x: str, y: str) -> DataFrame:

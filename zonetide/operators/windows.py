@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from zonetide.functions.dates import cyclic
 from zonetide.functions.numbers import clip, intensity, ratio
-from zonetide.operators.ranking import average_rank, quantiles
+from zonetide.operators.ranking import average_rank, one_row, quantiles
 
 
 def _by(zone: str, date: str):
@@ -121,12 +121,15 @@ def first_last_trend(series: DataFrame, zone: str, date: str, value: str) -> Dat
     return series.groupBy(zone).agg(((last - first) / F.greatest(first, F.lit(1.0))).alias("trend"))
 
 
-def minmax_classes(panel: DataFrame, zone: str, date: str, value: str, days: int, to_class) -> DataFrame:
-    """Mean of the last days per zone, scaled over zones, with its class."""
-    last = panel.select(F.max(date)).scalar()
+def minmax_classes(panel: DataFrame, zone: str, date: str, value: str, days: int, to_class, last: Column | None = None) -> DataFrame:
+    """Mean of the last days per zone, scaled over zones, with its class.
+
+    ``last`` may name the last date where it is known more cheaply.
+    """
+    last = panel.select(F.max(date)).scalar() if last is None else last
     recent = panel.filter(F.col(date) > F.date_sub(last, days)).groupBy(zone).agg(F.avg(value).alias("level"))
-    low, high = recent.select(F.min("level")).scalar(), recent.select(F.max("level")).scalar()
-    scaled = F.coalesce(ratio(F.col("level") - low, high - low), F.lit(0.0))
+    span = one_row(recent.agg(F.min("level").alias("low"), F.max("level").alias("high")))
+    scaled = F.coalesce(ratio(F.col("level") - span["low"], span["high"] - span["low"]), F.lit(0.0))
     return recent.withColumn("scaled", scaled).withColumn("class", to_class(F.col("scaled")))
 
 

@@ -128,7 +128,8 @@ def _(v):
     ),
 )
 def _(v):
-    s = panel.temporal_split(v.panel(), "date", {"train": 0.7, "validation": 0.15, "test": 0.15})
+    period = panel.bounds(v.event().select("date"))
+    s = panel.temporal_split(v.panel(), "date", {"train": 0.7, "validation": 0.15, "test": 0.15}, period)
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("cells"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 

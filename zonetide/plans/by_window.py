@@ -199,6 +199,11 @@ def _(v):
     return windows.fill_with_mean(v.zone_dim().select("zone").join(known, "zone", "left"), "b", "filled").select("zone", "filled")
 
 
+def _classes(v):
+    _, last = bounds(v.event().select("date"))
+    return windows.minmax_classes(v.panel(), "zone", "date", "n", 15, lambda s: ladder(s, ALERT_STEPS, "BAIXO"), last)
+
+
 _LEVEL = "(SELECT zone, avg(n) AS level FROM panel WHERE date > (SELECT max(date) FROM panel) - 15 GROUP BY zone)"
 
 
@@ -212,7 +217,7 @@ _LEVEL = "(SELECT zone, avg(n) AS level FROM panel WHERE date > (SELECT max(date
     ),
 )
 def _(v):
-    c = windows.minmax_classes(v.panel(), "zone", "date", "n", 15, lambda s: ladder(s, ALERT_STEPS, "BAIXO"))
+    c = _classes(v)
     counts = c.groupBy("class").agg(F.count(F.lit(1)).alias("zones"))
     return agg.share_within(counts, [], "zones", "pct").withColumn("pct", F.col("pct") * 100)
 
@@ -222,4 +227,4 @@ def _(v):
     with_sql("panel", f"SELECT zone, level, (level - min(level) OVER ()) / (max(level) OVER () - min(level) OVER ()) AS scaled FROM {_LEVEL}", "level scaled"),
 )
 def _(v):
-    return windows.minmax_classes(v.panel(), "zone", "date", "n", 15, lambda s: ladder(s, ALERT_STEPS, "BAIXO")).drop("class")
+    return _classes(v).drop("class")

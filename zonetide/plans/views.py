@@ -88,15 +88,16 @@ class Views:
             F.col("vec_id").alias("id"), (e[0].cast("double") - 40).alias("lon"), (e[1].cast("double") - 5).alias("lat")
         )
 
-    def _box(self) -> dict:
-        p = self.point()
-        return {n: p.select(f(c)).scalar() for n, f, c in
-                [("x0", F.min, "lon"), ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat")]}
+    def _with_box(self, df: DataFrame) -> DataFrame:
+        """Add the bounding box of the points; the generator keeps the scalar
+        from being planned again for every use of a corner."""
+        ends = [f(c).alias(n) for n, f, c in [("x0", F.min, "lon"), ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat")]]
+        box = self.point().agg(*ends).select(F.struct("x0", "x1", "y0", "y1")).scalar()
+        return df.withColumn("_box", F.explode(F.array(box))).select(*df.columns, "_box.*")
 
     def polygon(self) -> DataFrame:
         """A 5 x 5 lattice over the points with shifted, shared vertices."""
-        box = self._box()
-        base = self.table("nation").select(F.col("n_nationkey").alias("poly")).withColumns(box)
+        base = self._with_box(self.table("nation").select(F.col("n_nationkey").alias("poly")))
         w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
 
         def corner(di: int, dj: int):
@@ -110,9 +111,9 @@ class Views:
 
     def label_polygon(self) -> DataFrame:
         """One slanted strip per region, the third one disputed."""
-        base = self.table("region").select(
+        base = self._with_box(self.table("region").select(
             F.when(F.col("r_regionkey") == 2, "DISPUTA").otherwise(F.col("r_name")).alias("label"), F.col("r_regionkey").alias("r")
-        ).withColumns(self._box())
+        ))
         w = F.col("x1") - F.col("x0")
 
         def corner(step: int, lean: float, y: str):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonetide.operators.ranking import quantiles
+from zonetide.operators.ranking import column_quantiles
 
 # Names that stand for one canonical column.
 ALIASES = {
@@ -91,8 +91,5 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], files_per_par
 def metadata_row(df: DataFrame, date: str, measures: Sequence[str], ps: dict[str, float]) -> DataFrame:
     """One row: row count, date range and quantiles of each measure."""
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
-    long = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], list(measures), "_c", "_x")
-    q = quantiles(long, "_x", ps, ["_c"])
-    return row.withColumns({
-        f"{m}_{name}": q.filter(F.col("_c") == m).select(name).scalar() for m in measures for name in ps
-    })
+    q = column_quantiles(df, {f"{m}_{name}": (m, p) for m in measures for name, p in ps.items()})
+    return row.withColumns(q)
