@@ -13,11 +13,16 @@ from zonetide.functions.stats import stability
 from zonetide.operators.ranking import keep_first
 
 
-def month_rollup(events: DataFrame, month: str, zone: str) -> DataFrame:
+def counted(weight: str | None) -> Column:
+    """Number of rows, or of the events that pre-counted rows stand for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def month_rollup(events: DataFrame, month: str, zone: str, weight: str | None = None) -> DataFrame:
     """Counts per (month, zone) and per month, from one scan."""
     return (
         events.rollup(month, zone)
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping(zone).cast("int").alias("is_total"))
+        .agg(counted(weight).alias("n"), F.grouping(zone).cast("int").alias("is_total"))
         .filter(F.col(month).isNotNull())
     )
 
@@ -50,9 +55,12 @@ def share_within(df: DataFrame, by: Sequence[str], value: str, out: str = "share
     return df.join(totals, list(by)).withColumn(out, ratio(F.col(value), F.col("_total"))).drop("_total")
 
 
-def seasonal_index(events: DataFrame, key: Sequence[str], part: str) -> DataFrame:
-    """Count per part over the mean count of the parts present, and its share."""
-    counts = events.groupBy(*key, part).agg(F.count(F.lit(1)).alias("n"))
+def seasonal_index(events: DataFrame, key: Sequence[str], part: str, weight: str | None = None) -> DataFrame:
+    """Count per part over the mean count of the parts present, and its share.
+
+    The windows run over a few parts per key, after the counting.
+    """
+    counts = events.groupBy(*key, part).agg(counted(weight).alias("n"))
     group = Window.partitionBy(*key)
     return counts.withColumn("index", ratio(F.col("n"), F.avg("n").over(group))).withColumn(
         "proportion", ratio(F.col("n"), F.sum("n").over(group))
@@ -69,9 +77,9 @@ def peak_frequency(peak: DataFrame, part: str) -> DataFrame:
     return share_within(counts, [], "zones", "_s").withColumn("pct", F.col("_s") * 100).drop("_s")
 
 
-def group_mode(df: DataFrame, by: Sequence[str], value: str, out: str = "top") -> DataFrame:
+def group_mode(df: DataFrame, by: Sequence[str], value: str, out: str = "top", weight: str | None = None) -> DataFrame:
     """Most frequent value per group, the smallest on ties."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(counted(weight).alias("_n"))
     return keep_first(counts, by, [F.col("_n").desc(), F.col(value)]).select(*by, F.col(value).alias(out))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonetide.functions.ladders import regional_alert
 from zonetide.functions.numbers import percent_change, ratio
-from zonetide.operators.aggregates import group_mode, share_within
+from zonetide.operators.aggregates import counted, group_mode, share_within
 from zonetide.operators.forecast import critical_override
 from zonetide.operators.ranking import by_custom_order, top_k, top_k_per_group
 from zonetide.operators.windows import window_compare
@@ -62,11 +62,11 @@ def recommendation_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(teams.alias("teams"), F.least(teams * 6, F.lit(40)).alias("impact"), F.avg("confidence").alias("confidence"))
 
 
-def risk_table(zones: DataFrame, predictions: DataFrame, events: DataFrame, extra: DataFrame, zone: str, kind: str, risk: str, region: str) -> DataFrame:
+def risk_table(zones: DataFrame, predictions: DataFrame, events: DataFrame, extra: DataFrame, zone: str, kind: str, risk: str, region: str, weight: str | None = None) -> DataFrame:
     """Prediction, alert class with critical override, dominant kind, counts of
     events and of exogenous events with a flag."""
-    counts = events.groupBy(zone).agg(F.count(F.lit(1)).alias("events"))
-    tops = group_mode(events, [zone], kind, "top_kind")
+    counts = events.groupBy(zone).agg(counted(weight).alias("events"))
+    tops = group_mode(events, [zone], kind, "top_kind", weight)
     more = extra.groupBy(zone).agg(F.count(F.lit(1)).alias("exogenous"))
     rows = (
         zones.join(predictions.select(zone, risk), zone, "left").join(counts, zone, "left").join(tops, zone, "left").join(more, zone, "left")
@@ -76,11 +76,11 @@ def risk_table(zones: DataFrame, predictions: DataFrame, events: DataFrame, extr
     return critical_override(rows, risk, "alert")
 
 
-def top_territories(events: DataFrame, region: str, zone: str, label: str, k: int = 10) -> DataFrame:
+def top_territories(events: DataFrame, region: str, zone: str, label: str, k: int = 10, weight: str | None = None) -> DataFrame:
     """The k zones with most events per region, with their dominant label."""
-    counts = events.groupBy(region, zone).agg(F.count(F.lit(1)).alias("events"))
+    counts = events.groupBy(region, zone).agg(counted(weight).alias("events"))
     best = top_k_per_group(counts, [region], [F.col("events").desc(), F.col(zone)], k)
-    return best.join(group_mode(events, [zone], label, "dominant"), zone, "left")
+    return best.join(group_mode(events, [zone], label, "dominant", weight), zone, "left")
 
 
 def presence(events: DataFrame, label: str, zone: str) -> DataFrame:

@@ -200,12 +200,13 @@ def trend_card(monthly: DataFrame, zone: str, month: str, value: str) -> DataFra
     })
 
 
-def share_shift(events: DataFrame, zone: str, part: str, recent: Column) -> DataFrame:
+def share_shift(events: DataFrame, zone: str, part: str, recent: Column, weight: str | None = None) -> DataFrame:
     """The part whose share grew most from the baseline to the recent rows.
 
     Ties go to the smaller part; zones lacking either period are left out.
     """
-    counts = events.groupBy(zone, part).agg(F.count_if(recent).alias("_r"), F.count_if(~recent).alias("_b"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    counts = events.groupBy(zone, part).agg(F.sum(F.when(recent, one).otherwise(0)).alias("_r"), F.sum(F.when(recent, 0).otherwise(one)).alias("_b"))
     sums = counts.groupBy(zone).agg(F.sum("_r").alias("_tr"), F.sum("_b").alias("_tb")).filter((F.col("_tr") > 0) & (F.col("_tb") > 0))
     shift = F.col("_r") / F.col("_tr") - F.col("_b") / F.col("_tb")
     cells = counts.join(sums, zone).withColumn("shift", F.round(shift, 12))

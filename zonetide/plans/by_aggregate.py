@@ -36,7 +36,7 @@ def _(v):
     ),
 )
 def _(v):
-    return agg.month_rollup(v.outcome_event().select(F.trunc("date", "month").alias("month"), "zone"), "month", "zone")
+    return agg.month_rollup(v.outcome_daily().select(F.trunc("date", "month").alias("month"), "zone", "n"), "month", "zone", weight="n")
 
 
 @query(

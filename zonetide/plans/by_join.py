@@ -227,9 +227,10 @@ def _(v):
     return a.intersect(v.table("supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("u2_difference", "SELECT n_nationkey AS zone FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+@query("u2_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(v):
-    return v.table("nation").select(F.col("n_nationkey").alias("zone")).subtract(v.table("supplier").filter("s_acctbal > 5000").select("s_nationkey"))
+    urgent = v.table("orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return v.table("customer").select(F.col("c_custkey").alias("id")).subtract(urgent)
 
 
 @query(

@@ -21,10 +21,8 @@ _ZD = "OVER (PARTITION BY zone ORDER BY date"
              "SELECT z.zone, c.date, coalesce(oz.n, 0) AS n FROM (SELECT DISTINCT zone FROM oz) z CROSS JOIN c LEFT JOIN oz ON oz.zone = z.zone AND oz.date = c.date"),
 )
 def _(v):
-    per = v.table("orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
-    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
-    counts = per.join(cust, "o_custkey").groupBy("zone", "date").agg(F.sum("_n").alias("n"))
-    return densify(counts, "zone", "date", ["n"])
+    low, high = panel.bounds(v.table("orders").select(F.to_date("o_orderdate").alias("date")))
+    return densify(v.order_days(), "zone", "date", ["n"], low, high)
 
 
 @query(
@@ -53,7 +51,7 @@ _MULTI = (
 
 @query("t4_multi_source_panel", with_sql("oe", f"SELECT zone, date, outcomes, returns, discounts, lag(returns, 1, 0) {_ZD}) AS returns_before FROM mp").replace(" SELECT zone, date, outcomes", ", " + _MULTI + "SELECT zone, date, outcomes", 1))
 def _(v):
-    a = panel.keyed_counts(v.outcome_event(), ["zone", "date"], "outcomes")
+    a = v.outcome_daily().withColumnRenamed("n", "outcomes")
     per = v.table("lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
         F.count_if(F.col("l_returnflag") == "R").alias("returns"), F.count_if(F.col("l_discount") > 0.05).alias("discounts")
     )
@@ -209,10 +207,8 @@ def _(v):
        "c AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT min(date) AS lo, max(date) AS hi FROM oz)) "
        "SELECT z.zone, CAST(date_trunc('month', c.date) AS DATE) AS month, round(avg(coalesce(oz.n, 0)), 6) AS mean FROM (SELECT DISTINCT zone FROM oz) z CROSS JOIN c LEFT JOIN oz ON oz.zone = z.zone AND oz.date = c.date GROUP BY 1, 2"))
 def _(v):
-    per = v.table("orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
-    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
-    counts = per.join(cust, "o_custkey").groupBy("zone", "date").agg(F.sum("_n").alias("n"))
-    return densify(counts, "zone", "date", ["n"]).groupBy("zone", F.trunc("date", "month").alias("month")).agg(F.avg("n").alias("mean"))
+    low, high = panel.bounds(v.table("orders").select(F.to_date("o_orderdate").alias("date")))
+    return densify(v.order_days(), "zone", "date", ["n"], low, high).groupBy("zone", F.trunc("date", "month").alias("month")).agg(F.avg("n").alias("mean"))
 
 
 @query("t16_network_timeline", with_sql("panel", "SELECT date, avg(n) AS n, avg(click) AS click FROM panel GROUP BY date ORDER BY date DESC LIMIT 10", "n click"))

@@ -111,9 +111,8 @@ def _(v):
     zones = v.zone_dim().select("zone", region.alias("region"))
     preds = v.table("supplier").groupBy(F.col("s_nationkey").alias("zone")).agg((F.avg("s_acctbal") / 50000).alias("risk"))
     extra = v.table("supplier").filter("s_acctbal < 1000").select(F.col("s_nationkey").alias("zone"))
-    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
-    events = v.table("orders").select("o_custkey", F.col("o_orderpriority").alias("kind")).join(cust, "o_custkey").select("zone", "kind")
-    return rules.risk_table(zones, preds, events, extra, "zone", "kind", "risk", "region")
+    events = v.order_counts("o_orderpriority").withColumnRenamed("label", "kind")
+    return rules.risk_table(zones, preds, events, extra, "zone", "kind", "risk", "region", weight="n")
 
 
 _OCR = "oc AS (SELECT z.region, z.zone, o_orderstatus AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN zd z ON z.zone = c_nationkey)"
@@ -125,13 +124,8 @@ _OCR = "oc AS (SELECT z.region, z.zone, o_orderstatus AS label FROM orders JOIN
              "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 3").replace(" SELECT t.region", ", " + _OCR + " SELECT t.region", 1),
 )
 def _(v):
-    return rules.top_territories(_orders_by_zone(v), "region", "zone", "label", 3)
-
-
-def _orders_by_zone(v):
-    cust = v.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
-    o = v.table("orders").select("o_custkey", F.col("o_orderstatus").alias("label"))
-    return o.join(cust, "o_custkey").join(v.zone_dim().select("zone", "region"), "zone").select("region", "zone", "label")
+    events = v.order_counts("o_orderstatus").join(v.zone_dim().select("zone", "region"), "zone")
+    return rules.top_territories(events, "region", "zone", "label", 3, weight="n")
 
 
 @query(

@@ -221,7 +221,7 @@ def _(v):
 )
 def _(v):
     e = graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly").withColumn("weight", F.lit(1))
-    counts = v.outcome_event().groupBy("zone").agg(F.count(F.lit(1)).alias("n")).withColumn("date", F.lit(0))
+    counts = v.outcome_daily().groupBy("zone").agg(F.sum("n").alias("n")).withColumn("date", F.lit(0))
     return graph.hop(counts, e, "zone", "date", ["n"]).drop("date")
 
 

@@ -90,7 +90,7 @@ def _(v):
 
 def _season(v, part):
     parts = {"month": F.month("date"), "weekday": F.weekday("date")}
-    return agg.seasonal_index(v.outcome_event().select("zone", parts[part].alias(part)), ["zone"], part)
+    return agg.seasonal_index(v.outcome_daily().select("zone", parts[part].alias(part), F.col("n").alias("w")), ["zone"], part, weight="w")
 
 
 @query("st7_month_index", with_sql("oe", "SELECT zone, CAST(month(date) AS INTEGER) AS month, count(*) AS n, count(*) / avg(count(*)) OVER (PARTITION BY zone) AS index, count(*) / sum(count(*)) OVER (PARTITION BY zone) AS proportion FROM oe GROUP BY zone, month(date)", "index proportion"))
@@ -211,8 +211,8 @@ def _(v):
     ),
 )
 def _(v):
-    e = v.outcome_event().select("zone", "date", F.weekday("date").alias("weekday"))
-    return study.share_shift(e, "zone", "weekday", F.year("date") >= 1999)
+    e = v.outcome_daily().withColumn("weekday", F.weekday("date"))
+    return study.share_shift(e, "zone", "weekday", F.year("date") >= 1999, weight="n")
 
 
 _FIT = "ft AS (SELECT zone, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, sqrt(greatest(var_pop(y) - regr_slope(y, x) * covar_pop(x, y), 0) / var_pop(x) / (count(*) - 2)) AS stderr FROM pm GROUP BY zone) "
@@ -317,6 +317,6 @@ def _(v):
 
 @query("st29_iso_weeks", with_sql("oe", "SELECT strftime(date, '%G-W%V') AS week, count(*) AS n FROM oe GROUP BY 1"))
 def _(v):
-    return v.outcome_event().groupBy(dates.iso_year_week("date").alias("week")).agg(F.count(F.lit(1)).alias("n"))
+    return v.outcome_daily().groupBy(dates.iso_year_week("date").alias("week")).agg(F.sum("n").alias("n"))
 
 

@@ -46,8 +46,7 @@ def _(v):
     with_sql("oe", "SELECT zone, date, n, CAST(sum(n) OVER (PARTITION BY zone ORDER BY date RANGE BETWEEN INTERVAL 179 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM (SELECT zone, date, count(*) AS n FROM oe GROUP BY 1, 2)"),
 )
 def _(v):
-    daily = v.outcome_event().groupBy("zone", "date").agg(F.count(F.lit(1)).alias("n"))
-    return windows.trailing_count(daily, "zone", "date", "n", 180, inclusive=True)
+    return windows.trailing_count(v.outcome_daily(), "zone", "date", "n", 180, inclusive=True)
 
 
 @query(
@@ -164,9 +163,9 @@ def _(v):
 
 @query("w19_equal_periods", with_sql("oe", "SELECT zone, CAST((date - (SELECT min(date) FROM oe)) // 30 AS BIGINT) AS period, count(*) AS n FROM oe GROUP BY 1, 2"))
 def _(v):
-    e = v.outcome_event()
-    first, _ = bounds(e)
-    return e.groupBy("zone", dates.period_index("date", first, 30).cast("bigint").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    e = v.outcome_daily()
+    first, _ = bounds(v.table("orders").filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("date")))
+    return e.groupBy("zone", dates.period_index("date", first, 30).cast("bigint").alias("period")).agg(F.sum("n").alias("n"))
 
 
 _DOSE = (
