@@ -140,7 +140,7 @@ def test_nearest_sites(spark):
     rng = np.random.default_rng(6)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (50, 2)))] + [(50, 170.0, 80.0)]
     sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (9, 2)))]
-    got = spatial.nearest_sites(spark.createDataFrame(pts, "p int, x double, y double"), spark.createDataFrame(sites, "s int, x double, y double"), "p", "s", "x", "y", 0.1)
+    got = spatial.nearest_sites(spark.createDataFrame(pts, "p int, x double, y double"), spark.createDataFrame(sites, "s int, x double, y double"), "p", "s", "x", "y")
     want = {p[0]: min((km((p[2], p[1]), (s[2], s[1])), s[0]) for s in sites)[1] for p in pts}
     assert {r.p: r.s for r in got.collect()} == want
 

@@ -40,7 +40,7 @@ def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -
     )
 
 
-def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int, start: float = 0.02) -> DataFrame:
+def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int) -> DataFrame:
     """Directed edges to the k nearest points (ties: smaller id), exactly.
 
     Points with equal coordinates are first folded into one site that keeps its
@@ -52,7 +52,8 @@ def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int, start
     kept = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
     sites = cut_lineage(kept.groupBy("_la", "_lo").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "sites")
     rest = sites.select(F.col("_la"), F.col("_lo"))
-    size, done = calm_cell_size(sites, "_lo", "_la", start), None
+    # a ring of nine cells at the mean spacing holds about nine sites
+    size, done = calm_cell_size(sites, "_lo", "_la"), None
     while True:
         whole = size > 180
         cell = (lambda c: F.lit(0).cast("bigint")) if whole else (lambda c, s=size: F.floor(c / F.lit(s)))

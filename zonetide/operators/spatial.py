@@ -22,16 +22,19 @@ def _cell(col: Column, size: float) -> Column:
     return F.floor(col / F.lit(float(size)))
 
 
-def calm_cell_size(points: DataFrame, x: str, y: str, start: float, most: int = 500) -> float:
-    """Halve a cell size until no cell holds more than ``most`` distinct places.
+def calm_cell_size(places: DataFrame, x: str, y: str, most: int = 500) -> float:
+    """A cell size at the mean spacing of the places, halved until no cell holds
+    more than ``most`` of them.
 
-    Each try is one small aggregation; copies of a place count once.
+    ``places`` are distinct; each try is one small aggregation.
     """
-    places = points.select(x, y).distinct()
-    size = float(start)
+    n, x0, x1, y0, y1 = places.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    if not n:
+        return 1.0
+    size = max(x1 - x0, y1 - y0, 1e-6) / max(n, 1) ** 0.5
     while size > 1e-6:
         cells = places.groupBy(_cell(F.col(x), size), _cell(F.col(y), size)).agg(F.count(F.lit(1)).alias("_n"))
-        if (cells.agg(F.max("_n")).first()[0] or 0) <= most:
+        if cells.agg(F.max("_n")).first()[0] <= most:
             break
         size /= 2
     return size
@@ -93,17 +96,19 @@ def points_in_polygons(
     return celled.join(cover, on, "left").drop("_cx", "_cy", "_px", "_py", "_edges")
 
 
-def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, x: str, y: str, start: float) -> DataFrame:
+def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, x: str, y: str) -> DataFrame:
     """The nearest site of each point by great-circle distance (ties: smaller id).
 
     Rings of cells widen only for points not settled yet: within a ring of cells
     ``size`` degrees wide every site closer than the ring's inner reach has been
     seen, so a found distance below that reach is final.
     """
-    sites = sites.select(F.col(site_id), F.col(x).alias("_sx"), F.col(y).alias("_sy"))
+    sites = sites.groupBy(F.col(x).alias("_sx"), F.col(y).alias("_sy")).agg(F.min(site_id).alias(site_id))
+    # read by every round
+    sites = cut_lineage(sites, "sites")
     rest = points.select(point_id, x, y)
     done: DataFrame | None = None
-    size = calm_cell_size(sites, "_sx", "_sy", start)
+    size = calm_cell_size(sites, "_sx", "_sy")
     while True:
         whole = size > 180
         if whole:

@@ -181,7 +181,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "cor": (("box",), "cor AS (SELECT poly, pos, x0 + (x1 - x0) * i / 5.0 + ((x1 - x0) / 5.0) * 0.15 * sin(i * 7 + j * 3) AS x, y0 + (y1 - y0) * j / 5.0 + ((y1 - y0) / 5.0) * 0.15 * cos(i * 3 + j * 7) AS y FROM box, (SELECT n_nationkey AS poly, c.pos, n_nationkey % 5 + c.di AS i, n_nationkey // 5 + c.dj AS j FROM nation, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) c(pos, di, dj)))"),
     "edge": (("cor",), "edge AS (SELECT a.poly, a.pos, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cor a JOIN cor b ON a.poly = b.poly AND b.pos = (a.pos + 1) % 4)"),
     "pip": (("pt", "edge"), "pip AS (SELECT pt.id, e.poly FROM pt, edge e GROUP BY pt.id, e.poly HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)"),
-    "cen": (("edge",), "cen AS (SELECT poly, any_value(bx) + sum((x1 + x2 - 2 * bx) * w) / (3 * sum(w)) AS x, any_value(by) + sum((y1 + y2 - 2 * by) * w) / (3 * sum(w)) AS y FROM (SELECT e.*, c.x AS bx, c.y AS by, (x1 - c.x) * (y2 - c.y) - (x2 - c.x) * (y1 - c.y) AS w FROM edge e JOIN cor c ON c.poly = e.poly AND c.pos = 0) GROUP BY poly)"),
+    "cen": (("edge",), "cen AS (SELECT poly, any_value(gx) + sum((x1 + x2 - 2 * gx) * w) / (3 * sum(w)) AS x, any_value(gy) + sum((y1 + y2 - 2 * gy) * w) / (3 * sum(w)) AS y FROM (SELECT e.*, c.x AS gx, c.y AS gy, (x1 - c.x) * (y2 - c.y) - (x2 - c.x) * (y1 - c.y) AS w FROM edge e JOIN cor c ON c.poly = e.poly AND c.pos = 0) GROUP BY poly)"),
     "snap": (("ev",), "snap AS (SELECT zone, date, kind AS label FROM (SELECT zone, d.date, kind, row_number() OVER (PARTITION BY zone, d.date ORDER BY count(*) DESC, kind) AS rn FROM ev JOIN (VALUES (DATE '2024-01-10'), (DATE '2024-01-20'), (DATE '2024-01-30')) d(date) ON ev.date <= d.date GROUP BY zone, d.date, kind) WHERE rn = 1)"),
     "lset": (("ev",), "lset AS (SELECT zone, DATE '2024-01-01' + CAST(((date - DATE '2024-01-01') // 5) * 5 AS INTEGER) AS date, list_sort(list(DISTINCT kind)) AS labels FROM ev GROUP BY 1, 2)"),
     "chg": (("lset",), "chg AS (SELECT zone, date, old, labels FROM (SELECT zone, date, labels, lag(labels) OVER (PARTITION BY zone ORDER BY date) AS old FROM lset) WHERE old IS NOT NULL AND old <> labels)"),
