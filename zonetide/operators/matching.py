@@ -20,20 +20,23 @@ def _ratio_udf(names: Sequence[str]):
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())]))
     def best(raw: pd.Series) -> pd.DataFrame:
-        scores, picks = [], []
-        for text in raw:
+        # a matcher indexes its second text once and is reused for every raw name
+        matchers = [(name, difflib.SequenceMatcher(None, "", name)) for name in listed]
+
+        def pick(text: str) -> tuple[float, str | None]:
             if text in known:
-                scores.append(1.0)
-                picks.append(text)
-                continue
-            top, pick = -1.0, None
-            for name in listed:
-                score = difflib.SequenceMatcher(None, text, name).ratio()
-                if score > top:
-                    top, pick = score, name
-            scores.append(top)
-            picks.append(pick)
-        return pd.DataFrame({"score": scores, "name": picks})
+                return 1.0, text
+            top, winner = -1.0, None
+            for name, matcher in matchers:
+                matcher.set_seq1(text)
+                # both are upper bounds of the ratio
+                if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
+                    score = matcher.ratio()
+                    if score > top:
+                        top, winner = score, name
+            return top, winner
+
+        return pd.DataFrame([pick(text) for text in raw], columns=["score", "name"])
 
     return best
 

@@ -160,17 +160,14 @@ def standardise(panel: DataFrame, train: DataFrame, columns: Sequence[str], eps:
     return panel.withColumns({f"{c}_std": (F.col(c) - stats[f"{c}_m"]) / (stats[f"{c}_s"] + eps) for c in columns})
 
 
-def array_export(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunk: Column | None = None) -> DataFrame:
-    """Rows of one key as a sorted array of structs.
+def array_export(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows of one key as sorted arrays of structs.
 
-    ``chunk`` splits a key whose array would not fit one task; consumers read
-    the chunks of a key in order.
+    ``chunk`` bounds the length of an array, e.g. a range of zone ids; consumers
+    read the chunks of a key in order.
     """
-    names = list(keys)
-    if chunk is not None:
-        panel = panel.withColumn("chunk", chunk)
-        names.append("chunk")
-    return panel.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("cells"))
+    cells = F.array_sort(F.collect_list(F.struct(order, *values))).alias("cells")
+    return panel.groupBy(*keys, chunk.alias("chunk")).agg(cells)
 
 
 def feature_columns(columns: Sequence[str], kinds: Sequence[str]) -> list[str]:

@@ -1,9 +1,9 @@
 """Ranks, exact quantiles, top-k and set operations that survive skew.
 
 Ranks and quantiles over many rows go through :func:`cumulative_counts`: equal
-values are collapsed by a partial aggregation, the distinct values are cut into
-buckets of similar size, and only bucket totals are summed across tasks.  No
-task ever sorts a whole group.
+values are collapsed by a partial aggregation, the distinct values are
+range-partitioned, and only partition totals are summed across tasks.  No task
+ever sorts a whole group.
 """
 
 from __future__ import annotations
@@ -17,39 +17,38 @@ from pyspark.sql.window import Window
 from zonetide.session import cut_lineage
 
 
+def _ranged(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Rows in range partitions with the partition number as ``_p``.
+
+    The table is written once: partition numbers carry offsets and must not
+    change when a task is repeated, and every later step reads this table
+    instead of the source.
+    """
+    return cut_lineage(df.repartitionByRange(*columns).withColumn("_p", F.spark_partition_id()), name)
+
+
 def cumulative_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, value, _n, _before, _total): rows below each distinct value.
 
     ``_before`` counts rows of the group with a smaller value, ``_total`` all
     rows of the group.  Null values are left out.
     """
-    spark = df.sparkSession
     by = list(by)
-    # written once: the cut points, the totals and the order all read this table,
-    # and the source behind it is scanned a single time
-    distinct = cut_lineage(
-        df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counts"
-    )
-    # cut points only balance the buckets; any points give the same ranks, so an
-    # approximate percentile of bounded size is enough
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 256)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = distinct.agg(F.percentile_approx(F.col("_v").cast("double"), shares, 1000)).first()[0] if shares else []
-    cuts = sorted(set(cuts or []))
-    points = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    bucketed = distinct.withColumn("_b", F.size(F.filter(points, lambda p: p < F.col("_v").cast("double"))))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = _ranged(distinct, [*by, "_v"], "counts")
+    # one row per partition and group
     group = by or [F.lit(1)]
-    across = Window.partitionBy(*group).orderBy("_b")
+    across = Window.partitionBy(*group).orderBy("_p")
     totals = (
-        bucketed.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
+        ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_m"))
         .withColumn("_below", F.coalesce(F.sum("_m").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_m").over(Window.partitionBy(*group)))
         .drop("_m")
     )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        bucketed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(totals, by + ["_b"])
+        ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(totals, by + ["_p"])
         .select(*by, F.col("_v").alias(value), "_n", (F.col("_below") + F.col("_in")).alias("_before"), "_total")
     )
 
@@ -121,20 +120,10 @@ def scalar_quantile(df: DataFrame, value: str, p: float) -> Column:
 
 
 def dense_ids(df: DataFrame, name: str, out: str = "id") -> DataFrame:
-    """0..N-1 by sorted name over the distinct names, in parallel.
-
-    Names are range-partitioned once and written, so the partition numbers that
-    carry the offsets cannot change when a task is repeated.
-    """
-    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256)
-    ranged = cut_lineage(
-        df.select(name).filter(F.col(name).isNotNull()).distinct()
-        .repartitionByRange(parts, name).withColumn("_p", F.spark_partition_id()),
-        "ids",
-    )
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_m"))
+    """0..N-1 by sorted name over the distinct names, in parallel."""
+    ranged = _ranged(df.select(name).filter(F.col(name).isNotNull()).distinct(), [name], "ids")
     across = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_m").over(across), F.lit(0)).alias("_o"))
+    offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_m")).select("_p", F.coalesce(F.sum("_m").over(across), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_p").orderBy(name)
     return (
         ranged.withColumn("_r", F.row_number().over(inside)).join(offsets, "_p")

@@ -28,13 +28,14 @@ def recommendations(predictions: DataFrame, events: DataFrame, zone: str, date:
     """Action, priority, team delta and confidence of the riskiest zones."""
     days = F.datediff(end, start)
     d = F.col(date)
-    recent = events.filter(d.between(F.date_sub(start, days), end)).groupBy(zone).agg(
+    picked = top_k(predictions.select(zone, risk), [F.col(risk).desc(), F.col(zone)], top)
+    window = events.filter(d.between(F.date_sub(start, days), end)).join(picked.select(zone), zone, "left_semi")
+    recent = window.groupBy(zone).agg(
         F.count_if(outcome & (d >= start)).alias("outcomes"),
         F.count_if(outcome).alias("outcomes_history"),
         F.count_if(d >= start).alias("events"),
         F.count_if(d < start).alias("events_before"),
     )
-    picked = top_k(predictions.select(zone, risk), [F.col(risk).desc(), F.col(zone)], top)
     rows = picked.join(recent, zone, "left").na.fill(0, subset=["outcomes", "outcomes_history", "events", "events_before"])
     trend = percent_change(F.col("events"), F.col("events_before"), "hundred")
     rows = rows.withColumn("trend", trend)

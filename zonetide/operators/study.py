@@ -183,9 +183,11 @@ def divergences(pairs: DataFrame, zone: str, month: str, treatment: str, outcome
 def trend_card(monthly: DataFrame, zone: str, month: str, value: str) -> DataFrame:
     """Latest month with its change to the previous month and the same month a
     year before, and the totals of the last two years."""
-    latest = monthly.groupBy(zone).agg(F.max(month).alias("latest_month"))
+    # a zone has one row per month: one shuffle serves the window and the group
+    latest = monthly.withColumn("latest_month", F.max(month).over(Window.partitionBy(zone)))
     year = F.year("latest_month")
-    card = latest.join(monthly, zone).groupBy(zone, "latest_month").agg(
+    card = latest.groupBy(zone).agg(
+        F.max("latest_month").alias("latest_month"),
         F.sum(F.when(F.col(month) == F.col("latest_month"), F.col(value))).alias("latest"),
         F.coalesce(F.sum(F.when(F.col(month) == F.add_months("latest_month", -1), F.col(value))), F.lit(0)).alias("prev_month"),
         F.sum(F.when(F.col(month) == F.add_months("latest_month", -12), F.col(value))).alias("prev_year_month"),

@@ -36,4 +36,6 @@ def query(name: str, sql: str | None = None):
 
 
 def run(name: str, spark, sf_dir: str) -> DataFrame:
+    # the tables carry times without zone; days must not depend on the machine
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return rounded(REGISTRY[name][0](Views(spark, sf_dir)))
