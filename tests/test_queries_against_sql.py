@@ -2,7 +2,8 @@
 
 import pytest
 
-from zonetide.plans.catalog import REGISTRY
+from zonetide.plans.audit import audit
+from zonetide.plans.catalog import REGISTRY, run
 from zonetide.plans.check import compare, duck
 
 
@@ -13,6 +14,12 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(name, spark, sf_dir, con):
-    status, note = compare(name, spark, sf_dir, con)
+    df = run(name, spark, sf_dir)
+    assert audit(df)["nested_loop"] == 0
+    status, note = compare(name, df, con)
     # a threshold may leave nothing on the smallest tables; both sides agree then
     assert status in ("ok", "rows") or note == "no rows", note
+
+
+def test_names_are_operator_ids():
+    assert all(name.split("_")[0].isalnum() for name in REGISTRY)

@@ -16,7 +16,6 @@ from zonetide.session import local_session
 PATTERNS = {
     "exchanges": r"Exchange (?:hash|range)",
     "single": r"Exchange SinglePartition",
-    "windows_on_one_task": r"Window \[.*?\](?:, \[\d+ ASC|, \[[a-z_]+#\d+L? (?:ASC|DESC)[^\]]*\]$)",
     "smj": r"SortMergeJoin",
     "bhj": r"BroadcastHashJoin",
     "nested_loop": r"BroadcastNestedLoopJoin|CartesianProduct",

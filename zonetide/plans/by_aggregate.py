@@ -43,8 +43,8 @@ def _(v):
     "g4_season_counts",
     with_sql(
         "ev",
-        "SELECT zone, 'month' AS part, strftime(date, '%Y-%m') AS month, NULL AS weekday, NULL AS hour, count(*) AS n FROM ev GROUP BY ALL "
-        "UNION ALL SELECT zone, 'weekday', NULL, isodow(date) - 1, NULL, count(*) FROM ev GROUP BY ALL "
+        "SELECT zone, 'month' AS part, strftime(date, '%Y-%m') AS month, CAST(NULL AS INTEGER) AS weekday, CAST(NULL AS INTEGER) AS hour, count(*) AS n FROM ev GROUP BY ALL "
+        "UNION ALL SELECT zone, 'weekday', NULL, CAST(isodow(date) - 1 AS INTEGER), NULL, count(*) FROM ev GROUP BY ALL "
         "UNION ALL SELECT zone, 'hour', NULL, NULL, hour, count(*) FROM ev GROUP BY ALL",
     ),
 )

@@ -304,7 +304,7 @@ def _(v):
 
 @query(
     "p24_event_weights",
-    with_sql("ev", "SELECT event_id, CASE kind WHEN 'purchase' THEN 3.0 WHEN 'error' THEN 2.0 ELSE 1.0 END AS weight FROM ev WHERE date >= (SELECT max(date) FROM ev) - 10"),
+    with_sql("ev", "SELECT event_id, CAST(CASE kind WHEN 'purchase' THEN 3 WHEN 'error' THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM ev WHERE date >= (SELECT max(date) FROM ev) - 10"),
 )
 def _(v):
     e = v.event()

@@ -11,10 +11,13 @@ import traceback
 
 import duckdb
 import pandas as pd
+from pyspark.sql import DataFrame
 
 from zonetide.plans.catalog import REGISTRY, run
 from zonetide.session import local_session
 
+# Column types that must agree exactly.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -26,12 +29,6 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def family(kind: str) -> str:
-    if kind in ("int8", "int16", "int32", "int64", "Int32", "Int64"):
-        return "int"
-    return "float" if kind.startswith("float") else kind
-
-
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
@@ -47,25 +44,26 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
 
 
-def compare(name: str, spark, sf_dir: str, con) -> tuple[str, str]:
-    got = run(name, spark, sf_dir).toPandas()
+def compare(name: str, df: DataFrame, con) -> tuple[str, str]:
+    """Status and note of one query's result against its SQL."""
+    got = df.toPandas()
     sql = REGISTRY[name][1]
     if sql is None:
         return "rows", f"{len(got)} rows"
-    want = con.execute(sql).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return "FAIL", f"columns {sorted(got.columns)} / {sorted(want.columns)}"
+    result = con.sql(sql)
+    kinds = dict(zip(result.columns, map(str, result.types), strict=True))
+    mine = {c: TYPES.get(t, t) for c, t in df.dtypes}
+    if kinds != mine:
+        return "FAIL", f"schema {sorted(set(mine.items()) ^ set(kinds.items()))}"
+    want = result.df()
     if len(got) != len(want):
         return "FAIL", f"rows {len(got)} / {len(want)}"
     if not len(got):
         return "FAIL", "no rows"
     # integers that meet nulls become floats on one side only
-    for c in got.columns:
-        a, b = family(str(got[c].dtype)), family(str(want[c].dtype))
-        if {a, b} == {"int", "float"}:
+    for c, t in mine.items():
+        if t in ("BIGINT", "INTEGER") and (got[c].isna().any() or want[c].isna().any()):
             got[c], want[c] = got[c].astype("float64"), want[c].astype("float64")
-            if not (got[c].isna().any() or want[c].isna().any()):
-                return "FAIL", f"type of {c}: {a} / {b}"
     a, b = canonical(got), canonical(want)
     if a == b:
         return "ok", f"{len(got)} rows"
@@ -82,7 +80,7 @@ def main(argv: list[str]) -> int:
             continue
         start = time.time()
         try:
-            status, note = compare(name, spark, sf_dir, con)
+            status, note = compare(name, run(name, spark, sf_dir), con)
         except Exception as error:  # noqa: BLE001 - report and go on
             status, note = "ERROR", str(error).split("\n")[0][:600]
             if len(prefixes) == 1:
