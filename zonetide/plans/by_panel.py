@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonetide.functions import dates
-from zonetide.operators import graph, panel, spatial, windows
+from zonetide.operators import consolidate, graph, panel, spatial, windows
 from zonetide.operators.panel import densify
 from zonetide.operators.ranking import top_k
 from zonetide.plans.registry import query
@@ -71,21 +70,29 @@ def _(v):
     return scaled.join(static, "zone").select("zone", "date", "n", "is_busy", "click_norm", F.weekday("date").alias("weekday"))
 
 
+_STATIONS = (
+    "near AS (SELECT a.id, arg_min(b.poly, (2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians(b.y - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.lon) / 2), 2)))), b.poly)) AS poly FROM pt a CROSS JOIN cen b GROUP BY a.id), "
+    "st AS (SELECT n.id, coalesce(pip.poly, n.poly) AS zone FROM near n LEFT JOIN pip ON pip.id = n.id), "
+    "rd AS (SELECT st.zone, e.date, avg(sqrt(e.amount)) AS rain, avg(e.hour) AS temp FROM ev e JOIN st ON st.id = e.zone GROUP BY 1, 2) "
+)
+
+
 @query(
     "t6_station_aggregate",
     with_sql(
-        "pip",
-        "SELECT p.poly AS zone, e.date, avg(e.n) AS rain, avg(p.id) AS temp, CASE WHEN strftime(e.date, '%m-%d') IN ('01-01','05-01','09-07','10-12','11-02','11-15','12-25') THEN 1 ELSE 0 END AS holiday "
-        "FROM pip p JOIN (SELECT user_id AS id, CAST(ts AS DATE) AS date, sqrt(avg(value)) AS n FROM events GROUP BY 1, 2) e ON e.id = p.id GROUP BY 1, 2",
+        "pip cen cal ev",
+        "SELECT z.n_nationkey AS zone, c.date, coalesce(rain, 0) AS rain, coalesce(temp, 0) AS temp, CASE WHEN strftime(c.date, '%m-%d') IN ('01-01','05-01','09-07','10-12','11-02','11-15','12-25') THEN 1 ELSE 0 END AS holiday "
+        "FROM nation z CROSS JOIN cal c LEFT JOIN rd ON rd.zone = z.n_nationkey AND rd.date = c.date",
         "rain temp",
-    ),
+    ).replace(" SELECT * REPLACE", ", " + _STATIONS + "SELECT * REPLACE", 1),
 )
 def _(v):
-    # stations are points; their readings are the daily mean values of one id
-    readings = v.event().groupBy(F.col("zone").alias("id"), "date").agg(F.sqrt(F.avg("amount")).alias("n"))
-    seats = spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", 0.05).select("id", F.col("poly").alias("zone"))
-    means = readings.join(seats, "id").groupBy("zone", "date").agg(F.avg("n").alias("rain"), F.avg("id").alias("temp"))
-    return means.withColumn("holiday", dates.is_fixed_holiday("date"))
+    # stations are the points; a station's readings are the events of one id
+    readings = v.event().select(F.col("zone").alias("id"), "date", F.sqrt("amount").alias("rain"), F.col("hour").alias("temp"))
+    low, high = panel.bounds(v.event().select("date"))
+    days = F.explode(F.sequence(low, high, F.expr("INTERVAL 1 DAY")))
+    grid = v.table("nation").select(F.col("n_nationkey").alias("zone")).withColumn("date", days)
+    return consolidate.station_planes(grid, readings, v.point(), v.polygon(), ["rain", "temp"])
 
 
 @query("t7_feature_selection", with_sql("panel", f"SELECT zone, date, n_norm, CAST(lag(n, 1, 0) {_ZD}) AS DOUBLE) AS n_lag1, avg(n) {_ZD} ROWS 6 PRECEDING) AS n_ma7 FROM (SELECT *, n / (SELECT max(n) FROM panel) AS n_norm FROM panel)", "n_norm n_ma7"))

@@ -33,12 +33,7 @@ def _(v):
     ),
 )
 def _(v):
-    pts, polys = v.point(), v.polygon()
-    hits = spatial.points_in_polygons(pts, polys, "poly", "ring", "lon", "lat", CELL, how="left")
-    lost = hits.filter(F.col("poly").isNull()).select("id", "lon", "lat")
-    seats = spatial.centroids(polys, "poly", "ring").select("poly", F.col("x").alias("lon"), F.col("y").alias("lat"))
-    near = spatial.nearest_sites(lost, seats, "id", "poly", "lon", "lat").select("id", "poly", F.lit(True).alias("fallback"))
-    return hits.filter(F.col("poly").isNotNull()).select("id", "poly", F.lit(False).alias("fallback")).unionByName(near)
+    return spatial.assign_zones(v.point(), v.polygon(), "id", "poly", "ring", "lon", "lat")
 
 
 @query("x2_nearest_site", with_sql("pt cen", f"SELECT id, poly, km FROM (SELECT a.id, b.poly, {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')} AS km, row_number() OVER (PARTITION BY a.id ORDER BY {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')}, b.poly) AS rn FROM pt a CROSS JOIN cen b) WHERE rn = 1", "km"))

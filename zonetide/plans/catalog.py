@@ -13,6 +13,7 @@ from zonetide.plans import by_study  # noqa: F401
 from zonetide.plans import by_forecast  # noqa: F401
 from zonetide.plans import by_rule  # noqa: F401
 from zonetide.plans import by_stream  # noqa: F401
+from zonetide.plans import by_flow  # noqa: F401
 from zonetide.plans.registry import REGISTRY, run
 
 __all__ = ["REGISTRY", "run"]
