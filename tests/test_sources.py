@@ -27,6 +27,14 @@ def test_wrapped_layouts(spark, tmp_path, doc):
     assert sorted(map(tuple, got.collect())) == [("1", "a"), ("2", "b")]
 
 
+@pytest.mark.parametrize("wrap", [lambda rows: [{"type": "header"}, {"type": "table", "name": "t", "data": rows}], lambda rows: {"data": rows}, lambda rows: rows])
+def test_row_fields_named_like_the_wrapper(spark, tmp_path, wrap):
+    rows = [{"Data": "2024-01-01", "Natureza": "A", "type": "x"}, {"Data": "2024-01-02", "Natureza": None, "type": "y"}]
+    (tmp_path / "doc.json").write_text(json.dumps(wrap(rows)))
+    got = wrapped.read_wrapped_json(spark, str(tmp_path), ["Data", "Natureza", "type"])
+    assert sorted(map(str, got.collect())) == sorted(str(T.Row(**r)) for r in rows)
+
+
 def test_wrapped_named_table(spark, tmp_path):
     doc = [{"type": "table", "name": "t", "data": ROWS}, {"type": "table", "name": "u", "data": [{"id": "9", "x": "z"}]}]
     (tmp_path / "doc.json").write_text(json.dumps(doc))

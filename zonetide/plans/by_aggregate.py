@@ -165,7 +165,7 @@ _LONG = "(" + " UNION ALL ".join(f"SELECT zone, '{c}' AS feature, CAST({c} AS DO
     ),
 )
 def _(v):
-    long = long_form(v.panel(), ["zone"], ["n", "click", "view", "purchase"])
+    long = long_form(v.panel_table(), ["zone"], ["n", "click", "view", "purchase"])
     x = F.col("value")
     # zones first: the final step then works on one row per zone and feature
     stats = long.groupBy("feature").agg(

@@ -220,7 +220,7 @@ _CAP = "least(greatest({c} / (SELECT quantile_cont({c}, 0.99) FROM panel), 0), 1
 
 @query("p16_cap_scale", with_sql("panel", f"SELECT zone, date, {_CAP.format(c='click')} AS click_norm, {_CAP.format(c='view')} AS view_norm FROM panel", "click_norm view_norm"))
 def _(v):
-    p = v.panel()
+    p = v.panel_table()
     caps = column_quantiles(p, {c: (c, 0.99) for c in ("click", "view")})
     return p.select("zone", "date", *[numbers.cap_scale(F.col(c), cap).alias(c + "_norm") for c, cap in caps.items()])
 
@@ -230,7 +230,7 @@ def _(v):
     with_sql("panel", f"SELECT zone, date, least(greatest({_CAP.format(c='n')} * 0.4 + {_CAP.format(c='click')} * 0.3 + {_CAP.format(c='view')} * 0.3, 0), 1) AS intensity FROM panel", "intensity"),
 )
 def _(v):
-    p = v.panel()
+    p = v.panel_table()
     caps = column_quantiles(p, {c: (c, 0.99) for c in ("n", "click", "view")})
     scaled = [numbers.cap_scale(F.col(c), cap) for c, cap in caps.items()]
     return p.select("zone", "date", numbers.intensity(*scaled).alias("intensity"))

@@ -271,7 +271,7 @@ def _bonus(f: str) -> str:
     with_sql("panel", f"SELECT mean_score, bonus, least(mean_score + bonus, 100) AS score FROM (SELECT ({_fs('n')} + {_fs('click')} + {_fs('purchase')}) / 3 AS mean_score, {_bonus('click')} + {_bonus('purchase')} AS bonus)", "mean_score bonus score"),
 )
 def _(v):
-    return study.viability_b(v.panel(), "zone", "date", ["n", "click", "purchase"], "n")
+    return study.viability_b(v.panel_table(), "zone", "date", ["n", "click", "purchase"], "n")
 
 
 _CL = f"(SELECT zone, n, r, CASE WHEN r < -0.3 THEN 'Eficaz' WHEN r > 0.3 THEN 'Ineficaz' ELSE 'Neutro' END AS class FROM (SELECT zone, count(*) AS n, {_CORR} AS r FROM pm GROUP BY zone) WHERE r IS NOT NULL)"

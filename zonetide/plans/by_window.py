@@ -54,7 +54,7 @@ def _(v):
     with_sql("panel", "SELECT zone, date, (rank() OVER (PARTITION BY date ORDER BY n) + (count(*) OVER (PARTITION BY date, n) - 1) / 2) / count(*) OVER (PARTITION BY date) AS pct FROM panel", "pct"),
 )
 def _(v):
-    return windows.percent_rank_per_day(v.panel().select("zone", "date", "n"), "date", "n").drop("n")
+    return windows.percent_rank_per_day(v.panel_table().select("zone", "date", "n"), "date", "n").drop("n")
 
 
 @query(
@@ -67,7 +67,7 @@ def _(v):
     ),
 )
 def _(v):
-    return windows.quartile_scale_per_day(v.panel().select("zone", "date", "click"), "date", "click").drop("click")
+    return windows.quartile_scale_per_day(v.panel_table().select("zone", "date", "click"), "date", "click").drop("click")
 
 
 @query("w7_capped_rate", with_sql("panel", f"SELECT zone, date, least(1, coalesce(sum(n) {_ZD} ROWS BETWEEN 18 PRECEDING AND 1 PRECEDING), 0) / 18) AS rate FROM panel", "rate"))

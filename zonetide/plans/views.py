@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from zonetide.operators.panel import densify
 from zonetide.operators.ranking import keep_first
 from zonetide.operators.windows import label_changes
+from zonetide.session import cut_lineage
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 AMOUNTS = ["click", "view", "purchase"]
@@ -69,6 +70,10 @@ class Views:
         )
         return per.join(self.customer_zone(), "o_custkey").groupBy("zone", "date").agg(F.sum("_n").alias("n"))
 
+    def panel_table(self) -> DataFrame:
+        """The panel written once, for plans that read it several times."""
+        return cut_lineage(self.panel(), "panel")
+
     def customer_zone(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
 

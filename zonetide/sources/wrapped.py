@@ -30,22 +30,29 @@ def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], tab
     row = _row_schema(fields)
     outer = [T.StructField("type", T.StringType()), T.StructField("name", T.StringType())]
     outer += [T.StructField(k, T.ArrayType(row)) for k in ROW_KEYS]
-    known = {f.name for f in outer}
-    outer += [f for f in row.fields if f.name not in known]
-    docs = spark.read.schema(T.StructType(outer)).option("multiLine", multi_line).json(path)
-    wrapped = docs
+    taken = {f.name for f in outer}
+    # row fields such as "Data" differ from a wrapper key by case at most
+    clash = [f for f in fields if f.lower() in taken]
+    if not clash:
+        outer += row.fields
+    reader = spark.read.option("multiLine", multi_line)
+    docs = reader.schema(T.StructType(outer)).json(path)
     if table is not None:
-        wrapped = docs.filter((F.col("type") == "table") & (F.col("name") == table))
-    inner = wrapped.select(F.explode(F.coalesce(*[F.col(k) for k in ROW_KEYS])).alias("r")).select("r.*")
+        docs = docs.filter((F.col("type") == "table") & (F.col("name") == table))
+    inner = docs.select(F.explode(F.coalesce(*[F.col(k) for k in ROW_KEYS])).alias("r")).select("r.*")
     if table is not None:
         return inner
-    nothing = F.lit(True)
-    for k in ROW_KEYS + ["type"]:
-        if k not in fields:
-            nothing = nothing & F.col(k).isNull()
-    some = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()
-    bare = docs.filter(nothing & some).select(*fields)
-    return inner.unionByName(bare)
+    if clash:
+        # a wrapper read as a row shows its array, or its type, in the field
+        rows = reader.schema(row).json(path)
+        wrapper = F.lit(False)
+        for f in clash:
+            wrapper = wrapper | F.coalesce(F.col(f).startswith("[") | ((F.lit(f) == "type") & F.col(f).isin("header", "database", "table")), F.lit(False))
+        bare = rows.filter(~wrapper)
+    else:
+        bare = docs.filter(F.coalesce(F.col("type"), *[F.col(k).cast("string") for k in ROW_KEYS]).isNull())
+    some = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
+    return inner.unionByName(bare.filter(some).select(*fields))
 
 
 def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document: int = 10_000) -> None:
