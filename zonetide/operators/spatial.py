@@ -140,7 +140,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
 def assign_zones(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str) -> DataFrame:
     """(point_id, poly_id, fallback): the polygon around each point, else the one
     with the nearest centroid."""
-    hits = points_in_polygons(points.select(point_id, x, y), polygons, poly_id, ring, x, y, how="left")
+    hits = cut_lineage(points_in_polygons(points.select(point_id, x, y), polygons, poly_id, ring, x, y, how="left"), "hits")
     inside = hits.filter(F.col(poly_id).isNotNull()).select(point_id, poly_id, F.lit(False).alias("fallback"))
     lost = hits.filter(F.col(poly_id).isNull()).select(point_id, x, y)
     seats = centroids(polygons, poly_id, ring).select(poly_id, F.col("x").alias(x), F.col("y").alias(y))

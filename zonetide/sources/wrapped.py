@@ -6,8 +6,10 @@ Layouts: ``[{type: header}, {type: table, name, data: [...]}]``, an object with
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,17 +60,19 @@ def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], tab
 def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document: int = 10_000) -> None:
     """Header plus table documents of bounded size, one document per line.
 
-    Rows are numbered inside their partition, so a document holds at most
-    ``rows_per_document`` rows and none gathers the whole table.
+    Each task packs its own rows batch by batch: nothing is shuffled and no
+    document gathers more than ``rows_per_document`` rows.
     """
-    row_id = F.monotonically_increasing_id()
-    block = df.withColumn("_doc", F.floor(row_id / rows_per_document))
-    text = F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    docs = block.groupBy("_doc").agg(F.collect_list(text).alias("data"))
-    header = F.struct(F.lit("header").alias("type"), F.lit(table).alias("name"))
-    body = F.struct(F.lit("table").alias("type"), F.lit(table).alias("name"), F.col("data"))
-    line = F.concat(F.lit("["), F.to_json(header), F.lit(","), F.to_json(body), F.lit("]"))
-    docs.select(line.alias("value")).write.text(path)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), rows_per_document):
+                rows = batch.iloc[start : start + rows_per_document].to_dict("records")
+                document = [{"type": "header", "name": table}, {"type": "table", "name": table, "data": rows}]
+                yield pd.DataFrame({"value": [json.dumps(document, ensure_ascii=False)]})
+
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    text.mapInPandas(pack, "value string").write.text(path)
 
 
 def read_json_folder(spark: SparkSession, paths: dict[str, str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
