@@ -84,7 +84,9 @@ def test_tally_nested_keys(spark):
 def test_alias_order(spark):
     df = spark.createDataFrame([(None, 2.0, 3.0)], "Latitude double, lat_geo double, LNG double")
     assert tuple(files.rename_aliases(df).first()) == (2.0, 3.0)
-    assert files.detect_columns(["id", "geo_lat", "lng", "dt_data"]) == {"lat": "geo_lat", "lon": "lng", "date": "dt_data", "name": "id"}
+    assert files.detect_columns(["id", "geo_lat", "lng", "dt_data"]) == {"lat": "geo_lat", "lon": "lng", "date": "dt_data", "name": "id", "zone": None, "city": None}
+    found = files.detect_columns(["BairroOcor", "CidadeOcor", "Data"])
+    assert (found["zone"], found["city"], found["date"]) == ("BairroOcor", "CidadeOcor", "Data")
 
 
 def test_partitioned_write_keeps_rows(spark):

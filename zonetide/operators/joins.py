@@ -130,6 +130,12 @@ def pairs_within_score(df: DataFrame, key: str, score: str, reach: float) -> Dat
     return left.join(right, "_band").filter((F.col("a") < F.col("b")) & (F.abs(F.col("sa") - F.col("sb")) < reach)).drop("_band")
 
 
+def flag_match(df: DataFrame, dim: DataFrame, key: str, out: str) -> DataFrame:
+    """1 where the key is listed (a holiday table, say), else 0."""
+    listed = dim.select(key).distinct().withColumn(out, F.lit(1))
+    return df.join(listed, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+
+
 def merge_by_id(base: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """New value by id where given, the old one otherwise."""
     fresh = updates.select(key, F.col(column).alias("_new"))

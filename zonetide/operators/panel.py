@@ -231,6 +231,11 @@ def validation_report(panel: DataFrame, zone: str, date: str, value: str, edges:
     return report.withColumn("status", F.when(F.col("issues") == "", "ok").otherwise("check"))
 
 
+def slice_zones(panel: DataFrame, keep: DataFrame, zone: str) -> DataFrame:
+    """Rows of the kept zones."""
+    return panel.join(keep.select(zone).distinct(), zone, "left_semi")
+
+
 def relative_to_max(df: DataFrame, value: str, out: str = "index") -> DataFrame:
     """value / largest value, zero when everything is zero."""
     top = df.select(F.max(value)).scalar()

@@ -128,6 +128,29 @@ def _(v):
     return forecast.errors(_guess(v).filter("guess IS NOT NULL"), "level", "guess", ["zone"])
 
 
+_NEXT = ", ".join(f"lag({c}) OVER (PARTITION BY zone ORDER BY date) AS p_{c}" for c in ("n", "click", "view"))
+
+
+@query(
+    "st22_errors_per_feature",
+    with_sql(
+        "panel",
+        "SELECT feature, count(*) AS n, avg(pow(p - a, 2)) AS mse, avg(abs(p - a)) AS mae, sqrt(avg(pow(p - a, 2))) AS rmse FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS a, p_{c} AS p FROM (SELECT *, {_NEXT} FROM panel)" for c in ("n", "click", "view")) + ") WHERE p IS NOT NULL GROUP BY feature",
+        "mse mae rmse",
+    ),
+)
+def _(v):
+    # yesterday's value as the forecast of each feature
+    w = Window.partitionBy("zone").orderBy("date")
+    names = ("n", "click", "view")
+    rows = v.panel().withColumns({f"p_{c}": F.lag(c).over(w) for c in names})
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("actual"), F.col(f"p_{c}").cast("double").alias("predicted")) for c in names
+    ])
+    long = rows.select(F.explode(cells).alias("c")).select("c.*").filter("predicted IS NOT NULL")
+    return forecast.errors(long, "actual", "predicted", ["feature"])
+
+
 @query(
     "st22_error_difference",
     with_sql("per", "SELECT avg(abs(guess - level)) - avg(abs(base - level)) AS mae_difference, sqrt(avg(pow(guess - level, 2))) - sqrt(avg(pow(base - level, 2))) AS rmse_difference FROM (SELECT *, avg(level) OVER (PARTITION BY zone ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS guess, lag(level) OVER (PARTITION BY zone ORDER BY period) AS base FROM per) WHERE guess IS NOT NULL", "mae_difference rmse_difference"),

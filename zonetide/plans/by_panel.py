@@ -171,6 +171,11 @@ def _(v):
     return graph.slice_edges(spatial.touching(v.polygon(), "poly", "ring"), keep, "zone")
 
 
+@query("t12_panel_slice", with_sql("panel pred", "SELECT zone, date, n FROM panel WHERE zone IN (SELECT zone FROM pred WHERE predicted > 2)"))
+def _(v):
+    return panel.slice_zones(v.panel().select("zone", "date", "n"), v.prediction().filter("predicted > 2"), "zone")
+
+
 @query(
     "t13_validation_report",
     with_sql(

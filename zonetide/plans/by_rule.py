@@ -128,6 +128,22 @@ def _(v):
     return rules.top_territories(events, "region", "zone", "label", 3, weight="n")
 
 
+@query(
+    "r3_top_territories_in_period",
+    with_sql(
+        "zd",
+        "SELECT t.region, t.zone, t.events, CAST(t.pos AS INTEGER) AS pos, m.label AS dominant FROM (SELECT region, zone, count(*) AS events, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, zone) AS pos FROM oc GROUP BY 1, 2) t JOIN "
+        "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 10",
+    ).replace(" SELECT t.region", ", " + _OCR.replace("o_orderstatus", "o_orderpriority").replace("FROM orders", "FROM (SELECT * FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01') orders") + " SELECT t.region", 1).replace("z.zone = c_nationkey)", "z.zone = c_nationkey WHERE z.region = 'ASIA')", 1),
+)
+def _(v):
+    t = F.col("o_orderdate")
+    period = (t >= F.lit("1997-01-01").cast("timestamp_ntz")) & (t < F.lit("1998-01-01").cast("timestamp_ntz"))
+    asia = v.zone_dim().filter("region = 'ASIA'").select("zone", "region")
+    events = v.order_counts("o_orderpriority", period).join(asia, "zone")
+    return rules.top_territories(events, "region", "zone", "label", 10, weight="n")
+
+
 @query(
     "r4_presence",
     with_sql("ev", "SELECT kind, count(*) AS events, count(DISTINCT zone) AS zones, count(*) * 100.0 / (SELECT count(*) FROM ev) AS pct_events, count(DISTINCT zone) * 100.0 / (SELECT count(DISTINCT zone) FROM ev) AS pct_zones FROM ev GROUP BY kind", "pct_events pct_zones"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zonetide.functions import dates, geo, ladders, numbers, text
+from zonetide.operators.joins import flag_match
 from zonetide.operators.matching import narrative_fields, structured_narrative_fields
 from zonetide.operators.panel import bounds
 from zonetide.operators.ranking import column_quantiles
@@ -12,7 +13,7 @@ from zonetide.operators.rules import effective_start
 from zonetide.operators.spatial import in_box
 from zonetide.plans.registry import query
 from zonetide.plans.views import KINDS, with_sql
-from zonetide.sources.files import detect_columns, rename_aliases
+from zonetide.sources.files import detect_columns, prediction_columns, rename_aliases
 
 
 @query("p1_parse_number", "SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS amount FROM events")
@@ -29,6 +30,12 @@ def _(v):
     return rename_aliases(raw)
 
 
+@query("p2_prediction_columns", "SELECT upper(c_name) AS zone, c_acctbal AS risk FROM customer")
+def _(v):
+    raw = v.table("customer").select(F.concat(F.lit(" "), "c_name").alias("bairro"), "c_custkey", F.col("c_acctbal").cast("string").alias("Risco_30d"))
+    return prediction_columns(raw)
+
+
 @query("p3_detect_columns", with_sql("pt", "SELECT id, lat, lon FROM pt", "lat lon"))
 def _(v):
     raw = v.point().select("id", F.col("lat").alias("GEO_LATITUDE"), F.col("lon").alias("lng_wgs"))
@@ -274,6 +281,17 @@ def _(v):
     return v.table("orders").select("o_orderkey", dates.is_fixed_holiday("o_orderdate").alias("holiday"))
 
 
+@query(
+    "p21_listed_days",
+    with_sql("daily", "SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) IN (SELECT date FROM daily WHERE n > (SELECT avg(n) FROM daily)) THEN 1 ELSE 0 END AS busy_day FROM orders"),
+)
+def _(v):
+    daily = v.daily()
+    days = daily.filter(F.col("n") > daily.select(F.avg("n")).scalar()).select("date")
+    rows = v.table("orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    return flag_match(rows, days, "date", "busy_day").select("o_orderkey", "busy_day")
+
+
 @query(
     "p22_step_ladders",
     with_sql(

@@ -215,6 +215,19 @@ def _(v):
     return study.share_shift(e, "zone", "weekday", F.year("date") >= 1999, weight="n")
 
 
+@query(
+    "st14_hour_shift",
+    with_sql(
+        "ev",
+        "SELECT zone, hour, shift FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY shift DESC, hour) AS rn FROM (SELECT zone, hour, round(rc / sum(rc) OVER (PARTITION BY zone) - bc / sum(bc) OVER (PARTITION BY zone), 12) AS shift FROM "
+        "(SELECT zone, hour, count(*) FILTER (date >= DATE '2024-01-16') AS rc, count(*) FILTER (date < DATE '2024-01-16') AS bc FROM ev GROUP BY 1, 2) QUALIFY sum(rc) OVER (PARTITION BY zone) > 0 AND sum(bc) OVER (PARTITION BY zone) > 0)) WHERE rn = 1",
+        "shift",
+    ),
+)
+def _(v):
+    return study.share_shift(v.event().select("zone", "hour", "date"), "zone", "hour", F.col("date") >= F.lit("2024-01-16").cast("date"))
+
+
 _FIT = "ft AS (SELECT zone, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, sqrt(greatest(var_pop(y) - regr_slope(y, x) * covar_pop(x, y), 0) / var_pop(x) / (count(*) - 2)) AS stderr FROM pm GROUP BY zone) "
 
 

@@ -5,7 +5,7 @@ Every view exists twice: as a DataFrame and as a SQL fragment for the checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.operators.panel import densify
@@ -77,9 +77,10 @@ class Views:
     def customer_zone(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone"))
 
-    def order_counts(self, label: str) -> DataFrame:
+    def order_counts(self, label: str, where: Column | None = None) -> DataFrame:
         """Orders per nation and value of one column, counted per customer first."""
-        per = self.table("orders").groupBy("o_custkey", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+        orders = self.table("orders") if where is None else self.table("orders").filter(where)
+        per = orders.groupBy("o_custkey", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
         return per.join(self.customer_zone(), "o_custkey").groupBy("zone", "label").agg(F.sum("_n").alias("n"))
 
     def order_days(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonetide.functions.numbers import parse_number
 from zonetide.operators.ranking import column_quantiles
 
 # Names that stand for one canonical column.
@@ -20,6 +21,9 @@ ALIASES = {
     "natureza": ["Natureza", "NATUREZA", "natureza", "Descricao", "ds_natureza"],
 }
 NAME_CANDIDATES = ["name", "NAME", "nm_mun", "NM_MUN", "NM_MUNIC", "municipio", "MUNICIPIO", "NM_MUN8"]
+ZONE_CANDIDATES = ["local_oficial", "bairro", "bairro_id", "local_norm", "local", "BairroOcor", "Bairro", "bairro_ocor", "localidade"]
+CITY_CANDIDATES = ["CidadeOcor", "cidade", "Cidade", "municipio", "municipio_ocor"]
+PREDICTION_ZONES = ["local_oficial", "local", "bairro", "name"]
 DATE_CANDIDATES = ["data_hora", "data", "date", "datetime"]
 
 
@@ -63,20 +67,36 @@ def rename_aliases(df: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES) -
 
 
 def detect_columns(columns: Sequence[str]) -> dict[str, str | None]:
-    """Latitude, longitude, date and name columns, from the names alone."""
+    """Latitude, longitude, date, name, zone and city columns, by name alone."""
     def first(test) -> str | None:
         return next((c for c in columns if test(c.lower())), None)
 
-    date = next((c for c in DATE_CANDIDATES if c in columns), None)
-    name = next((c for c in NAME_CANDIDATES if c in columns), None)
+    def listed(candidates: Sequence[str]) -> str | None:
+        return next((c for c in candidates if c in columns), None)
+
+    date, name = listed(DATE_CANDIDATES), listed(NAME_CANDIDATES)
     return {
         "lat": first(lambda c: "lat" in c),
         "lon": first(lambda c: "lon" in c or "lng" in c),
         "date": date or first(lambda c: "data" in c or "date" in c or "hora" in c),
         "name": name or (columns[0] if columns else None),
+        "zone": listed(ZONE_CANDIDATES),
+        "city": listed(CITY_CANDIDATES),
     }
 
 
+def prediction_columns(df: DataFrame) -> DataFrame:
+    """(zone, risk) of a prediction table with whatever column names it has.
+
+    The zone is the first known name, else the first column; the risk is the
+    first column with ``risco`` in its name, else the second column.
+    """
+    zone = next((c for c in PREDICTION_ZONES if c in df.columns), df.columns[0])
+    risks = [c for c in df.columns if "risco" in c.lower()] or df.columns[1:2]
+    risk = parse_number(risks[0], None) if risks else F.lit(None).cast("double")
+    return df.select(F.upper(F.trim(F.col(zone).cast("string"))).alias("zone"), risk.alias("risk"))
+
+
 def explode_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows of a nested array-of-structs column."""
     return df.select(F.explode(column).alias("r")).select("r.*")
