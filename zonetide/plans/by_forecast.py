@@ -15,14 +15,17 @@ _FACTOR = "(SELECT avg((CASE WHEN d < 120 THEN 1.0 ELSE 1.0 - 0.003 * (d - 120)
 @query(
     "p28_blended_forecast",
     with_sql(
-        "panel",
+        "cp panel",
         f"SELECT zone, least(greatest(least(greatest(mean * 0.8 + model * 0.3 * 0.2, 0), top) * {_FACTOR} * (1 + 0.3 * chg), 0), top) AS forecast, chg AS change, sd / (peak + 1e-6) AS volatility FROM "
-        "(SELECT zone, avg(n) AS mean, max(n) AS peak, stddev_pop(n) AS sd, max(zone) % 10 / 10.0 AS model, least(max(zone) % 7 / 5.0, 1) AS chg, (SELECT max(n) FROM panel) * 1.2 AS top FROM panel GROUP BY zone)",
+        "(SELECT c.zone, avg(c.n) AS mean, max(c.n) AS peak, stddev_pop(c.n) AS sd, max(p.click) / 100 AS model, least(sum(changed) / 3, 1) AS chg, (SELECT max(n) FROM panel) * 1.2 AS top FROM cp c JOIN panel p ON p.zone = c.zone AND p.date = c.date GROUP BY c.zone)",
         "forecast change volatility",
     ),
 )
 def _(v):
-    h = v.panel().select("zone", "n", (F.col("zone") % 10 / 10.0).alias("model"), (F.col("zone") % 7 / 5.0).alias("change"))
+    # the model's output and the chance of a label change come with the history
+    days = v.panel().join(v.change_panel().select("zone", "date", "changed"), ["zone", "date"])
+    zone = Window.partitionBy("zone")
+    h = days.select("zone", "n", (F.max("click").over(zone) / 100).alias("model"), (F.sum("changed").over(zone) / 3).alias("change"))
     return forecast.blended_forecast(h, "zone", "n", "model", "change")
 
 

@@ -14,9 +14,9 @@ from zonetide.plans.views import with_sql
 _WEEK = ["SEGUNDA", "TERCA", "QUARTA", "QUINTA", "SEXTA", "SABADO", "DOMINGO"]
 
 
-@query("j1_lookup_with_default", with_sql("", "SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'SEM DADO' END AS zone_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"))
+@query("j1_lookup_with_default", with_sql("", "SELECT c_custkey, coalesce(n_name, 'SEM DADO') AS zone_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 1"))
 def _(v):
-    dim = v.table("nation").filter(F.col("n_nationkey") % 2 == 0).select(
+    dim = v.table("nation").filter("n_regionkey <> 1").select(
         F.upper(F.concat(F.lit("k"), "n_nationkey")).alias("key"), normal_key(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).alias("zone_name")
     )
     rows = v.table("customer").select("c_custkey", F.upper(F.concat(F.lit("k"), "c_nationkey")).alias("key"))
@@ -45,7 +45,7 @@ def _(v):
 
 
 _TIERS = (
-    "dim AS (SELECT c_mktsegment AS seg, c_nationkey AS zone, c_custkey % 3 AS prio, c_name AS value FROM customer WHERE c_nationkey < 15 AND (c_nationkey < 10 OR c_mktsegment < 'G')), "
+    "dim AS (SELECT c_mktsegment AS seg, c_nationkey AS zone, c_custkey % 3 AS prio, c_name AS value FROM customer WHERE c_acctbal > 9700), "
     "ex AS (SELECT seg, zone, value FROM (SELECT *, row_number() OVER (PARTITION BY seg, zone ORDER BY prio, value) AS rn FROM dim) WHERE rn = 1), "
     "lo AS (SELECT zone, value FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY prio, seg, value) AS rn FROM dim) WHERE rn = 1) "
 )
@@ -58,7 +58,7 @@ _TIERS = (
 )
 def _(v):
     c = v.table("customer")
-    dim = c.filter((F.col("c_nationkey") < 15) & ((F.col("c_nationkey") < 10) | (F.col("c_mktsegment") < "G"))).select(
+    dim = c.filter("c_acctbal > 9700").select(
         F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("zone"), (F.col("c_custkey") % 3).alias("prio"), F.col("c_name").alias("value")
     )
     rows = c.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("zone"))
@@ -69,13 +69,13 @@ def _(v):
     "j7_blank_fallback",
     with_sql(
         "zd",
-        "SELECT z.zone, CASE WHEN z.zone % 4 = 0 THEN '' ELSE z.region END AS region, CASE WHEN z.zone % 4 = 0 THEN (SELECT round(sum(c_acctbal), 2) FROM customer WHERE c_nationkey = z.zone) "
+        "SELECT z.zone, CASE WHEN z.region = 'AFRICA' THEN '' ELSE z.region END AS region, CASE WHEN z.region = 'AFRICA' THEN (SELECT round(sum(c_acctbal), 2) FROM customer WHERE c_nationkey = z.zone) "
         "ELSE (SELECT round(sum(c_acctbal), 2) FROM customer JOIN zd k ON k.zone = c_nationkey WHERE c_nationkey = z.zone AND k.region = z.region) END AS total FROM zd z",
     ),
 )
 def _(v):
     dim = v.zone_dim()
-    left = dim.select("zone", F.when(F.col("zone") % 4 == 0, "").otherwise(F.col("region")).alias("region"))
+    left = dim.select("zone", F.when(F.col("region") == "AFRICA", "").otherwise(F.col("region")).alias("region"))
     right = v.table("customer").select(F.col("c_nationkey").alias("zone"), F.col("c_acctbal").alias("total")).join(dim.select("zone", "region"), "zone")
     return joins.blank_fallback_counts(left, right, "region", "zone", "total").select("zone", "region", F.round("total", 2).alias("total"))
 

@@ -6,24 +6,25 @@ from pyspark.sql import functions as F
 
 from zonetide.functions.ladders import two_column_ladder
 from zonetide.operators import matching, rules
+from zonetide.operators.aggregates import group_mode
 from zonetide.plans.registry import query
 from zonetide.plans.views import with_sql
 
-# Raw names: the part's words with one letter dropped, by key.
-_RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN upper(left(p_name, 2) || substr(p_name, 4)) ELSE upper(p_brand || '@') END AS name FROM part), off AS (SELECT DISTINCT upper(p_name) AS o FROM part WHERE p_partkey % 3 = 0) "
+# Raw names: the part's words, some with one letter dropped, some unknown.
+_RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) WHEN p_size > 20 THEN upper(left(p_name, 2) || substr(p_name, 4)) ELSE upper(p_brand || '@') END AS name FROM part), off AS (SELECT DISTINCT upper(p_name) AS o FROM part WHERE p_type = 'ECONOMY') "
 _BEST = _RAW + ", sc AS (SELECT name, o, 1 - levenshtein(name, o) / greatest(length(name), length(o)) AS s FROM (SELECT DISTINCT name FROM raw) CROSS JOIN off), m AS (SELECT name, CASE WHEN s >= 0.7 THEN o END AS matched, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc) WHERE rn = 1) "
 
 
 def _raw(v):
     key, name = F.col("p_partkey"), F.col("p_name")
-    text = F.when(key % 3 == 0, F.upper(name)).when(key % 3 == 1, F.upper(F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)")))).otherwise(
+    text = F.when(F.col("p_type") == "ECONOMY", F.upper(name)).when(F.col("p_size") > 20, F.upper(F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)")))).otherwise(
         F.upper(F.concat("p_brand", F.lit("@")))
     )
     return v.table("part").select(key.alias("id"), text.alias("name"))
 
 
 def _official(v):
-    return v.table("part").filter(F.col("p_partkey") % 3 == 0).select(F.upper("p_name").alias("o")).distinct()
+    return v.table("part").filter("p_type = 'ECONOMY'").select(F.upper("p_name").alias("o")).distinct()
 
 
 @query("e1_match_by_distance", "WITH " + _BEST + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
@@ -156,22 +157,23 @@ def _(v):
     "r5_zone_cards",
     with_sql(
         "panel",
-        "SELECT zone, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, max(n) AS peak, count(*) FILTER (n > 0) AS active_days, max(CASE WHEN n > 0 THEN date END) AS last_active, sum(n) * 100.0 / max(sum(n)) OVER () AS score, CASE WHEN zone % 2 = 0 THEN 'CAPITAL' ELSE 'INTERIOR' END AS region FROM panel GROUP BY zone",
+        "SELECT zone, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, max(n) AS peak, count(*) FILTER (n > 0) AS active_days, max(CASE WHEN n > 0 THEN date END) AS last_active, sum(n) * 100.0 / max(sum(n)) OVER () AS score, any_value(g.top) AS region FROM panel JOIN (SELECT zone AS gz, kind AS top FROM (SELECT zone, kind, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, kind) AS rn FROM ev GROUP BY 1, 2) WHERE rn = 1) g ON g.gz = panel.zone GROUP BY zone",
         "mean score",
     ),
 )
 def _(v):
-    region = v.event().select("zone").distinct().withColumn("region", F.when(F.col("zone") % 2 == 0, "CAPITAL").otherwise("INTERIOR"))
+    region = group_mode(v.event(), ["zone"], "kind", "region")
     return rules.zone_cards(v.panel(), "zone", "date", "n", region)
 
 
 @query(
     "r6_volatility_ladder",
-    with_sql("panel", "SELECT zone, CASE WHEN p > 0.5 OR q > 0.7 THEN 'CRITICO' WHEN p > 0.3 OR q > 0.4 THEN 'ALTO' WHEN p > 0.1 OR q > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS class FROM (SELECT zone, (zone % 10) / 20.0 AS p, stddev_pop(n) / (max(n) + 1e-6) AS q FROM panel GROUP BY zone)"),
+    with_sql("cp", "SELECT zone, CASE WHEN p > 0.5 OR q > 0.7 THEN 'CRITICO' WHEN p > 0.3 OR q > 0.4 THEN 'ALTO' WHEN p > 0.1 OR q > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS class FROM (SELECT zone, sum(changed) / 6 AS p, stddev_pop(n) / (max(n) + 1e-6) AS q FROM cp GROUP BY zone)"),
 )
 def _(v):
-    rows = v.panel().groupBy("zone").agg((F.stddev_pop("n") / (F.max("n") + 1e-6)).alias("q"))
-    return rows.select("zone", two_column_ladder(F.col("zone") % 10 / 20.0, F.col("q")).alias("class"))
+    # label changes per snapshot, and the deviation against the largest day
+    rows = v.change_panel().groupBy("zone").agg((F.sum("changed") / 6).alias("p"), (F.stddev_pop("n") / (F.max("n") + 1e-6)).alias("q"))
+    return rows.select("zone", two_column_ladder(F.col("p"), F.col("q")).alias("class"))
 
 
 @query(
