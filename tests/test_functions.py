@@ -85,6 +85,17 @@ def test_student_p_table(spark):
     assert one(spark, stats.student_p(F.lit(0.0), F.lit(7)))[0] == pytest.approx(1.0)
 
 
+def test_student_p_of_many_degrees(spark):
+    grid = spark.range(1, 60).select((F.col("id") * 0.1).alias("t"))
+    df = F.lit(stats.SERIES_LIMIT)
+    near = grid.select(stats._student_series(F.col("t"), df).alias("a"), stats.student_p(F.col("t"), df + 1).alias("b")).collect()
+    assert all(abs(r.a - r.b) < 2e-6 for r in near) and max(r.b for r in near) < 1
+    tails = spark.createDataFrame([(1.959963984540054, 0.05), (3.290526731491926, 0.001), (6.5, 8.032e-11)], "z double, p double")
+    for r in tails.select("p", stats.normal_p(F.col("z")).alias("q")).collect():
+        assert r.q == pytest.approx(r.p, rel=2e-3, abs=1e-12)
+    assert one(spark, stats.student_p(F.lit(2.0), F.lit(10**9)))[0] == pytest.approx(0.0455002639, abs=1e-8)
+
+
 def test_safe_corr_of_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert df.agg(stats.safe_corr("x", "y").alias("r")).first()[0] is None

@@ -50,6 +50,22 @@ def _(v):
     return study.correlation_test(v.pairs_m(), ["zone"], "x", "y")
 
 
+_PAIRS = (("click", "view"), ("click", "purchase"), ("view", "purchase"))
+
+
+@query(
+    "st3_flattened_panel_test",
+    with_sql(
+        "panel",
+        f"SELECT a, b, n, r, {_p('(r * sqrt(n - 2) / sqrt(1 - r * r))', '(n - 2)')} AS p FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, corr({a}, {b}) AS r FROM panel" for a, b in _PAIRS) + ")",
+        "r p",
+    ),
+)
+def _(v):
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in _PAIRS])
+    return study.correlation_test(v.panel().select(F.explode(cells).alias("c")).select("c.*"), ["a", "b"], "x", "y")
+
+
 _RANK = "(rank() OVER (PARTITION BY zone ORDER BY {c}) + (count(*) OVER (PARTITION BY zone, {c}) - 1) / 2)"
 
 
