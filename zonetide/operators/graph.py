@@ -206,6 +206,13 @@ def hop(panel: DataFrame, edges: DataFrame, zone: str, date: str, values: Sequen
     )
 
 
+def hops(panel: DataFrame, edges: DataFrame, zone: str, date: str, values: Sequence[str], k: int) -> DataFrame:
+    """The one-hop sum applied k times; lineage is cut between the rounds."""
+    for _ in range(k):
+        panel = cut_lineage(hop(panel, edges, zone, date, values), "hop")
+    return panel
+
+
 def slice_edges(edges: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """Edges with both ends among the kept nodes."""
     src = keep.select(F.col(key).alias("src")).distinct()

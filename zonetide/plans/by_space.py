@@ -220,3 +220,19 @@ def _(v):
     return graph.hop(counts, e, "zone", "date", ["n"]).drop("date")
 
 
+
+
+_NB = (
+    "nb AS (SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7)), "
+    "dg AS (SELECT src AS k, count(*) + 1e-8 AS d FROM nb GROUP BY 1), nw AS (SELECT nb.src, nb.dst, 1 / (sqrt(s.d) * sqrt(t.d)) AS weight FROM nb JOIN dg s ON s.k = nb.src JOIN dg t ON t.k = nb.dst), "
+    "h0 AS (SELECT zone, month, CAST(y AS DOUBLE) AS y FROM om), h1 AS (SELECT nw.src AS zone, h0.month, sum(weight * h0.y) AS y FROM nw JOIN h0 ON h0.zone = nw.dst GROUP BY 1, 2) "
+)
+
+
+@query(
+    "gr10_two_hops",
+    with_sql("cor om", "SELECT nw.src AS zone, h1.month, sum(weight * h1.y) AS y FROM nw JOIN h1 ON h1.zone = nw.dst GROUP BY 1, 2", "y").replace(" SELECT * REPLACE", ", " + _NB + "SELECT * REPLACE", 1),
+)
+def _(v):
+    border = graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly").withColumn("weight", F.lit(1.0))
+    return graph.hops(v.outcome_m(), graph.normalise(border), "zone", "month", ["y"], 2)
