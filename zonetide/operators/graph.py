@@ -52,8 +52,7 @@ def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int) -> Da
     kept = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
     sites = cut_lineage(kept.groupBy("_la", "_lo").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "sites")
     rest = sites.select(F.col("_la"), F.col("_lo"))
-    # a ring of nine cells at the mean spacing holds about nine sites
-    size, done = calm_cell_size(sites, "_lo", "_la"), None
+    size, done = calm_cell_size(sites, "_lo", "_la", wanted=k + 1), None
     while True:
         whole = size > 180
         cell = (lambda c: F.lit(0).cast("bigint")) if whole else (lambda c, s=size: F.floor(c / F.lit(s)))

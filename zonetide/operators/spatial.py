@@ -7,6 +7,7 @@ the points of those cells through an equi-join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,17 @@ def _cell(col: Column, size: float) -> Column:
     return F.floor(col / F.lit(float(size)))
 
 
-def calm_cell_size(places: DataFrame, x: str, y: str, most: int = 500) -> float:
-    """A cell size at the mean spacing of the places, halved until no cell holds
-    more than ``most`` of them.
+def calm_cell_size(places: DataFrame, x: str, y: str, wanted: int = 1, most: int = 500) -> float:
+    """A cell size whose reach holds ``wanted`` places on even ground, halved until
+    no cell holds more than ``most`` of them.
 
     ``places`` are distinct; each try is one small aggregation.
     """
     n, x0, x1, y0, y1 = places.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if not n:
         return 1.0
-    size = max(x1 - x0, y1 - y0, 1e-6) / max(n, 1) ** 0.5
+    spacing = max(x1 - x0, y1 - y0, 1e-6) / n**0.5
+    size = 1.5 * spacing * math.sqrt(wanted / math.pi)
     while size > 1e-6:
         cells = places.groupBy(_cell(F.col(x), size), _cell(F.col(y), size)).agg(F.count(F.lit(1)).alias("_n"))
         if cells.agg(F.max("_n")).first()[0] <= most:
