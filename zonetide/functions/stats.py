@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zonetide.functions.numbers import ratio
-
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson r over the pairs where both are present; null when undefined."""
@@ -22,11 +20,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
     return F.when(spread > 1e-12, F.try_divide(F.covar_pop(x, y), spread))
 
 
-def cv_sample(col: Column | str) -> Column:
-    """Sample standard deviation over mean, null when the mean is zero."""
-    return ratio(F.coalesce(F.stddev_samp(col), F.lit(0.0)), F.avg(col))
-
-
 def stability(count: Column, mean: Column, sd: Column) -> Column:
     """1 / (1 + CV): 0.5 below two observations, 0 for a zero mean."""
     value = F.least(1 / (1 + F.try_divide(F.coalesce(sd, F.lit(0.0)), mean)), F.lit(1.0))

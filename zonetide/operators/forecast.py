@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonetide.functions.numbers import clip, ratio
+from zonetide.functions.numbers import clip
 from zonetide.functions.stats import safe_corr
 from zonetide.operators.ranking import column_quantiles, one_row, quantiles, scalar_quantile
 
@@ -144,7 +144,3 @@ def weighted_loss(df: DataFrame, actual: str, predicted: str, changed: str, stab
     weight = 1 + F.col(changed) * 2 + (1 - F.col(stable_days) / 365) * 0.5
     gap = F.col(predicted) - F.col(actual)
     return df.withColumn("loss", weight * gap * gap)
-
-
-def level_ratio(df: DataFrame, num: str, den: str, out: str) -> DataFrame:
-    return df.withColumn(out, ratio(F.col(num), F.col(den)))

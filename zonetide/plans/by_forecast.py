@@ -32,11 +32,6 @@ def _(v):
 _PRED = "pp AS (SELECT zone, period, level, avg(level) OVER (PARTITION BY zone ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS guess, lag(level) OVER (PARTITION BY zone ORDER BY period) AS base FROM per), sg AS (SELECT zone, period, CASE WHEN abs(level - base) <= 1 THEN 0 ELSE sign(level - base) END AS a, CASE WHEN abs(guess - base) <= 1 THEN 0 ELSE sign(guess - base) END AS p FROM pp WHERE base IS NOT NULL) "
 
 
-def _with(needs: str, extra: str, body: str, rnd: str) -> str:
-    text = with_sql(needs, body, rnd)
-    return text.replace(" SELECT * REPLACE", ", " + extra + "SELECT * REPLACE", 1)
-
-
 def _guess(v):
     """Level per five-day period with the mean of all periods before it."""
     past = Window.partitionBy("zone").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,24 +42,24 @@ def _signs(v):
     return forecast.directions(_guess(v), "zone", "period", "level", "guess", 1.0)
 
 
-@query("st20_direction_accuracy", _with("per", _PRED, "SELECT count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy, corr(a, p) AS r FROM sg", "accuracy r"))
+@query("st20_direction_accuracy", with_sql("per", "SELECT count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy, corr(a, p) AS r FROM sg", "accuracy r", extra=_PRED))
 def _(v):
     return forecast.direction_accuracy(_signs(v))
 
 
-@query("st20_accuracy_per_class", _with("per", _PRED, "SELECT CAST(p AS INTEGER) AS predicted_sign, count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy FROM sg GROUP BY p", "accuracy"))
+@query("st20_accuracy_per_class", with_sql("per", "SELECT CAST(p AS INTEGER) AS predicted_sign, count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy FROM sg GROUP BY p", "accuracy", extra=_PRED))
 def _(v):
     return forecast.direction_accuracy(_signs(v), ["predicted_sign"]).drop("r")
 
 
-@query("st20_accuracy_per_zone", _with("per", _PRED, "SELECT zone, count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy FROM sg GROUP BY zone", "accuracy"))
+@query("st20_accuracy_per_zone", with_sql("per", "SELECT zone, count(*) AS n, avg(CASE WHEN a = p THEN 100.0 ELSE 0 END) AS accuracy FROM sg GROUP BY zone", "accuracy", extra=_PRED))
 def _(v):
     return forecast.direction_accuracy(_signs(v), ["zone"]).drop("r")
 
 
 @query(
     "st20_confusion",
-    _with("per", _PRED, "SELECT * FROM (SELECT CAST(a AS INTEGER) AS actual_sign, count(*) FILTER (p = -1) AS down, count(*) FILTER (p = 0) AS same, count(*) FILTER (p = 1) AS up, 0.0 AS z FROM sg GROUP BY a)", "z").replace("SELECT * REPLACE (round(z, 6) + 0.0 AS z)", "SELECT * EXCLUDE (z)"),
+    with_sql("per", "SELECT CAST(a AS INTEGER) AS actual_sign, count(*) FILTER (p = -1) AS down, count(*) FILTER (p = 0) AS same, count(*) FILTER (p = 1) AS up FROM sg GROUP BY a", extra=_PRED),
 )
 def _(v):
     return forecast.confusion(_signs(v))
@@ -73,7 +68,7 @@ def _(v):
 _EMA = "rec AS (WITH RECURSIVE e AS (SELECT zone, period, CAST(level AS DOUBLE) AS s FROM per WHERE period = 0 UNION ALL SELECT p.zone, p.period, e.s * 0.7 + p.level * 0.3 FROM e JOIN per p ON p.zone = e.zone AND p.period = e.period + 1) SELECT * FROM e) "
 
 
-@query("st21_ema_baseline", _with("per", _EMA, "SELECT p.zone, p.period, r.s AS ema FROM per p LEFT JOIN rec r ON r.zone = p.zone AND r.period = p.period - 1", "ema"))
+@query("st21_ema_baseline", with_sql("per", "SELECT p.zone, p.period, r.s AS ema FROM per p LEFT JOIN rec r ON r.zone = p.zone AND r.period = p.period - 1", "ema", extra=_EMA))
 def _(v):
     return forecast.ema_baseline(v.periods(), "zone", "period", "level", 0.3).select("zone", "period", "ema")
 
@@ -86,7 +81,7 @@ def _(v):
     return forecast.linear_baseline(v.periods(), "zone", "period", "level").select("zone", "period", "linear")
 
 
-@query("st21_always_stable", _with("per", _PRED, "SELECT count(*) AS n, avg(CASE WHEN a = 0 THEN 100.0 ELSE 0 END) AS accuracy FROM sg", "accuracy"))
+@query("st21_always_stable", with_sql("per", "SELECT count(*) AS n, avg(CASE WHEN a = 0 THEN 100.0 ELSE 0 END) AS accuracy FROM sg", "accuracy", extra=_PRED))
 def _(v):
     signs = _signs(v).withColumn("predicted_sign", F.lit(0))
     return forecast.direction_accuracy(signs).drop("r")
@@ -101,7 +96,7 @@ _BL = (
 
 @query(
     "st21_baseline_accuracies",
-    _with("per", _EMA + ", " + _BL, "SELECT 'ema' AS baseline, count(*) AS n, avg(CASE WHEN a = e THEN 100.0 ELSE 0 END) AS accuracy FROM bs UNION ALL SELECT 'linear', count(*), avg(CASE WHEN a = l THEN 100.0 ELSE 0 END) FROM bs UNION ALL SELECT 'stable', count(*), avg(CASE WHEN a = 0 THEN 100.0 ELSE 0 END) FROM bs", "accuracy"),
+    with_sql("per", "SELECT 'ema' AS baseline, count(*) AS n, avg(CASE WHEN a = e THEN 100.0 ELSE 0 END) AS accuracy FROM bs UNION ALL SELECT 'linear', count(*), avg(CASE WHEN a = l THEN 100.0 ELSE 0 END) FROM bs UNION ALL SELECT 'stable', count(*), avg(CASE WHEN a = 0 THEN 100.0 ELSE 0 END) FROM bs", "accuracy", extra=_EMA + ", " + _BL),
 )
 def _(v):
     rows = forecast.linear_baseline(forecast.ema_baseline(v.periods(), "zone", "period", "level", 0.3), "zone", "period", "level")

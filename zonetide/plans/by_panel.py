@@ -26,7 +26,7 @@ def _(v):
 
 @query(
     "t2_fixed_calendar",
-    with_sql("daily", "SELECT c.date, coalesce(d.n, 0) AS n, coalesce(d.total, 0) AS total FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS date) c LEFT JOIN daily d ON d.date = c.date", "total").replace("round(total, 6)", "round(total, 2)"),
+    with_sql("daily", "SELECT c.date, coalesce(d.n, 0) AS n, round(coalesce(d.total, 0), 2) AS total FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS date) c LEFT JOIN daily d ON d.date = c.date"),
 )
 def _(v):
     day = lambda s: F.lit(s).cast("date")
@@ -48,7 +48,7 @@ _MULTI = (
 )
 
 
-@query("t4_multi_source_panel", with_sql("oe", f"SELECT zone, date, outcomes, returns, discounts, lag(returns, 1, 0) {_ZD}) AS returns_before FROM mp").replace(" SELECT zone, date, outcomes", ", " + _MULTI + "SELECT zone, date, outcomes", 1))
+@query("t4_multi_source_panel", with_sql("oe", f"SELECT zone, date, outcomes, returns, discounts, lag(returns, 1, 0) {_ZD}) AS returns_before FROM mp", extra=_MULTI))
 def _(v):
     a = v.outcome_daily().withColumnRenamed("n", "outcomes")
     per = v.table("lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
@@ -61,7 +61,7 @@ def _(v):
 
 @query(
     "t5_feature_planes",
-    with_sql("panel pred", "SELECT p.zone, p.date, p.n, CASE WHEN q.predicted > 2 THEN 1 ELSE 0 END AS is_busy, p.click / (SELECT max(click) FROM panel) AS click_norm, isodow(p.date) - 1 AS weekday FROM panel p JOIN pred q ON q.zone = p.zone", "click_norm").replace("isodow(p.date) - 1 AS weekday", "CAST(isodow(p.date) - 1 AS INTEGER) AS weekday"),
+    with_sql("panel pred", "SELECT p.zone, p.date, p.n, CASE WHEN q.predicted > 2 THEN 1 ELSE 0 END AS is_busy, p.click / (SELECT max(click) FROM panel) AS click_norm, CAST(isodow(p.date) - 1 AS INTEGER) AS weekday FROM panel p JOIN pred q ON q.zone = p.zone", "click_norm"),
 )
 def _(v):
     p = v.panel()
@@ -84,7 +84,8 @@ _STATIONS = (
         "SELECT z.n_nationkey AS zone, c.date, coalesce(rain, 0) AS rain, coalesce(temp, 0) AS temp, CASE WHEN strftime(c.date, '%m-%d') IN ('01-01','05-01','09-07','10-12','11-02','11-15','12-25') THEN 1 ELSE 0 END AS holiday "
         "FROM nation z CROSS JOIN cal c LEFT JOIN rd ON rd.zone = z.n_nationkey AND rd.date = c.date",
         "rain temp",
-    ).replace(" SELECT * REPLACE", ", " + _STATIONS + "SELECT * REPLACE", 1),
+        extra=_STATIONS,
+    ),
 )
 def _(v):
     # stations are the points; a station's readings are the events of one id
@@ -164,7 +165,7 @@ _TOUCH = "tou AS (SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN c
 
 @query(
     "t12_region_slice",
-    with_sql("cor zd", "SELECT t.src, t.dst FROM tou t JOIN zd a ON a.zone = t.src JOIN zd b ON b.zone = t.dst WHERE a.region = 'ASIA' AND b.region = 'ASIA'").replace(" SELECT t.src", ", " + _TOUCH + "SELECT t.src", 1),
+    with_sql("cor zd", "SELECT t.src, t.dst FROM tou t JOIN zd a ON a.zone = t.src JOIN zd b ON b.zone = t.dst WHERE a.region = 'ASIA' AND b.region = 'ASIA'", extra=_TOUCH),
 )
 def _(v):
     keep = v.zone_dim().filter(F.col("region") == "ASIA")

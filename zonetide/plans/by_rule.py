@@ -81,16 +81,12 @@ def _recommend(v, shown=10):
     return rules.recommendations(p, v.event(), "zone", "date", F.col("kind") == "purchase", "risk", day(_START), day(_END), shown=shown)
 
 
-def _with(needs: str, extra: str, body: str, rnd: str) -> str:
-    return with_sql(needs, body, rnd).replace(" SELECT * REPLACE", ", " + extra + "SELECT * REPLACE", 1)
-
-
-@query("r1_recommendations", _with("pred ev", _REC, "SELECT * FROM rz", "risk trend"))
+@query("r1_recommendations", with_sql("pred ev", "SELECT * FROM rz", "risk trend", extra=_REC))
 def _(v):
     return _recommend(v)
 
 
-@query("r1_recommendation_totals", _with("pred ev", _REC, "SELECT CAST(coalesce(sum(teams) FILTER (teams > 0), 0) AS BIGINT) AS teams, CAST(least(coalesce(sum(teams) FILTER (teams > 0), 0) * 6, 40) AS BIGINT) AS impact, avg(confidence) AS confidence FROM rx", "confidence"))
+@query("r1_recommendation_totals", with_sql("pred ev", "SELECT CAST(coalesce(sum(teams) FILTER (teams > 0), 0) AS BIGINT) AS teams, CAST(least(coalesce(sum(teams) FILTER (teams > 0), 0) * 6, 40) AS BIGINT) AS impact, avg(confidence) AS confidence FROM rx", "confidence", extra=_REC))
 def _(v):
     return rules.recommendation_totals(_recommend(v, shown=15))
 
@@ -105,7 +101,7 @@ _RISK = (
 
 @query(
     "r2_risk_table",
-    _with("zd", _RISK, "SELECT zone, region, risk, events, top_kind, exogenous, has_exogenous, critical, CASE WHEN critical OR k > 0.8 THEN 'CRITICO' WHEN k > 0.5 THEN 'ALTO' WHEN k > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS alert FROM ra", "risk"),
+    with_sql("zd", "SELECT zone, region, risk, events, top_kind, exogenous, has_exogenous, critical, CASE WHEN critical OR k > 0.8 THEN 'CRITICO' WHEN k > 0.5 THEN 'ALTO' WHEN k > 0.2 THEN 'MEDIO' ELSE 'BAIXO' END AS alert FROM ra", "risk", extra=_RISK),
 )
 def _(v):
     region = F.when(F.col("region") == "ASIA", "RMF").when(F.col("region") == "EUROPE", "INTERIOR").otherwise("CAPITAL")
@@ -122,20 +118,27 @@ _OCR = "oc AS (SELECT z.region, z.zone, o_orderstatus AS label FROM orders JOIN
 @query(
     "r3_top_territories",
     with_sql("zd", "SELECT t.region, t.zone, t.events, CAST(t.pos AS INTEGER) AS pos, m.label AS dominant FROM (SELECT region, zone, count(*) AS events, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, zone) AS pos FROM oc GROUP BY 1, 2) t JOIN "
-             "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 3").replace(" SELECT t.region", ", " + _OCR + " SELECT t.region", 1),
+             "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 3", extra=_OCR),
 )
 def _(v):
     events = v.order_counts("o_orderstatus").join(v.zone_dim().select("zone", "region"), "zone")
     return rules.top_territories(events, "region", "zone", "label", 3, weight="n")
 
 
+_OCR_1997 = (
+    "oc AS (SELECT z.region, z.zone, o_orderpriority AS label FROM orders JOIN customer ON o_custkey = c_custkey JOIN zd z ON z.zone = c_nationkey "
+    "WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01' AND z.region = 'ASIA')"
+)
+
+
 @query(
     "r3_top_territories_in_period",
     with_sql(
         "zd",
         "SELECT t.region, t.zone, t.events, CAST(t.pos AS INTEGER) AS pos, m.label AS dominant FROM (SELECT region, zone, count(*) AS events, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, zone) AS pos FROM oc GROUP BY 1, 2) t JOIN "
         "(SELECT zone, label FROM (SELECT zone, label, row_number() OVER (PARTITION BY zone ORDER BY count(*) DESC, label) AS rn FROM oc GROUP BY 1, 2) WHERE rn = 1) m ON m.zone = t.zone WHERE t.pos <= 10",
-    ).replace(" SELECT t.region", ", " + _OCR.replace("o_orderstatus", "o_orderpriority").replace("FROM orders", "FROM (SELECT * FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01') orders") + " SELECT t.region", 1).replace("z.zone = c_nationkey)", "z.zone = c_nationkey WHERE z.region = 'ASIA')", 1),
+        extra=_OCR_1997,
+    ),
 )
 def _(v):
     t = F.col("o_orderdate")

@@ -187,7 +187,6 @@ def _(v):
     guns = F.when(kind == "click", "").otherwise(F.concat((F.col("hour") + 2).cast("string"), F.lit(" pistolas")))
     action = F.when(kind == "purchase", "Megaoperação:").when(kind == "signup", "Patrulhamento:").otherwise("Rotina:")
     rows = v.event().withColumn("story", F.concat_ws(" ", action, F.concat((F.col("hour") + 1).cast("string"), F.lit(" presos")), guns, mass))
-    # whitespace normalised as in the exports
     return narrative_fields(rows.drop("kind"), "story").select("event_id", "people", "grams", "weapons", "kind", "score")
 
 

@@ -67,7 +67,8 @@ _DOM = (
         "SELECT z.poly, CASE WHEN tp.n IS NULL THEN 'NEUTRO' WHEN coalesce(d.n, 0) > tp.n * 0.5 THEN 'DISPUTA' ELSE tp.label END AS dominant, coalesce(tp.n / z.total, 0) AS degree FROM "
         "(SELECT poly, count(*) AS total FROM ins GROUP BY poly) z LEFT JOIN tp ON tp.poly = z.poly LEFT JOIN lk d ON d.poly = z.poly AND d.label = 'DISPUTA'",
         "degree",
-    ).replace(" SELECT * REPLACE", ", " + _DOM + "SELECT * REPLACE", 1).replace("FROM lh", "FROM lh"),
+        extra=_DOM,
+    ),
 )
 def _(v):
     return spatial.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring", _GRID, CELL)
@@ -112,9 +113,7 @@ def _edges(v):
 
 
 def _g(body: str, rnd: str = "", needs: str = "pt") -> str:
-    text = with_sql(needs, body, rnd)
-    at = text.index(" SELECT * REPLACE") if rnd else text.index(" " + body[:30])
-    return text[:at] + ", " + _D + text[at + 1:]
+    return with_sql(needs, body, rnd, extra=_D)
 
 
 @query("gr1_distance_edges", _g("SELECT src, dst, km FROM de", "km"))
@@ -231,7 +230,7 @@ _NB = (
 
 @query(
     "gr10_two_hops",
-    with_sql("cor om", "SELECT nw.src AS zone, h1.month, sum(weight * h1.y) AS y FROM nw JOIN h1 ON h1.zone = nw.dst GROUP BY 1, 2", "y").replace(" SELECT * REPLACE", ", " + _NB + "SELECT * REPLACE", 1),
+    with_sql("cor om", "SELECT nw.src AS zone, h1.month, sum(weight * h1.y) AS y FROM nw JOIN h1 ON h1.zone = nw.dst GROUP BY 1, 2", "y", extra=_NB),
 )
 def _(v):
     border = graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly").withColumn("weight", F.lit(1.0))

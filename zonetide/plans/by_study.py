@@ -79,7 +79,7 @@ _SER = "sm AS (SELECT month, sum(x) AS x, sum(y) AS y, max(x) AS xmax FROM pm GR
 
 @query(
     "st5_lagged_correlation",
-    with_sql("pm", " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({k} AS INTEGER) AS lag, corr({f}, ahead) AS r FROM (SELECT *, lead(y, {k}) OVER (ORDER BY month) AS ahead FROM sm)" for f in ("x", "xmax") for k in (0, 1, 3)), "r").replace(" SELECT * REPLACE", ", " + _SER + " SELECT * REPLACE", 1),
+    with_sql("pm", " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({k} AS INTEGER) AS lag, corr({f}, ahead) AS r FROM (SELECT *, lead(y, {k}) OVER (ORDER BY month) AS ahead FROM sm)" for f in ("x", "xmax") for k in (0, 1, 3)), "r", extra=_SER),
 )
 def _(v):
     s = v.pairs_m().groupBy("month").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("x").alias("xmax"))
@@ -93,7 +93,8 @@ def _(v):
         "daily",
         "SELECT CAST(k.lag AS INTEGER) AS lag, sum(a.x * b.x) / any_value(a.ss) AS acf FROM (SELECT unnest(range(61)) AS lag) k JOIN c a ON TRUE JOIN c b ON b.t = a.t + k.lag GROUP BY k.lag",
         "acf",
-    ).replace(" SELECT * REPLACE", ", c AS (SELECT row_number() OVER (ORDER BY date) AS t, n - avg(n) OVER () AS x, sum(n * n) OVER () - count(*) OVER () * avg(n) OVER () * avg(n) OVER () AS ss FROM daily) SELECT * REPLACE", 1),
+        extra="c AS (SELECT row_number() OVER (ORDER BY date) AS t, n - avg(n) OVER () AS x, sum(n * n) OVER () - count(*) OVER () * avg(n) OVER () * avg(n) OVER () AS ss FROM daily)",
+    ),
 )
 def _(v):
     return study.autocorrelation(v.daily().select("date", "n"), "date", "n", 60)
@@ -132,7 +133,7 @@ _PROF = (
 
 @query(
     "st8_profile_comparison",
-    with_sql("om tm", "SELECT zone, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r, avg(abs(x - y)) AS mean_abs, CAST(max(abs(x - y)) AS DOUBLE) AS max_abs, count(*) FILTER (x <> 0) AS months_x, count(*) FILTER (y <> 0) AS months_y FROM g GROUP BY zone", "r mean_abs max_abs").replace(" SELECT * REPLACE", ", " + _PROF + "SELECT * REPLACE", 1),
+    with_sql("om tm", "SELECT zone, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r, avg(abs(x - y)) AS mean_abs, CAST(max(abs(x - y)) AS DOUBLE) AS max_abs, count(*) FILTER (x <> 0) AS months_x, count(*) FILTER (y <> 0) AS months_y FROM g GROUP BY zone", "r mean_abs max_abs", extra=_PROF),
 )
 def _(v):
     year = F.year("month") == 1996
@@ -165,7 +166,7 @@ def _pairs(v):
     return study.before_after(v.treat_m(), v.outcome_m(), "zone", "month", "x", "y")
 
 
-@query("st10_before_after", with_sql("om tm", "SELECT zone, count(*) AS pairs, avg(prev - next) AS mean_drop FROM ba GROUP BY zone", "mean_drop").replace(" SELECT * REPLACE", ", " + _BA + "SELECT * REPLACE", 1))
+@query("st10_before_after", with_sql("om tm", "SELECT zone, count(*) AS pairs, avg(prev - next) AS mean_drop FROM ba GROUP BY zone", "mean_drop", extra=_BA))
 def _(v):
     return study.before_after_mean(_pairs(v), "zone")
 
@@ -177,7 +178,8 @@ def _(v):
         f"SELECT zone, pairs, mean_drop, median_drop, share_drop, t, CASE WHEN t IS NOT NULL THEN {_p('t', '(pairs - 1)')} END AS p FROM (SELECT zone, count(*) AS pairs, avg(prev - next) AS mean_drop, median(prev - next) AS median_drop, avg(CASE WHEN prev > next THEN 1.0 ELSE 0.0 END) AS share_drop, "
         "avg(prev - next) * sqrt(count(*)) / nullif(stddev_samp(prev - next), 0) AS t FROM ba GROUP BY zone HAVING count(*) >= 2)",
         "mean_drop median_drop share_drop t p",
-    ).replace(" SELECT * REPLACE", ", " + _BA + "SELECT * REPLACE", 1),
+        extra=_BA,
+    ),
 )
 def _(v):
     return study.paired_test(_pairs(v), "zone")
@@ -188,7 +190,7 @@ _NX = "nx AS (SELECT * FROM (SELECT zone, month, x, y, lead(month) OVER w AS nex
 
 @query(
     "st12_impact_patterns",
-    with_sql("pm", "SELECT zone, month, next_month, outcome_pct, treatment_pct, CASE WHEN next_y < y THEN 'positive' ELSE 'negative' END AS kind FROM ch WHERE next_x > x AND (next_y < y OR (next_y > y AND outcome_pct > 30))", "outcome_pct treatment_pct").replace(" SELECT * REPLACE", ", " + _NX + "SELECT * REPLACE", 1),
+    with_sql("pm", "SELECT zone, month, next_month, outcome_pct, treatment_pct, CASE WHEN next_y < y THEN 'positive' ELSE 'negative' END AS kind FROM ch WHERE next_x > x AND (next_y < y OR (next_y > y AND outcome_pct > 30))", "outcome_pct treatment_pct", extra=_NX),
 )
 def _(v):
     return study.impact_patterns(v.pairs_m(), "zone", "month", "x", "y").select("zone", "month", "next_month", "outcome_pct", "treatment_pct", "kind")
@@ -196,7 +198,7 @@ def _(v):
 
 @query(
     "st13_divergences",
-    with_sql("pm", "SELECT zone, month, outcome_pct, treatment_pct FROM ch WHERE (treatment_pct > 30 AND outcome_pct < -30) OR (treatment_pct < -30 AND outcome_pct > 30)", "outcome_pct treatment_pct").replace(" SELECT * REPLACE", ", " + _NX + "SELECT * REPLACE", 1),
+    with_sql("pm", "SELECT zone, month, outcome_pct, treatment_pct FROM ch WHERE (treatment_pct > 30 AND outcome_pct < -30) OR (treatment_pct < -30 AND outcome_pct > 30)", "outcome_pct treatment_pct", extra=_NX),
 )
 def _(v):
     return study.divergences(v.pairs_m(), "zone", "month", "x", "y").select("zone", "month", "outcome_pct", "treatment_pct")
@@ -247,7 +249,7 @@ def _(v):
 _FIT = "ft AS (SELECT zone, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r, sqrt(greatest(var_pop(y) - regr_slope(y, x) * covar_pop(x, y), 0) / var_pop(x) / (count(*) - 2)) AS stderr FROM pm GROUP BY zone) "
 
 
-@query("st15_linear_fit", with_sql("pm", f"SELECT zone, n, r, slope, intercept, stderr, {_p('(slope / stderr)', '(n - 2)')} AS p FROM ft", "r slope intercept stderr p").replace(" SELECT * REPLACE", ", " + _FIT + "SELECT * REPLACE", 1))
+@query("st15_linear_fit", with_sql("pm", f"SELECT zone, n, r, slope, intercept, stderr, {_p('(slope / stderr)', '(n - 2)')} AS p FROM ft", "r slope intercept stderr p", extra=_FIT))
 def _(v):
     return study.linear_fit(v.pairs_m(), ["zone"], "x", "y")
 

@@ -146,12 +146,12 @@ def _index(v, part):
 _IDX = "idx AS (SELECT zone, hour, count(*) AS n, count(*) / avg(count(*)) OVER (PARTITION BY zone) AS index FROM ev GROUP BY 1, 2), pk AS (SELECT zone, hour, n, index FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY index DESC, hour) AS rn FROM idx) WHERE rn = 1) "
 
 
-@query("w16_peaks", with_sql("ev", "SELECT zone, hour, n, index FROM pk", "index").replace(" SELECT * REPLACE", ", " + _IDX + "SELECT * REPLACE", 1))
+@query("w16_peaks", with_sql("ev", "SELECT zone, hour, n, index FROM pk", "index", extra=_IDX))
 def _(v):
     return agg.peaks(_index(v, "hour"), ["zone"], "hour").select("zone", "hour", "n", "index")
 
 
-@query("w17_peak_frequency", with_sql("ev", "SELECT hour, count(*) AS zones, count(*) * 100 / sum(count(*)) OVER () AS pct FROM pk GROUP BY hour", "pct").replace(" SELECT * REPLACE", ", " + _IDX + "SELECT * REPLACE", 1))
+@query("w17_peak_frequency", with_sql("ev", "SELECT hour, count(*) AS zones, count(*) * 100 / sum(count(*)) OVER () AS pct FROM pk GROUP BY hour", "pct", extra=_IDX))
 def _(v):
     return agg.peak_frequency(agg.peaks(_index(v, "hour"), ["zone"], "hour"), "hour")
 

@@ -198,8 +198,9 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_sql(needs: str, body: str, rnd: str = "") -> str:
-    """A query over named fragments, with the listed columns rounded."""
+def with_sql(needs: str, body: str, rnd: str = "", extra: str = "") -> str:
+    """A query over named fragments and ``extra`` ones given as text, with the
+    listed columns rounded."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -213,5 +214,5 @@ def with_sql(needs: str, body: str, rnd: str = "") -> str:
     if rnd:
         replaced = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in rnd.split())
         body = f"SELECT * REPLACE ({replaced}) FROM ({body})"
-    prefix = "WITH " + ", ".join(FRAGMENTS[n][1] for n in order) + " " if order else ""
-    return prefix + body
+    parts = [FRAGMENTS[n][1] for n in order] + ([extra.strip()] if extra else [])
+    return ("WITH " + ", ".join(parts) + " " if parts else "") + body
