@@ -97,27 +97,26 @@ def with_self_loops(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 def same_label_edges(nodes: DataFrame, key: str, label: str, k: int = 3, seed: int = 7) -> DataFrame:
     """Up to k reproducible pseudo-random partners inside each label group.
 
-    Members of a label stand on a seeded ring and link to the next k on it, so a
-    group of any size needs k links per node and never its pairs.  The ring is
-    ordered inside hash arcs; arcs are joined by passing on the first k members
-    of the arcs that follow.
+    Members of a label stand on a ring in the order of a seeded hash and link to
+    the next k on it, so a group of any size has k links per node and never its
+    pairs.  The ring is cut into 256 arcs that are ordered by separate tasks; an
+    arc passes over to the first members of the arcs that follow.
     """
-    spot = F.xxhash64(F.col(key), F.lit(seed))
-    arcs = 64
-    placed = nodes.filter(F.col(label).isNotNull()).select(
-        F.col(key).alias("src"), F.col(label).alias("_l"), spot.alias("_h"), F.pmod(F.shiftrightunsigned(spot, 58), F.lit(arcs)).alias("_a")
-    )
-    order = Window.partitionBy("_l", "_a").orderBy("_h", "src")
-    heads = placed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    # per label at most arcs * k heads, twice around the ring
-    around = heads.select("_l", "_a", "_r", F.col("src").alias("_s")).withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(arcs))))
-    ring = around.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct((F.col("_a") + F.col("_turn")).alias("p"), "_r", "_s"))).alias("_ring"))
-    ahead = order.rowsBetween(1, k)
-    own = F.transform(F.collect_list("src").over(ahead), lambda s: s)
-    linked = placed.withColumn("_own", own).join(ring, "_l")
-    beyond = F.transform(F.filter("_ring", lambda e: e["p"] > F.col("_a")), lambda e: e["_s"])
-    partners = F.slice(F.array_distinct(F.filter(F.concat("_own", F.slice(beyond, 1, k)), lambda s: s != F.col("src"))), 1, k)
-    return linked.select("src", F.explode(partners).alias("dst"), F.col("_l").alias("label"))
+    spot = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    arc = F.conv(F.substring(spot, 1, 2), 16, 10).cast("int")
+    placed = nodes.filter(F.col(label).isNotNull()).select(F.col(key).alias("src"), F.col(label).alias("label"), spot.alias("_h"), arc.alias("_a"))
+    order = Window.partitionBy("label", "_a").orderBy("_h", "src")
+    heads = placed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).select("label", "_a", "_r", "src")
+    # at most 256 * k heads per label, laid out twice so the ring closes
+    turns = heads.withColumn("_turn", F.explode(F.array(F.lit(0), F.lit(256))))
+    spots = F.struct((F.col("_a") + F.col("_turn")).alias("at"), F.col("_r").alias("r"), F.col("src").alias("id"))
+    rings = turns.groupBy("label").agg(F.array_sort(F.collect_list(spots)).alias("_ring"))
+    after = F.transform(F.slice(F.filter("_ring", lambda e: e["at"] > F.col("_a")), 1, k), lambda e: e["id"])
+    beyond = heads.select("label", "_a").distinct().join(rings, "label").select("label", "_a", after.alias("_beyond"))
+    own = F.collect_list("src").over(order.rowsBetween(1, k))
+    linked = placed.withColumn("_own", own).join(beyond, ["label", "_a"])
+    others = F.array_distinct(F.filter(F.slice(F.concat("_own", "_beyond"), 1, k), lambda s: s != F.col("src")))
+    return linked.select("src", F.explode(others).alias("dst"), "label")
 
 
 def score_edges(nodes: DataFrame, key: str, score: str, least: float = 0.3) -> DataFrame:

@@ -136,7 +136,11 @@ def _(v):
     return graph.with_self_loops(spatial.touching(v.polygon(), "poly", "ring"), v.polygon(), "poly")
 
 
-@query("gr5_same_label_edges")
+@query(
+    "gr5_same_label_edges",
+    "WITH r AS (SELECT c_custkey AS id, c_mktsegment AS label, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR) || '-7'), c_custkey) AS pos, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) "
+    "SELECT a.id AS src, b.id AS dst, a.label FROM r a JOIN r b ON b.label = a.label AND b.id <> a.id AND (b.pos - a.pos + a.n) % a.n BETWEEN 1 AND 3",
+)
 def _(v):
     return graph.same_label_edges(v.table("customer"), "c_custkey", "c_mktsegment", 3)
 
