@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonetide.operators import spatial
 from zonetide.session import scratch_path
 from zonetide.sources import files, geojson, wrapped
 
@@ -67,6 +68,20 @@ def test_geojson_multipolygon(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("m", 0, 4), ("m", 1, 4), ("p", 0, 4)]
 
 
+def test_holes_are_outside(spark, tmp_path):
+    outer, hole = [[0, 0], [9, 0], [9, 9], [0, 9], [0, 0]], [[3, 3], [6, 3], [6, 6], [3, 6], [3, 3]]
+    doc = {"features": [
+        {"properties": {"name": "ring"}, "geometry": {"type": "Polygon", "coordinates": [outer, hole]}},
+        {"properties": {"name": "full"}, "geometry": {"type": "Polygon", "coordinates": [[[x + 20, y] for x, y in outer]]}},
+    ]}
+    (tmp_path / "z.geojson").write_text(json.dumps(doc))
+    polys = geojson.read_features(spark, str(tmp_path), ["name"])
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 4.5, 4.5), (3, 8.0, 4.5), (4, 24.5, 4.5), (5, 12.0, 1.0)], "id int, x double, y double")
+    for size in (None, 1.0, 40.0):
+        got = spatial.points_in_polygons(pts, polys, "name", "ring", "x", "y", size, holes="holes")
+        assert {(r.id, r.name) for r in got.collect()} == {(1, "ring"), (3, "ring"), (4, "full")}
+
+
 def test_snapshot_folders(spark, tmp_path):
     folder = tmp_path / "faccoes_05_02_2024"
     folder.mkdir()

@@ -76,6 +76,15 @@ def edges(ring: Column) -> Column:
     )
 
 
+def polygon_edges(ring: Column, holes: Column | None = None) -> Column:
+    """Edges of the outer ring and of any holes; parity tells them apart."""
+    outer = edges(ring)
+    if holes is None:
+        return outer
+    inner = F.flatten(F.transform(holes, lambda h: edges(h)))
+    return F.concat(outer, F.coalesce(inner, F.slice(outer, 1, 0)))
+
+
 def crosses(edge: Column, x: Column, y: Column) -> Column:
     """Whether a ray from (x, y) to the right meets the edge; no division."""
     up = edge["y2"] > edge["y1"]

@@ -51,7 +51,7 @@ def typical_cell(polygons: DataFrame, ring: str) -> float:
     return float(median) / 2 if median else 1.0
 
 
-def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float) -> DataFrame:
+def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float, holes: str | None = None) -> DataFrame:
     """(poly_id, _edges, _cx, _cy): one row per grid cell under the bounding box.
 
     A cell keeps only the edges a ray to the right from inside it can meet, so a
@@ -62,7 +62,7 @@ def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float) -> Dat
     ys = F.transform(F.col(ring), lambda p: p["y"])
     boxed = polygons.select(
         poly_id,
-        geo.edges(F.col(ring)).alias("_all"),
+        geo.polygon_edges(F.col(ring), None if holes is None else F.col(holes)).alias("_all"),
         F.sequence(_cell(F.array_min(xs), size), _cell(F.array_max(xs), size)).alias("_xs"),
         F.sequence(_cell(F.array_min(ys), size), _cell(F.array_max(ys), size)).alias("_ys"),
     )
@@ -78,16 +78,18 @@ def cell_cover(polygons: DataFrame, poly_id: str, ring: str, size: float) -> Dat
 
 
 def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, poly_id: str, ring: str, x: str, y: str, size: float | None = None, how: str = "inner"
+    points: DataFrame, polygons: DataFrame, poly_id: str, ring: str, x: str, y: str, size: float | None = None, how: str = "inner",
+    holes: str | None = None,
 ) -> DataFrame:
     """Points with the polygon they lie strictly inside of.
 
     Overlapping polygons give one row each.  With ``how='left'`` points outside
     every polygon keep a null id.  A hot cell is split by the adaptive skew join.
-    The cell size follows the polygons unless given.
+    The cell size follows the polygons unless given; ``holes`` may name a column
+    of inner rings.
     """
     size = typical_cell(polygons, ring) if size is None else size
-    cover = cell_cover(polygons, poly_id, ring, size)
+    cover = cell_cover(polygons, poly_id, ring, size, holes)
     celled = points.withColumn("_cx", _cell(F.col(x), size)).withColumn("_cy", _cell(F.col(y), size))
     hit = geo.within(F.col("_edges"), F.col(x), F.col(y))
     if how == "inner":

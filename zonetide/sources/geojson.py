@@ -18,7 +18,8 @@ def _schema(properties: Sequence[str]) -> T.StructType:
 
 
 def read_features(spark: SparkSession, path: str, properties: Sequence[str], with_path: bool = False, multi_line: bool = True) -> DataFrame:
-    """One row per polygon part: properties, ``part`` number and outer ``ring``."""
+    """One row per polygon part: properties, ``part`` number, outer ``ring`` and
+    ``holes`` (inner rings, possibly none)."""
     docs = spark.read.schema(_schema(properties)).option("multiLine", multi_line).json(path)
     extra = [F.col("_metadata.file_path").alias("file_path")] if with_path else []
     rows = docs.select(*extra, F.explode("features").alias("f"))
@@ -27,8 +28,9 @@ def read_features(spark: SparkSession, path: str, properties: Sequence[str], wit
     polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(single)).when(F.col("f.geometry.type") == "MultiPolygon", many)
     keep = [F.col("file_path")] if with_path else []
     parts = rows.select(*keep, "f.properties.*", F.posexplode(polygons).alias("part", "p"))
-    ring = F.transform(F.element_at("p", 1), lambda c: F.struct(F.element_at(c, 1).alias("x"), F.element_at(c, 2).alias("y")))
-    return parts.withColumn("ring", ring).drop("p")
+    rings = F.transform("p", lambda r: F.transform(r, lambda c: F.struct(F.element_at(c, 1).alias("x"), F.element_at(c, 2).alias("y"))))
+    parts = parts.withColumn("p", rings)
+    return parts.withColumns({"ring": F.element_at("p", 1), "holes": F.slice("p", F.lit(2), F.size("p"))}).drop("p")
 
 
 def write_features(df: DataFrame, path: str, properties: Sequence[str], ring: str, per_file: Sequence[str] = ()) -> None:
