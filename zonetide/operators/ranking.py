@@ -58,6 +58,7 @@ def average_rank(
 ) -> DataFrame:
     """Rank from 1 with ties averaged, or that rank over the group size.
 
+    ``df`` is read twice, so write it first where it is costly to derive.
     ``bounded`` says that a group is as long as a calendar at most; it is then
     ranked by plain windows on one shuffle.
     """
