@@ -141,6 +141,13 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
         size *= 4
 
 
+def first_zone(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str, default: str) -> DataFrame:
+    """One polygon per point, the smallest id where several overlap, and a
+    default where there is none."""
+    hits = points_in_polygons(points, polygons, poly_id, ring, x, y, how="left")
+    return hits.groupBy(point_id).agg(F.coalesce(F.min(F.col(poly_id).cast("string")), F.lit(default)).alias(poly_id))
+
+
 def assign_zones(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str) -> DataFrame:
     """(point_id, poly_id, fallback): the polygon around each point, else the one
     with the nearest centroid."""

@@ -25,6 +25,11 @@ def _(v):
     return hits.select("id", F.coalesce("poly", F.lit(-1)).alias("poly"))
 
 
+@query("x1_first_match_default", with_sql("pip", "SELECT pt.id, coalesce(min(CAST(pip.poly AS VARCHAR)), 'SEM_AID') AS poly FROM pt LEFT JOIN pip ON pip.id = pt.id GROUP BY pt.id"))
+def _(v):
+    return spatial.first_zone(v.point(), v.polygon(), "id", "poly", "ring", "lon", "lat", "SEM_AID")
+
+
 @query(
     "x2_nearest_fallback",
     with_sql(
