@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.llm.components import components
-from zonetide.llm.textscan import Prefix, Words, buffers, mixed, signed, slices, spread
+from zonetide.llm.textscan import SLICE_BYTES, Prefix, Words, buffers, mixed, signed, slices, spread
 from zonetide.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
-FRAGMENT_ROWS = 4 << 20  # shingles of one fragment in one task
+FRAGMENT_ROWS = 2 << 20  # shingles of one fragment in one task
 SEGMENTS = 8  # fragments in which the overlap of a pair is counted
 STAR_SLOTS = (1, 8)  # representatives of a candidate group in the first rounds
 TOKEN_BITS = 40
@@ -95,7 +95,7 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, size=16 << 20):
+            for part in slices(batch, size=2 * SLICE_BYTES):
                 doc, hashes, n, node = shingle_sets(part["text"], width)
                 own = np.zeros(len(n), bool)
                 own[np.unique(node, return_index=True)[1]] = True

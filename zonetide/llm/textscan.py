@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -40,7 +40,7 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of them."""
-    return _powers_of(max(SLICE_BYTES + 1, 1 << max(1, n).bit_length()))
+    return _powers_of(2 * SLICE_BYTES + 1 if n <= 2 * SLICE_BYTES + 1 else 1 << n.bit_length())
 
 
 class Prefix:
