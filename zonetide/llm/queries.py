@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonetide.llm.bpe import encode_decode, read_file, token_counts
 from zonetide.llm.jaccard import jaccard_components
 from zonetide.llm.suffix import without_repeats
 from zonetide.llm.unitigs import without_repeated_words
@@ -21,11 +23,24 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(_documents(spark, sf_dir), read_file(public_tokenizers.path("word_bpe_49k.json")))
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(_documents(spark, sf_dir), read_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeated_words(_documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2(F.col("_cut.kept").cast("binary"), 256).alias("kept_sha256"))
@@ -33,7 +48,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
