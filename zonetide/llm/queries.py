@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.llm.bpe import encode_decode, read_file, token_counts
+from zonetide.llm.fingerprint import as_text, edited_fingerprints, likeness
 from zonetide.llm.jaccard import jaccard_components
+from zonetide.llm.mixing import mix
 from zonetide.llm.suffix import without_repeats
 from zonetide.llm.unitigs import without_repeated_words
 
@@ -23,6 +25,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_fingerprints(_documents(spark, sf_dir))
+    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(fp).alias("fingerprint"),
+        as_text(edited).alias("edited_fingerprint"), likeness(fp, edited).alias("near_edited"), likeness(fp, after).alias("near_next"),
+    )
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_documents(spark, sf_dir), read_file(public_tokenizers.path("word_bpe_49k.json")))
     return coded.select(
@@ -48,6 +63,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_source_mixing": op3_source_mixing,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_counts": op8_token_counts,
