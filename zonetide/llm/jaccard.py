@@ -26,8 +26,8 @@ from zonetide.session import cut_lineage
 WIDTH = 5
 PERCENT = 80
 FRAGMENT_ROWS = 2 << 20  # shingles of one fragment in one task
-SEGMENTS = 8  # fragments in which the overlap of a pair is counted
-STAR_SLOTS = (1, 8)  # representatives of a candidate group in the first rounds
+SEGMENTS = 4  # fragments in which the overlap of a pair is counted
+STAR_SLOTS = (1, 4, 16)  # representatives of a candidate group in the first rounds
 TOKEN_BITS = 40
 
 
@@ -186,9 +186,10 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``sets`` is the table of :func:`shared_shingles`.  Two sets meet if they share
     a shingle among the rarest of the longer (1 + n - percent of n) and of the
     shorter (1 + n - 2 percent / (100 + percent) of n), which every linked pair
-    does.  The first rounds hold each group of sets with one rare shingle against a
-    few of its members, so a large group of near copies joins up without its
-    pairs; the last round takes every pair that is still in two components.
+    does.  In the first rounds each set is held against one representative, of
+    those of its rare shingles the one that most of them have, so a large group of
+    near copies joins up without its pairs; the last round takes every pair that is
+    still in two components.
     """
     spark = sets.sparkSession
     n, s = F.col("n"), F.size("tokens")
@@ -222,9 +223,11 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             x.join(y, ["token", "band"])
             .filter((F.struct("x_n", "x_node") < F.struct("n", "node")) & (F.col("x_n") * 100 >= F.col("n") * percent) & (F.col("x_comp") != F.col("comp")))
             .filter(F.least("x_s", "s") * (100 + percent) >= both * percent)  # no more than the shared part can overlap
-            .groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.first(both).alias("both"))
+            .groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.first(both).alias("both"), F.count(F.lit(1)).alias("k"))
             .join(tested, ["x", "y"], "left_anti")
         )
+        if slots:
+            pairs = pairs.groupBy("y").agg(F.max(F.struct("k", "x", "both")).alias("best")).select("best.x", "y", "best.both")
         pairs = cut_lineage(pairs, "pairs")
         if pairs.isEmpty():
             continue
