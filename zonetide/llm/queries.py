@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from zonetide.llm.bpe import encode_decode, read_file, token_counts
 from zonetide.llm.fingerprint import as_text, edited_fingerprints, likeness
 from zonetide.llm.jaccard import jaccard_components
+from zonetide.llm.language import labelled_sample, predict, train
 from zonetide.llm.mixing import mix
+from zonetide.llm.quality import classified
+from zonetide.llm.stages import held_out
 from zonetide.llm.suffix import without_repeats
 from zonetide.llm.unitigs import without_repeated_words
+from zonetide.llm.vectors import linked_vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_documents(spark, sf_dir), read_file(public_tokenizers.path("word_bpe_49k.json")))
     return coded.select(
@@ -46,6 +55,11 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return classified(_documents(spark, sf_dir), labels.filter("quality = 1").select("doc_id"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans", F.sha2("_cut.kept", 256).alias("kept_sha256"))
@@ -61,14 +75,24 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "_cut.n_words", "_cut.n_removed", F.sha2(F.col("_cut.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", held_out())
+    model = train(labelled_sample(docs.filter("not held_out")))
+    return predict(docs, model).select("doc_id", "held_out", F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_source_mixing": op3_source_mixing,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
