@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.session import cut_lineage
 
 
+def grow_forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of a[i] and b[i] in place, inside one task; a root is the least of its tree."""
+    while len(a):
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     return tuple(row)

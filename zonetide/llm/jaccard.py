@@ -3,8 +3,8 @@
 The global order of shingles (rarest first) is cut into fragments.  Each fragment
 counts, apart from the others, how much of every document is shared; the sums per
 document leave only those that can have a partner.  Candidates come from the
-rarest part of each document, and the overlap of a candidate pair is counted per
-fragment and summed per pair.  Equal sets are one node throughout.
+rarest part of each document, and the overlap of a pair is counted per fragment
+and summed per pair.  Equal sets are one node throughout.
 
 Sets are known by 64-bit hashes, of shingles and of whole sets.
 """
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.components import components
+from zonetide.llm.components import components, grow_forest
 from zonetide.llm.textscan import SLICE_BYTES, Prefix, Words, buffers, mixed, signed, slices, spread
 from zonetide.session import cut_lineage
 
@@ -27,7 +27,7 @@ WIDTH = 5
 PERCENT = 80
 FRAGMENT_ROWS = 2 << 20  # shingles of one fragment in one task
 SEGMENTS = 4  # fragments in which the overlap of a pair is counted
-STAR_SLOTS = (1, 4, 16)  # representatives of a candidate group in the first rounds
+TILE = 4096  # sets on one side of a task
 TOKEN_BITS = 40
 
 
@@ -180,67 +180,121 @@ def _groups(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist()))
 
 
-def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the sets that link with another one.
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, s, token, index, band): the rarest shingles of each set.
 
-    ``sets`` is the table of :func:`shared_shingles`.  Two sets meet if they share
-    a shingle among the rarest of the longer (1 + n - percent of n) and of the
-    shorter (1 + n - 2 percent / (100 + percent) of n), which every linked pair
-    does.  In the first rounds each set is held against one representative, of
-    those of its rare shingles the one that most of them have, so a large group of
-    near copies joins up without its pairs; the last round takes every pair that is
-    still in two components.
+    A linked pair shares one among the rarest of the longer set (1 + n - percent of
+    n) and of the shorter (1 + n - 2 percent / (100 + percent) of n; ``index``).
+    Sizes of linked sets fall into one band or into neighbouring ones.
     """
-    spark = sets.sparkSession
     n, s = F.col("n"), F.size("tokens")
     long = n - F.ceil(n * percent / 100) + 1 - (n - s)
     short = n - F.ceil(n * 2 * percent / (100 + percent)) + 1 - (n - s)
-    rare = cut_lineage(
-        sets.select("node", "n", s.alias("s"), short.alias("short"), F.posexplode(F.slice("tokens", 1, F.greatest(long, F.lit(0)).cast("int"))).alias("at", "token"))
-        .select(
-            "node", "n", "s", "token", (F.col("at") < F.col("short")).alias("index"),
-            F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long").alias("band"),
-        ), "rare",
+    return sets.select(
+        "node", "n", s.alias("s"), short.alias("short"),
+        F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("long").alias("band"),
+        F.posexplode(F.slice("tokens", 1, F.greatest(long, F.lit(0)).cast("int"))).alias("at", "token"),
+    ).select("node", "n", "s", "band", "token", (F.col("at") < F.col("short")).alias("index"))
+
+
+def _meeting(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Rows (x, y, both) for each shared rare shingle of two sets, x the shorter, that can link by their sizes."""
+    both = F.col("x_n") + F.col("n")
+    reach = y.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    return (
+        x.join(reach, ["token", "band"])
+        .filter((F.struct("x_n", "x_node") < F.struct("n", "node")) & (F.col("x_n") * 100 >= F.col("n") * percent))
+        .filter(F.least("x_s", "s") * (100 + percent) >= both * percent)  # the overlap is within the shared parts
+        .withColumn("both", both)
+    )
+
+
+def _within_clusters(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(x, y): a spanning forest of the links inside each cluster.
+
+    Tasks hold two tiles of a cluster, count the shared shingles of their pairs
+    fragment by fragment, sum per pair, and return trees instead of pairs.
+    """
+    sized = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
+    placed = clusters.join(sized, "cluster").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "cluster", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), (F.col("tile") > F.col("other")).alias("second"), "node", "n", "tokens",
+    )
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, n, second = (table[c].to_numpy() for c in ("node", "n", "second"))
+        lists = table["tokens"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        token, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), size)
+        side = np.flatnonzero(~second)
+        others = np.flatnonzero(second) if table["left"][0].as_py() != table["right"][0].as_py() else side
+        parent = np.arange(len(node))
+        first = ~second[owner]
+        by = np.lexsort((owner[first], token[first], token[first] % SEGMENTS))
+        posted, holder = token[first][by], owner[first][by]
+        edge = np.searchsorted(posted % SEGMENTS, np.arange(SEGMENTS + 1))
+        fragments = [(posted[a:b], holder[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+        ends = np.cumsum(size)
+        for y in others.tolist() if len(side) else ():
+            mine = token[ends[y] - size[y] : ends[y]]
+            overlap = np.zeros(len(node), np.int64)
+            for v, (tokens, holders) in enumerate(fragments):
+                part = mine[mine % SEGMENTS == v]
+                low = np.searchsorted(tokens, part)
+                row, at = spread(np.searchsorted(tokens, part, "right") - low)
+                overlap += np.bincount(holders[low[row] + at], minlength=len(node))
+            linked = np.flatnonzero((overlap * (100 + percent) >= percent * (n + n[y])) & (overlap > 0))
+            linked = linked[linked != y]
+            grow_forest(parent, linked, np.full(len(linked), y))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        hit = parent != np.arange(len(node))
+        return pa.table({"x": signed(node[parent[hit]]), "y": signed(node[hit])})
+
+    return tiled.groupBy("cluster", "left", "right").applyInArrow(count, "x long, y long")
+
+
+def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the sets that link with another one.
+
+    ``sets`` is the table of :func:`shared_shingles`.  Sets meet by their rare
+    shingles.  At first each set meets one representative, of those of its rare
+    shingles the one that most of them have; that makes clusters, whose pairs are
+    counted inside tasks, so near copies of one text join up without a row per pair.
+    Then every pair that lies in two clusters and two components is counted, by
+    fragments that are summed per pair.
+    """
+    rare = cut_lineage(_rare(sets, percent), "rare")
+    named = [F.col(c).alias(f"x_{c}") for c in ("node", "n", "s")]
+    head = rare.filter("index").groupBy("token", "band").agg(F.min(F.struct("n", "node", "s")).alias("h")).select("token", "band", "h.*")
+    meet = _meeting(head.select("token", "band", *named), rare, percent)
+    best = (
+        meet.groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+        .groupBy("y").agg(F.max(F.struct("k", "x")).alias("b")).select("b.x", "y")
+    )
+    clusters = cut_lineage(components(best, "x", "y").withColumnRenamed("component", "cluster"), "clusters")
+    links = cut_lineage(_within_clusters(sets, clusters, percent), "links")
+    found = components(links, "x", "y")
+    now = (
+        rare.join(clusters, "node", "left").join(found, "node", "left")
+        .withColumn("cluster", F.coalesce("cluster", "node")).withColumn("comp", F.coalesce("component", "node")).drop("component")
     )
-    parts = cut_lineage(
-        sets.select("node", F.explode(F.transform(F.array(*[F.lit(i) for i in range(SEGMENTS)]), lambda i: F.struct(
-            i.alias("part"), F.filter("tokens", lambda t: F.pmod(t, F.lit(SEGMENTS)) == i).alias("tokens")))).alias("p"))
-        .select("node", "p.part", "p.tokens").filter(F.size("tokens") > 0), "parts",
+    index = now.filter("index").select("token", "band", *named, F.col("cluster").alias("x_cluster"), F.col("comp").alias("x_comp"))
+    across = _meeting(index, now.drop("index"), percent).filter((F.col("x_cluster") != F.col("cluster")) & (F.col("x_comp") != F.col("comp")))
+    pairs = cut_lineage(across.groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.first("both").alias("both")), "pairs")
+    if pairs.isEmpty():
+        return found
+    parts = sets.select("node", F.explode(F.transform(F.array(*[F.lit(i) for i in range(SEGMENTS)]), lambda i: F.struct(
+        i.alias("part"), F.filter("tokens", lambda t: F.pmod(t, F.lit(SEGMENTS)) == i).alias("tokens")))).alias("p"))
+    parts = parts.select("node", "p.part", "p.tokens").filter(F.size("tokens") > 0)
+    partial = (
+        pairs.join(parts.select(F.col("node").alias("x"), "part", F.col("tokens").alias("tx")), "x")
+        .join(parts.select(F.col("node").alias("y"), "part", F.col("tokens").alias("ty")), ["y", "part"])
+        .select("x", "y", "both", F.size(F.array_intersect("tx", "ty")).cast("long").alias("o"))
     )
-    empty = spark.createDataFrame([], "x long, y long")
-    links, tested = empty, empty
-    found = spark.createDataFrame([], "node long, component long")
-    for slots in (*STAR_SLOTS, None):
-        now = rare.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        index = now.filter("index")
-        if slots:
-            head = F.min(F.struct("n", "node", "s", "comp")).alias("h")
-            index = index.groupBy("token", "band", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot")).agg(head).select("token", "band", "h.*")
-        x = index.select("token", "band", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "s", "comp")))
-        y = now.select("token", "node", "n", "s", "comp", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-        both = F.col("x_n") + F.col("n")
-        pairs = (
-            x.join(y, ["token", "band"])
-            .filter((F.struct("x_n", "x_node") < F.struct("n", "node")) & (F.col("x_n") * 100 >= F.col("n") * percent) & (F.col("x_comp") != F.col("comp")))
-            .filter(F.least("x_s", "s") * (100 + percent) >= both * percent)  # no more than the shared part can overlap
-            .groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.first(both).alias("both"), F.count(F.lit(1)).alias("k"))
-            .join(tested, ["x", "y"], "left_anti")
-        )
-        if slots:
-            pairs = pairs.groupBy("y").agg(F.max(F.struct("k", "x", "both")).alias("best")).select("best.x", "y", "best.both")
-        pairs = cut_lineage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        partial = (
-            pairs.join(parts.select(F.col("node").alias("x"), "part", F.col("tokens").alias("tx")), "x")
-            .join(parts.select(F.col("node").alias("y"), "part", F.col("tokens").alias("ty")), ["y", "part"])
-            .select("x", "y", "both", F.size(F.array_intersect("tx", "ty")).cast("long").alias("o"))
-        )
-        new = partial.groupBy("x", "y").agg(F.first("both").alias("both"), F.sum("o").alias("o")).filter(F.col("o") * (100 + percent) >= F.col("both") * percent)
-        links = cut_lineage(links.unionByName(new.select("x", "y")), "links")
-        tested = tested.unionByName(pairs.select("x", "y"))
-        found = components(links, "x", "y")
-    return found
+    more = partial.groupBy("x", "y").agg(F.first("both").alias("both"), F.sum("o").alias("o")).filter(F.col("o") * (100 + percent) >= F.col("both") * percent)
+    return components(links.unionByName(more.select("x", "y")), "x", "y")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.components import components
+from zonetide.llm.components import components, grow_forest
 from zonetide.llm.textscan import signed
 from zonetide.session import cut_lineage
 
@@ -50,20 +50,6 @@ def valid(vector: str) -> F.Column:
     return F.coalesce(F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the trees of a[i] and b[i] in place; a root is the least of its tree."""
-    while len(a):
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-        a, b = parent[a], parent[b]
-        apart = a != b
-        a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def _near(x: np.ndarray, y: np.ndarray, same: bool, block: int, least: float, parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of linked pairs of x and y (rotated units) whose first near block is ``block``."""
     reach = 2 - 2 * least
@@ -174,7 +160,7 @@ def linked_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
             a, b = left[a], right[b]
             np.add.at(links, a, m[b])
             np.add.at(links, b, m[a])
-            _forest(parent, a, b)
+            grow_forest(parent, a, b)
         while (parent[parent] != parent).any():
             parent = parent[parent]
         hit = links > 0
