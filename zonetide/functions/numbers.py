@@ -39,7 +39,8 @@ def percent_change(now: Column, base: Column, mode: str = "null") -> Column:
 
 
 def clip(col: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(col, F.lit(low)), F.lit(high))
+    """The value held between two bounds; null stays null."""
+    return F.when(col < low, F.lit(low)).when(col > high, F.lit(high)).otherwise(col)
 
 
 def cap_scale(col: Column, cap: Column) -> Column:
@@ -55,8 +56,9 @@ def intensity(a: Column, b: Column, c: Column, weights=(0.4, 0.3, 0.3)) -> Colum
 
 def rule_score(flag: Column, kilos: Column, both: Column, count: Column) -> Column:
     """3 * flag + 2 * min(kilos, 10) + 2 * both + 0.1 * count."""
-    return flag.cast("double") * 3 + F.least(kilos, F.lit(10.0)) * 2 + both.cast("double") * 2 + count * 0.1
+    return flag.cast("double") * 3 + F.when(kilos > 10, 10.0).otherwise(kilos) * 2 + both.cast("double") * 2 + count * 0.1
 
 
 def destandardise(col: Column, mean: Column, sd: Column) -> Column:
-    return F.greatest(col * sd + mean, F.lit(0.0))
+    """Back to the scale of counts, at least 0; null stays null."""
+    return F.when(col * sd + mean < 0, 0.0).otherwise(col * sd + mean)

@@ -148,11 +148,16 @@ DECIMAL_PAIR = r"(-?\d+\.\d+),?\s*(-?\d+\.\d+)"
 # Patterns of the structured narratives.
 DATE_FIELD = r"01\s*-\s*DATA[:\s]+(\d{1,2})/(\d{1,2})/(\d{4})"
 PLACE_FIELD = r"MUNIC[IÍ]PIO[:\s-]+([A-ZÁÉÍÓÚ\s]+?)(?:-CE|-SP|$|\n)"
-NATURE_NUMBER = r"(?is)10\s*-\s*NATUREZA[^:]*:[^0-9]*([0-9]+)"
-NATURE_TEXT = r"(?i)NATUREZA.*?:\s*([^\n]+)"
-WEAPON_NUMBER = r"(?i)(\d+)\s+(?:REVÓLVER|REVOLVER|PISTOLA|FUZIL|ESCOPETA|METRALHADORA|CARABINA)"
-WEAPON_WORD = r"(?i)(?:UMA|UM)\s+(?:REVÓLVER|REVOLVER|PISTOLA|FUZIL)"
-MASS_GENERIC = r"(?i)(\d+(?:\.\d+)?)\s*G[RAMA]*\s+(?:de\s+)?(?:DROGAS?|COCAÍNA|CRACK|MACONHA)"
+NATURE_NUMBER = r"(?iuU)10\s*-\s*NATUREZA[^:]*:[^0-9]*([0-9]+)(?:\s*-\s*([^\n]+?))?(?=\n\d{2}\s*-|\z)"
+NATURE_TEXT = r"(?iuU)NATUREZA[^\n]*?:\s*([^\n]+)"
+WEAPON_NUMBER = r"(?iuU)(\d+)\s+(?:REVÓLVER|REVOLVER|PISTOLA|FUZIL|ESCOPETA|METRALHADORA|CARABINA)"
+WEAPON_WORD = r"(?iuU)(?:UMA|UM)\s+(?:REVÓLVER|REVOLVER|PISTOLA|FUZIL)"
+MASS_GENERIC = r"(?iuU)(\d+(?:\.\d+)?)\s*G[RAMA]*\s+(?:de\s+)?(?:DROGAS?|COCAÍNA|CRACK|MACONHA)"
+MASS_COCAINE = r"(?iuU)COCAÍNA\s*\(PESO EM GRAMA[S]?\)[:\s]+([\d\.]+)\s*(?:PAPELOTES|G|GR|GRAMA)"
+MASS_MARIJUANA = r"(?iuU)MACONHA\s*\(PESO EM GRAMA[S]?\)[:\s]+([\d\.\s,;PAPELOTES\(\)GRT]+)"
+MASS_MARIJUANA_PARTS = r"(\d+(?:\.\d+)?)\s*(?:PAPELOTES|G|GRAMA|TABLETES)"
+PACKET_GRAMS = 10.0
+DMS_TEXT = r"""(-\d+)°(\d+)['°](\d+)["']?([NSEW])?,?\s*(-?\d+)°(\d+)['°](\d+)["']?([NSEW])?"""
 
 
 def _first_group(text: Column, patterns: Sequence[str]) -> Column:
@@ -177,6 +182,9 @@ def narrative_fields(df: DataFrame, text: str) -> DataFrame:
     grams = number.try_cast("double") * F.when(mass.contains("kg"), 1000.0).otherwise(1.0)
     pair = F.concat_ws(",", F.nullif(F.regexp_extract("_pair", DECIMAL_PAIR, 1), F.lit("")), F.nullif(F.regexp_extract("_pair", DECIMAL_PAIR, 2), F.lit("")))
     lat, lon = geo.parse_lat_lon(pair)
+    degrees = F.when(F.col("_pair").isNull(), F.regexp_extract(text, DMS_TEXT, 0))
+    dms_lat, dms_lon = geo.parse_coordinates(degrees)
+    lat, lon = F.coalesce(lat, dms_lat), F.coalesce(lon, dms_lon)
     out = found.withColumns({
         "people": F.coalesce(F.col("_people").try_cast("int"), F.lit(0)), "grams": F.coalesce(grams, F.lit(0.0)),
         "weapons": F.coalesce(F.col("_weapons").try_cast("int"), F.lit(0)), "lat": lat, "lon": lon,
@@ -192,8 +200,15 @@ def structured_narrative_fields(df: DataFrame, text: str, registered: str, lat:
         F.concat_ws("-", F.regexp_extract(t, DATE_FIELD, 3), F.lpad(F.regexp_extract(t, DATE_FIELD, 2), 2, "0"), F.lpad(F.regexp_extract(t, DATE_FIELD, 1), 2, "0")),
         "yyyy-MM-dd",
     )
-    numbers = F.regexp_extract_all(t, F.lit(MASS_GENERIC), F.lit(1))
-    grams = F.aggregate(numbers, F.lit(0.0), lambda s, n: s + F.coalesce(n.try_cast("double"), F.lit(0.0)))
+    def total(numbers: Column) -> Column:
+        return F.coalesce(F.aggregate(numbers, F.lit(0.0), lambda s, n: s + F.coalesce(n.try_cast("double"), F.lit(0.0))), F.lit(0.0))
+
+    packets = F.regexp_extract(F.regexp_extract(t, MASS_COCAINE, 1), MASS_VALUE, 1).try_cast("double")
+    block = F.regexp_extract(t, MASS_MARIJUANA, 1)
+    grams = (
+        total(F.regexp_extract_all(t, F.lit(MASS_GENERIC), F.lit(1))) + total(F.regexp_extract_all(block, F.lit(MASS_MARIJUANA_PARTS), F.lit(1)))
+        + F.coalesce(packets * PACKET_GRAMS, F.lit(0.0))
+    )
     counted = F.aggregate(F.regexp_extract_all(t, F.lit(WEAPON_NUMBER), F.lit(1)), F.lit(0), lambda s, n: s + F.coalesce(n.try_cast("int"), F.lit(0)))
     worded = F.size(F.regexp_extract_all(t, F.lit(WEAPON_WORD), F.lit(0)))
     number = F.nullif(F.regexp_extract(t, NATURE_NUMBER, 1), F.lit(""))

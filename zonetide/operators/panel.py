@@ -43,8 +43,10 @@ def densify(
 
     Each row emits its own date and the gap up to the zone's next date, so the
     grid needs neither a cross join nor a second shuffle: the output stays
-    partitioned by zone for the windows that follow.
+    partitioned by zone for the windows that follow.  Rows without a date belong
+    to no day and are left out.
     """
+    counts = counts.filter(F.col(date).isNotNull())
     if low is not None:
         counts = counts.filter(F.col(date) >= low)
     if high is not None:

@@ -24,19 +24,34 @@ def effective_start(events: DataFrame, date: str, start: Column, end: Column, fa
     return F.when(rows > 0, start).otherwise(F.date_sub(end, fallback_days))
 
 
-def recommendations(predictions: DataFrame, events: DataFrame, zone: str, date: str, outcome: Column, risk: str, start: Column, end: Column, top: int = 15, shown: int = 10) -> DataFrame:
-    """Action, priority, team delta and confidence of the riskiest zones."""
+def recommendations(
+    predictions: DataFrame, events: DataFrame, zone: str, date: str, outcome: Column, risk: str, start: Column, end: Column, top: int = 15, shown: int = 10,
+    second: Column | None = None, labels: DataFrame | None = None, label: str = "label", unknown: str = "DESCONHECIDA",
+) -> DataFrame:
+    """Action, priority, team delta and confidence of the riskiest zones that have events.
+
+    An empty window is widened to the 90 days before its end.  ``second`` counts
+    another kind of events in both windows; ``labels`` (zone, label) adds the
+    dominant label, with a default.  Filter ``events`` to a region beforehand.
+    """
+    start = effective_start(events, date, start, end)
     days = F.datediff(end, start)
     d = F.col(date)
-    picked = top_k(predictions.select(zone, risk), [F.col(risk).desc(), F.col(zone)], top)
+    known = predictions.join(events.select(zone).distinct(), zone, "left_semi")
+    picked = top_k(known.select(zone, risk), [F.col(risk).desc(), F.col(zone)], top)
+    others = {} if second is None else {"others": F.count_if(second & (d >= start)), "others_history": F.count_if(second)}
     window = events.filter(d.between(F.date_sub(start, days), end)).join(picked.select(zone), zone, "left_semi")
     recent = window.groupBy(zone).agg(
         F.count_if(outcome & (d >= start)).alias("outcomes"),
         F.count_if(outcome).alias("outcomes_history"),
         F.count_if(d >= start).alias("events"),
         F.count_if(d < start).alias("events_before"),
+        *[e.alias(n) for n, e in others.items()],
     )
-    rows = picked.join(recent, zone, "left").na.fill(0, subset=["outcomes", "outcomes_history", "events", "events_before"])
+    rows = picked.join(recent, zone, "left").na.fill(0, subset=["outcomes", "outcomes_history", "events", "events_before", *others])
+    if labels is not None:
+        named = F.when(F.col(label) != "-", F.col(label))
+        rows = rows.join(labels.select(zone, label), zone, "left").withColumn(label, F.coalesce(named, F.lit(unknown)))
     trend = percent_change(F.col("events"), F.col("events_before"), "hundred")
     rows = rows.withColumn("trend", trend)
     history, now, r = F.col("outcomes_history"), F.col("outcomes"), F.col(risk)

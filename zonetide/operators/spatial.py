@@ -150,10 +150,11 @@ def first_zone(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: s
 
 def assign_zones(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str) -> DataFrame:
     """(point_id, poly_id, fallback): the polygon around each point, else the one
-    with the nearest centroid."""
+    with the nearest centroid; a point without coordinates has none."""
     hits = cut_lineage(points_in_polygons(points.select(point_id, x, y), polygons, poly_id, ring, x, y, how="left"), "hits")
-    inside = hits.filter(F.col(poly_id).isNotNull()).select(point_id, poly_id, F.lit(False).alias("fallback"))
-    lost = hits.filter(F.col(poly_id).isNull()).select(point_id, x, y)
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    inside = hits.filter(F.col(poly_id).isNotNull() | ~known).select(point_id, poly_id, F.lit(False).alias("fallback"))
+    lost = hits.filter(F.col(poly_id).isNull() & known).select(point_id, x, y)
     seats = centroids(polygons, poly_id, ring).select(poly_id, F.col("x").alias(x), F.col("y").alias(y))
     near = nearest_sites(lost, seats, point_id, poly_id, x, y).select(point_id, poly_id, F.lit(True).alias("fallback"))
     return inside.unionByName(near)

@@ -74,7 +74,11 @@ def centred_mean(panel: DataFrame, zone: str, date: str, value: str, reach: int
 
 
 def label_changes(snapshots: DataFrame, zone: str, date: str, labels: str) -> DataFrame:
-    """One row per new label of a zone whose label set differs from before."""
+    """One row per new label of a zone whose label set differs from before.
+
+    A zone that loses all its labels changes to none: an empty set at a snapshot
+    gives one row with a null new label.
+    """
     before = F.lag(labels).over(_by(zone, date))
     return (
         snapshots.withColumn("_old", before)
@@ -83,11 +87,27 @@ def label_changes(snapshots: DataFrame, zone: str, date: str, labels: str) -> Da
             zone,
             date,
             F.try_element_at(F.array_sort("_old"), F.lit(1)).alias("old_label"),
-            F.explode(F.array_except(labels, "_old")).alias("new_label"),
+            F.explode(F.when(F.size(labels) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_except(labels, "_old"))).alias("new_label"),
         )
     )
 
 
+def complete_labels(snapshots: DataFrame, zone: str, date: str, labels: str) -> DataFrame:
+    """Every zone at every snapshot; without a row there it has no labels.
+
+    The snapshot dates travel as one array, which is as long as the calendar.
+    """
+    days = one_row(snapshots.agg(F.array_sort(F.collect_set(date)).alias("days")))["days"]
+    grid = snapshots.select(zone).distinct().withColumn(date, F.explode(days))
+    none = F.array().cast(dict(snapshots.dtypes)[labels])
+    return grid.join(snapshots.select(zone, date, labels), [zone, date], "left").withColumn(labels, F.coalesce(labels, none))
+
+
+def label_risk(labels: Column, most: int = 3) -> Column:
+    """Number of labels over ``most``, at most 1; 0 without any."""
+    return F.when(labels.isNull(), 0.0).when(F.size(labels) > most, 1.0).otherwise(F.size(labels) / most)
+
+
 def days_since_change(panel: DataFrame, zone: str, date: str, changed: str, cap: int = 365, out: str = "days_since") -> DataFrame:
     """Days since the last change up to today; ``cap`` when there was none."""
     frame = _by(zone, date).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,7 +11,7 @@ from zonetide.operators.matching import mapping_stats, match_audit, match_by_dis
 from zonetide.operators.panel import long_form, relative_to_max
 from zonetide.operators.ranking import quantiles, scalar_quantile
 from zonetide.plans.registry import query
-from zonetide.plans.views import KINDS, with_sql
+from zonetide.plans.views import with_sql
 
 
 @query("g1_daily_zone", with_sql("dz", "SELECT zone, date, n, click, view, purchase FROM dz", "click view purchase"))
@@ -63,19 +63,21 @@ def _(v):
     return agg.share_within(counts, ["zone"], "n").withColumn("class", ladder(F.col("share") * 100, SHARE_STEPS, "BAIXO", inclusive=True))
 
 
-@query("g6_conditional_counts", with_sql("ev", "SELECT zone, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in KINDS) + ", count(*) FILTER (hour >= 18) AS late FROM ev GROUP BY zone"))
+@query("g6_conditional_counts", with_sql("ev", "SELECT * FROM (PIVOT (SELECT zone, kind || 's' AS k, sum(CASE WHEN hour >= 18 THEN 1 ELSE 0 END) OVER (PARTITION BY zone) AS late FROM ev) ON k USING count(*) GROUP BY zone, late)").replace("SELECT * FROM (PIVOT", "SELECT * REPLACE (CAST(late AS BIGINT) AS late) FROM (PIVOT"))
 def _(v):
-    tests = {f"{k}s": F.col("kind") == k for k in KINDS}
-    return agg.conditional_counts(v.event(), ["zone"], {**tests, "late": F.col("hour") >= 18})
+    """One count per kind that occurs, and one of the late events."""
+    per = v.event().groupBy("zone", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hour") >= 18).alias("_late"))
+    kinds = per.withColumn("k", F.concat("kind", F.lit("s"))).groupBy("zone").pivot("k").sum("n").na.fill(0)
+    return kinds.join(per.groupBy("zone").agg(F.sum("_late").alias("late")), "zone")
 
 
 @query(
     "g7_pivot_months",
-    with_sql("om", "SELECT zone, " + ", ".join(f"CAST(coalesce(sum(y) FILTER (month(month) = {m} AND year(month) = 1996), 0) AS BIGINT) AS \"1996-{m:02d}\"" for m in range(1, 13)) + " FROM om GROUP BY zone"),
+    with_sql("om", "SELECT * FROM (PIVOT (SELECT zone, strftime(month, '%Y-%m') AS ym, y FROM om) ON ym USING CAST(coalesce(sum(y), 0) AS BIGINT) GROUP BY zone)"),
 )
 def _(v):
-    months = [f"1996-{m:02d}" for m in range(1, 13)]
-    return v.outcome_m().withColumn("ym", F.date_format("month", "yyyy-MM")).groupBy("zone").pivot("ym", months).sum("y").na.fill(0)
+    """One column per month that occurs."""
+    return v.outcome_m().withColumn("ym", F.date_format("month", "yyyy-MM")).groupBy("zone").pivot("ym").sum("y").na.fill(0)
 
 
 @query("g8_monthly_stats", with_sql("om", "SELECT zone, avg(y) AS mean, coalesce(stddev_samp(y), 0) AS std, max(y) AS max, coalesce(stddev_samp(y), 0) / avg(y) AS cv FROM om GROUP BY zone", "mean std cv"))

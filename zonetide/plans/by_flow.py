@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zonetide.operators import aggregates as agg
 from zonetide.operators import consolidate
+from zonetide.operators.ranking import keep_first
 from zonetide.plans.registry import query
 from zonetide.plans.views import AMOUNTS, with_sql
 from zonetide.session import scratch_path
@@ -19,7 +20,7 @@ _LAYER = "CASE z.region WHEN 'ASIA' THEN 'CAPITAL' WHEN 'EUROPE' THEN 'RMF' ELSE
     with_sql(
         "pip zd snap",
         f"SELECT p.id, z.zone_name AS zone, {_LAYER} AS layer, CASE WHEN e.label % 2 = 0 THEN 'CVLI' ELSE 'CVP' END AS kind, coalesce(s.label, 'NEUTRO') AS label FROM pip p JOIN zd z ON z.zone = p.poly "
-        "JOIN embeddings e ON e.vec_id = p.id LEFT JOIN (SELECT zone, label FROM snap WHERE date = DATE '2024-01-30' AND label <> 'view') s ON s.zone = p.poly",
+        "JOIN embeddings e ON e.vec_id = p.id LEFT JOIN (SELECT zone, label FROM snap WHERE date = (SELECT max(date) FROM snap) AND label <> 'view') s ON s.zone = p.poly",
     ),
 )
 def _(v):
@@ -31,7 +32,7 @@ def _(v):
     dim = v.zone_dim()
     layer = F.when(F.col("region") == "ASIA", "CAPITAL").when(F.col("region") == "EUROPE", "RMF").otherwise("INTERIOR")
     zones = dim.select(F.col("zone").alias("poly"), F.col("zone_name").alias("zone"), layer.alias("layer"))
-    last = v.snapshot().filter((F.col("date") == F.lit("2024-01-30").cast("date")) & (F.col("label") != "view"))
+    last = keep_first(v.snapshot(), ["zone"], [F.col("date").desc()]).filter(F.col("label") != "view")
     labels = last.join(dim.select(F.col("zone").cast("bigint").alias("zone"), "zone_name"), "zone").select(F.col("zone_name").alias("zone"), "label")
     fact = consolidate.consolidated_events(raw, "id", v.polygon(), zones, labels)
     path = scratch_path(v.spark, "fact")

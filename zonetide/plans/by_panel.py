@@ -24,6 +24,18 @@ def _(v):
     return densify(v.order_days(), "zone", "date", ["n"], low, high)
 
 
+@query(
+    "t1_grid_with_null_dates",
+    with_sql("ev", "SELECT z.zone, c.date, CAST(coalesce(s.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT zone FROM en WHERE date IS NOT NULL) z CROSS JOIN cn c LEFT JOIN (SELECT zone, date, count(*) AS n FROM en GROUP BY 1, 2) s ON s.zone = z.zone AND s.date = c.date",
+             extra="en AS (SELECT zone, CASE WHEN event_id % 5 = 0 THEN NULL ELSE date END AS date FROM ev), "
+             "cn AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT min(date) AS lo, max(date) AS hi FROM en))"),
+)
+def _(v):
+    """Events whose date could not be read are in no day of the grid."""
+    rows = v.event().withColumn("date", F.when(F.col("event_id") % 5 != 0, F.col("date")))
+    return densify(panel.keyed_counts(rows, ["zone", "date"]), "zone", "date", ["n"])
+
+
 @query(
     "t2_fixed_calendar",
     with_sql("daily", "SELECT c.date, coalesce(d.n, 0) AS n, round(coalesce(d.total, 0), 2) AS total FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS date) c LEFT JOIN daily d ON d.date = c.date"),

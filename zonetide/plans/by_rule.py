@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from zonetide.functions.ladders import two_column_ladder
 from zonetide.operators import matching, rules
 from zonetide.operators.aggregates import group_mode
+from zonetide.operators.ranking import keep_first
 from zonetide.plans.registry import query
 from zonetide.plans.views import with_sql
 
@@ -63,16 +64,24 @@ def _(v):
 
 
 _START, _END = "2024-01-20", "2024-01-30"
-_REC = (
-    "rk AS (SELECT zone, predicted / 10 AS risk FROM pred ORDER BY predicted / 10 DESC, zone LIMIT 15), "
-    "cnt AS (SELECT zone, count(*) FILTER (kind = 'purchase' AND date >= DATE '2024-01-20') AS outcomes, count(*) FILTER (kind = 'purchase') AS outcomes_history, count(*) FILTER (date >= DATE '2024-01-20') AS events, count(*) FILTER (date < DATE '2024-01-20') AS events_before FROM ev WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-30' GROUP BY zone), "
-    "rr AS (SELECT rk.zone, risk, coalesce(outcomes, 0) AS outcomes, coalesce(outcomes_history, 0) AS outcomes_history, coalesce(events, 0) AS events, coalesce(events_before, 0) AS events_before, "
-    "CASE WHEN events_before > 0 THEN (events - events_before) * 100.0 / events_before WHEN events > 0 THEN 100 ELSE 0 END AS trend FROM rk LEFT JOIN cnt ON cnt.zone = rk.zone), "
-    "ru AS (SELECT *, CASE WHEN outcomes_history > 10 THEN 1 WHEN outcomes_history > 5 THEN 2 WHEN outcomes_history > 0 OR risk > 0.25 THEN 3 WHEN risk < 0.15 AND outcomes_history = 0 AND events_before = 0 THEN 4 WHEN trend < -50 AND outcomes = 0 AND risk < 0.2 THEN 5 ELSE 6 END AS rule FROM rr), "
-    "rx AS (SELECT zone, risk, outcomes, outcomes_history, events, events_before, trend, (['INTENSIFICAR','AUMENTAR','MANTER','REDUZIR','REDUZIR','MANTER'])[rule] AS action, (['CRITICO','ALTO','MEDIO','BAIXO','BAIXO','MEDIO'])[rule] AS priority, CAST(([3,2,0,-1,-1,0])[rule] AS INTEGER) AS teams, "
-    "CASE WHEN outcomes > 3 OR outcomes_history > 15 THEN '20h-04h' ELSE '18h-06h' END AS peak_hours, CAST(CASE WHEN outcomes_history > 0 THEN 90 ELSE 80 END AS INTEGER) AS confidence FROM ru), "
-    "rz AS (SELECT * FROM rx ORDER BY list_position(['CRITICO','ALTO','MEDIO','BAIXO'], priority), risk DESC, zone LIMIT 10) "
-)
+
+def _rec(before: str, start: str, end: str, where: str = "TRUE") -> str:
+    """The recommendation rules in SQL, for one window and the one before it."""
+    return (
+        f"evr AS (SELECT * FROM ev WHERE {where}), "
+        "rk AS (SELECT zone, predicted / 10 AS risk FROM pred WHERE zone IN (SELECT zone FROM evr) ORDER BY predicted / 10 DESC, zone LIMIT 15), "
+        f"cnt AS (SELECT zone, count(*) FILTER (kind = 'purchase' AND date >= DATE '{start}') AS outcomes, count(*) FILTER (kind = 'purchase') AS outcomes_history, count(*) FILTER (date >= DATE '{start}') AS events, count(*) FILTER (date < DATE '{start}') AS events_before, "
+        f"count(*) FILTER (kind = 'view' AND date >= DATE '{start}') AS others, count(*) FILTER (kind = 'view') AS others_history FROM evr WHERE date BETWEEN DATE '{before}' AND DATE '{end}' GROUP BY zone), "
+        "rr AS (SELECT rk.zone, risk, coalesce(outcomes, 0) AS outcomes, coalesce(outcomes_history, 0) AS outcomes_history, coalesce(events, 0) AS events, coalesce(events_before, 0) AS events_before, coalesce(others, 0) AS others, coalesce(others_history, 0) AS others_history, "
+        "CASE WHEN events_before > 0 THEN (events - events_before) * 100.0 / events_before WHEN events > 0 THEN 100 ELSE 0 END AS trend FROM rk LEFT JOIN cnt ON cnt.zone = rk.zone), "
+        "ru AS (SELECT *, CASE WHEN outcomes_history > 10 THEN 1 WHEN outcomes_history > 5 THEN 2 WHEN outcomes_history > 0 OR risk > 0.25 THEN 3 WHEN risk < 0.15 AND outcomes_history = 0 AND events_before = 0 THEN 4 WHEN trend < -50 AND outcomes = 0 AND risk < 0.2 THEN 5 ELSE 6 END AS rule FROM rr), "
+        "rx AS (SELECT zone, risk, outcomes, outcomes_history, events, events_before, others, others_history, trend, (['INTENSIFICAR','AUMENTAR','MANTER','REDUZIR','REDUZIR','MANTER'])[rule] AS action, (['CRITICO','ALTO','MEDIO','BAIXO','BAIXO','MEDIO'])[rule] AS priority, CAST(([3,2,0,-1,-1,0])[rule] AS INTEGER) AS teams, "
+        "CASE WHEN outcomes > 3 OR outcomes_history > 15 THEN '20h-04h' ELSE '18h-06h' END AS peak_hours, CAST(CASE WHEN outcomes_history > 0 THEN 90 ELSE 80 END AS INTEGER) AS confidence FROM ru), "
+        "rz AS (SELECT * FROM rx ORDER BY list_position(['CRITICO','ALTO','MEDIO','BAIXO'], priority), risk DESC, zone LIMIT 10) "
+    )
+
+
+_REC = _rec("2024-01-10", "2024-01-20", "2024-01-30")
 
 
 def _recommend(v, shown=10):
@@ -81,11 +90,32 @@ def _recommend(v, shown=10):
     return rules.recommendations(p, v.event(), "zone", "date", F.col("kind") == "purchase", "risk", day(_START), day(_END), shown=shown)
 
 
-@query("r1_recommendations", with_sql("pred ev", "SELECT * FROM rz", "risk trend", extra=_REC))
+@query("r1_recommendations", with_sql("pred ev", "SELECT * EXCLUDE (others, others_history) FROM rz", "risk trend", extra=_REC))
 def _(v):
     return _recommend(v)
 
 
+@query(
+    "r1_recommendations_of_region",
+    with_sql(
+        "pred ev snap",
+        "SELECT rz.*, coalesce(CASE WHEN l.label <> 'view' THEN l.label END, 'DESCONHECIDA') AS label FROM rz LEFT JOIN (SELECT zone, label FROM snap WHERE date = (SELECT max(date) FROM snap)) l ON l.zone = rz.zone",
+        "risk trend",
+        extra=_rec("2023-08-14", "2023-11-12", "2024-02-10", "zone % 2 = 0"),
+    ),
+)
+def _(v):
+    """One region, a window without events, a second kind of events, and labels of which one means none."""
+    p = v.prediction().select("zone", (F.col("predicted") / 10).alias("risk"))
+    day = lambda s: F.lit(s).cast("date")
+    last = keep_first(v.snapshot(), ["zone"], [F.col("date").desc()])
+    labels = last.select("zone", F.when(F.col("label") == "view", "-").otherwise(F.col("label")).alias("label"))
+    return rules.recommendations(
+        p, v.event().filter("zone % 2 = 0"), "zone", "date", F.col("kind") == "purchase", "risk", day("2024-02-05"), day("2024-02-10"),
+        second=F.col("kind") == "view", labels=labels,
+    )
+
+
 @query("r1_recommendation_totals", with_sql("pred ev", "SELECT CAST(coalesce(sum(teams) FILTER (teams > 0), 0) AS BIGINT) AS teams, CAST(least(coalesce(sum(teams) FILTER (teams > 0), 0) * 6, 40) AS BIGINT) AS impact, avg(confidence) AS confidence FROM rx", "confidence", extra=_REC))
 def _(v):
     return rules.recommendation_totals(_recommend(v, shown=15))

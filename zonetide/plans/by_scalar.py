@@ -12,7 +12,7 @@ from zonetide.operators.ranking import column_quantiles
 from zonetide.operators.rules import effective_start
 from zonetide.operators.spatial import in_box
 from zonetide.plans.registry import query
-from zonetide.plans.views import KINDS, with_sql
+from zonetide.plans.views import with_sql
 from zonetide.sources.files import detect_columns, prediction_columns, rename_aliases
 
 
@@ -190,6 +190,46 @@ def _(v):
     return narrative_fields(rows.drop("kind"), "story").select("event_id", "people", "grams", "weapons", "kind", "score")
 
 
+@query(
+    "p14_narrative_degrees",
+    with_sql(
+        "ev",
+        "SELECT event_id, CAST(CASE kind WHEN 'view' THEN -3 + hour / 60.0 + 30 / 3600.0 WHEN 'click' THEN -3.5 END AS DOUBLE) AS lat, CAST(CASE kind WHEN 'view' THEN -38 + 15 / 60.0 + hour / 3600.0 WHEN 'click' THEN -38.25 END AS DOUBLE) AS lon, CAST(CASE WHEN kind IN ('view', 'click') THEN 0.25 ELSE 0 END AS DOUBLE) AS score FROM ev",
+        "lat lon score",
+    ),
+)
+def _(v):
+    """Degrees, minutes and seconds in the text; minutes and seconds add to the signed degrees."""
+    place = (
+        F.when(F.col("kind") == "view", F.format_string("em -3°%d'30\",-38°15'%d\"", "hour", "hour"))
+        .when(F.col("kind") == "click", "em -3.5, -38.25 hoje").otherwise("em casa")
+    )
+    fields = narrative_fields(v.event().select("event_id", place.alias("story")), "story")
+    return fields.select("event_id", "lat", "lon", "score")
+
+
+@query(
+    "p14_structured_branches",
+    with_sql(
+        "ev",
+        "SELECT event_id, CAST(CASE kind WHEN 'click' THEN hour + 1.0 WHEN 'view' THEN (hour + 1) * 10.0 WHEN 'purchase' THEN hour + 1.5 + 7 ELSE 0 END AS DOUBLE) AS grams, CAST(CASE kind WHEN 'click' THEN hour + 2 WHEN 'view' THEN 1 ELSE 0 END AS INTEGER) AS weapons, "
+        "CASE kind WHEN 'click' THEN 'Artigo ' || CAST(hour + 30 AS VARCHAR) WHEN 'view' THEN CAST(hour + 30 AS VARCHAR) || ' - posse' WHEN 'purchase' THEN 'Artigo 33' ELSE 'Operação Tropa' END AS nature FROM ev",
+        "grams",
+    ),
+)
+def _(v):
+    """Lower-case accents, the named mass fields, and the bounds of the nature field with its fallback."""
+    h = lambda n: (F.col("hour") + n).cast("string")
+    story = (
+        F.when(F.col("kind") == "click", F.concat(F.lit("10 - natureza da ocorrência: "), h(30), F.lit(" - tráfico\n11 - "), h(2), F.lit(" revólver e "), h(1), F.lit(" g de cocaína")))
+        .when(F.col("kind") == "view", F.concat(F.lit("10 - NATUREZA: "), h(30), F.lit(" - posse\nfim, uma pistola\nCOCAÍNA (PESO EM GRAMA): "), h(1), F.lit(" PAPELOTES")))
+        .when(F.col("kind") == "purchase", F.concat(F.lit("MACONHA (PESO EM GRAMAS): "), h(1), F.lit(".5G, 7 PAPELOTES\n10 - NATUREZA: 33")))
+        .otherwise("nada")
+    )
+    rows = v.event().select("event_id", story.alias("story"), F.lit("2024-01-01").alias("registered"), F.lit("").alias("la"), F.lit("").alias("lo"))
+    return structured_narrative_fields(rows, "story", "registered", "la", "lo").select("event_id", "grams", "weapons", "nature")
+
+
 @query(
     "p14_structured_narrative",
     with_sql(
@@ -266,10 +306,11 @@ def _(v):
 
 @query(
     "p20_one_hot",
-    with_sql("ev", "SELECT zone, date, " + ", ".join(f"max(CASE WHEN kind = '{k}' THEN 1 ELSE 0 END) AS is_kind_{k}" for k in KINDS) + " FROM ev GROUP BY 1, 2"),
+    with_sql("ev", "SELECT * FROM (PIVOT (SELECT zone, date, 'is_kind_' || kind AS k FROM ev) ON k USING CAST(least(count(*), 1) AS INTEGER) GROUP BY zone, date)"),
 )
 def _(v):
-    return v.event().groupBy("zone", "date").agg(*[F.max((F.col("kind") == k).cast("int")).alias(f"is_kind_{k}") for k in KINDS])
+    """One flag per kind that occurs."""
+    return v.event().withColumn("k", F.concat(F.lit("is_kind_"), "kind")).groupBy("zone", "date").pivot("k").agg(F.max(F.lit(1))).na.fill(0)
 
 
 @query(

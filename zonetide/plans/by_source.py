@@ -79,6 +79,14 @@ def _(v):
     return wrapped.tally_key(v.table("events"), "props", "k")
 
 
+@query("s7_tally_key_spellings", "SELECT lower(event_type) AS value, count(*) AS n FROM events GROUP BY 1")
+def _(v):
+    """Two spellings with a dot, blanks and capitals, beside a key that only looks alike."""
+    name = F.when(F.col("event_id") % 2 == 0, "tipo.x").otherwise("Tipo.X")
+    text = F.concat(F.lit('[{"tipo_x": "no", "n": {"'), name, F.lit('": " '), F.upper("event_type"), F.lit(' "}}]'))
+    return wrapped.tally_key(v.table("events").select(text.alias("doc")), "doc", ["tipo.x", "Tipo.X"])
+
+
 @query(
     "s8_read_nested_rows",
     "SELECT l_orderkey, l_linenumber, 'quantity' AS name, l_quantity AS value FROM lineitem "

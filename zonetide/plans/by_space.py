@@ -47,6 +47,23 @@ def _(v):
     return spatial.nearest_sites(v.point(), seats, "id", "poly", "lon", "lat")
 
 
+_LOST = "p0 AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE lon END AS lon, CASE WHEN id % 11 = 0 THEN NULL ELSE lat END AS lat FROM pt)"
+
+
+@query(
+    "x2_nearest_missing_coordinates",
+    with_sql(
+        "pip cen",
+        f"SELECT a.id, CASE WHEN a.lon IS NULL OR a.lat IS NULL THEN NULL ELSE coalesce(pip.poly, n.poly) END AS poly, CASE WHEN a.lon IS NULL OR a.lat IS NULL THEN FALSE ELSE pip.poly IS NULL END AS fallback FROM p0 a LEFT JOIN pip ON pip.id = a.id JOIN (SELECT a.id, arg_min(b.poly, ({KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')}, b.poly)) AS poly FROM pt a CROSS JOIN cen b GROUP BY a.id) n ON n.id = a.id",
+        extra=_LOST,
+    ),
+)
+def _(v):
+    """Points without a coordinate are in no zone and near none."""
+    lost = v.point().withColumn("lon", F.when(F.col("id") % 7 != 0, F.col("lon"))).withColumn("lat", F.when(F.col("id") % 11 != 0, F.col("lat")))
+    return spatial.assign_zones(lost, v.polygon(), "id", "poly", "ring", "lon", "lat")
+
+
 @query("x3_centroid", with_sql("cen", "SELECT poly, x, y FROM cen", "x y"))
 def _(v):
     return spatial.centroids(v.polygon(), "poly", "ring")

@@ -126,8 +126,8 @@ def _(v):
 
 
 _PROF = (
-    "g AS (SELECT z.zone, m.mm, coalesce((SELECT sum(x) FROM tm WHERE tm.zone = z.zone AND month(tm.month) = m.mm AND year(tm.month) = 1996), 0) AS x, coalesce((SELECT sum(y) FROM om WHERE om.zone = z.zone AND month(om.month) = m.mm AND year(om.month) = 1996), 0) AS y "
-    "FROM (SELECT zone FROM tm WHERE year(month) = 1996 INTERSECT SELECT zone FROM om WHERE year(month) = 1996) z CROSS JOIN (SELECT unnest(range(1, 13)) AS mm) m) "
+    "g AS (SELECT z.zone, m.mm, coalesce((SELECT avg(x) FROM tm WHERE tm.zone = z.zone AND month(tm.month) = m.mm), 0) AS x, coalesce((SELECT avg(y) FROM om WHERE om.zone = z.zone AND month(om.month) = m.mm), 0) AS y "
+    "FROM (SELECT zone FROM tm INTERSECT SELECT zone FROM om) z CROSS JOIN (SELECT unnest(range(1, 13)) AS mm) m) "
 )
 
 
@@ -136,9 +136,9 @@ _PROF = (
     with_sql("om tm", "SELECT zone, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-12 THEN corr(x, y) END AS r, avg(abs(x - y)) AS mean_abs, CAST(max(abs(x - y)) AS DOUBLE) AS max_abs, count(*) FILTER (x <> 0) AS months_x, count(*) FILTER (y <> 0) AS months_y FROM g GROUP BY zone", "r mean_abs max_abs", extra=_PROF),
 )
 def _(v):
-    year = F.year("month") == 1996
-    a = v.treat_m().filter(year).withColumn("mm", F.month("month")).withColumnRenamed("x", "n")
-    b = v.outcome_m().filter(year).withColumn("mm", F.month("month")).withColumnRenamed("y", "n")
+    """Mean of each calendar month over all years."""
+    a = v.treat_m().groupBy("zone", F.month("month").alias("mm")).agg(F.avg("x").alias("n"))
+    b = v.outcome_m().groupBy("zone", F.month("month").alias("mm")).agg(F.avg("y").alias("n"))
     return study.profile_comparison(a, b, "zone", "mm", "n")
 
 

@@ -86,6 +86,21 @@ def _(v):
     return windows.label_changes(v.label_set(), "zone", "date", "labels")
 
 
+@query(
+    "w9_lost_labels",
+    with_sql(
+        "lset",
+        "SELECT zone, date, old[1] AS old_label, unnest(CASE WHEN len(labels) = 0 THEN [NULL] ELSE list_filter(labels, lambda x: NOT list_contains(old, x)) END) AS new_label FROM lch",
+        extra="lcm AS (SELECT z.zone, d.date, coalesce(l.labels, []) AS labels FROM (SELECT DISTINCT zone FROM lset) z CROSS JOIN (SELECT DISTINCT date FROM lset) d LEFT JOIN lset l ON l.zone = z.zone AND l.date = d.date), "
+        "lch AS (SELECT * FROM (SELECT zone, date, labels, lag(labels) OVER (PARTITION BY zone ORDER BY date) AS old FROM lcm) WHERE old IS NOT NULL AND old <> labels)",
+    ),
+)
+def _(v):
+    """A zone without a row at a snapshot has lost its labels."""
+    whole = windows.complete_labels(v.label_set(), "zone", "date", "labels")
+    return windows.label_changes(whole, "zone", "date", "labels")
+
+
 @query(
     "w10_days_since_change",
     with_sql("cp", f"SELECT zone, date, CAST(coalesce(least(date - max(CASE WHEN changed = 1 THEN date END) {_ZD} ROWS UNBOUNDED PRECEDING), 365), 365) AS INTEGER) AS days_since FROM cp"),
@@ -97,7 +112,18 @@ def _(v):
 @query("w11_conflict_risk", with_sql("panel lset", "SELECT p.zone, p.date, least(len(l.labels) / 3, 1) AS risk FROM panel p ASOF LEFT JOIN lset l ON l.zone = p.zone AND l.date <= p.date", "risk"))
 def _(v):
     rows = as_of(v.panel().select("zone", "date"), v.label_set(), "zone", "date", "labels")
-    return rows.select("zone", "date", F.least(F.size("labels") / 3, F.lit(1.0)).alias("risk"))
+    return rows.select("zone", "date", windows.label_risk(F.col("labels")).alias("risk"))
+
+
+@query(
+    "w11_unlabelled_zone",
+    with_sql("panel lset", "SELECT p.zone, p.date, CASE WHEN l.labels IS NULL THEN 0 WHEN len(l.labels) > 3 THEN 1 ELSE len(l.labels) / 3 END AS risk FROM panel p ASOF LEFT JOIN (SELECT * FROM lset WHERE zone % 3 <> 0 AND date > DATE '2024-01-10') l ON l.zone = p.zone AND l.date <= p.date", "risk"),
+)
+def _(v):
+    """Zones that have no label yet, or never one, carry no risk."""
+    labels = v.label_set().filter((F.col("zone") % 3 != 0) & (F.col("date") > F.lit("2024-01-10").cast("date")))
+    rows = as_of(v.panel().select("zone", "date"), labels, "zone", "date", "labels")
+    return rows.select("zone", "date", windows.label_risk(F.col("labels")).alias("risk"))
 
 
 @query("w12_change_volatility", with_sql("cp", f"SELECT zone, date, least(coalesce(sum(changed) {_ZD} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) / 30, 1) AS change_volatility FROM cp", "change_volatility"))

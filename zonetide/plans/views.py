@@ -8,14 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.operators.panel import densify
+from zonetide.operators.panel import bounds, densify
 from zonetide.operators.ranking import keep_first
 from zonetide.operators.windows import label_changes
 from zonetide.session import cut_lineage
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
 AMOUNTS = ["click", "view", "purchase"]
-SNAPSHOT_DAYS = ["2024-01-10", "2024-01-20", "2024-01-30"]
+SNAPSHOT_STEP = 10  # days between snapshots
 
 
 class Views:
@@ -139,10 +138,17 @@ class Views:
         return base.select("label", F.array(corner(0, 0.1, "y0"), corner(1, 0.1, "y0"), corner(1, -0.1, "y1"), corner(0, -0.1, "y1")).alias("ring"))
 
     def snapshot(self) -> DataFrame:
-        """Most frequent kind so far, per zone and snapshot day."""
-        days = F.array(*[F.lit(d).cast("date") for d in SNAPSHOT_DAYS])
-        rows = self.event().select("zone", "kind", F.explode(F.filter(days, lambda d: d >= F.col("date"))).alias("date"))
-        counts = rows.groupBy("zone", "date", "kind").agg(F.count(F.lit(1)).alias("_n"))
+        """Most frequent kind so far, per zone and snapshot day.
+
+        Snapshots follow each other from the first event on until one covers the last;
+        events are counted per day before they are spread over snapshots.
+        """
+        events = self.event()
+        low, high = bounds(events)
+        days = F.sequence(F.date_add(low, SNAPSHOT_STEP - 1), F.date_add(high, SNAPSHOT_STEP - 1), F.expr(f"INTERVAL {SNAPSHOT_STEP} DAY"))
+        daily = events.groupBy("zone", "date", "kind").agg(F.count(F.lit(1)).alias("_c"))
+        rows = daily.withColumn("_days", days).select("zone", "kind", "_c", F.explode(F.filter("_days", lambda d: d >= F.col("date"))).alias("date"))
+        counts = rows.groupBy("zone", "date", "kind").agg(F.sum("_c").alias("_n"))
         return keep_first(counts, ["zone", "date"], [F.col("_n").desc(), F.col("kind")]).select("zone", "date", F.col("kind").alias("label"))
 
     def label_set(self) -> DataFrame:
@@ -188,7 +194,7 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
     "edge": (("cor",), "edge AS (SELECT a.poly, a.pos, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cor a JOIN cor b ON a.poly = b.poly AND b.pos = (a.pos + 1) % 4)"),
     "pip": (("pt", "edge"), "pip AS (SELECT pt.id, e.poly FROM pt, edge e GROUP BY pt.id, e.poly HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1)"),
     "cen": (("edge",), "cen AS (SELECT poly, any_value(gx) + sum((x1 + x2 - 2 * gx) * w) / (3 * sum(w)) AS x, any_value(gy) + sum((y1 + y2 - 2 * gy) * w) / (3 * sum(w)) AS y FROM (SELECT e.*, c.x AS gx, c.y AS gy, (x1 - c.x) * (y2 - c.y) - (x2 - c.x) * (y1 - c.y) AS w FROM edge e JOIN cor c ON c.poly = e.poly AND c.pos = 0) GROUP BY poly)"),
-    "snap": (("ev",), "snap AS (SELECT zone, date, kind AS label FROM (SELECT zone, d.date, kind, row_number() OVER (PARTITION BY zone, d.date ORDER BY count(*) DESC, kind) AS rn FROM ev JOIN (VALUES (DATE '2024-01-10'), (DATE '2024-01-20'), (DATE '2024-01-30')) d(date) ON ev.date <= d.date GROUP BY zone, d.date, kind) WHERE rn = 1)"),
+    "snap": (("ev",), "snap AS (SELECT zone, date, kind AS label FROM (SELECT zone, d.date, kind, row_number() OVER (PARTITION BY zone, d.date ORDER BY count(*) DESC, kind) AS rn FROM ev JOIN (SELECT CAST(unnest(generate_series(lo + 9, hi + 9, INTERVAL 10 DAY)) AS DATE) AS date FROM (SELECT min(date) AS lo, max(date) AS hi FROM ev)) d ON ev.date <= d.date GROUP BY zone, d.date, kind) WHERE rn = 1)"),
     "lset": (("ev",), "lset AS (SELECT zone, DATE '2024-01-01' + CAST(((date - DATE '2024-01-01') // 5) * 5 AS INTEGER) AS date, list_sort(list(DISTINCT kind)) AS labels FROM ev GROUP BY 1, 2)"),
     "chg": (("lset",), "chg AS (SELECT zone, date, old, labels FROM (SELECT zone, date, labels, lag(labels) OVER (PARTITION BY zone ORDER BY date) AS old FROM lset) WHERE old IS NOT NULL AND old <> labels)"),
     "newl": (("chg",), "newl AS (SELECT zone, date, old[1] AS old_label, unnest(list_filter(labels, lambda x: NOT list_contains(old, x))) AS new_label FROM chg)"),

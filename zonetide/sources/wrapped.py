@@ -7,6 +7,7 @@ Layouts: ``[{type: header}, {type: table, name, data: [...]}]``, an object with
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -97,11 +98,17 @@ def read_json_folder(spark: SparkSession, paths: dict[str, str], schema: T.Struc
     return out
 
 
-def tally_key(documents: DataFrame, column: str, key: str) -> DataFrame:
-    """How often each value of a key occurs anywhere in JSON texts."""
-    # a quoted key, a colon, then a quoted text or a bare number or word
-    pattern = f'"{key}"' + r'\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9.eE+]+|true|false|null)'
+def tally_key(documents: DataFrame, column: str, key: str | Sequence[str]) -> DataFrame:
+    """How often each value of a key occurs anywhere in JSON texts.
+
+    ``key`` may list several spellings.  Texts and whole numbers count, trimmed and
+    in lower case; nested values, fractions and nulls do not.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    # a quoted key, a colon, then a quoted text, a whole number or a truth value
+    pattern = '"(?:' + "|".join(map(re.escape, keys)) + r')"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9]+(?![0-9.eE])|true|false)'
     values = documents.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias("v"))
-    return values.select(F.regexp_replace("v", '^"|"$', "").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    value = F.lower(F.trim(F.regexp_replace("v", '^"|"$', "")))
+    return values.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
