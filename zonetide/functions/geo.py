@@ -60,6 +60,18 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
+def unit_vector(lat: Column, lon: Column) -> Column:
+    """The point on the unit sphere; cells of it know neither date line nor poles."""
+    a, o = F.radians(lat), F.radians(lon)
+    return F.struct((F.cos(a) * F.cos(o)).alias("x"), (F.cos(a) * F.sin(o)).alias("y"), F.sin(a).alias("z"))
+
+
+def chord(km: Column) -> Column:
+    """Straight distance on the unit sphere of two points ``km`` apart, rounded up."""
+    half = F.when(km > math.pi * EARTH_KM, math.pi / 2).otherwise(km / (2 * EARTH_KM))
+    return F.sin(half) * (2 + 1e-9) + 1e-12
+
+
 def closed(ring: Column) -> Column:
     """The ring with its first vertex repeated at the end."""
     first = F.element_at(ring, 1)

@@ -11,30 +11,23 @@ from pyspark.sql.window import Window
 from zonetide.functions import geo
 from zonetide.functions.numbers import ratio
 from zonetide.operators.joins import pairs_within_score
-from zonetide.operators.spatial import calm_cell_size
+from zonetide.operators.spatial import at_all_levels, level_of, sphere_cells
 from zonetide.session import cut_lineage
 
 
 def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
     """Directed edges between points less than ``km`` apart.
 
-    Cells are half a threshold wide and each point looks two cells around, so
-    most candidates of a cell are results.  Longitude cells widen with latitude.
+    Points meet in cells of the unit sphere as wide as the threshold; points without
+    coordinates have no edge.
     """
-    step = km / geo.KM_PER_DEGREE / 2
-    # a bound on the latitude makes one longitude cell size valid for all rows
-    widest = points.select(F.max(F.abs(F.col(lat)))).scalar()
-    squeeze = F.greatest(F.cos(F.radians(F.least(widest + F.lit(step * 2), F.lit(89.9)))), F.lit(0.01))
-    cy = F.floor(F.col(lat) / F.lit(step))
-    cx = F.floor(F.col(lon) * squeeze / F.lit(step))
-    near = points.select(
-        F.col(key).alias("src"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"),
-        F.explode(F.sequence(cx - 2, cx + 2)).alias("_cx"), cy.alias("_y"),
-    ).withColumn("_cy", F.explode(F.sequence(F.col("_y") - 2, F.col("_y") + 2))).drop("_y")
-    home = points.select(F.col(key).alias("dst"), F.col(lat).alias("_lb"), F.col(lon).alias("_lp"), cx.alias("_cx"), cy.alias("_cy"))
+    known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_u", geo.unit_vector(F.col(lat), F.col(lon)))
+    level = level_of(geo.chord(F.lit(float(km))))
+    near = known.select(F.col(key).alias("src"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), F.explode(sphere_cells(F.col("_u"), level, 1)).alias("_cell"))
+    home = known.select(F.col(key).alias("dst"), F.col(lat).alias("_lb"), F.col(lon).alias("_lp"), F.element_at(sphere_cells(F.col("_u"), level), 1).alias("_cell"))
     gap = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
     return (
-        near.join(home, ["_cx", "_cy"]).filter(F.col("src") != F.col("dst"))
+        near.join(home, "_cell").filter(F.col("src") != F.col("dst"))
         .withColumn("km", gap).filter(F.col("km") < km).select("src", "dst", "km")
     )
 
@@ -43,42 +36,31 @@ def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int) -> Da
     """Directed edges to the k nearest points (ties: smaller id), exactly.
 
     Points with equal coordinates are first folded into one site that keeps its
-    k + 1 smallest ids, so a pile of copies cannot produce all its pairs.  Rings
-    of cells grow until every site has k neighbours inside the ring's reach.
+    k + 1 smallest ids, so a pile of copies cannot produce all its pairs.  The
+    smallest cell of the unit sphere around a site that holds k + 1 ids bounds the
+    distance; the next larger cells around it hold everything within the bound.
+    Points without coordinates have no edge.
     """
-    rows = points.select(F.col(key).alias("_id"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
+    rows = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("_id"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
     first = Window.partitionBy("_la", "_lo").orderBy("_id")
     kept = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
-    sites = cut_lineage(kept.groupBy("_la", "_lo").agg(F.array_sort(F.collect_list("_id")).alias("_ids")), "sites")
-    rest = sites.select(F.col("_la"), F.col("_lo"))
-    size, done = calm_cell_size(sites, "_lo", "_la", wanted=k + 1), None
-    while True:
-        whole = size > 180
-        cell = (lambda c: F.lit(0).cast("bigint")) if whole else (lambda c, s=size: F.floor(c / F.lit(s)))
-        reach_cells = 0 if whole else 1
-        cx, cy = cell(F.col("_lo")), cell(F.col("_la"))
-        ring = rest.select(
-            "_la", "_lo", F.explode(F.sequence(cx - reach_cells, cx + reach_cells)).alias("_cx"), cy.alias("_y")
-        ).withColumn("_cy", F.explode(F.sequence(F.col("_y") - reach_cells, F.col("_y") + reach_cells))).drop("_y")
-        seats = sites.select(F.col("_la").alias("_lb"), F.col("_lo").alias("_lp"), F.col("_ids"), cx.alias("_cx"), cy.alias("_cy"))
-        gap = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
-        nearest = Window.partitionBy("_la", "_lo").orderBy("_km", "_dst")
-        top = (
-            ring.join(seats, ["_cx", "_cy"]).withColumn("_km", gap)
-            .select("_la", "_lo", "_km", F.explode("_ids").alias("_dst"))
-            # one more than k: the point itself is among the candidates
-            .withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k + 1)
-            .groupBy("_la", "_lo").agg(F.array_sort(F.collect_list(F.struct("_km", "_dst"))).alias("_near"))
-        )
-        safe = F.lit(size * geo.KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs(F.col("_la")) + size, F.lit(89.0)))) * 0.98
-        settled = F.lit(True) if whole else (F.size("_near") == k + 1) & (F.element_at("_near", -1)["_km"] <= safe)
-        top = cut_lineage(top.withColumn("_ok", settled), "near")
-        ready = top.filter("_ok").drop("_ok")
-        done = ready if done is None else done.unionByName(ready)
-        rest = top.filter(~F.col("_ok")).select("_la", "_lo")
-        if whole or rest.isEmpty():
-            break
-        size *= 2
+    sites = kept.groupBy("_la", "_lo").agg(F.array_sort(F.collect_list("_id")).alias("_ids")).withColumn("_u", geo.unit_vector(F.col("_la"), F.col("_lo")))
+    placed = cut_lineage(at_all_levels(sites, "_u").drop("_u"), "sites")
+    full = placed.groupBy("_k", "_cell").agg(F.sum(F.size("_ids")).alias("_n")).filter(F.col("_n") >= k + 1).drop("_n")
+    # a cell is at most sqrt(3) wide across, so one level up its neighbours reach far enough
+    level = placed.join(full, ["_k", "_cell"], "left_semi").groupBy("_la", "_lo").agg((F.max("_k") - 1).alias("_k"))
+    start = placed.filter("_k = 0").select("_la", "_lo").join(level, ["_la", "_lo"], "left").withColumn("_k", F.greatest(F.coalesce("_k", F.lit(0)), F.lit(0)))
+    ring = start.withColumn("_u", geo.unit_vector(F.col("_la"), F.col("_lo"))).withColumn("_cell", F.explode(sphere_cells(F.col("_u"), F.col("_k"), 1))).drop("_u")
+    seats = placed.select("_k", "_cell", F.col("_la").alias("_lb"), F.col("_lo").alias("_lp"), "_ids")
+    gap = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
+    nearest = Window.partitionBy("_la", "_lo").orderBy("_km", "_dst")
+    done = (
+        ring.join(seats, ["_k", "_cell"]).withColumn("_km", gap)
+        .select("_la", "_lo", "_km", F.explode("_ids").alias("_dst"))
+        # one more than k: the point itself is among the candidates
+        .withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k + 1)
+        .groupBy("_la", "_lo").agg(F.array_sort(F.collect_list(F.struct("_km", "_dst"))).alias("_near"))
+    )
     near = rows.join(done, ["_la", "_lo"])
     others = F.slice(F.filter("_near", lambda e: e["_dst"] != F.col("_id")), 1, k)
     return near.select(F.col("_id").alias("src"), F.posexplode(others).alias("_p", "e")).select(

@@ -23,23 +23,29 @@ def _cell(col: Column, size: float) -> Column:
     return F.floor(col / F.lit(float(size)))
 
 
-def calm_cell_size(places: DataFrame, x: str, y: str, wanted: int = 1, most: int = 500) -> float:
-    """A cell size whose reach holds ``wanted`` places on even ground, halved until
-    no cell holds more than ``most`` of them.
+LEVELS = 24  # cells of the unit sphere from 2 wide down to about a metre
+
+
+def sphere_cells(unit: Column, level: Column, reach: int = 0) -> Column:
+    """The cells of the level that lie within ``reach`` of a unit vector's own cell."""
+    def axis(v: Column) -> Column:
+        own = F.floor(v / (F.lit(2.0) / F.pow(F.lit(2.0), level)))
+        return F.sequence(own - reach, own + reach)
+
+    xs, ys, zs = axis(unit["x"]), axis(unit["y"]), axis(unit["z"])
+    return F.flatten(F.transform(xs, lambda x: F.flatten(F.transform(ys, lambda y: F.transform(zs, lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
 
-    ``places`` are distinct; each try is one small aggregation.
-    """
-    n, x0, x1, y0, y1 = places.agg(F.count(F.lit(1)), F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if not n:
-        return 1.0
-    spacing = max(x1 - x0, y1 - y0, 1e-6) / n**0.5
-    size = 1.5 * spacing * math.sqrt(wanted / math.pi)
-    while size > 1e-6:
-        cells = places.groupBy(_cell(F.col(x), size), _cell(F.col(y), size)).agg(F.count(F.lit(1)).alias("_n"))
-        if cells.agg(F.max("_n")).first()[0] <= most:
-            break
-        size /= 2
-    return size
+
+def level_of(reach: Column) -> Column:
+    """The finest level whose cells are ``reach`` wide or wider; 0 if that is unknown."""
+    fit = F.floor(F.log2(F.lit(2.0) / reach))
+    return F.coalesce(F.when(fit < 0, 0).when(fit > LEVELS - 1, LEVELS - 1).otherwise(fit), F.lit(0)).cast("int")
+
+
+def at_all_levels(places: DataFrame, unit: str) -> DataFrame:
+    """One row per place and level with its cell."""
+    rows = places.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    return rows.withColumn("_cell", F.element_at(sphere_cells(F.col(unit), F.col("_k")), 1))
 
 
 def typical_cell(polygons: DataFrame, ring: str) -> float:
@@ -103,49 +109,30 @@ def points_in_polygons(
 def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, x: str, y: str) -> DataFrame:
     """The nearest site of each point by great-circle distance (ties: smaller id).
 
-    Rings of cells widen only for points not settled yet: within a ring of cells
-    ``size`` degrees wide every site closer than the ring's inner reach has been
-    seen, so a found distance below that reach is final.
+    Cells of the unit sphere of all sizes hold one site each as a representative;
+    the nearest of those around a point bounds the distance, and the cells of that
+    size next to the point hold every site within the bound.  Points and sites
+    without coordinates are left out.
     """
-    sites = sites.groupBy(F.col(x).alias("_sx"), F.col(y).alias("_sy")).agg(F.min(site_id).alias(site_id))
-    # read by every round
-    sites = cut_lineage(sites, "sites")
-    rest = points.select(point_id, x, y)
-    done: DataFrame | None = None
-    size = calm_cell_size(sites, "_sx", "_sy")
-    while True:
-        whole = size > 180
-        if whole:
-            ring = rest.withColumn("_cx", F.lit(0)).withColumn("_cy", F.lit(0))
-            seats = sites.withColumn("_cx", F.lit(0)).withColumn("_cy", F.lit(0))
-        else:
-            cx, cy = _cell(F.col(x), size), _cell(F.col(y), size)
-            ring = rest.withColumn("_cx", F.explode(F.sequence(cx - 1, cx + 1))).withColumn("_cy", F.explode(F.sequence(cy - 1, cy + 1)))
-            seats = sites.withColumn("_cx", _cell(F.col("_sx"), size)).withColumn("_cy", _cell(F.col("_sy"), size))
-        km = geo.haversine_km(F.col(y), F.col(x), F.col("_sy"), F.col("_sx"))
-        best = (
-            ring.join(seats, ["_cx", "_cy"]).withColumn("km", km)
-            .groupBy(point_id).agg(F.min(F.struct("km", site_id)).alias("_b"))
-            .select(point_id, F.col(f"_b.{site_id}").alias(site_id), F.col("_b.km").alias("km"))
-        )
-        found = rest.join(best, point_id, "left")
-        # a degree of longitude shrinks with latitude; stay on the safe side
-        reach = F.lit(size * geo.KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs(F.col(y)) + size, F.lit(89.0)))) * 0.98
-        settled = F.lit(True) if whole else F.coalesce(F.col("km") <= reach, F.lit(False))
-        found = cut_lineage(found.withColumn("_ok", settled), "nearest")
-        ready = found.filter("_ok").select(point_id, site_id, "km")
-        done = ready if done is None else done.unionByName(ready)
-        rest = found.filter(~F.col("_ok")).select(point_id, x, y)
-        if whole or rest.isEmpty():
-            return done
-        size *= 4
+    unit = geo.unit_vector(F.col("_sy"), F.col("_sx"))
+    seats = sites.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_sx"), F.col(y).alias("_sy")).agg(F.min(site_id).alias(site_id))
+    seats = at_all_levels(seats.withColumn("_u", unit), "_u").drop("_u")
+    km = geo.haversine_km(F.col(y), F.col(x), F.col("_sy"), F.col("_sx"))
+    known = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(point_id, x, y)
+    spots = known.select(x, y).distinct().withColumn("_u", geo.unit_vector(F.col(y), F.col(x)))
+    heads = seats.groupBy("_k", "_cell").agg(F.min(F.struct(site_id, "_sx", "_sy")).alias("_h")).select("_k", "_cell", "_h._sx", "_h._sy")
+    bound = at_all_levels(spots, "_u").join(heads, ["_k", "_cell"], "left").groupBy(x, y).agg(F.min(km).alias("_bound"))
+    around = bound.withColumn("_u", geo.unit_vector(F.col(y), F.col(x))).withColumn("_k", level_of(geo.chord(F.col("_bound"))))
+    around = around.withColumn("_cell", F.explode(sphere_cells(F.col("_u"), F.col("_k"), 1))).drop("_u", "_bound")
+    best = around.join(seats, ["_k", "_cell"]).groupBy(x, y).agg(F.min(F.struct(km.alias("km"), site_id)).alias("_b"))
+    return known.join(best, [x, y]).select(point_id, F.col(f"_b.{site_id}").alias(site_id), F.col("_b.km").alias("km"))
 
 
 def first_zone(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str, default: str) -> DataFrame:
     """One polygon per point, the smallest id where several overlap, and a
     default where there is none."""
     hits = points_in_polygons(points, polygons, poly_id, ring, x, y, how="left")
-    return hits.groupBy(point_id).agg(F.coalesce(F.min(F.col(poly_id).cast("string")), F.lit(default)).alias(poly_id))
+    return hits.groupBy(point_id).agg(F.coalesce(F.min(poly_id).cast("string"), F.lit(default)).alias(poly_id))
 
 
 def assign_zones(points: DataFrame, polygons: DataFrame, point_id: str, poly_id: str, ring: str, x: str, y: str) -> DataFrame:
@@ -160,32 +147,45 @@ def assign_zones(points: DataFrame, polygons: DataFrame, point_id: str, poly_id:
     return inside.unionByName(near)
 
 
-def centroids(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
-    cx, cy = geo.centroid(F.col(ring))
-    return polygons.select(poly_id, cx.alias("x"), cy.alias("y"))
+def centroids(polygons: DataFrame, poly_id: str, ring: str, holes: str | None = None) -> DataFrame:
+    """Area centroid of each polygon; parts (rows of one id) add up, holes count against it."""
+    def piece(r: Column, sign: float) -> Column:
+        cx, cy = geo.centroid(r)
+        area = F.abs(geo.signed_area(r)) * sign
+        return F.struct(area.alias("a"), (cx * area).alias("x"), (cy * area).alias("y"))
+
+    pieces = F.array(piece(F.col(ring), 1.0))
+    if holes is not None:
+        inner = F.transform(holes, lambda h: piece(h, -1.0))
+        pieces = F.concat(pieces, F.coalesce(inner, F.slice(pieces, 1, 0)))
+    sums = polygons.select(poly_id, F.explode(pieces).alias("p")).groupBy(poly_id).agg(F.sum("p.a").alias("a"), F.sum("p.x").alias("x"), F.sum("p.y").alias("y"))
+    return sums.select(poly_id, F.try_divide("x", "a").alias("x"), F.try_divide("y", "a").alias("y"))
 
 
 def dominance(
-    zones: DataFrame, zone: str, labels: DataFrame, label: str, ring: str, grid: int, size: float,
-    neutral: str = "NEUTRO", dispute: str = "DISPUTA",
+    zones: DataFrame, zone: str, labels: DataFrame, label: str, ring: str, grid: int, size: float | None = None,
+    neutral: str = "NEUTRO", dispute: str = "DISPUTA", holes: str | None = None,
 ) -> DataFrame:
     """Label with the largest area share of each zone, by a sampling lattice.
 
-    Every zone is covered by ``grid`` x ``grid`` sample points over its bounding
-    box; the share error is of the order of its perimeter times the spacing.
+    Every zone, all its parts together, is covered by one lattice of ``grid`` x
+    ``grid`` sample points over its bounding box; samples in a hole are outside.
+    The share error is of the order of the perimeter times the spacing.
     """
     xs = F.transform(F.col(ring), lambda p: p["x"])
     ys = F.transform(F.col(ring), lambda p: p["y"])
-    spaced = zones.select(
-        zone, geo.edges(F.col(ring)).alias("_ze"),
-        F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"),
-        F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_i"),
-    ).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    samples = spaced.select(
-        zone, "_ze", "_i", "_j",
+    boxes = zones.groupBy(zone).agg(
+        F.min(F.array_min(xs)).alias("_x0"), F.max(F.array_max(xs)).alias("_x1"), F.min(F.array_min(ys)).alias("_y0"), F.max(F.array_max(ys)).alias("_y1"),
+    )
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    spaced = boxes.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).select(
+        zone, "_i", "_j",
         (F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("_i") + 0.5) / grid).alias("x"),
         (F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col("_j") + 0.5) / grid).alias("y"),
-    ).filter(geo.within(F.col("_ze"), F.col("x"), F.col("y"))).drop("_ze")
+    )
+    parts = zones.select(zone, geo.polygon_edges(F.col(ring), None if holes is None else F.col(holes)).alias("_ze"))
+    inside = spaced.join(parts, zone).filter(geo.within(F.col("_ze"), F.col("x"), F.col("y")))
+    samples = inside.groupBy(zone, "_i", "_j").agg(F.first("x").alias("x"), F.first("y").alias("y"))
     sizes = samples.groupBy(zone).agg(F.count(F.lit(1)).alias("_total"))
     # a sample covered twice by polygons of one label counts once
     hits = points_in_polygons(samples, labels, label, ring, "x", "y", size).groupBy(zone, "_i", "_j", label).agg(F.lit(1).alias("_h"))
@@ -200,11 +200,15 @@ def dominance(
 
 
 def touching(polygons: DataFrame, poly_id: str, ring: str, mode: str = "vertex", digits: int = 7) -> DataFrame:
-    """Pairs of polygons that share a vertex or a whole border edge.
+    """Pairs of polygons that share a vertex, a whole border edge, or any stretch of border.
 
-    Borders are exploded to rounded vertices (or undirected edges) and matched by
-    an equi-join; both directions are returned.
+    Vertices and edges are rounded and matched by an equi-join.  In mode ``border``
+    edges are matched by the line they lie on, and pairs whose stretches overlap
+    touch, whether or not they share a vertex.  Both directions are returned.
     """
+    if mode == "border":
+        return _along_borders(polygons, poly_id, ring, digits)
+
     def point(px: Column, py: Column) -> Column:
         return F.struct(F.round(px, digits).alias("x"), F.round(py, digits).alias("y"))
 
@@ -217,6 +221,31 @@ def touching(polygons: DataFrame, poly_id: str, ring: str, mode: str = "vertex",
     return left.join(right, "mark").filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
+def _along_borders(polygons: DataFrame, poly_id: str, ring: str, digits: int) -> DataFrame:
+    unit = 10.0 ** -digits
+    e = polygons.select(poly_id, F.explode(geo.edges(F.col(ring))).alias("e")).select(poly_id, "e.*")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    e = e.withColumn("_len", F.hypot(dx, dy)).filter(F.col("_len") > unit)
+    # one direction for both ways along a line; near-vertical lines point up
+    turn = F.when((dx < -unit) | ((F.abs(dx) <= unit) & (dy < 0)), -1.0).otherwise(1.0)
+    e = e.withColumn("_ux", turn * dx / F.col("_len")).withColumn("_uy", turn * dy / F.col("_len"))
+    along = lambda x, y: F.col(x) * F.col("_ux") + F.col(y) * F.col("_uy")
+    lines = e.select(
+        poly_id, F.round("_ux", 4).alias("_a"), F.round("_uy", 4).alias("_b"), F.floor((F.col("y1") * F.col("_ux") - F.col("x1") * F.col("_uy")) / (unit * 1000)).alias("_c"),
+        (F.col("y1") * F.col("_ux") - F.col("x1") * F.col("_uy")).alias("off"), F.least(along("x1", "y1"), along("x2", "y2")).alias("lo"), F.greatest(along("x1", "y1"), along("x2", "y2")).alias("hi"),
+    )
+    left = lines.select(F.col(poly_id).alias("src"), "_a", "_b", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"), F.col("off").alias("_o"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    # directions may round to either side
+    step = F.array(F.lit(-1e-4), F.lit(0.0), F.lit(1e-4))
+    left = left.withColumn("_a", F.explode(F.transform(step, lambda d: F.round(F.col("_a") + d, 4)))).withColumn("_b", F.explode(F.transform(step, lambda d: F.round(F.col("_b") + d, 4))))
+    right = lines.withColumnRenamed(poly_id, "dst")
+    shared = F.least("hi", "_hi") - F.greatest("lo", "_lo")
+    return (
+        left.join(right, ["_a", "_b", "_c"]).filter((F.col("src") != F.col("dst")) & (F.abs(F.col("off") - F.col("_o")) <= unit * 10) & (shared > unit * 10))
+        .select("src", "dst").distinct()
+    )
+
+
 def vertices(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
     return polygons.select(poly_id, F.posexplode(ring).alias("pos", "p")).select(
         poly_id, "pos", F.col("p.x").alias("x"), F.col("p.y").alias("y")

@@ -247,30 +247,37 @@ def dickey_fuller(series: DataFrame, zone: str, date: str, value: str) -> DataFr
     return fit.select(zone, "n", F.try_divide("slope", "stderr").alias("t")).withColumn("stationary", F.col("t") < DF_CRITICAL)
 
 
-def _adf_one(y: np.ndarray, max_lag: int) -> tuple[float | None, int | None]:
-    """Augmented test on one zone's calendar; lag order by AIC."""
+def _adf_fit(y: np.ndarray, lag: int, skip: int) -> tuple[float, float] | None:
+    """(t, AIC) of the regression with ``lag`` differences, on the rows from ``skip`` on."""
     dy = np.diff(y)
-    best: tuple[float, float | None, int | None] = (np.inf, None, None)
-    for lag in range(max_lag + 1):
-        # every order is compared on the same rows
-        rows = np.arange(max_lag, len(dy))
-        cols = [np.ones(len(rows)), y[rows]] + [dy[rows - k] for k in range(1, lag + 1)]
-        x = np.column_stack(cols)
-        if len(rows) <= x.shape[1] + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
-            continue
-        beta = np.linalg.lstsq(x, dy[rows], rcond=None)[0]
-        rss = float(((dy[rows] - x @ beta) ** 2).sum())
-        if rss <= 1e-12:
-            continue
-        aic = len(rows) * np.log(rss / len(rows)) + 2 * x.shape[1]
-        if aic < best[0]:
-            cov = rss / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)
-            best = (aic, float(beta[1] / np.sqrt(cov[1, 1])), lag)
-    return best[1], best[2]
-
-
-def augmented_dickey_fuller(series: DataFrame, zone: str, date: str, value: str, max_lag: int = 3) -> DataFrame:
-    """AIC-selected Dickey-Fuller t; a group is one zone's calendar of rows."""
+    rows = np.arange(skip, len(dy))
+    x = np.column_stack([np.ones(len(rows)), y[rows]] + [dy[rows - k] for k in range(1, lag + 1)])
+    if len(rows) <= x.shape[1] + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
+        return None
+    beta = np.linalg.lstsq(x, dy[rows], rcond=None)[0]
+    rss = float(((dy[rows] - x @ beta) ** 2).sum())
+    if rss <= 1e-12:
+        return None
+    cov = rss / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)
+    return float(beta[1] / np.sqrt(cov[1, 1])), len(rows) * np.log(rss / len(rows)) + 2 * x.shape[1]
+
+
+def _adf_one(y: np.ndarray, max_lag: int | None) -> tuple[float | None, int | None]:
+    """Augmented test on one zone's calendar; lag order by AIC on common rows, t from all usable rows."""
+    if max_lag is None:
+        max_lag = max(0, min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 2))
+    fits = {lag: fit for lag in range(max_lag + 1) if (fit := _adf_fit(y, lag, max_lag))}
+    if not fits:
+        return None, None
+    lag = min(fits, key=lambda k: (fits[k][1], k))
+    return _adf_fit(y, lag, lag)[0], lag
+
+
+def augmented_dickey_fuller(series: DataFrame, zone: str, date: str, value: str, max_lag: int | None = None) -> DataFrame:
+    """AIC-selected Dickey-Fuller t; a group is one zone's calendar of rows.
+
+    Without ``max_lag`` the lags up to 12 (n / 100)^(1/4) are tried.
+    """
     kind = dict(series.dtypes)[zone]
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:

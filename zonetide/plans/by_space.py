@@ -9,19 +9,18 @@ from zonetide.operators import graph, spatial
 from zonetide.plans.registry import query
 from zonetide.plans.views import with_sql
 
-CELL = 0.05
 KM = "2 * 6371.0 * asin(sqrt(least(1, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 KM_AB = KM.format(a="a.", b="b.")
 
 
 @query("x1_point_in_polygon", with_sql("pip", "SELECT id, poly FROM pip"))
 def _(v):
-    return spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", CELL).select("id", "poly")
+    return spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat").select("id", "poly")
 
 
 @query("x1_point_in_polygon_left", with_sql("pip", "SELECT pt.id, coalesce(pip.poly, -1) AS poly FROM pt LEFT JOIN pip ON pip.id = pt.id"))
 def _(v):
-    hits = spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", CELL, how="left")
+    hits = spatial.points_in_polygons(v.point(), v.polygon(), "poly", "ring", "lon", "lat", how="left")
     return hits.select("id", F.coalesce("poly", F.lit(-1)).alias("poly"))
 
 
@@ -93,7 +92,7 @@ _DOM = (
     ),
 )
 def _(v):
-    return spatial.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring", _GRID, CELL)
+    return spatial.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring", _GRID)
 
 
 @query("x5_touching_vertex", with_sql("cor", "SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7) AND a.poly <> b.poly"))
@@ -109,10 +108,42 @@ def _(v):
     return spatial.touching(v.polygon(), "poly", "ring", "edge")
 
 
+# Bricks of width 2: every second row is shifted by half, so borders meet in T shapes.
+_BRICKS = "br AS (SELECT n_nationkey AS poly, 2.0 * (n_nationkey % 5) + (n_nationkey // 5) % 2 AS bx, 1.0 * (n_nationkey // 5) AS byy FROM nation)"
+
+
+def _bricks(v):
+    k = F.col("n_nationkey")
+    x, y = (k % 5) * 2.0 + F.floor(k / 5) % 2, F.floor(k / 5) * 1.0
+    corner = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    return v.table("nation").select(k.alias("poly"), F.array(corner(0, 0), corner(2, 0), corner(2, 1), corner(0, 1)).alias("ring"))
+
+
+@query(
+    "x5_touching_border",
+    with_sql("", "WITH " + _BRICKS + " SELECT a.poly AS src, b.poly AS dst FROM br a JOIN br b ON a.poly <> b.poly AND ((a.byy = b.byy AND abs(a.bx - b.bx) = 2) OR (abs(a.byy - b.byy) = 1 AND abs(a.bx - b.bx) < 2))"),
+)
+def _(v):
+    return spatial.touching(_bricks(v), "poly", "ring", "border")
+
+
+@query(
+    "x4_dominance_of_parts",
+    with_sql("", "WITH " + _BRICKS + ", zp AS (SELECT poly % 5 AS zone, bx AS x0, byy AS y0 FROM br), bb AS (SELECT zone, min(x0) AS lx, max(x0) + 2 AS hx, min(y0) AS ly, max(y0) + 1 AS hy FROM zp GROUP BY zone), smp AS (SELECT zone, lx + (hx - lx) * (i + 0.5) / 30 AS x, ly + (hy - ly) * (j + 0.5) / 30 AS y FROM bb, (SELECT unnest(range(30)) AS i), (SELECT unnest(range(30)) AS j)), ins AS (SELECT DISTINCT s.* FROM smp s JOIN zp ON zp.zone = s.zone AND x > x0 AND x < x0 + 2 AND y > y0 AND y < y0 + 1), n AS (SELECT zone, CASE WHEN y < 1.9 THEN 'low' ELSE 'high' END AS label, count(*) AS c FROM ins GROUP BY 1, 2) SELECT CAST(zone AS BIGINT) AS zone, arg_max(label, (c, label)) AS dominant, round(max(c) / sum(c), 6) + 0.0 AS degree FROM n GROUP BY zone"),
+)
+def _(v):
+    """Zones of five parts, one per row of bricks, against two labels."""
+    zones = _bricks(v).select((F.col("poly") % 5).cast("bigint").alias("zone"), "ring")
+    box = lambda y0, y1: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-5.0, y0), (50.0, y0), (50.0, y1), (-5.0, y1))])
+    both = F.array(F.struct(F.lit("low").alias("label"), box(-5.0, 1.9).alias("ring")), F.struct(F.lit("high").alias("label"), box(1.9, 50.0).alias("ring")))
+    labels = v.table("region").filter("r_regionkey = 0").select(F.explode(both).alias("l")).select("l.*")
+    return spatial.dominance(zones, "zone", labels, "label", "ring", 30)
+
+
 @query("x6_haversine", with_sql("pip cen", f"SELECT a.id, {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')} AS km FROM pt a JOIN pip ON pip.id = a.id JOIN cen b ON b.poly = pip.poly", "km"))
 def _(v):
     polys = v.polygon()
-    hits = spatial.points_in_polygons(v.point(), polys, "poly", "ring", "lon", "lat", CELL)
+    hits = spatial.points_in_polygons(v.point(), polys, "poly", "ring", "lon", "lat")
     rows = hits.join(spatial.centroids(polys, "poly", "ring"), "poly")
     return rows.select("id", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")).alias("km"))
 
