@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from zonetide.llm import oracles
 from zonetide.llm.bpe import encode_decode, read_file, token_counts
 from zonetide.llm.fingerprint import as_text, edited_fingerprints, likeness
 from zonetide.llm.jaccard import jaccard_components
@@ -95,4 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.JACCARD,
+    "op3_source_mixing": oracles.MIXING,
+    "op4_embedding_near_dedup": oracles.VECTORS,
+    "op7_suffix_array_dedup": oracles.SUFFIXES,
+    "op9_substring_dedup": oracles.SUBSTRINGS,
+}
