@@ -109,3 +109,14 @@ def test_partitioned_write_keeps_rows(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     files.write_partitioned(df, path, ["k"], 4)
     assert spark.read.schema(T.StructType(df.schema.fields)).parquet(path).count() == 100
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from zonetide.streaming.flows import run_to_table
+
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    spark.range(3).write.parquet(folder)
+    stream = lambda: spark.readStream.schema("id long").parquet(folder)
+    assert run_to_table(stream(), "ids", sink=sink).count() == 3
+    spark.range(3, 8).write.mode("append").parquet(folder)
+    assert sorted(r.id for r in run_to_table(stream(), "ids", sink=sink).collect()) == list(range(8))

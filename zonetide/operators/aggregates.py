@@ -22,20 +22,22 @@ def month_rollup(events: DataFrame, month: str, zone: str, weight: str | None =
     """Counts per (month, zone) and per month, from one scan."""
     return (
         events.rollup(month, zone)
-        .agg(counted(weight).alias("n"), F.grouping(zone).cast("int").alias("is_total"))
-        .filter(F.col(month).isNotNull())
+        .agg(counted(weight).alias("n"), F.grouping(zone).cast("int").alias("is_total"), F.grouping(month).alias("_all"))
+        .filter("_all = 0").drop("_all")
     )
 
 
 def season_counts(events: DataFrame, key: Sequence[str], parts: dict[str, Sequence[str]]) -> DataFrame:
     """Counts by key and each named set of time parts, in one scan.
 
-    ``parts`` maps a set name to its columns; unused columns are null.
+    ``parts`` maps a set name to its columns; unused columns are null.  Events are
+    counted by all parts first, so the sets multiply counts, not events.
     """
     columns = list(dict.fromkeys(c for cols in parts.values() for c in cols))
     sets = [[F.col(c) for c in [*key, *cols]] for cols in parts.values()]
-    grouped = events.groupingSets(sets, *[F.col(c) for c in [*key, *columns]]).agg(
-        F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in columns]
+    cells = events.groupBy(*key, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    grouped = cells.groupingSets(sets, *[F.col(c) for c in [*key, *columns]]).agg(
+        F.sum("_n").alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in columns]
     )
     label = None
     for name, cols in parts.items():

@@ -119,10 +119,18 @@ def fixed_gaps(df: DataFrame, predicted: str, action: str) -> DataFrame:
     return df.withColumn("kind", kind).filter(F.col("kind").isNotNull())
 
 
-def quantile_classes(df: DataFrame, value: str, out: str = "class") -> DataFrame:
-    """Above p90 critical, p75 high, p50 medium, else low."""
-    cut = one_row(quantiles(df, value, {"p50": 0.5, "p75": 0.75, "p90": 0.9}))
+def quantile_classes(df: DataFrame, value: str, out: str = "class", override: tuple[float, float] | None = None) -> DataFrame:
+    """Above p90 critical, p75 high, p50 medium, else low.
+
+    ``override`` (p, factor) adds a flag ``critical`` for values of quantile(p) *
+    factor or more, which are critical in any case; all cuts come from one pass.
+    """
+    levels = {"p50": 0.5, "p75": 0.75, "p90": 0.9} | ({"over": override[0]} if override else {})
+    cut = one_row(quantiles(df, value, levels))
     v = F.col(value)
+    if override:
+        rows = df.withColumn("critical", v >= cut["over"] * override[1])
+        return rows.withColumn(out, F.when(F.col("critical") | (v > cut["p90"]), "CRITICO").when(v > cut["p75"], "ALTO").when(v > cut["p50"], "MEDIO").otherwise("BAIXO"))
     return df.withColumn(out, F.when(v > cut["p90"], "CRITICO").when(v > cut["p75"], "ALTO").when(v > cut["p50"], "MEDIO").otherwise("BAIXO"))
 
 

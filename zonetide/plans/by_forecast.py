@@ -206,8 +206,7 @@ def _(v):
     with_sql("dz", f"SELECT zone, date, click >= (SELECT quantile_cont(click, 0.9) FROM dz) * 1.15 AS critical, CASE WHEN click >= (SELECT quantile_cont(click, 0.9) FROM dz) * 1.15 THEN 'CRITICO' ELSE {_CLS.format(c='click', t='dz')} END AS class FROM dz"),
 )
 def _(v):
-    rows = forecast.quantile_classes(v.daily_zone().select("zone", "date", "click"), "click")
-    return forecast.critical_override(rows, "click", "class").drop("click")
+    return forecast.quantile_classes(v.daily_zone().select("zone", "date", "click"), "click", override=(0.9, 1.15)).drop("click")
 
 
 @query(

@@ -78,3 +78,15 @@ def _(v):
     dim = v.zone_dim().select(F.col("zone").cast("bigint").alias("user_id"), "zone_name")
     s = flows.enrich(_stream(v).select("event_id", "user_id"), dim, "user_id")
     return flows.run_to_table(s, "enriched").select("event_id", F.coalesce("zone_name", F.lit("SEM DADO")).alias("zone_name"))
+
+
+@query(
+    "str4_stream_point_in_polygon",
+    with_sql("pip", "SELECT e.event_id, coalesce(pip.poly, -1) AS poly FROM events e JOIN pt ON pt.id = e.event_id LEFT JOIN pip ON pip.id = pt.id"),
+)
+def _(v):
+    """Events that have a point, placed on the way in."""
+    points = v.point().withColumnRenamed("id", "event_id")
+    s = _stream(v).select("event_id").join(points, "event_id")
+    placed = flows.place(s, v.polygon(), "poly", "ring", "lon", "lat")
+    return flows.run_to_table(placed, "placed").select("event_id", F.coalesce("poly", F.lit(-1)).alias("poly"))

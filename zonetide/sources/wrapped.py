@@ -61,18 +61,20 @@ def read_wrapped_json(spark: SparkSession, path: str, fields: Sequence[str], tab
 def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document: int = 10_000) -> None:
     """Header plus table documents of bounded size, one document per line.
 
-    Each task packs its own rows batch by batch: nothing is shuffled and no
-    document gathers more than ``rows_per_document`` rows.
+    Rows become JSON in the JVM; each task joins those of one Arrow batch after the
+    other.  Nothing is shuffled, and no document gathers more than
+    ``rows_per_document`` rows or one batch.
     """
+    name = json.dumps(table, ensure_ascii=False)
+    head, tail = f'[{{"type": "header", "name": {name}}}, {{"type": "table", "name": {name}, "data": [', "]}]"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), rows_per_document):
-                rows = batch.iloc[start : start + rows_per_document].to_dict("records")
-                document = [{"type": "header", "name": table}, {"type": "table", "name": table, "data": rows}]
-                yield pd.DataFrame({"value": [json.dumps(document, ensure_ascii=False)]})
+            rows = batch["row"]
+            yield pd.DataFrame({"value": [head + ", ".join(rows[at : at + rows_per_document]) + tail for at in range(0, len(rows), rows_per_document)]})
 
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    fields = F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    text = df.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("row"))
     text.mapInPandas(pack, "value string").write.text(path)
 
 

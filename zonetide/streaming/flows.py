@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonetide.operators.spatial import points_in_polygons
 from zonetide.session import scratch_path
 
 
@@ -27,13 +28,14 @@ def split_valid(stream: DataFrame, required: Sequence[str]) -> DataFrame:
     return stream.withColumn("accepted", ok)
 
 
-def run_to_table(stream: DataFrame, name: str, partition_by: Sequence[str] = (), mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, partition_by: Sequence[str] = (), mode: str = "append", sink: str | None = None) -> DataFrame:
     """Drain what is available into Parquet and read it back.
 
-    Sink and progress log live in the shared folder, so a restart resumes.
+    Sink and progress log live in the shared folder.  A run with the same ``sink``
+    goes on after what earlier runs took in; without one a fresh path is used.
     """
     spark = stream.sparkSession
-    sink = scratch_path(spark, name)
+    sink = sink or scratch_path(spark, name)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", sink + "-log").trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -63,6 +65,11 @@ def drop_repeats(stream: DataFrame, key: Sequence[str], time: str, delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+def place(stream: DataFrame, polygons: DataFrame, poly_id: str, ring: str, x: str, y: str, size: float | None = None, holes: str | None = None) -> DataFrame:
+    """Points of a stream with the polygon around them, or null; polygons are static."""
+    return points_in_polygons(stream, polygons, poly_id, ring, x, y, size, how="left", holes=holes)
+
+
 def enrich(stream: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Stream-static left join; the static side is read anew per micro-batch."""
     return stream.join(dim, key, "left")
