@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonetide.session import cut_lineage
+
 ROWS_PER_LANGUAGE = 2500
 MAX_WORDS = 60_000
 MAX_GRAMS = 120_000
@@ -38,7 +40,8 @@ def _grams(word: str, n: int) -> list[str]:
 def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(text, lang): about ``rows`` labelled documents of each language, by a hash of doc_id; all where there are fewer."""
     known = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    rate = known.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_rate"))
+    # a row per language, written so that Spark knows its size and need not shuffle texts to join it
+    rate = cut_lineage(known.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_rate")), "rates")
     return known.join(rate, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_rate") * (1 << 20)).select("text", "lang")
 
 
@@ -69,7 +72,7 @@ def train(sample: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
             yield pa.RecordBatch.from_pylist([{"lang": a, "item": g, "n": n} for (a, g), n in counts.items()], schema=_ITEMS)
 
     total = F.sum("n").alias("n")
-    by_word = sample.mapInArrow(words, _ITEMS_SQL).groupBy("lang", "item").agg(total)
+    by_word = cut_lineage(sample.mapInArrow(words, _ITEMS_SQL).groupBy("lang", "item").agg(total), "words")
     by_gram = by_word.mapInArrow(grams, _ITEMS_SQL).groupBy("lang", "item").agg(total)
     order = [F.desc("n"), "lang", "item"]
     top_words = by_word.filter("n > 1").orderBy(*order).limit(max_words).collect()
