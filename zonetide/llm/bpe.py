@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.llm.splitting import as_bytes, splitter, tokenizer, word_ids
-from zonetide.llm.textscan import signed
+from zonetide.llm.textscan import release, signed
 from zonetide.llm.wordtable import answered, answers_of, documents_of, from_planes, packed
 
 OUT_BYTES = 16 << 20
@@ -55,6 +55,7 @@ def _read_at_positions(docs: DataFrame, file: str, decoded: bool) -> DataFrame:
         return lambda word: as_bytes(ids(word))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         piece = {i: p.encode() for p, i in tokenizer(file).get_vocab(with_added_tokens=True).items()}
         for batch in batches:
             for i in range(batch.num_rows):

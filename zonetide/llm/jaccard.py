@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.llm.components import components, grow_forest
-from zonetide.llm.textscan import SLICE_BYTES, Prefix, Words, buffers, mixed, signed, slices, spread
+from zonetide.llm.textscan import SLICE_BYTES, Prefix, Words, buffers, mixed, release, signed, slices, spread
 from zonetide.session import cut_lineage
 
 WIDTH = 5
@@ -93,6 +93,7 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, size=2 * SLICE_BYTES):
@@ -114,6 +115,7 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
 
     def share(table: pa.Table) -> pa.Table:
         """Keep the shingles of a fragment that lie in two sets or more, with the number of sets."""
+        release()
         parts = table.to_pylist()
         heads = [tuple(p[c] for c in _NAMES) for p in parts if p["tokens"] is None]
         parts = [p for p in parts if p["tokens"] is not None]

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonetide.llm.textscan import KEPT
 from zonetide.session import cut_lineage
 
 ROWS_PER_LANGUAGE = 2500
@@ -125,6 +126,15 @@ class _Scores(dict):
 
 
 _memo: dict[int, _Scores] = {}
+KEPT.append(_memo)
+
+
+def _scores_of(model: Model) -> _Scores:
+    """The scores of this worker for a model; they last from task to task."""
+    if id(model) not in _memo:
+        _memo.clear()
+        _memo[id(model)] = _Scores(model)
+    return _memo[id(model)]
 
 
 def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
@@ -141,10 +151,7 @@ def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
         model = sent.value
-        if id(model) not in _memo:
-            _memo.clear()
-            _memo[id(model)] = _Scores(model)
-        scores = _memo[id(model)]
+        scores = _scores_of(model)
         out = []
         for text in texts:
             text = text.as_py()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonetide.llm.textscan import Prefix, Words, buffers, mixed, pieces, signed, slices, spread
+from zonetide.llm.textscan import Prefix, Words, buffers, mixed, pieces, release, signed, slices, spread
 from zonetide.session import cut_lineage
 
 #: texts -> (codes of their symbols, bounds of each text's symbols)
@@ -42,6 +42,7 @@ def runs(docs: DataFrame, symbols: Symbols, length: int, k: int, across: bool) -
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch):
                 r = pieces(*symbols(part["text"]), length, k)

@@ -7,13 +7,14 @@ of ``SLICE_BYTES`` of text; that bounds the memory of a task and changes no resu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -38,6 +39,21 @@ def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+#: What tasks keep between batches; workers serve one operator after another.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Give back what earlier tasks of this worker left in memory."""
+    _powers_of.cache_clear()
+    for kept in KEPT:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of them."""
     return _powers_of(2 * SLICE_BYTES + 1 if n <= 2 * SLICE_BYTES + 1 else 1 << n.bit_length())

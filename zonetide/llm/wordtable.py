@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.textscan import signed, slices
+from zonetide.llm.textscan import release, signed, slices
 from zonetide.session import scratch_path
 
 BATCH_BYTES = 48 << 20
@@ -48,6 +48,7 @@ def packed(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], fre
     spark = docs.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cut, batch_no = split(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, size=BATCH_BYTES):
@@ -95,6 +96,7 @@ def answered(table: DataFrame, answer: Callable[[], Callable[[str], bytes]]) ->
                 ], ["bucket", "batch", "index", "words"])
 
     def look_up(rows: pa.Table) -> pa.Table:
+        release()
         of = answer()
         known: dict[bytes, bytes] = {}
         sizes, values = [], []
