@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zonetide.llm.splitting import as_bytes, splitter, tokenizer, word_ids
 from zonetide.llm.textscan import release, signed
-from zonetide.llm.wordtable import answered, answers_of, documents_of, from_planes, packed
+from zonetide.llm.wordtable import BATCH_BYTES, answered, answers_of, documents_of, from_planes, packed
 
 OUT_BYTES = 16 << 20
 
@@ -39,17 +39,17 @@ def encode(docs: DataFrame, file: str) -> DataFrame:
     return _read_at_positions(docs, file, decoded=False)
 
 
-def encode_decode(docs: DataFrame, file: str) -> DataFrame:
+def encode_decode(docs: DataFrame, file: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, ids, decoded): as :func:`encode`, and the pieces of the ids joined by one space.
 
     That is what the library gives for a file without decoder.  The id-to-piece
     table is as long as the vocabulary, so it goes to every task and the ids of each
     distinct word are joined with it there, once per batch.
     """
-    return _read_at_positions(docs, file, decoded=True)
+    return _read_at_positions(docs, file, decoded=True, batch_bytes=batch_bytes)
 
 
-def _read_at_positions(docs: DataFrame, file: str, decoded: bool) -> DataFrame:
+def _read_at_positions(docs: DataFrame, file: str, decoded: bool, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     def answer():
         ids = word_ids(file)
         return lambda word: as_bytes(ids(word))
@@ -82,7 +82,7 @@ def _read_at_positions(docs: DataFrame, file: str, decoded: bool) -> DataFrame:
             arrays.append(pa.array(out[2], pa.binary()).cast(pa.string()))
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"][: len(arrays)])
 
-    table = packed(docs, lambda: splitter(file), frequencies=False)
+    table = packed(docs, lambda: splitter(file), frequencies=False, batch_bytes=batch_bytes)
     return answered(table, answer).mapInArrow(read, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 

@@ -14,6 +14,7 @@ from zonetide.llm.mixing import mixed_documents
 from zonetide.llm.suffix import without_repeats
 
 LEAST_SCORE = 0.5
+BATCH_BYTES = 8 << 20  # executors have served four stages by then, so batches are small
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -54,7 +55,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
-    coded = encode_decode(docs, read_file(public_tokenizers.path("word_bpe_49k.json")))
+    coded = encode_decode(docs, read_file(public_tokenizers.path("word_bpe_49k.json")), BATCH_BYTES)
     return coded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -39,11 +39,12 @@ _PACKED = "batch long, docs binary, sizes binary, numbers binary, times binary,
 _PACKED_NAMES = ["batch", "docs", "sizes", "numbers", "times", "n_words", "words"]
 
 
-def packed(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], frequencies: bool) -> DataFrame:
+def packed(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], frequencies: bool, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per batch of documents, written to the shared folder in buckets of ``batch``.
 
     ``numbers`` gives each document's words in order or, with ``frequencies``, its
-    distinct words, which occur ``times``.
+    distinct words, which occur ``times``.  Smaller batches need less memory and
+    repeat more words between them.
     """
     spark = docs.sparkSession
 
@@ -51,7 +52,7 @@ def packed(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], fre
         release()
         cut, batch_no = split(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, size=BATCH_BYTES):
+            for part in slices(batch, size=batch_bytes):
                 batch_no += 1
                 number: dict[str, int] = defaultdict(count().__next__)
                 found, times = [], []
