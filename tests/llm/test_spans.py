@@ -68,3 +68,9 @@ def test_sliding_min():
     x = np.array([5, 3, 8, 1, 9, 2, 7])
     for width in range(1, 8):
         assert sliding_min(x, width).tolist() == [min(x[i : i + width]) for i in range(len(x) - width + 1)]
+
+
+def test_a_text_that_repeats_itself(few):
+    rows = [(i, "ab " * (i * 37) + "thines " * 1500 + f"end{i} " + "is is the " * 700) for i in range(4)]
+    assert _bytes(suffix.without_repeats(few(rows))) == repeated_bytes(rows, suffix.LENGTH)
+    assert _words(unitigs.without_repeated_words(few(rows))) == repeated_words(rows, unitigs.LENGTH)

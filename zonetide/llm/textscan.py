@@ -143,8 +143,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def pieces(codes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
     """Cut the windows of ``length`` symbols of each text into runs that share their least k-gram.
 
-    The k-gram of least hash depends on the content of a window alone, so equal
-    windows fall into runs of equal ``key``.  A run holds the windows that start
+    Of the k-grams of least hash the first is taken.  It depends on the content of a
+    window alone, so equal windows fall into runs of equal ``key``, and into
+    different runs where a text repeats itself.  A run holds the windows that start
     at ``lo .. lo + count - 1`` of text ``row``; ``content`` is the hash of all
     symbols of the run.
     """
@@ -154,8 +155,8 @@ def pieces(codes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
         return empty
     prefix = Prefix(codes)
     grams = prefix.windows(k)
-    low = np.uint64(0xFFF)  # ties go by position, wrapped; either choice has the same key
-    least = sliding_min((grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low), length - k + 1)
+    low = np.uint64(0xFFFFFFFF)  # upper half of the hash, then the position
+    least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - k + 1)
     row, at = spread(starts_of)
     start = bounds[:-1][row] + at
     chosen = least[start]
@@ -164,6 +165,6 @@ def pieces(codes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
     return {
-        "row": row[head], "lo": at[head], "count": count, "key": chosen[head] & ~low,
+        "row": row[head], "lo": at[head], "count": count, "key": grams[(chosen[head] & low).astype(np.int64)],
         "content": prefix.of(start[head], start[head] + count + length - 1),
     }
