@@ -13,7 +13,7 @@ from zonetide.llm.splitting import as_bytes, splitter, tokenizer, word_ids
 from zonetide.llm.textscan import release, signed
 from zonetide.llm.wordtable import BATCH_BYTES, answered, answers_of, documents_of, from_planes, packed
 
-OUT_BYTES = 16 << 20
+OUT_BYTES = 4 << 20
 
 
 def read_file(path: str) -> str:
