@@ -53,3 +53,37 @@ part AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0
 kept AS (SELECT x.doc_id, string_agg(CASE WHEN b IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS t, count(*) - 1 AS spans FROM x JOIN part ON part.doc_id = x.doc_id GROUP BY x.doc_id)
 SELECT x.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST((len(x) - len(coalesce(t, x))) // 2 AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, x))) AS kept_sha256 FROM x LEFT JOIN kept ON kept.doc_id = x.doc_id
 """
+
+EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {0}) AS BIGINT))"
+
+NEGATIVES = f"""
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform({_INTEGERS.format(256)}, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+d AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM p a JOIN p b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+pos AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM d WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT pos.anchor_id, positive_id, CAST(row_number() OVER one AS INTEGER) AS rank, d.id AS negative_id, positive_score, d.s AS negative_score
+FROM pos JOIN d ON d.anchor_id = pos.anchor_id AND NOT d.same AND 80 * positive_score <= 100 * d.s AND 100 * d.s <= 100 * positive_score
+WINDOW one AS (PARTITION BY pos.anchor_id, positive_id ORDER BY d.s DESC, d.id) QUALIFY row_number() OVER one <= 5
+"""
+
+_ROUND = """
+n{0} AS (SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{0}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+_MEAN = """,
+m{1} AS (SELECT k, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (SELECT k, i, CAST(sum(x) AS DOUBLE) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(1, 65)) AS i FROM n{0}) GROUP BY k, i) GROUP BY k),
+c{1} AS (SELECT c{0}.k, coalesce(m{1}.c, c{0}.c) AS c FROM c{0} LEFT JOIN m{1} ON m{1}.k = c{0}.k),"""
+
+CENTROIDS = (
+    f"""
+WITH v AS (SELECT vec_id, {_INTEGERS.format(64)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM v QUALIFY k < 16),"""
+    + "".join(_ROUND.format(r) + (_MEAN.format(r, r + 1) if r < 3 else "") for r in range(4))
+    + """
+SELECT vec_id, CAST(n3.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY n3.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM n3 JOIN c3 ON c3.k = n3.k
+"""
+)

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from zonetide.llm import oracles
 from zonetide.llm.bpe import encode_decode, read_file, token_counts
+from zonetide.llm.centroids import clustered, finite, floored
+from zonetide.llm.exact import exact_dedup
 from zonetide.llm.fingerprint import as_text, edited_fingerprints, likeness
 from zonetide.llm.jaccard import jaccard_components
 from zonetide.llm.language import labelled_sample, predict, train
 from zonetide.llm.mixing import mix
+from zonetide.llm.negatives import hard_negatives
 from zonetide.llm.quality import classified
 from zonetide.llm.stages import held_out
 from zonetide.llm.suffix import without_repeats
@@ -27,6 +30,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
@@ -45,7 +52,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_vectors(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+    return linked_vectors(_embeddings(spark, sf_dir))
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +89,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", "held_out", F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).filter(finite("embedding"))
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    points = rows.select("vec_id", label.alias("label"), floored("embedding", 256).alias("v"))
+    return hard_negatives(points, F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return exact_dedup(spark, f"{sf_dir.rstrip('/')}/documents.parquet").withColumnRenamed("digest", "text_sha256")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -93,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -102,4 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_near_dedup": oracles.VECTORS,
     "op7_suffix_array_dedup": oracles.SUFFIXES,
     "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op11_hard_negative_mining": oracles.NEGATIVES,
+    "op12_exact_dedup": oracles.EXACT,
+    "op13_centroid_clustering": oracles.CENTROIDS,
 }
