@@ -1,6 +1,5 @@
 """Operators on small frames, against pandas, numpy and brute force."""
 
-import difflib
 import math
 from datetime import date, timedelta
 
@@ -11,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zonetide.operators import aggregates, forecast, graph, joins, matching, panel, ranking, spatial, study, windows
+from zonetide.operators import aggregates, forecast, graph, joins, matching, overlay, panel, ranking, spatial, study, windows
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 D0 = date(2024, 1, 1)
@@ -98,14 +97,6 @@ def test_as_of_takes_last_known(spark):
     assert got == {(1, day(0)): None, (1, day(1)): "x", (1, day(2)): "x", (1, day(3)): "y", (2, day(0)): None}
 
 
-def test_names_in_text_beyond_the_list_limit(spark, monkeypatch):
-    monkeypatch.setattr(joins, "name_slices", lambda names, name, limit=2, f=joins.name_slices: f(names, name, limit))
-    texts = spark.createDataFrame([(1, "alpha and Beta"), (2, "none")], "id int, t string")
-    names = spark.createDataFrame([(n,) for n in ("ALPHA", "BETA", "GAMMA", "DELTA", "N.NE")], "name string")
-    got = joins.names_in_text(texts, "t", names, "name").select("id", "found").collect()
-    assert sorted(map(tuple, got)) == [(1, "ALPHA"), (1, "BETA")]
-
-
 def test_pairs_within_score(spark):
     scores = np.random.default_rng(3).uniform(-9, 9, 40)
     df = spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "k int, s double")
@@ -154,8 +145,8 @@ def test_centroid_and_dominance_of_parts_and_holes(spark):
     got = {r.zone: (r.x, r.y) for r in spatial.centroids(zones, "zone", "ring", "holes").collect()}
     assert got[1] == pytest.approx((4.0, 1.0)) and got[2] == pytest.approx(((16 * 2 - 4 * 1) / 12, (16 * 12 - 4 * 11) / 12))
     labels = spark.createDataFrame([("a", square(-1.0, -1.0, 2.0)), ("b", square(5.0, -1.0, 20.0)), ("c", square(-0.1, 9.9, 2.1))], "label string, ring array<struct<x:double,y:double>>")
-    top = {r.zone: r for r in spatial.dominance(zones, "zone", labels, "label", "ring", 40, holes="holes").collect()}
-    assert (top[1].dominant, top[2].dominant) == ("b", "NEUTRO") and top[1].degree == pytest.approx(0.5, abs=0.05)
+    top = {r.zone: r for r in overlay.dominance(zones, "zone", labels, "label", "ring", holes="holes").collect()}
+    assert (top[1].dominant, top[2].dominant) == ("b", "NEUTRO") and top[1].degree == pytest.approx(0.5, abs=1e-9)
 
 
 def test_nearest_sites(spark):
@@ -186,29 +177,6 @@ def test_cosine_fallback_only_when_nothing_passes(spark):
     assert {(r.src, r.dst) for r in graph.cosine_edges(more, "z", "v", 0.3, 1).collect()} == {(0, 3), (3, 0)}
 
 
-@FEW
-@given(st.lists(st.text("abcdeXYZ ", min_size=1, max_size=12), min_size=1, max_size=12), st.lists(st.text("abcdeXYZ ", min_size=1, max_size=12), min_size=1, max_size=6, unique=True))
-def test_ratio_match(spark, raw, official):
-    got = matching.match_by_ratio(
-        spark.createDataFrame([(r,) for r in raw], "name string"), "name", spark.createDataFrame([(o,) for o in official], "o string"), "o", 0.5
-    ).collect()
-    assert len(got) == len(set(raw))
-    for r in got:
-        if r.name in official:
-            assert (r.matched, r.score) == (r.name, 1.0)
-            continue
-        score, name = max(((difflib.SequenceMatcher(None, r.name, o).ratio(), o) for o in sorted(official)), key=lambda p: p[0])
-        assert r.score == pytest.approx(score) and r.matched == (name if score >= 0.5 else None)
-
-
-def test_long_lists_are_matched_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(matching, "name_slices", lambda names, name, limit=3, f=joins.name_slices: f(names, name, limit))
-    official = spark.createDataFrame([(f"ZONE {i:02d}",) for i in range(20)], "o string")
-    raw = spark.createDataFrame([("ZONE 07",), ("ZONA 11",)], "name string")
-    for match in (matching.match_by_ratio, matching.match_by_distance):
-        assert {r.name: r.matched for r in match(raw, "name", official, "o").collect()} == {"ZONE 07": "ZONE 07", "ZONA 11": "ZONE 11"}
-
-
 # Hand-written narratives with their expected fields.
 NARRATIVES = [
     ("02 presos com 1.5 kg de cocaína e 3 pistolas em -3.76,-38.58", 2, 1500.0, 3, -3.76, "operacao_rotina", 1.0),

@@ -86,38 +86,6 @@ def as_of(panel: DataFrame, snapshots: DataFrame, zone: str, date: str, value: s
     )
 
 
-# A name list of this size fits every task many times over.
-NAMES_PER_SLICE = 20_000
-
-
-def name_slices(names: DataFrame, name: str, limit: int = NAMES_PER_SLICE) -> list[DataFrame]:
-    """The distinct names in hash slices of about ``limit``; one when they fit.
-
-    The count is the size check of whatever travels to the tasks as an array.
-    """
-    listed = names.select(F.col(name).alias("_o")).filter(F.col(name).isNotNull()).distinct()
-    slices = listed.count() // limit + 1
-    if slices == 1:
-        return [listed]
-    return [listed.filter(F.pmod(F.xxhash64("_o"), F.lit(slices)) == i) for i in range(slices)]
-
-
-def names_in_text(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """Every listed name that occurs literally in a text, ignoring case.
-
-    A list of checked size travels as one array, so each text is scanned in
-    place without a join; a longer list is scanned slice by slice.
-    """
-    out = None
-    for part in name_slices(names.select(F.upper(name).alias(name)), name):
-        listed = part.select(F.array_sort(F.collect_list("_o"))).scalar()
-        # the upper-case text is bound once, not once per name
-        found = F.transform(F.array(F.upper(text)), lambda t: F.filter("_list", lambda n: t.contains(n)))
-        hits = df.withColumn("_list", listed).withColumn("found", F.explode(F.element_at(found, 1))).drop("_list")
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def pairs_within_score(df: DataFrame, key: str, score: str, reach: float) -> DataFrame:
     """Pairs a < b whose scores differ by less than ``reach``.
 

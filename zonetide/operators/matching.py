@@ -2,97 +2,23 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from zonetide.functions import geo
-from zonetide.operators.joins import name_slices
-
-def _ratio_udf(names: Sequence[str]):
-    """Best (score, name) of one slice; exact names win at once."""
-    listed = sorted(names)
-    known = set(listed)
-
-    @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType())]))
-    def best(raw: pd.Series) -> pd.DataFrame:
-        # a matcher indexes its second text once and is reused for every raw name
-        matchers = [(name, difflib.SequenceMatcher(None, "", name)) for name in listed]
-
-        def pick(text: str) -> tuple[float, str | None]:
-            if text in known:
-                return 1.0, text
-            top, winner = -1.0, None
-            for name, matcher in matchers:
-                matcher.set_seq1(text)
-                # both are upper bounds of the ratio
-                if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
-                    score = matcher.ratio()
-                    if score > top:
-                        top, winner = score, name
-            return top, winner
-
-        return pd.DataFrame([pick(text) for text in raw], columns=["score", "name"])
-
-    return best
-
-
-def _best_of(winners: DataFrame, column: str) -> DataFrame:
-    """Merge the winners of several slices: best score, then smaller name."""
-    best = F.min(F.struct((-F.col("_m.score")).alias("s"), F.col("_m.name").alias("n"))).alias("_w")
-    # an empty slice has no winner
-    return winners.filter(F.col("_m.name").isNotNull()).groupBy(column).agg(best).select(
-        column, F.struct((-F.col("_w.s")).alias("score"), F.col("_w.n").alias("name")).alias("_m")
-    )
+from zonetide.operators.names import Distance, Ratio, match_names
 
 
 def match_by_ratio(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5, inclusive: bool = True) -> DataFrame:
-    """(column, matched, score) for each distinct raw name.
-
-    Only distinct names reach Python.  The official list is a dimension whose
-    size is checked; the winners of the slices of a long one are merged.
-    """
-    slices = name_slices(official, name)
-    # spread the few distinct names: scoring is the cost, not their volume
-    names = raw.select(column).filter(F.col(column).isNotNull()).distinct().repartition(column)
-    winners = None
-    for part in slices:
-        scored = names.select(column, _ratio_udf([r[0] for r in part.collect()])(F.col(column)).alias("_m"))
-        winners = scored if winners is None else winners.unionByName(scored)
-    if len(slices) > 1:
-        winners = _best_of(winners, column)
-    ok = F.col("_m.score") >= least if inclusive else F.col("_m.score") > least
-    return winners.select(column, F.when(ok, F.col("_m.name")).alias("matched"), F.col("_m.score").alias("score"))
+    """(column, matched, score) for each distinct raw name, by the ratio of matching blocks."""
+    return match_names(raw, column, official, name, Ratio(least), inclusive)
 
 
 def match_by_distance(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5) -> DataFrame:
-    """As above with edit distance: 1 - levenshtein / longer length, native.
-
-    Each distinct name folds over the official list in place (ties: smaller
-    name); the list travels as an array of checked size.
-    """
-    slices = name_slices(official, name)
-
-    def similar(o: Column) -> Column:
-        longest = F.greatest(F.length(column), F.length(o))
-        return 1 - F.levenshtein(F.col(column), o) / longest
-
-    names = raw.select(column).filter(F.col(column).isNotNull()).distinct()
-    winners = None
-    for part in slices:
-        listed = part.select(F.array_sort(F.collect_list("_o"))).scalar()
-        pick = F.array_min(F.transform("_list", lambda o: F.struct((-similar(o)).alias("s"), o.alias("o"))))
-        scored = names.withColumn("_list", listed).select(column, pick.alias("_p"))
-        scored = scored.select(column, F.struct((-F.col("_p.s")).alias("score"), F.col("_p.o").alias("name")).alias("_m"))
-        winners = scored if winners is None else winners.unionByName(scored)
-    if len(slices) > 1:
-        winners = _best_of(winners, column)
-    score = F.col("_m.score")
-    return winners.select(column, F.when(score >= least, F.col("_m.name")).alias("matched"), score.alias("score"))
+    """As above with edit distance: 1 - levenshtein / longer length, native."""
+    return match_names(raw, column, official, name, Distance(least))
 
 
 def apply_matches(df: DataFrame, column: str, matches: DataFrame, keep_original: bool = True, unknown: str = "NAO INFORMADO") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Point-in-polygon, nearest, dominance, adjacency and simplification.
+"""Point-in-polygon, nearest, adjacency and vertices.
 
 Polygons are rows ``(id, ring)``.  A join never compares every point with every
 polygon: polygons are spread over the grid cells of their bounding box and meet
@@ -162,43 +162,6 @@ def centroids(polygons: DataFrame, poly_id: str, ring: str, holes: str | None =
     return sums.select(poly_id, F.try_divide("x", "a").alias("x"), F.try_divide("y", "a").alias("y"))
 
 
-def dominance(
-    zones: DataFrame, zone: str, labels: DataFrame, label: str, ring: str, grid: int, size: float | None = None,
-    neutral: str = "NEUTRO", dispute: str = "DISPUTA", holes: str | None = None,
-) -> DataFrame:
-    """Label with the largest area share of each zone, by a sampling lattice.
-
-    Every zone, all its parts together, is covered by one lattice of ``grid`` x
-    ``grid`` sample points over its bounding box; samples in a hole are outside.
-    The share error is of the order of the perimeter times the spacing.
-    """
-    xs = F.transform(F.col(ring), lambda p: p["x"])
-    ys = F.transform(F.col(ring), lambda p: p["y"])
-    boxes = zones.groupBy(zone).agg(
-        F.min(F.array_min(xs)).alias("_x0"), F.max(F.array_max(xs)).alias("_x1"), F.min(F.array_min(ys)).alias("_y0"), F.max(F.array_max(ys)).alias("_y1"),
-    )
-    steps = F.sequence(F.lit(0), F.lit(grid - 1))
-    spaced = boxes.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).select(
-        zone, "_i", "_j",
-        (F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("_i") + 0.5) / grid).alias("x"),
-        (F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col("_j") + 0.5) / grid).alias("y"),
-    )
-    parts = zones.select(zone, geo.polygon_edges(F.col(ring), None if holes is None else F.col(holes)).alias("_ze"))
-    inside = spaced.join(parts, zone).filter(geo.within(F.col("_ze"), F.col("x"), F.col("y")))
-    samples = inside.groupBy(zone, "_i", "_j").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    sizes = samples.groupBy(zone).agg(F.count(F.lit(1)).alias("_total"))
-    # a sample covered twice by polygons of one label counts once
-    hits = points_in_polygons(samples, labels, label, ring, "x", "y", size).groupBy(zone, "_i", "_j", label).agg(F.lit(1).alias("_h"))
-    counts = hits.groupBy(zone, label).agg(F.count(F.lit(1)).alias("_n"))
-    dispute_n = counts.filter(F.col(label) == dispute).select(zone, F.col("_n").alias("_d"))
-    top = keep_first(counts, [zone], [F.col("_n").desc(), F.col(label)])
-    picked = F.when(F.col("_n").isNull(), neutral).when(F.coalesce(F.col("_d"), F.lit(0)) > F.col("_n") * 0.5, dispute).otherwise(F.col(label))
-    return (
-        sizes.join(top, zone, "left").join(dispute_n, zone, "left")
-        .select(zone, picked.alias("dominant"), F.coalesce(F.col("_n") / F.col("_total"), F.lit(0.0)).alias("degree"))
-    )
-
-
 def touching(polygons: DataFrame, poly_id: str, ring: str, mode: str = "vertex", digits: int = 7) -> DataFrame:
     """Pairs of polygons that share a vertex, a whole border edge, or any stretch of border.
 
@@ -253,12 +216,15 @@ def vertices(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
 
 
 def thin_vertices(polygons: DataFrame, poly_id: str, ring: str, tolerance: float) -> DataFrame:
-    """Drop vertices closer than ``tolerance`` degrees to the one before."""
-    w = Window.partitionBy(poly_id).orderBy("pos")
-    rows = vertices(polygons, poly_id, ring).withColumn(
-        "_step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    )
-    return rows.filter(F.col("_step").isNull() | (F.col("_step") >= tolerance)).drop("_step")
+    """Drop vertices closer than ``tolerance`` degrees to the last one kept."""
+
+    def add(kept: Column, p: Column) -> Column:
+        last = F.element_at(kept, -1)
+        return F.when(F.hypot(p["x"] - last["x"], p["y"] - last["y"]) >= tolerance, F.concat(kept, F.array(p))).otherwise(kept)
+
+    rows = polygons.select(poly_id, F.col(ring).alias("_ring"), F.transform(ring, lambda p, i: F.struct(i.alias("pos"), p["x"].alias("x"), p["y"].alias("y"))).alias("_v"))
+    rows = rows.filter(F.size("_v") > 0).withColumn("_kept", F.aggregate(F.slice("_v", F.lit(2), F.size("_v")), F.slice("_v", 1, 1), add))
+    return rows.select(poly_id, F.explode("_kept").alias("p")).select(poly_id, "p.pos", "p.x", "p.y")
 
 
 def with_point(df: DataFrame, x: str, y: str, out: str = "point") -> DataFrame:

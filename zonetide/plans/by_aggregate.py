@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from zonetide.functions.ladders import SHARE_STEPS, ladder
 from zonetide.functions.text import joined_set
 from zonetide.operators import aggregates as agg
-from zonetide.operators.matching import mapping_stats, match_audit, match_by_distance
+from zonetide.operators.matching import mapping_stats, match_audit, match_by_ratio
 from zonetide.operators.panel import long_form, relative_to_max
 from zonetide.operators.ranking import quantiles, scalar_quantile
 from zonetide.plans.registry import query
-from zonetide.plans.views import with_sql
+from zonetide.plans.views import best_names, with_sql
 
 
 @query("g1_daily_zone", with_sql("dz", "SELECT zone, date, n, click, view, purchase FROM dz", "click view purchase"))
@@ -63,21 +63,26 @@ def _(v):
     return agg.share_within(counts, ["zone"], "n").withColumn("class", ladder(F.col("share") * 100, SHARE_STEPS, "BAIXO", inclusive=True))
 
 
-@query("g6_conditional_counts", with_sql("ev", "SELECT * FROM (PIVOT (SELECT zone, kind || 's' AS k, sum(CASE WHEN hour >= 18 THEN 1 ELSE 0 END) OVER (PARTITION BY zone) AS late FROM ev) ON k USING count(*) GROUP BY zone, late)").replace("SELECT * FROM (PIVOT", "SELECT * REPLACE (CAST(late AS BIGINT) AS late) FROM (PIVOT"))
+@query(
+    "g6_conditional_counts",
+    with_sql("ev", "SELECT z.zone, z.late, k.kind || 's' AS name, count(ev.kind) AS n FROM (SELECT zone, CAST(count(*) FILTER (hour >= 18) AS BIGINT) AS late FROM ev GROUP BY zone) z CROSS JOIN (SELECT DISTINCT kind FROM ev) k LEFT JOIN ev ON ev.zone = z.zone AND ev.kind = k.kind GROUP BY ALL"),
+)
 def _(v):
-    """One count per kind that occurs, and one of the late events."""
+    """One count per kind that occurs, turned into rows for the check, and one of the late events."""
     per = v.event().groupBy("zone", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hour") >= 18).alias("_late"))
-    kinds = per.withColumn("k", F.concat("kind", F.lit("s"))).groupBy("zone").pivot("k").sum("n").na.fill(0)
-    return kinds.join(per.groupBy("zone").agg(F.sum("_late").alias("late")), "zone")
+    wide = per.withColumn("k", F.concat("kind", F.lit("s"))).groupBy("zone").pivot("k").sum("n").na.fill(0)
+    counts = wide.unpivot("zone", wide.columns[1:], "name", "n")
+    return counts.join(per.groupBy("zone").agg(F.sum("_late").alias("late")), "zone")
 
 
 @query(
     "g7_pivot_months",
-    with_sql("om", "SELECT * FROM (PIVOT (SELECT zone, strftime(month, '%Y-%m') AS ym, y FROM om) ON ym USING CAST(coalesce(sum(y), 0) AS BIGINT) GROUP BY zone)"),
+    with_sql("om", "SELECT z.zone, strftime(m.month, '%Y-%m') AS ym, CAST(coalesce(om.y, 0) AS BIGINT) AS y FROM (SELECT DISTINCT zone FROM om) z CROSS JOIN (SELECT DISTINCT month FROM om) m LEFT JOIN om ON om.zone = z.zone AND om.month = m.month"),
 )
 def _(v):
-    """One column per month that occurs."""
-    return v.outcome_m().withColumn("ym", F.date_format("month", "yyyy-MM")).groupBy("zone").pivot("ym").sum("y").na.fill(0)
+    """One column per month that occurs, turned into rows for the check."""
+    wide = v.outcome_m().withColumn("ym", F.date_format("month", "yyyy-MM")).groupBy("zone").pivot("ym").sum("y").na.fill(0)
+    return wide.unpivot("zone", wide.columns[1:], "ym", "y")
 
 
 @query("g8_monthly_stats", with_sql("om", "SELECT zone, avg(y) AS mean, coalesce(stddev_samp(y), 0) AS std, max(y) AS max, coalesce(stddev_samp(y), 0) / avg(y) AS cv FROM om GROUP BY zone", "mean std cv"))
@@ -236,9 +241,8 @@ _RAW = "raw AS (SELECT CASE WHEN c_nationkey % 5 = 0 THEN c_mktsegment || '-' ||
 
 @query(
     "g25_mapping_quality",
-    f"WITH {_RAW}, best AS (SELECT name, max(1 - levenshtein(name, n_name) / greatest(length(name), length(n_name))) AS score, "
-    "arg_min(n_name, (-(1 - levenshtein(name, n_name) / greatest(length(name), length(n_name))), n_name)) AS pick FROM (SELECT DISTINCT name FROM raw) CROSS JOIN nation GROUP BY name), "
-    "aud AS (SELECT b.name, CASE WHEN score >= 0.8 THEN pick END AS matched, (SELECT count(*) FROM raw r WHERE r.name = b.name) AS rows FROM best b) "
+    f"WITH RECURSIVE {_RAW}, off AS (SELECT n_name AS o FROM nation), {best_names(0.8)}, "
+    "aud AS (SELECT m.name, matched, (SELECT count(*) FROM raw r WHERE r.name = m.name) AS rows FROM m) "
     "SELECT count(*) AS names, count(matched) AS matched_names, round(count(matched) * 100.0 / count(*), 6) AS pct_names, round(sum(CASE WHEN matched IS NOT NULL THEN rows ELSE 0 END) * 100.0 / sum(rows), 6) AS pct_rows, "
     "round(count(DISTINCT matched) * 100.0 / (SELECT count(*) FROM nation), 6) AS list_covered FROM aud",
 )
@@ -246,5 +250,5 @@ def _(v):
     n = v.table("nation")
     c = v.table("customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     raw = c.select(F.when(F.col("c_nationkey") % 5 == 0, F.concat_ws("-", "c_mktsegment", "c_nationkey")).otherwise(F.regexp_replace(F.upper("n_name"), "T", "")).alias("name"))
-    matches = match_by_distance(raw, "name", n, "n_name", 0.8)
+    matches = match_by_ratio(raw, "name", n, "n_name", 0.8)
     return mapping_stats(match_audit(raw, "name", matches), n, "n_name")

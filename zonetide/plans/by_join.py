@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zonetide.functions.text import normal_key
 from zonetide.operators import joins, ranking, windows
+from zonetide.operators.names import names_in_text
 from zonetide.operators.panel import bounds
 from zonetide.operators.spatial import points_in_polygons
 from zonetide.plans.registry import query
@@ -143,7 +144,7 @@ def _(v):
 )
 def _(v):
     names = v.table("documents").select(F.concat(F.lit('lang="'), "lang", F.lit('"')).alias("name")).unionByName(v.table("region").select(F.col("r_name").alias("name"))).distinct()
-    return joins.names_in_text(v.table("pages").select("page_id", "html"), "html", names, "name").select("page_id", "found")
+    return names_in_text(v.table("pages").select("page_id", "html"), "html", names, "name").select("page_id", "found")
 
 
 _ZS = "zs AS (SELECT s_nationkey AS zone, avg(s_acctbal) / 100 AS score FROM supplier GROUP BY 1) "

@@ -9,16 +9,20 @@ from zonetide.operators import matching, rules
 from zonetide.operators.aggregates import group_mode
 from zonetide.operators.ranking import keep_first
 from zonetide.plans.registry import query
-from zonetide.plans.views import with_sql
-
-# Raw names: the part's words, some with one letter dropped, some unknown.
-_RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) WHEN p_size > 20 THEN upper(left(p_name, 2) || substr(p_name, 4)) ELSE upper(p_brand || '@') END AS name FROM part), off AS (SELECT DISTINCT upper(p_name) AS o FROM part WHERE p_type = 'ECONOMY') "
-_BEST = _RAW + ", sc AS (SELECT name, o, 1 - levenshtein(name, o) / greatest(length(name), length(o)) AS s FROM (SELECT DISTINCT name FROM raw) CROSS JOIN off), m AS (SELECT name, CASE WHEN s >= 0.7 THEN o END AS matched, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc) WHERE rn = 1) "
+from zonetide.plans.views import best_names, with_sql
+
+# Raw names: the part's words in their own case with blanks around them, some with one letter dropped, some unknown.
+_RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN ' ' || p_name WHEN p_size > 20 THEN left(p_name, 2) || substr(p_name, 4) || ' ' ELSE upper(p_brand || '@') END AS name FROM part), off AS (SELECT DISTINCT upper(p_name) AS o FROM part WHERE p_type = 'ECONOMY'), "
+_BEST = "WITH RECURSIVE " + _RAW + best_names(0.7)
+_BY_DISTANCE = "WITH " + _RAW + (
+    "nm AS (SELECT DISTINCT name, upper(trim(name)) AS a FROM raw), sc AS (SELECT name, o, 1 - levenshtein(a, o) / greatest(length(a), length(o)) AS s FROM nm CROSS JOIN off), "
+    "m AS (SELECT nm.name, b.o AS matched, b.s AS score FROM nm LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc WHERE s >= 0.7) b ON b.name = nm.name AND rn = 1) "
+)
 
 
 def _raw(v):
     key, name = F.col("p_partkey"), F.col("p_name")
-    text = F.when(F.col("p_type") == "ECONOMY", F.upper(name)).when(F.col("p_size") > 20, F.upper(F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)")))).otherwise(
+    text = F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit(" "), name)).when(F.col("p_size") > 20, F.concat(F.substring(name, 1, 2), F.expr("substring(p_name, 4)"), F.lit(" "))).otherwise(
         F.upper(F.concat("p_brand", F.lit("@")))
     )
     return v.table("part").select(key.alias("id"), text.alias("name"))
@@ -28,38 +32,42 @@ def _official(v):
     return v.table("part").filter("p_type = 'ECONOMY'").select(F.upper("p_name").alias("o")).distinct()
 
 
-@query("e1_match_by_distance", "WITH " + _BEST + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
+def _matches(v, raw):
+    return matching.match_by_ratio(raw, "name", _official(v), "o", 0.7)
+
+
+@query("e1_match_by_distance", _BY_DISTANCE + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
 def _(v):
     return matching.match_by_distance(_raw(v), "name", _official(v), "o", 0.7)
 
 
-@query("e1_match_by_ratio")
+@query("e1_match_by_ratio", "WITH RECURSIVE " + _RAW + best_names(0.5) + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
 def _(v):
     return matching.match_by_ratio(_raw(v), "name", _official(v), "o", 0.5)
 
 
-@query("e2_keep_or_unknown", "WITH " + _BEST + "SELECT id, coalesce(matched, nullif(trim(raw.name), ''), 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
+@query("e2_keep_or_unknown", _BEST + "SELECT id, coalesce(matched, nullif(trim(raw.name), ''), 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
 def _(v):
     raw = _raw(v)
-    return matching.apply_matches(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7)).select("id", "standard")
+    return matching.apply_matches(raw, "name", _matches(v, raw)).select("id", "standard")
 
 
-@query("e2_unknown_literal", "WITH " + _BEST + "SELECT id, coalesce(matched, 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
+@query("e2_unknown_literal", _BEST + "SELECT id, coalesce(matched, 'NAO INFORMADO') AS standard FROM raw LEFT JOIN m ON m.name = raw.name")
 def _(v):
     raw = _raw(v)
-    return matching.apply_matches(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7), keep_original=False).select("id", "standard")
+    return matching.apply_matches(raw, "name", _matches(v, raw), keep_original=False).select("id", "standard")
 
 
-@query("e3_mapping_audit", "WITH " + _BEST + "SELECT m.name, matched, round(score, 6) + 0.0 AS score, count(raw.id) AS rows, CASE WHEN matched IS NULL THEN 'unmatched' ELSE 'matched' END AS status FROM m LEFT JOIN raw ON raw.name = m.name GROUP BY ALL")
+@query("e3_mapping_audit", _BEST + "SELECT m.name, matched, round(score, 6) + 0.0 AS score, count(raw.id) AS rows, CASE WHEN matched IS NULL THEN 'unmatched' ELSE 'matched' END AS status FROM m LEFT JOIN raw ON raw.name = m.name GROUP BY ALL")
 def _(v):
     raw = _raw(v)
-    return matching.match_audit(raw, "name", matching.match_by_distance(raw, "name", _official(v), "o", 0.7))
+    return matching.match_audit(raw, "name", _matches(v, raw))
 
 
-@query("e4_report_remap", "WITH " + _BEST + "SELECT id, coalesce(matched, upper(trim(raw.name))) AS name FROM raw LEFT JOIN m ON m.name = raw.name AND matched IS NOT NULL")
+@query("e4_report_remap", _BEST + "SELECT id, coalesce(matched, upper(trim(raw.name))) AS name FROM raw LEFT JOIN m ON m.name = raw.name AND matched IS NOT NULL")
 def _(v):
     raw = _raw(v)
-    stored = matching.match_by_distance(raw, "name", _official(v), "o", 0.7).filter("matched IS NOT NULL")
+    stored = _matches(v, raw).filter("matched IS NOT NULL")
     return matching.remap(raw, "name", stored, "name", "matched").select("id", "name")
 
 

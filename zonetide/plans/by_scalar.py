@@ -306,11 +306,12 @@ def _(v):
 
 @query(
     "p20_one_hot",
-    with_sql("ev", "SELECT * FROM (PIVOT (SELECT zone, date, 'is_kind_' || kind AS k FROM ev) ON k USING CAST(least(count(*), 1) AS INTEGER) GROUP BY zone, date)"),
+    with_sql("ev", "SELECT d.zone, d.date, 'is_kind_' || k.kind AS flag, CAST(h.kind IS NOT NULL AS INTEGER) AS value FROM (SELECT DISTINCT zone, date FROM ev) d CROSS JOIN (SELECT DISTINCT kind FROM ev) k LEFT JOIN (SELECT DISTINCT zone, date, kind FROM ev) h ON h.zone = d.zone AND h.date = d.date AND h.kind = k.kind"),
 )
 def _(v):
-    """One flag per kind that occurs."""
-    return v.event().withColumn("k", F.concat(F.lit("is_kind_"), "kind")).groupBy("zone", "date").pivot("k").agg(F.max(F.lit(1))).na.fill(0)
+    """One flag per kind that occurs, turned into rows for the check."""
+    wide = v.event().withColumn("k", F.concat(F.lit("is_kind_"), "kind")).groupBy("zone", "date").pivot("k").agg(F.max(F.lit(1))).na.fill(0)
+    return wide.unpivot(["zone", "date"], wide.columns[2:], "flag", "value")
 
 
 @query(

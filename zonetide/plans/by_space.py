@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from zonetide.functions import geo
-from zonetide.operators import graph, spatial
+from zonetide.operators import graph, outlines, overlay, spatial
 from zonetide.plans.registry import query
 from zonetide.plans.views import with_sql
 
@@ -68,31 +69,41 @@ def _(v):
     return spatial.centroids(v.polygon(), "poly", "ring")
 
 
-_GRID = 20
-_DOM = (
-    "bb AS (SELECT poly, min(x) AS mx0, max(x) AS mx1, min(y) AS my0, max(y) AS my1 FROM cor GROUP BY poly), "
-    f"smp AS (SELECT poly, i, j, mx0 + (mx1 - mx0) * (i + 0.5) / {_GRID} AS lon, my0 + (my1 - my0) * (j + 0.5) / {_GRID} AS lat FROM bb, (SELECT unnest(range({_GRID})) AS i), (SELECT unnest(range({_GRID})) AS j)), "
-    "ins AS (SELECT s.poly, s.i, s.j, s.lon, s.lat FROM smp s JOIN edge e ON e.poly = s.poly GROUP BY ALL HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1), "
+# Areas by horizontal slabs: between two heights at which anything changes, the width both
+# polygons share is linear, so its middle gives the area.  The polygons are convex.
+_LABEL_EDGES = (
     "lc AS (SELECT CASE WHEN r_regionkey = 2 THEN 'DISPUTA' ELSE r_name END AS label, c.pos, x0 + (x1 - x0) * (r_regionkey + c.st) / 5.0 + (x1 - x0) * c.lean AS x, CASE WHEN c.top THEN y1 ELSE y0 END AS y FROM region, box, (VALUES (0, 0, 0.1, FALSE), (1, 1, 0.1, FALSE), (2, 1, -0.1, TRUE), (3, 0, -0.1, TRUE)) c(pos, st, lean, top)), "
-    "le AS (SELECT a.label, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM lc a JOIN lc b ON a.label = b.label AND b.pos = (a.pos + 1) % 4), "
-    "lh AS (SELECT i.poly, i.i, i.j, l.label FROM ins i, le l GROUP BY i.poly, i.i, i.j, l.label HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1), "
-    "lk AS (SELECT poly, label, count(*) AS n FROM lh GROUP BY 1, 2), "
-    "tp AS (SELECT poly, label, n FROM (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY n DESC, label) AS rn FROM lk) WHERE rn = 1) "
+    "le AS (SELECT a.label, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM lc a JOIN lc b ON a.label = b.label AND b.pos = (a.pos + 1) % 4)"
 )
+_AREAS = _LABEL_EDGES + (
+    ", xx AS (SELECT e.poly, l.label, e.y1, e.y2, (l.x1 - e.x1) * (l.y2 - l.y1) - (l.y1 - e.y1) * (l.x2 - l.x1) AS num, (e.x2 - e.x1) * (l.y2 - l.y1) - (e.y2 - e.y1) * (l.x2 - l.x1) AS den FROM edge e, le l), "
+    "cross_y AS (SELECT poly, label, y1 + (y2 - y1) * num / den AS y, num / den AS t FROM xx WHERE abs(den) > 1e-15), "
+    "lev AS (SELECT poly, label, y1 AS y FROM edge, (SELECT DISTINCT label FROM le) UNION SELECT poly, label, le.y1 FROM le, (SELECT DISTINCT poly FROM edge) UNION SELECT poly, label, y FROM cross_y WHERE t >= 0 AND t <= 1), "
+    "slab AS (SELECT poly, label, y AS lo, lead(y) OVER (PARTITION BY poly, label ORDER BY y) AS hi FROM lev), "
+    "zs AS (SELECT s.poly, s.label, lo, hi, min(x1 + (x2 - x1) * ((lo + hi) / 2 - y1) / (y2 - y1)) AS zl, max(x1 + (x2 - x1) * ((lo + hi) / 2 - y1) / (y2 - y1)) AS zr FROM slab s JOIN edge e ON e.poly = s.poly AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2) WHERE hi > lo GROUP BY ALL), "
+    "bs AS (SELECT z.*, min(x1 + (x2 - x1) * ((lo + hi) / 2 - y1) / (y2 - y1)) AS ll, max(x1 + (x2 - x1) * ((lo + hi) / 2 - y1) / (y2 - y1)) AS lr FROM zs z JOIN le e ON e.label = z.label AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2) GROUP BY ALL), "
+    "ar AS (SELECT poly, label, sum((hi - lo) * greatest(0, least(zr, lr) - greatest(zl, ll))) AS area FROM bs GROUP BY 1, 2)"
+)
+
+
+@query("x4_overlay_area", with_sql("edge", "SELECT poly, label, area FROM ar WHERE area > 1e-6", "area", extra=_AREAS))
+def _(v):
+    return overlay.overlay_areas(v.polygon(), "poly", v.label_polygon(), "label", "ring").filter("area > 1e-6")
 
 
 @query(
     "x4_dominance",
     with_sql(
         "edge",
-        "SELECT z.poly, CASE WHEN tp.n IS NULL THEN 'NEUTRO' WHEN coalesce(d.n, 0) > tp.n * 0.5 THEN 'DISPUTA' ELSE tp.label END AS dominant, coalesce(tp.n / z.total, 0) AS degree FROM "
-        "(SELECT poly, count(*) AS total FROM ins GROUP BY poly) z LEFT JOIN tp ON tp.poly = z.poly LEFT JOIN lk d ON d.poly = z.poly AND d.label = 'DISPUTA'",
+        "SELECT z.poly, CASE WHEN tp.area IS NULL THEN 'NEUTRO' WHEN coalesce(d.area, 0) > tp.area * 0.5 THEN 'DISPUTA' ELSE tp.label END AS dominant, coalesce(tp.area / z.total, 0) AS degree FROM "
+        "(SELECT poly, abs(sum(x1 * y2 - x2 * y1)) / 2 AS total FROM edge GROUP BY poly) z LEFT JOIN (SELECT poly, label, area FROM ar WHERE area > 1e-9 QUALIFY row_number() OVER (PARTITION BY poly ORDER BY area DESC, label) = 1) tp ON tp.poly = z.poly "
+        "LEFT JOIN ar d ON d.poly = z.poly AND d.label = 'DISPUTA'",
         "degree",
-        extra=_DOM,
+        extra=_AREAS,
     ),
 )
 def _(v):
-    return spatial.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring", _GRID)
+    return overlay.dominance(v.polygon(), "poly", v.label_polygon(), "label", "ring")
 
 
 @query("x5_touching_vertex", with_sql("cor", "SELECT DISTINCT a.poly AS src, b.poly AS dst FROM cor a JOIN cor b ON round(a.x, 7) = round(b.x, 7) AND round(a.y, 7) = round(b.y, 7) AND a.poly <> b.poly"))
@@ -127,17 +138,36 @@ def _(v):
     return spatial.touching(_bricks(v), "poly", "ring", "border")
 
 
-@query(
-    "x4_dominance_of_parts",
-    with_sql("", "WITH " + _BRICKS + ", zp AS (SELECT poly % 5 AS zone, bx AS x0, byy AS y0 FROM br), bb AS (SELECT zone, min(x0) AS lx, max(x0) + 2 AS hx, min(y0) AS ly, max(y0) + 1 AS hy FROM zp GROUP BY zone), smp AS (SELECT zone, lx + (hx - lx) * (i + 0.5) / 30 AS x, ly + (hy - ly) * (j + 0.5) / 30 AS y FROM bb, (SELECT unnest(range(30)) AS i), (SELECT unnest(range(30)) AS j)), ins AS (SELECT DISTINCT s.* FROM smp s JOIN zp ON zp.zone = s.zone AND x > x0 AND x < x0 + 2 AND y > y0 AND y < y0 + 1), n AS (SELECT zone, CASE WHEN y < 1.9 THEN 'low' ELSE 'high' END AS label, count(*) AS c FROM ins GROUP BY 1, 2) SELECT CAST(zone AS BIGINT) AS zone, arg_max(label, (c, label)) AS dominant, round(max(c) / sum(c), 6) + 0.0 AS degree FROM n GROUP BY zone"),
-)
+def _bands(v, edge):
+    """Two labels: everything below a height and everything above it."""
+    box = lambda y0, y1: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-5.0, y0), (50.0, y0), (50.0, y1), (-5.0, y1))])
+    both = F.array(F.struct(F.lit("low").alias("label"), box(-5.0, edge).alias("ring")), F.struct(F.lit("high").alias("label"), box(edge, 50.0).alias("ring")))
+    return v.table("region").filter("r_regionkey = 0").select(F.explode(both).alias("l")).select("l.*")
+
+
+def _band_sql(edge: float, hole: float) -> str:
+    """Areas of bricks with a hole of ``hole`` by ``hole`` in the middle, below and above a height."""
+    low = f"2 * greatest(0, least(1, {edge} - byy)) - {hole} * greatest(0, least({hole}, {edge} - byy - {(1 - hole) / 2}))"
+    return (
+        f"WITH {_BRICKS}, a AS (SELECT CAST(poly % 5 AS BIGINT) AS zone, sum({low}) AS low, sum(2 - {hole * hole}) AS total FROM br GROUP BY 1) "
+        "SELECT zone, CASE WHEN low > total - low THEN 'low' ELSE 'high' END AS dominant, round(greatest(low, total - low) / total, 6) + 0.0 AS degree FROM a"
+    )
+
+
+@query("x4_dominance_of_parts", with_sql("", _band_sql(1.9, 0)))
 def _(v):
     """Zones of five parts, one per row of bricks, against two labels."""
     zones = _bricks(v).select((F.col("poly") % 5).cast("bigint").alias("zone"), "ring")
-    box = lambda y0, y1: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-5.0, y0), (50.0, y0), (50.0, y1), (-5.0, y1))])
-    both = F.array(F.struct(F.lit("low").alias("label"), box(-5.0, 1.9).alias("ring")), F.struct(F.lit("high").alias("label"), box(1.9, 50.0).alias("ring")))
-    labels = v.table("region").filter("r_regionkey = 0").select(F.explode(both).alias("l")).select("l.*")
-    return spatial.dominance(zones, "zone", labels, "label", "ring", 30)
+    return overlay.dominance(zones, "zone", _bands(v, 1.9), "label", "ring")
+
+
+@query("x4_dominance_with_holes", with_sql("", _band_sql(3.6, 0.5)))
+def _(v):
+    """The same zones with a hole in every brick; the band ends inside the holes of one row."""
+    corner = lambda dx, dy: F.struct((F.col("ring")[0]["x"] + dx).alias("x"), (F.col("ring")[0]["y"] + dy).alias("y"))
+    hole = F.array(corner(0.75, 0.25), corner(1.25, 0.25), corner(1.25, 0.75), corner(0.75, 0.75))
+    zones = _bricks(v).select((F.col("poly") % 5).cast("bigint").alias("zone"), "ring", F.array(hole).alias("holes"))
+    return overlay.dominance(zones, "zone", _bands(v, 3.6), "label", "ring", holes="holes")
 
 
 @query("x6_haversine", with_sql("pip cen", f"SELECT a.id, {KM_AB.replace('b.lat', 'b.y').replace('b.lon', 'b.x')} AS km FROM pt a JOIN pip ON pip.id = a.id JOIN cen b ON b.poly = pip.poly", "km"))
@@ -153,11 +183,49 @@ def _(v):
     return spatial.with_point(v.point(), "lon", "lat").select("id", F.col("point.x").alias("px"), F.col("point.y").alias("py"))
 
 
-@query("x8_thin_vertices", with_sql("cor", "SELECT poly, CAST(pos AS INTEGER) AS pos, x, y FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM cor WINDOW w AS (PARTITION BY poly ORDER BY pos)) WHERE px IS NULL OR sqrt(pow(x - px, 2) + pow(y - py, 2)) >= 0.14", "x y"))
+@query(
+    "x8_thin_vertices",
+    with_sql(
+        "cor",
+        "SELECT poly, CAST(pos AS INTEGER) AS pos, x, y FROM kept WHERE keep",
+        "x y",
+        extra="kept AS (SELECT poly, pos, x, y, x AS kx, y AS ky, TRUE AS keep FROM cor WHERE pos = 0 UNION ALL SELECT c.poly, c.pos, c.x, c.y, CASE WHEN far THEN c.x ELSE kx END, CASE WHEN far THEN c.y ELSE ky END, far "
+        "FROM (SELECT c.*, k.kx, k.ky, sqrt(pow(c.x - k.kx, 2) + pow(c.y - k.ky, 2)) >= 0.14 AS far FROM kept k JOIN cor c ON c.poly = k.poly AND c.pos = k.pos + 1) c)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _(v):
     return spatial.thin_vertices(v.polygon(), "poly", "ring", 0.14)
 
 
+# A ring per label: its vectors in order of their ids, at equal angles, as far out as their first component says.
+_STAR = (
+    "vx AS (SELECT poly, pos, n, (1 + e) * cos(2 * pi() * pos / n) AS x, (1 + e) * sin(2 * pi() * pos / n) AS y FROM (SELECT label AS poly, CAST(embedding[1] AS DOUBLE) AS e, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))), "
+    "cl AS (SELECT poly, pos, x, y FROM vx UNION ALL SELECT poly, n, x, y FROM vx WHERE pos = 0), "
+)
+_OFF = "sqrt(pow(c.x - (s.ax + t * (s.bx - s.ax)), 2) + pow(c.y - (s.ay + t * (s.by - s.ay)), 2))"
+_SPLIT = _STAR + (
+    "st AS (SELECT poly, arg_max(pos, (d, -pos)) AS f, any_value(n) AS n FROM (SELECT v.poly, v.pos, v.n, pow(v.x - o.x, 2) + pow(v.y - o.y, 2) AS d FROM vx v JOIN vx o ON o.poly = v.poly AND o.pos = 0 WHERE v.pos > 0) GROUP BY poly), "
+    "seg AS (SELECT poly, CAST(0 AS BIGINT) AS a, f AS b FROM st UNION ALL SELECT poly, f, n FROM st UNION ALL "
+    "SELECT poly, unnest([a, k]) AS a, unnest([k, b]) AS b FROM (SELECT poly, a, b, -w.k AS k FROM (SELECT poly, a, b, max({'d': d, 'k': -pos}) AS w FROM (SELECT s.poly, s.a, s.b, c.pos, "
+    "greatest(0, least(1, ((c.x - s.ax) * (s.bx - s.ax) + (c.y - s.ay) * (s.by - s.ay)) / (pow(s.bx - s.ax, 2) + pow(s.by - s.ay, 2)))) AS t, " + _OFF + " AS d "
+    "FROM (SELECT g.poly, g.a, g.b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by FROM seg g JOIN cl p ON p.poly = g.poly AND p.pos = g.a JOIN cl q ON q.poly = g.poly AND q.pos = g.b) s JOIN cl c ON c.poly = s.poly AND c.pos > s.a AND c.pos < s.b) GROUP BY poly, a, b HAVING max(d) > 0.12)))"
+)
+
+
+@query(
+    "x8_simplified_outline",
+    "WITH RECURSIVE " + _SPLIT + " SELECT DISTINCT seg.poly, CAST(seg.a AS INTEGER) AS pos, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM seg JOIN cl ON cl.poly = seg.poly AND cl.pos = seg.a",
+)
+def _(v):
+    e = v.table("embeddings")
+    place = Window.partitionBy("label").orderBy("vec_id")
+    rows = e.select(F.col("label").alias("poly"), (F.row_number().over(place) - 1).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("n"), F.col("embedding")[0].cast("double").alias("e"))
+    turn, out = 2 * F.pi() * F.col("pos") / F.col("n"), 1 + F.col("e")
+    corners = rows.select("poly", F.struct("pos", (out * F.cos(turn)).alias("x"), (out * F.sin(turn)).alias("y")).alias("c"))
+    rings = corners.groupBy("poly").agg(F.sort_array(F.collect_list("c")).alias("ring"))
+    return outlines.simplified(rings, "ring", 0.12).select("poly", F.explode("ring").alias("c")).select("poly", "c.pos", "c.x", "c.y")
+
+
 _D = f"de AS (SELECT a.id AS src, b.id AS dst, {KM_AB} AS km FROM pt a JOIN pt b ON a.id <> b.id WHERE {KM_AB} < 3.0), we AS (SELECT src, dst, 1 / (1 + km) AS weight FROM de) "
 
 

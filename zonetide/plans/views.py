@@ -222,3 +222,21 @@ def with_sql(needs: str, body: str, rnd: str = "", extra: str = "") -> str:
         body = f"SELECT * REPLACE ({replaced}) FROM ({body})"
     parts = [FRAGMENTS[n][1] for n in order] + ([extra.strip()] if extra else [])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
+
+
+def best_names(least: float) -> str:
+    """Fragments ``nm`` to ``m`` in SQL: for each name of ``raw`` the best of ``off`` (column o) by the ratio of matching blocks.
+
+    A block is the longest common run of two segments, the first in the name, then the
+    first in the listed one; the parts left and right of it are segments again.
+    """
+    run = "instr(substr(b, blo + 1, bhi - blo), substr(a, i + 1, l))"
+    block = f"list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(1, ahi - i + 1), lambda l: CASE WHEN {run} > 0 THEN {{'s': l, 'i': -i, 'j': 1 - blo - {run}}} END))))"
+    return (
+        "nm AS (SELECT DISTINCT name, upper(trim(name)) AS a FROM raw), pr AS (SELECT DISTINCT a, o AS b FROM nm CROSS JOIN off), "
+        "seg AS (SELECT a, b, CAST(0 AS BIGINT) AS alo, length(a) AS ahi, CAST(0 AS BIGINT) AS blo, length(b) AS bhi, CAST(0 AS BIGINT) AS m FROM pr UNION ALL "
+        "SELECT a, b, part.alo, part.ahi, part.blo, part.bhi, part.m FROM (SELECT a, b, unnest([{'alo': alo, 'ahi': -w.i, 'blo': blo, 'bhi': -w.j, 'm': w.s}, {'alo': w.s - w.i, 'ahi': ahi, 'blo': w.s - w.j, 'bhi': bhi, 'm': 0}]) AS part "
+        f"FROM (SELECT *, {block} AS w FROM seg WHERE ahi > alo AND bhi > blo) WHERE w IS NOT NULL)), "
+        "sc AS (SELECT a, b, 2.0 * sum(m) / (length(a) + length(b)) AS s FROM seg GROUP BY a, b), "
+        f"m AS (SELECT name, w.o AS matched, -w.s AS score FROM (SELECT name, a FROM nm) LEFT JOIN (SELECT a AS aa, min({{'s': -s, 'o': b}}) AS w FROM sc WHERE s >= {least} GROUP BY a) ON aa = a) "
+    )
