@@ -62,6 +62,19 @@ def _(v):
     return trailing_count(daily, "kind", "date", "n", 180, inclusive=True)
 
 
+@query(
+    "str2_trailing_counts",
+    with_sql(
+        "ev",
+        "SELECT w.until, kind, CAST(count(*) FILTER (ev.date >= w.until - 7) AS BIGINT) AS n7, CAST(count(*) FILTER (ev.date >= w.until - 30) AS BIGINT) AS n30, count(*) AS n180 FROM ev "
+        "JOIN (SELECT CAST(unnest(generate_series(min(date) + 1, max(date) + 180, INTERVAL 1 DAY)) AS DATE) AS until FROM ev) w ON ev.date < w.until AND ev.date >= w.until - 180 WHERE CAST(w.until AS TIMESTAMP) <= (SELECT max(ts) FROM ev) - INTERVAL 2 DAY GROUP BY 1, 2",
+    ),
+)
+def _(v):
+    s = _stream(v).withColumnRenamed("event_type", "kind")
+    return flows.run_to_table(flows.trailing_counts(s, "ts", ["kind"], (7, 30, 180)), "trailing").select("until", "kind", "n7", "n30", "n180")
+
+
 @query("str3_stream_dedup", "SELECT event_id, user_id, value FROM events")
 def _(v):
     s = _stream(v)

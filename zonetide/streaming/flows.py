@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,28 @@ def sliding_counts(stream: DataFrame, time: str, keys: Sequence[str], width: str
     )
 
 
+def trailing_counts(stream: DataFrame, time: str, keys: Sequence[str], widths: Sequence[int], delay: str = "2 days") -> DataFrame:
+    """Counts of the last ``widths`` days per key at the end of every day, as the stream goes.
+
+    The first state holds one count per key and open day; closed days go on to a second
+    state that holds, per key and day to come, the days that still count for it.  Both
+    expire with the watermark: a day's row comes out once it is ``delay`` past, later
+    rows are dropped, and a key comes out as long as a day of it counts.
+    """
+    days = (
+        stream.withWatermark(time, delay).groupBy(F.window(time, "1 day"), *keys).agg(F.count(F.lit(1)).alias("n"))
+        .select(F.window_time("window").alias("_at"), F.col("window.start").cast("date").alias("_day"), *keys, "n")
+    )
+    held = days.groupBy(F.window("_at", f"{max(widths)} days", "1 day"), *keys).agg(F.collect_list(F.struct("_day", "n")).alias("_days"))
+    until = F.col("window.end").cast("date")
+
+    def last(k: int) -> Column:
+        inside = F.filter("_days", lambda d: d["_day"] >= F.date_sub(until, k))
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda s, d: s + d["n"]).alias(f"n{k}")
+
+    return held.select(until.alias("until"), *keys, *(last(k) for k in widths))
+
+
 def drop_repeats(stream: DataFrame, key: Sequence[str], time: str, delay: str = "2 days") -> DataFrame:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
 
