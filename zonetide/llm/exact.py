@@ -26,6 +26,7 @@ STATE_CONF = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
     f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",  # each of many small stores would claim megabytes of disk ahead
 }
 
 
@@ -99,7 +100,8 @@ def state_table(spark: SparkSession, id_type: str = "long") -> DataFrame:
 def _clashes(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Digests of which not all rows have the same bytes: hits are compared in full, hot groups folded in tasks first."""
     left, right = spread_over(rows.select("digest", "content", "at"), "digest", state, "n", ["at.file", "at.row"])
-    hits = left.join(right.filter("n > 1").select("digest", "_salt"), ["digest", "_salt"])
+    # the repeated digests grow with the input, so they are never broadcast
+    hits = left.join(right.filter("n > 1").select("digest", "_salt").hint("merge"), ["digest", "_salt"])
     folded = hits.groupBy("digest", "_salt").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
     return folded.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("digest")
 
@@ -119,7 +121,7 @@ def exact_dedup(spark: SparkSession, path: str, log: str | None = None, id_: str
     state = take_in(spark, path, log or scratch_path(spark, "intake"), id_, text, digest, files_per_batch)
     rows = _rows(spark.read.schema(_schema(spark, path, id_, text)).parquet(path), id_, text, digest)
     left, right = spread_over(rows.select("digest", "at"), "digest", state, "n", ["at.file", "at.row"])
-    told = left.join(right.select("digest", "_salt", F.col("at").alias("best"), "n"), ["digest", "_salt"]).drop("_salt")
+    told = left.join(right.select("digest", "_salt", F.col("at").alias("best"), "n").hint("merge"), ["digest", "_salt"]).drop("_salt")
     clashes = cut_lineage(_clashes(rows, state), "clashes")
     if clashes.limit(1).count():
         mixed = rows.join(clashes, "digest")
