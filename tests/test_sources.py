@@ -120,3 +120,50 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run_to_table(stream(), "ids", sink=sink).count() == 3
     spark.range(3, 8).write.mode("append").parquet(folder)
     assert sorted(r.id for r in run_to_table(stream(), "ids", sink=sink).collect()) == list(range(8))
+
+
+def test_features_of_all_types_come_back(spark, tmp_path):
+    square, hole = [[0, 0], [9, 0], [9, 9], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]
+    shapes = [
+        {"type": "Point", "coordinates": [1.5, -2]}, {"type": "MultiPoint", "coordinates": [[0, 0], [1, 1]]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1], [2, 0]]},
+        {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[5, 5], [6, 6]]]}, {"type": "Polygon", "coordinates": [square, hole]}, {"type": "MultiPolygon", "coordinates": [[square], [square, hole]]},
+        {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [3, 4]}, {"type": "MultiPolygon", "coordinates": [[square, hole], [square]]}, {"type": "Polygon", "coordinates": [square]}]},
+        {"type": "GeometryCollection", "geometries": []}, {"type": "Polygon", "coordinates": []}, None,
+    ]
+    doc = {"features": [{"type": "Feature", "properties": {"name": f"f{i}", "note": None if i % 2 else 'a "b"'}, "geometry": g} for i, g in enumerate(shapes)]}
+    (tmp_path / "z.geojson").write_text(json.dumps(doc))
+    rows = geojson.read_geometries(spark, str(tmp_path / "z.geojson"), ["name", "note"])
+    assert rows.count() == len(shapes)
+    out = str(tmp_path / "out")
+    geojson.write_geometries(rows, out, ["name", "note"])
+    back = [json.loads(r.value)["features"][0] for r in spark.read.text(out).collect()]
+    plain = lambda g: json.loads(json.dumps(g), parse_int=float)
+    assert {f["properties"]["name"]: (f["properties"]["note"], plain(f["geometry"])) for f in back} == {
+        f["properties"]["name"]: (f["properties"]["note"], plain(f["geometry"])) for f in doc["features"]}
+    polygons = geojson.read_features(spark, str(tmp_path / "z.geojson"), ["name"]).collect()
+    assert sorted((r.name, r.part, len(r.holes)) for r in polygons) == [("f4", 0, 1), ("f5", 0, 0), ("f5", 1, 1), ("f6", 0, 1), ("f6", 1, 0), ("f6", 2, 0)]
+    geojson.write_features(geojson.read_features(spark, str(tmp_path / "z.geojson"), ["name"]), str(tmp_path / "p"), ["name"], "ring", holes="holes")
+    assert sorted(len(r.holes) for r in geojson.read_features(spark, str(tmp_path / "p"), ["name"], multi_line=False).collect()) == [0, 0, 0, 1, 1, 1]
+
+
+def test_update_inside_wrapped_documents(spark, tmp_path):
+    rows = [{"id": i, "b": "old", "deep": {"b": [1, None, 2.5]}, "é": "ü"} for i in range(7)] + [{"b": "no id"}, {"id": "7", "x": None}, "text", None]
+    docs = {
+        "list": rows, "tables": [{"type": "header", "v": 1}, {"type": "table", "name": "t", "data": rows}, {"type": "table", "name": "u", "data": rows[:2]}, {"type": "end"}],
+        "object": {"meta": {"data": 3}, "records": rows, "z": [1]}, "none": {"data": []}, "other": {"k": 1}, "bare": [],
+    }
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, doc in docs.items():
+        (folder / f"{name}.json").write_text(json.dumps(doc, ensure_ascii=False, indent=1))
+    updates = spark.createDataFrame([("2", "new"), ("2", "alt"), ("7", "seven"), ("5", ""), ("6", None), (None, "lost"), ("99", "none")], "id string, b string")
+    wrapped.update_wrapped_json(spark, str(folder), str(tmp_path / "out"), "id", "b", updates)
+
+    def change(row):
+        new = {"2": "new", "7": "seven"}.get(str(row.get("id"))) if isinstance(row, dict) else None
+        return row | {"b": new} if new else row
+
+    want = [[change(r) for r in rows], {"meta": {"data": 3}, "records": [change(r) for r in rows], "z": [1]}, {"data": []}, {"k": 1}, []]
+    want.append([docs["tables"][0], docs["tables"][1] | {"data": [change(r) for r in rows]}, docs["tables"][2] | {"data": [change(r) for r in rows[:2]]}, docs["tables"][3]])
+    got = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(json.dumps(d, ensure_ascii=False) for d in want)

@@ -75,14 +75,32 @@ def confusion(signs: DataFrame) -> DataFrame:
     )
 
 
+BLOCK = 64  # values of a block of the exponential mean
+
+
 def ema_baseline(series: DataFrame, zone: str, order: str, value: str, alpha: float) -> DataFrame:
-    """Exponential mean of all rows up to the one before, per row."""
-    w = Window.partitionBy(zone).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.col(value).cast("double")).over(w)
-    folded = F.aggregate(
-        F.slice(F.col("_past"), F.lit(2), F.greatest(F.size("_past") - 1, F.lit(0))), F.element_at(F.col("_past"), 1), lambda s, v: s * (1 - alpha) + v * alpha
-    )
-    return series.withColumn("_past", past).withColumn("ema", F.when(F.size("_past") > 0, folded)).drop("_past")
+    """Exponential mean of all rows up to the one before, per row.
+
+    A linear recurrence in two steps: decayed sums inside blocks of ``BLOCK`` values, and
+    what each block carries to the next, folded once per zone over its blocks.  Null
+    values are passed over; the mean starts at the first value.
+    """
+    rows_before = Window.partitionBy(zone).orderBy(order)
+    in_block = Window.partitionBy(zone, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    y, keep = F.col(value).cast("double"), 1 - alpha
+    step = lambda s, v: s * keep + v * alpha
+    rows = series.withColumn("_b", F.floor((F.count(y).over(rows_before.rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK))
+    rows = rows.withColumn("_past", F.collect_list(y).over(in_block)).withColumn("_k", F.size("_past")).withColumn("_s", F.aggregate("_past", F.lit(0.0), step)).drop("_past")
+    ends = rows.filter(y.isNotNull()).groupBy(zone, "_b").agg(F.max("_k").alias("k"), F.max_by("_s", "_k").alias("s"), F.min_by(y, "_k").alias("v"))
+    blocks = ends.groupBy(zone).agg(F.array_sort(F.collect_list(F.struct("_b", "k", "s", "v"))).alias("_all"))
+    # the first block starts from its first value, each other one from the mean at the end of the one before
+    start = F.array(F.element_at("_all", 1)["v"])
+    carried = F.aggregate("_all", start, lambda c, e: F.concat(c, F.array(e["s"] + F.pow(F.lit(keep), e["k"]) * F.element_at(c, -1))))
+    into = blocks.select(F.col(zone).alias("_z"), F.posexplode(carried).alias("_i", "_c"))
+    met = rows.join(into, F.col(zone).eqNullSafe(F.col("_z")) & (F.col("_b") == F.col("_i")), "left")
+    mean = F.when(y.isNotNull(), F.col("_s") + F.pow(F.lit(keep), F.col("_k")) * F.col("_c"))
+    last = F.last("_ema", ignorenulls=True).over(rows_before.rowsBetween(Window.unboundedPreceding, -1))
+    return met.withColumn("_ema", mean).withColumn("ema", last).select(*series.columns, "ema")
 
 
 def linear_baseline(series: DataFrame, zone: str, order: str, value: str) -> DataFrame:

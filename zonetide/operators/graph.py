@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,28 +119,80 @@ def mean_vectors(vectors: DataFrame, zone: str, vector: str) -> DataFrame:
     return means.groupBy(zone).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("vector"))
 
 
-def cosine_edges(zone_vectors: DataFrame, zone: str, vector: str, least: float = 0.3, fallback_k: int = 5, tiles: int = 8) -> DataFrame:
+PIVOTS = 64  # at most so many vectors stand for the others
+SAMPLED = 8  # vectors looked at for each pivot
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+
+
+ROUNDING = 1e-6  # of an angle
+
+
+def _spread(units: list[list[float]], wanted: int) -> list[list[float]]:
+    """Vectors far from one another: each next one is the furthest from those chosen."""
+    x = np.array(units)
+    chosen = [0] if units else []
+    while len(chosen) < min(wanted, len(units)):
+        chosen.append(int((x @ x[chosen].T).max(axis=1).argmin()))
+    return [units[i] for i in chosen]
+
+
+def _near_pivots(zone_vectors: DataFrame, zone: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors with their nearest pivot and the angles to all, and (pivot, reach) of the pivots.
+
+    Pivots are the root of the number of vectors but at most ``PIVOTS``, each the furthest
+    from those before it among ``SAMPLED`` times as many vectors picked by a hash;
+    ``reach`` is the angle of the furthest vector nearest to a pivot.
+    """
+    norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
+    base = zone_vectors.select(F.col(zone).alias("_id"), vector, norm.alias("_n")).filter("_n > 0")
+    base = cut_lineage(base.select("_id", F.transform(vector, lambda x: x / F.col("_n")).alias("_u")), "units")
+    wanted = max(1, min(PIVOTS, int(base.count() ** 0.5)))
+    picked = _spread([r["_u"] for r in base.orderBy(F.xxhash64("_id"), "_id").limit(wanted * SAMPLED).collect()], wanted)
+    pivots = F.array(*(F.array(*(F.lit(x) for x in u)) for u in picked)) if picked else F.array().cast("array<array<double>>")
+    placed = base.withColumn("_angles", F.transform(pivots, lambda p: _angle(_dot(F.col("_u"), p))))
+    placed = cut_lineage(placed.withColumn("_p", F.array_position("_angles", F.array_min("_angles")).cast("int")), "placed")
+    return placed, placed.groupBy("_p").agg(F.max(F.array_min("_angles")).alias("_reach"), F.count(F.lit(1)).alias("_m"))
+
+
+def _met(visits: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs of visitors and the vectors whose pivot they visit."""
+    home = placed.select("_p", F.col("_id").alias("dst"), F.col("_u").alias("_w"))
+    pairs = visits.join(home, "_p").filter(F.col("_id") != F.col("dst"))
+    return pairs.select(F.col("_id").alias("src"), "dst", _dot(F.col("_u"), F.col("_w")).alias("cosine"))
+
+
+def cosine_candidates(placed: DataFrame, reaches: DataFrame, least: float) -> DataFrame:
+    """Pairs (src, dst, cosine) that the angles to the pivots allow to be as near as ``least``."""
+    widest = F.acos(F.lit(float(max(-1.0, min(1.0, least))))) + ROUNDING
+    toward = placed.select("_id", "_u", F.posexplode("_angles").alias("_i", "_a")).withColumn("_p", F.col("_i") + 1)
+    return _met(toward.join(reaches, "_p").filter(F.col("_a") - F.col("_reach") <= widest), placed)
+
+
+def cosine_edges(zone_vectors: DataFrame, zone: str, vector: str, least: float = 0.3, fallback_k: int = 5) -> DataFrame:
     """Both directions where the cosine of two zones is above ``least``.
 
-    Zones are a dimension; their pairs are spread over ``tiles`` x ``tiles``
-    blocks that meet by an equi-join.  When no pair passes, each zone links to
-    its ``fallback_k`` most similar ones.
+    By the triangle inequality of angles a vector only visits the pivots near enough to
+    have a partner nearest to them.  Where no pair passes, each zone links to its
+    ``fallback_k`` most similar ones, ties to the smaller: those nearest to its own
+    pivot bound what else has to be visited.  Vectors that are null or zero have no edge.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    block = F.pmod(F.xxhash64(zone), F.lit(tiles))
-    every = F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    base = zone_vectors.select(zone, vector, norm.alias("_n"))
-    left = base.select(F.col(zone).alias("src"), F.col(vector).alias("_va"), F.col("_n").alias("_na"), block.alias("_i"), F.explode(every).alias("_j"))
-    right = base.select(F.col(zone).alias("dst"), F.col(vector).alias("_vb"), F.col("_n").alias("_nb"), block.alias("_j"), F.explode(every).alias("_i"))
-    pairs = (
-        left.join(right, ["_i", "_j"]).filter(F.col("src") != F.col("dst"))
-        .select("src", "dst", ratio(dot(F.col("_va"), F.col("_vb")), F.col("_na") * F.col("_nb")).alias("cosine"))
-    )
+    placed, reaches = _near_pivots(zone_vectors, zone, vector)
+    edges = cut_lineage(cosine_candidates(placed, reaches, least).filter(F.col("cosine") > least), "edges")
+    if edges.limit(1).count():
+        return edges
     best = Window.partitionBy("src").orderBy(F.col("cosine").desc(), "dst")
-    ranked = pairs.withColumn("_r", F.row_number().over(best))
-    passing = pairs.select(F.count_if(F.col("cosine") > least)).scalar()
-    return ranked.filter(F.when(passing > 0, F.col("cosine") > least).otherwise(F.col("_r") <= fallback_k)).drop("_r")
+    first = _met(placed.select("_id", "_u", "_p"), placed).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == fallback_k)
+    bounds = cut_lineage(first.select(F.col("src").alias("_id"), (_angle(F.col("cosine")) + ROUNDING).alias("_bound")), "bounds")
+    toward = placed.join(bounds, "_id", "left").select("_id", "_u", "_bound", F.posexplode("_angles").alias("_i", "_a")).withColumn("_p", F.col("_i") + 1)
+    near = toward.join(reaches, "_p").filter(F.col("_bound").isNull() | (F.col("_a") - F.col("_reach") <= F.col("_bound")))
+    return _met(near.select("_id", "_u", "_p"), placed).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= fallback_k).drop("_r")
 
 
 def attach_isolated(edges: DataFrame, nodes: DataFrame, key: str, roots: Sequence) -> DataFrame:

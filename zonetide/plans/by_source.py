@@ -64,6 +64,29 @@ def _(v):
     return rows.select(F.col("poly").cast("bigint").alias("poly"), F.posexplode("ring").alias("pos", "p")).select("poly", "pos", "p.x", "p.y")
 
 
+@query(
+    "s5_read_all_geometries",
+    with_sql(
+        "cor",
+        "SELECT CAST(k.poly AS BIGINT) AS poly, kind, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, n FROM (SELECT poly, CASE poly % 4 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'MultiPoint' WHEN 2 THEN 'GeometryCollection' END AS kind FROM (SELECT DISTINCT poly FROM cor)) k "
+        "LEFT JOIN (VALUES (0, 0, 0, 4), (0, 0, 1, 3), (1, 0, 0, 1), (1, 1, 0, 1), (1, 2, 0, 1), (1, 3, 0, 1), (2, 0, 0, 4), (2, 1, 0, 1)) v(m, part, ring, n) ON v.m = k.poly % 4",
+    ),
+)
+def _(v):
+    """Polygons with a hole, points, collections of a polygon and a point, and features without geometry, written and read back."""
+    path = scratch_path(v.spark, "geometries")
+    ring, m = F.col("ring"), F.col("poly") % 4
+    part = lambda member, kind, *rings: F.struct(F.lit(member).alias("member"), F.lit(kind).alias("kind"), F.array(*rings).alias("rings"))
+    parts = F.when(m == 0, F.array(part(0, "Polygon", ring, F.slice(ring, 1, 3)))).when(
+        m == 1, F.transform(ring, lambda p: F.struct(F.lit(0).alias("member"), F.lit("MultiPoint").alias("kind"), F.array(F.array(p)).alias("rings")))
+    ).when(m == 2, F.array(part(0, "Polygon", ring), part(1, "Point", F.slice(ring, 1, 1))))
+    kind = F.when(m == 0, "Polygon").when(m == 1, "MultiPoint").when(m == 2, "GeometryCollection")
+    geojson.write_geometries(v.polygon().select("poly", kind.alias("type"), parts.alias("parts")), path, ["poly"])
+    rows = geojson.read_geometries(v.spark, path, ["poly"], multi_line=False)
+    flat = rows.select(F.col("poly").cast("bigint").alias("poly"), F.col("type").alias("kind"), F.posexplode_outer("parts").alias("part", "p"))
+    return flat.select("poly", "kind", "part", F.posexplode_outer("p.rings").alias("ring", "r")).select("poly", "kind", "part", "ring", F.when(F.col("r").isNotNull(), F.size("r")).alias("n"))
+
+
 @query("s6_read_snapshots", with_sql("snap", "SELECT zone, date, label FROM snap"))
 def _(v):
     path = scratch_path(v.spark, "snapshots")
@@ -138,6 +161,20 @@ def _(v):
     return v.spark.read.parquet(path)
 
 
+@query(
+    "s11_update_wrapped_records",
+    "SELECT d.doc_id, d.lang, coalesce('q' || CAST(l.quality AS VARCHAR), d.source) AS source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
+def _(v):
+    """The same update inside wrapped documents, whose wrapper and order stay."""
+    path, out = scratch_path(v.spark, "wrapped"), scratch_path(v.spark, "updated")
+    wrapped.write_wrapped_json(v.table("documents").select("doc_id", "lang", "source"), path, "documents", rows_per_document=300)
+    fresh = v.table("labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    wrapped.update_wrapped_json(v.spark, path, out, "doc_id", "source", fresh, multi_line=False)
+    rows = wrapped.read_wrapped_json(v.spark, out, ["doc_id", "lang", "source"], table="documents", multi_line=False)
+    return rows.select(F.col("doc_id").cast("bigint"), "lang", "source")
+
+
 @query(
     "s12_write_partitioned",
     with_sql("zd", "SELECT c_mktsegment AS label, region, count(*) AS n FROM customer JOIN zd ON c_nationkey = zone GROUP BY 1, 2"),

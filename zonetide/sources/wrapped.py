@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonetide.session import cut_lineage
+
 # Keys that may hold the rows.
 ROW_KEYS = ["data", "records", "operacoes", "table"]
 
@@ -78,6 +80,83 @@ def write_wrapped_json(df: DataFrame, path: str, table: str, rows_per_document:
     text.mapInPandas(pack, "value string").write.text(path)
 
 
+def _row_places(doc: object) -> list[list]:
+    """Where the row lists of a document are: paths of keys, one per list, in order."""
+    if isinstance(doc, dict):
+        return [[k] for k in ROW_KEYS if isinstance(doc.get(k), list)][:1]
+    if not isinstance(doc, list):
+        return []
+    tables = [[i, k] for i, d in enumerate(doc) if isinstance(d, dict) and ("type" in d or "name" in d) for k in ROW_KEYS if isinstance(d.get(k), list)]
+    return tables or [[]]
+
+
+def _taken_apart(doc: object, key: str) -> Iterator[tuple[str, str, int, str | None, str]]:
+    """(wrapper, places, position, id, record) of each row; the wrapper has empty lists in their places."""
+    places = []
+    rows = []
+    for place in _row_places(doc):
+        if place:
+            holder = doc[place[0]] if len(place) == 2 else doc
+            found, holder[place[-1]] = holder[place[-1]], []
+        else:
+            found, doc = doc, []
+        places.append([place, len(found)])
+        rows += found
+    wrapper, where = json.dumps(doc, ensure_ascii=False), json.dumps(places)
+    for i, row in enumerate(rows):
+        known = row.get(key) if isinstance(row, dict) else None
+        yield wrapper, where, i, None if known is None else str(known), json.dumps(row, ensure_ascii=False)
+    if not rows:
+        yield wrapper, where, 0, None, ""
+
+
+def _put_together(wrapper: str, where: str, records: list[str]) -> str:
+    doc, at = json.loads(wrapper), 0
+    for place, n in json.loads(where):
+        rows = [json.loads(r) for r in records[at : at + n]]
+        at += n
+        if not place:
+            return json.dumps(rows, ensure_ascii=False)
+        (doc[place[0]] if len(place) == 2 else doc)[place[-1]] = rows
+    return json.dumps(doc, ensure_ascii=False)
+
+
+def update_wrapped_json(spark: SparkSession, path: str, out: str, key: str, column: str, updates: DataFrame, multi_line: bool = True) -> None:
+    """Write the wrapped documents at ``path`` again with one field of their rows changed.
+
+    ``updates`` holds (key, column); a row whose id, as text, is listed gets the new value as text,
+    others stay as they are, and so do rows without id, values that are null or empty, all other fields, the order of rows, and
+    whatever else a document holds.  Of several values of one id the greatest counts.
+    Documents come out one per line.  Rows meet the updates in a join; a document is
+    put together in one task, so its size is that of the documents read.
+    """
+    text = spark.read.text(path, wholetext=multi_line).filter(F.trim("value") != "")
+    docs = cut_lineage(text.select(F.monotonically_increasing_id().alias("doc"), "value"), "documents")
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, value in zip(batch["doc"], batch["value"]):
+                rows = list(_taken_apart(json.loads(value), key))
+                yield pd.DataFrame([(number, *r) for r in rows], columns=["doc", "wrapper", "places", "pos", "id", "record"])
+
+    rows = cut_lineage(docs.mapInPandas(apart, "doc long, wrapper string, places string, pos int, id string, record string"), "records")
+    fresh = updates.select(F.col(key).cast("string").alias("id"), F.col(column).cast("string").alias("_new")).filter("id is not null and _new <> ''")
+    fresh = fresh.groupBy("id").agg(F.max("_new").alias("_new"))
+
+    @F.pandas_udf("string")
+    def changed(records: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([r if v is None or v != v else json.dumps(json.loads(r) | {column: v}, ensure_ascii=False) for r, v in zip(records, values)], dtype=object)
+
+    @F.pandas_udf("string")
+    def whole(wrappers: pd.Series, places: pd.Series, records: pd.Series) -> pd.Series:
+        return pd.Series([_put_together(w, p, list(r)) for w, p, r in zip(wrappers, places, records)], dtype=object)
+
+    joined = rows.join(fresh, "id", "left").select("doc", "pos", F.when(F.col("_new").isNull(), F.col("record")).otherwise(changed("record", "_new")).alias("record"))
+    lists = joined.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "record"))).alias("_rows"))
+    frames = rows.filter("pos = 0").select("doc", "wrapper", "places").join(lists, "doc")
+    frames.select(whole("wrapper", "places", F.transform("_rows", lambda r: r["record"])).alias("value")).write.text(out)
+
+
 def read_json_folder(spark: SparkSession, paths: dict[str, str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """Union of several JSON layouts: ``list``, ``data`` and ``features``."""
     parts = []
