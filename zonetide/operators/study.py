@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from zonetide.functions.ladders import ladder
@@ -17,6 +18,7 @@ from zonetide.functions.stats import safe_corr, student_p, t_of_r
 from zonetide.operators.joins import month_number
 from zonetide.operators.ranking import average_rank, one_row
 from zonetide.operators.windows import next_deltas
+from zonetide.session import cut_lineage
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -247,46 +249,119 @@ def dickey_fuller(series: DataFrame, zone: str, date: str, value: str) -> DataFr
     return fit.select(zone, "n", F.try_divide("slope", "stderr").alias("t")).withColumn("stationary", F.col("t") < DF_CRITICAL)
 
 
-def _adf_fit(y: np.ndarray, lag: int, skip: int) -> tuple[float, float] | None:
-    """(t, AIC) of the regression with ``lag`` differences, on the rows from ``skip`` on."""
-    dy = np.diff(y)
-    rows = np.arange(skip, len(dy))
-    x = np.column_stack([np.ones(len(rows)), y[rows]] + [dy[rows - k] for k in range(1, lag + 1)])
-    if len(rows) <= x.shape[1] + 1 or np.linalg.matrix_rank(x) < x.shape[1]:
-        return None
-    beta = np.linalg.lstsq(x, dy[rows], rcond=None)[0]
-    rss = float(((dy[rows] - x @ beta) ** 2).sum())
-    if rss <= 1e-12:
-        return None
-    cov = rss / (len(rows) - x.shape[1]) * np.linalg.inv(x.T @ x)
-    return float(beta[1] / np.sqrt(cov[1, 1])), len(rows) * np.log(rss / len(rows)) + 2 * x.shape[1]
-
-
-def _adf_one(y: np.ndarray, max_lag: int | None) -> tuple[float | None, int | None]:
-    """Augmented test on one zone's calendar; lag order by AIC on common rows, t from all usable rows."""
-    if max_lag is None:
-        max_lag = max(0, min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 2))
-    fits = {lag: fit for lag in range(max_lag + 1) if (fit := _adf_fit(y, lag, max_lag))}
-    if not fits:
-        return None, None
-    lag = min(fits, key=lambda k: (fits[k][1], k))
-    return _adf_fit(y, lag, lag)[0], lag
-
-
-def augmented_dickey_fuller(series: DataFrame, zone: str, date: str, value: str, max_lag: int | None = None) -> DataFrame:
-    """AIC-selected Dickey-Fuller t; a group is one zone's calendar of rows.
-
-    Without ``max_lag`` the lags up to 12 (n / 100)^(1/4) are tried.
+# The published response surface of the p-value of the Dickey-Fuller t with
+# constant, as the argument of the normal distribution: below and above one point, between two ends.
+SURFACE_LOW, SURFACE_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+SURFACE_SPLIT, SURFACE_ENDS = -1.61, (-18.83, 2.74)
+PIVOT = 1e-10  # a column with less than this left of its square is a sum of earlier ones
+
+
+def unit_root_p(t: Column) -> Column:
+    """p-value of the Dickey-Fuller t with constant."""
+
+    def surface(factors: Sequence[float]) -> Column:
+        out = F.lit(0.0)
+        for f in reversed(factors):
+            out = out * t + f
+        return out
+
+    z = F.when(t <= SURFACE_SPLIT, surface(SURFACE_LOW)).otherwise(surface(SURFACE_HIGH))
+    both = student_p(z, F.lit(1e12))  # as good as normal
+    inside = F.when(z < 0, both / 2).otherwise(1 - both / 2)
+    return F.when(t < SURFACE_ENDS[0], 0.0).when(t > SURFACE_ENDS[1], 1.0).otherwise(inside)
+
+
+def _moments(rows: DataFrame, zone: str, columns: Sequence[Column]) -> DataFrame:
+    """Per zone the number of rows, ``_top``, and the sums of all products of two columns, row by row of the lower triangle."""
+    held = rows.select(zone, "_top", *(c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    pairs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(len(columns)) for j in range(i + 1)]
+    return held.groupBy(zone).agg(F.count(F.lit(1)).alias("_n"), F.max("_top").alias("_top"), F.array(*pairs).alias("_g"))
+
+
+def _triangles(sums: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Cholesky factors of all zones at once and the square of the target; a column that earlier ones give is left out (zeros)."""
+    flat = np.array(sums.tolist(), float)
+    size = int((2 * flat.shape[1]) ** 0.5)
+    g = np.zeros((len(flat), size, size))
+    g[:, *np.tril_indices(size)] = flat
+    low = np.zeros_like(g)
+    for j in range(size):
+        left = g[:, j, j] - (low[:, j, :j] ** 2).sum(axis=1)
+        pivot = np.where(left > PIVOT * g[:, j, j], np.sqrt(np.maximum(left, 0)), 0)
+        rest = g[:, j + 1 :, j] - (low[:, j + 1 :, :j] * low[:, j : j + 1, :j]).sum(axis=2)
+        low[:, j, j] = pivot
+        low[:, j + 1 :, j] = np.where(pivot[:, None] > 0, rest / np.where(pivot, pivot, 1)[:, None], 0)
+    return low, g[:, -1, -1]
+
+
+@F.pandas_udf(T.IntegerType())
+def _order_of(sums: pd.Series, n: pd.Series, top: pd.Series) -> pd.Series:
+    """The order with the least AIC: columns are the constant, the level, one difference after the other, and the target."""
+    low, total = _triangles(sums)
+    n, top = n.to_numpy(), top.to_numpy()
+    target = low.shape[1] - 1
+    rest = total[:, None] - np.cumsum(low[:, target, :target] ** 2, axis=1)
+    sound = np.logical_and.accumulate(low[:, range(target), range(target)] > 0, axis=1)
+    used = np.arange(1, target + 1)
+    good = sound & (used - 2 <= top[:, None]) & (n[:, None] > used + 1) & (rest > 1e-12)
+    aic = np.where(good, n[:, None] * np.log(np.where(good, rest, 1) / n[:, None]) + 2 * used, np.inf)[:, 1:]
+    best = pd.Series(aic.argmin(axis=1), dtype="Int32")
+    return best.where(np.isfinite(aic.min(axis=1)), pd.NA)
+
+
+@F.pandas_udf(T.DoubleType())
+def _level_t(sums: pd.Series, n: pd.Series, lag: pd.Series) -> pd.Series:
+    """t of the level, which is the last column before the target; differences beyond ``lag`` are zeros."""
+    low, total = _triangles(sums)
+    target = low.shape[1] - 1
+    free = n.to_numpy() - lag.to_numpy() - 2
+    rest = total - (low[:, target, :target] ** 2).sum(axis=1)
+    rank = (low[:, range(target), range(target)] > 0).sum(axis=1)
+    good = (rank == lag.to_numpy() + 2) & (rest > 1e-12) & (free > 0)
+    t = low[:, target, target - 1] / np.sqrt(np.where(good, rest, 1) / np.where(good, free, 1))
+    return pd.Series(t).where(good)
+
+
+def augmented_dickey_fuller(series: DataFrame, zone: str, date: str, value: str, max_lag: int | None = None, lag: int | None = None) -> DataFrame:
+    """(zone, t, lag, p, stationary): the Dickey-Fuller t with ``lag`` differences, or as many as AIC prefers.
+
+    Without ``lag`` all orders up to ``max_lag``, or 12 (n / 100)^(1/4), are compared on
+    common rows, and t comes from all rows the chosen one can use.  A regression is sums
+    of products per zone and a triangle of them; the triangle of the longest order
+    holds those of all shorter ones.  ``p`` is the published response surface, a zone is
+    ``stationary`` below 0.05.  Series that are constant, exactly fitted or too short have neither.
     """
-    kind = dict(series.dtypes)[zone]
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        y = frame.sort_values(date)[value].to_numpy(dtype=float)
-        t, lag = _adf_one(y, max_lag)
-        return pd.DataFrame({zone: [frame[zone].iloc[0]], "t": [t], "lag": pd.array([lag], dtype="Int32")})
-
-    out = series.select(zone, date, value).groupBy(zone).applyInPandas(fit, f"{zone} {kind}, t double, lag int")
-    return out.withColumn("stationary", F.col("t") < DF_CRITICAL)
+    w = Window.partitionBy(zone).orderBy(date)
+    whole = Window.partitionBy(zone)
+    # the constant of the regression makes the level free, so the mean goes first
+    y = F.col(value).cast("double")
+    rows = series.select(zone, date, (y - F.avg(y).over(whole)).alias("_y"), F.count(F.lit(1)).over(whole).alias("_all"))
+    rows = rows.withColumn("_lag", F.lag("_y").over(w)).withColumn("_d", F.col("_y") - F.col("_lag")).withColumn("_j", F.row_number().over(w) - 2)
+    if lag is not None:
+        top = F.lit(lag)
+    elif max_lag is not None:
+        top = F.lit(max_lag)
+    else:
+        top = F.greatest(F.least(F.ceil(12 * F.pow(F.col("_all") / 100, 0.25)), F.floor(F.col("_all") / 2) - 2), F.lit(0))
+    rows = rows.withColumn("_top", top.cast("int"))
+    longest = rows.agg(F.max("_top")).first()[0] or 0
+    rows = rows.withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, longest + 1)})
+    rows = cut_lineage(rows.filter(F.col("_j") >= 0), "differences")
+
+    def lagged(most: Column) -> list[Column]:
+        return [F.when(F.lit(k) <= most, F.col(f"_d{k}")).otherwise(0.0) for k in range(1, longest + 1)]
+
+    if lag is None:
+        columns = [F.lit(1.0), F.col("_lag"), *lagged(F.col("_top")), F.col("_d")]
+        sums = _moments(rows.filter(F.col("_j") >= F.col("_top")), zone, columns)
+        chosen = sums.select(F.col(zone).alias("_z"), _order_of("_g", "_n", "_top").alias("lag")).filter("lag is not null")
+    else:
+        chosen = rows.select(F.col(zone).alias("_z")).distinct().withColumn("lag", F.lit(lag))
+    used = rows.join(chosen, F.col(zone).eqNullSafe(F.col("_z"))).filter(F.col("_j") >= F.col("lag")).withColumn("_top", F.col("lag"))
+    sums = _moments(used, zone, [F.lit(1.0), *lagged(F.col("lag")), F.col("_lag"), F.col("_d")])
+    tested = sums.select(F.col(zone).alias("_z"), _level_t("_g", "_n", "_top").alias("t"), F.col("_top").alias("lag"))
+    tested = tested.filter("t is not null and not isnan(t)").withColumn("p", unit_root_p(F.col("t"))).withColumn("stationary", F.col("p") < 0.05)
+    return series.select(zone).distinct().join(tested, F.col(zone).eqNullSafe(F.col("_z")), "left").drop("_z")
 
 
 def viability_a(panel: DataFrame, date: str, total: str, outcome: str) -> DataFrame:

@@ -106,20 +106,20 @@ def _(v):
 @query(
     "r1_recommendations_of_region",
     with_sql(
-        "pred ev snap",
+        "pred ev snap zd",
         "SELECT rz.*, coalesce(CASE WHEN l.label <> 'view' THEN l.label END, 'DESCONHECIDA') AS label FROM rz LEFT JOIN (SELECT zone, label FROM snap WHERE date = (SELECT max(date) FROM snap)) l ON l.zone = rz.zone",
         "risk trend",
-        extra=_rec("2023-08-14", "2023-11-12", "2024-02-10", "zone % 2 = 0"),
+        extra=_rec("2023-08-14", "2023-11-12", "2024-02-10", "zone IN (SELECT zone FROM zd WHERE region = 'ASIA')"),
     ),
 )
 def _(v):
-    """One region, a window without events, a second kind of events, and labels of which one means none."""
+    """One region of the zone table, a window without events, a second kind of events, and labels of which one means none."""
     p = v.prediction().select("zone", (F.col("predicted") / 10).alias("risk"))
     day = lambda s: F.lit(s).cast("date")
     last = keep_first(v.snapshot(), ["zone"], [F.col("date").desc()])
     labels = last.select("zone", F.when(F.col("label") == "view", "-").otherwise(F.col("label")).alias("label"))
     return rules.recommendations(
-        p, v.event().filter("zone % 2 = 0"), "zone", "date", F.col("kind") == "purchase", "risk", day("2024-02-05"), day("2024-02-10"),
+        p, v.event().filter("zone IN (SELECT zone FROM zd WHERE region = 'ASIA')"), "zone", "date", F.col("kind") == "purchase", "risk", day("2024-02-05"), day("2024-02-10"),
         second=F.col("kind") == "view", labels=labels,
     )
 

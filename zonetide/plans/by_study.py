@@ -268,6 +268,28 @@ def _(v):
     return study.dickey_fuller(v.outcome_m(), "zone", "month", "y")
 
 
+# Order 1 in SQL: the level and the difference without what the difference before tells of
+# them, then a line through both.  The normal tail is a sum of Simpson.
+_UNIT = (
+    "st AS (SELECT zone, month, y, lag(y) OVER w AS l, y - lag(y) OVER w AS d FROM om WINDOW w AS (PARTITION BY zone ORDER BY month)), "
+    "s1 AS (SELECT *, lag(d) OVER (PARTITION BY zone ORDER BY month) AS e FROM st), s2 AS (SELECT * FROM s1 WHERE e IS NOT NULL), "
+    "cf AS (SELECT zone, count(*) AS n, regr_slope(l, e) AS bl, regr_intercept(l, e) AS al, regr_slope(d, e) AS bd, regr_intercept(d, e) AS ad FROM s2 GROUP BY zone HAVING var_pop(e) > 1e-12), "
+    "rs AS (SELECT s2.zone, n, l - al - bl * e AS u, d - ad - bd * e AS v FROM s2 JOIN cf ON cf.zone = s2.zone), "
+    "sl AS (SELECT zone, any_value(n) AS n, sum(u * v) / sum(u * u) AS b, sum(u * u) AS uu FROM rs GROUP BY zone HAVING sum(u * u) > 1e-9), "
+    "tt AS (SELECT sl.zone, any_value(b) / sqrt(sum((v - b * u) * (v - b * u)) / (any_value(sl.n) - 3) / any_value(uu)) AS t FROM rs JOIN sl ON sl.zone = rs.zone WHERE sl.n > 3 GROUP BY sl.zone HAVING sum((v - b * u) * (v - b * u)) > 1e-12), "
+    "zz AS (SELECT zone, t, CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END AS z FROM tt), "
+    "pp AS (SELECT zone, t, CASE WHEN t < -18.83 THEN 0 WHEN t > 2.74 THEN 1 ELSE 0.5 + z / 1200 * list_sum(list_transform(range(0, 401), lambda i: exp(-pow(z * i / 400, 2) / 2) * (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END))) / sqrt(2 * pi()) END AS p FROM zz)"
+)
+
+
+@query(
+    "st16_augmented_of_one_lag",
+    with_sql("om", "SELECT z.zone, t, CASE WHEN t IS NOT NULL THEN 1 END AS lag, p, p < 0.05 AS stationary FROM (SELECT DISTINCT zone FROM om) z LEFT JOIN pp ON pp.zone = z.zone", "t p", extra=_UNIT),
+)
+def _(v):
+    return study.augmented_dickey_fuller(v.outcome_m(), "zone", "month", "y", lag=1)
+
+
 @query("st16_augmented_dickey_fuller")
 def _(v):
     return study.augmented_dickey_fuller(v.outcome_m(), "zone", "month", "y")
