@@ -119,7 +119,7 @@ def _(v):
     last = keep_first(v.snapshot(), ["zone"], [F.col("date").desc()])
     labels = last.select("zone", F.when(F.col("label") == "view", "-").otherwise(F.col("label")).alias("label"))
     return rules.recommendations(
-        p, v.event().filter("zone IN (SELECT zone FROM zd WHERE region = 'ASIA')"), "zone", "date", F.col("kind") == "purchase", "risk", day("2024-02-05"), day("2024-02-10"),
+        p, v.event().join(v.zone_dim().filter("region = 'ASIA'").select("zone"), "zone", "left_semi"), "zone", "date", F.col("kind") == "purchase", "risk", day("2024-02-05"), day("2024-02-10"),
         second=F.col("kind") == "view", labels=labels,
     )
 
