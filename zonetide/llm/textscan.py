@@ -1,7 +1,7 @@
 """Numpy helpers that tasks use on Arrow batches of texts.
 
-Hashes are polynomial prefix hashes modulo 2**64, finished by a mixing step, so
-the hash of any run of symbols costs two look-ups.  Batches are cut into slices
+Hashes are polynomial prefix hashes modulo the prime 2**61 - 1, finished by a mixing
+step, so the hash of any run of symbols costs two look-ups.  Batches are cut into slices
 of ``SLICE_BYTES`` of text; that bounds the memory of a task and changes no result.
 """
 
@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-BASE = 0x9E3779B97F4A7C15
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
+STEP = 1 << 15  # values multiplied at once, so that what lies between stays small
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,14 +31,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_P, _HALF, _LOW31, _LOW30, _LOW32 = (np.uint64(x) for x in (PRIME, 31, (1 << 31) - 1, (1 << 30) - 1, (1 << 32) - 1))
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """Values modulo ``PRIME``."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it."""
+    a, b = np.broadcast_arrays(a, b)
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), STEP):
+        x, y = a[i : i + STEP], b[i : i + STEP]
+        xh, xl, yh, yl = x >> _HALF, x & _LOW31, y >> _HALF, y & _LOW31
+        mid = xl * yh + xh * yl
+        out[i : i + STEP] = residue(((xh * yh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _LOW30) << _HALF) + xl * yl)
+    return out
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Running sums modulo ``PRIME`` of values below it, from 0 on."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    high, low = np.cumsum(x >> np.uint64(32)), np.cumsum(x & _LOW32)  # below 2**63 each for 2**31 values
+    high = residue(high)
+    out[1:] = residue(residue(((high << np.uint64(32)) & _P) + (high >> np.uint64(29))) + residue(low))
+    return out
+
+
+BYTE_CODE = np.arange(1, 257, dtype=np.uint64)
+SMALL, FEW = 256, 1 << 24  # so many products of codes and half powers add up within 64 bits
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    done = 1
+    while done < size:
+        some = min(done, size - done)
+        out[done : done + some] = times(out[:some], np.uint64(pow(base, done, PRIME)))
+        done += some
+    return out
 
 
 @lru_cache(maxsize=2)
 def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    return _powers(BASE, size), _powers(pow(BASE, -1, PRIME), size)
 
 
 #: What tasks keep between batches; workers serve one operator after another.
@@ -60,25 +101,51 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Hashes of runs of a sequence of 64-bit codes."""
+    """Hashes of runs of a sequence of 64-bit codes.
+
+    Small codes, as those of bytes, are summed with both halves of the powers and
+    reduced where a run is asked for; other codes are reduced at once.
+    """
 
     def __init__(self, codes: np.ndarray):
         up, self.down = powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+        up = up[: len(codes)]
+        self.halves = len(codes) <= FEW and int(codes.max(initial=0)) <= SMALL
+        if self.halves:
+            self.high, self.sums = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(codes * (up >> _HALF), out=self.high[1:])
+            np.cumsum(codes * (up & _LOW31), out=self.sums[1:])
+        else:
+            self.sums = running(times(residue(codes), up))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of codes[start:end] for arrays of bounds."""
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if self.halves:
+            high = residue(self.high[end] - self.high[start])
+            raw = residue(((high << _HALF) & _P) + (high >> np.uint64(30)) + residue(self.sums[end] - self.sums[start]))
+        else:
+            raw = residue(self.sums[end] + (_P - self.sums[start]))
+        return mixed(times(raw, self.down[start]) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
 
-    def windows(self, k: int) -> np.ndarray:
-        """Hash of every window of ``k`` codes, by start."""
-        n = len(self.sums) - 1 - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        raw = (self.sums[k:] - self.sums[:n]) * self.down[:n]
-        return mixed(raw + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+def grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number for every window of ``k`` codes, by start.
+
+    Equal windows have equal numbers; a rare pair of others may share one too, so
+    this serves to choose and to group, never to tell that windows are equal.
+    """
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, begun, block, width, factor = np.zeros(n, np.uint64), 0, codes, 1, 0x9E3779B97F4A7C15
+    while True:
+        if k & width:
+            out = out * np.uint64(factor) + block[begun : begun + n]
+            begun += width
+        if begun == k:
+            return mixed(out)
+        block = block[:-width] * np.uint64(factor) + block[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +221,9 @@ def pieces(codes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     if not starts_of.sum():
         return empty
     prefix = Prefix(codes)
-    grams = prefix.windows(k)
+    number = grams(codes, k)
     low = np.uint64(0xFFFFFFFF)  # upper half of the hash, then the position
-    least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - k + 1)
+    least = sliding_min((number & ~low) | np.arange(len(number), dtype=np.uint64), length - k + 1)
     row, at = spread(starts_of)
     start = bounds[:-1][row] + at
     chosen = least[start]
@@ -165,6 +232,6 @@ def pieces(codes: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
     return {
-        "row": row[head], "lo": at[head], "count": count, "key": grams[(chosen[head] & low).astype(np.int64)],
+        "row": row[head], "lo": at[head], "count": count, "key": number[(chosen[head] & low).astype(np.int64)],
         "content": prefix.of(start[head], start[head] + count + length - 1),
     }
