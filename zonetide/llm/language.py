@@ -1,10 +1,17 @@
-"""Language identification by word-first backoff."""
+"""Language identification by word-first backoff.
+
+A known word counts by its log frequency in each language, an unseen one by the mean
+of its longest known character n-grams.  The model holds hashes in order and one
+row of logarithms for each, so a task looks the distinct words of a slice of texts up
+at once; it knows every word and n-gram that comes twice in the sample.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -12,25 +19,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.llm.textscan import KEPT
+from zonetide.llm.textscan import Prefix, release, slices, spread
 from zonetide.session import cut_lineage
 
 ROWS_PER_LANGUAGE = 2500
-MAX_WORDS = 60_000
-MAX_GRAMS = 120_000
 LONGEST = 4
 SMOOTH = 0.5
-MEMO = 300_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class Table(NamedTuple):
+    """Log frequencies by language (columns) of the items with these hashes, in ascending order."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+
+    def rows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known, row of each): the row is of use where the item is known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
+
+
 class Model(NamedTuple):
-    """Log frequencies by language; rows of ``words`` and ``grams`` follow ``languages``."""
+    """``words`` and ``grams`` (by length less one) have a column for each of ``languages``."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length less one
+    words: Table
+    grams: list[Table]
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point: 0 outside words, 1 inside, 2 a letter."""
+    every = np.arange(0x110000)
+    every = every[(every < 0xD800) | (every > 0xDFFF)]
+    out = np.zeros(0x110000, np.uint8)
+    text = every.astype("<u4").tobytes().decode("utf-32-le")
+    for m in _WORD.finditer(text):
+        out[every[m.start() : m.end()]] = 1
+    out[every[[c.isalpha() for c in text]]] += 1
+    return np.minimum(out, 2)
+
+
+def _points(texts: Sequence[str], before: str = "\n") -> tuple[np.ndarray, np.ndarray]:
+    """(code points, bounds) of texts, each after ``before``."""
+    joined = before + before.join(texts) if texts else ""
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    return codes, np.append(0, np.cumsum([len(t) + len(before) for t in texts], dtype=np.int64))
+
+
+def _hashes(items: Sequence[str]) -> np.ndarray:
+    codes, bounds = _points(items)
+    return Prefix(codes.astype(np.uint64)).of(bounds[:-1] + 1, bounds[1:])
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -46,12 +89,12 @@ def labelled_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame
     return known.join(rate, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_rate") * (1 << 20)).select("text", "lang")
 
 
-def train(sample: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(sample: DataFrame) -> Model:
     """Model of a bounded sample (text, lang).
 
     Counts are Spark aggregations over words, then over the character n-grams of
-    the counted words.  The ``max_words`` most frequent (word, lang) pairs and the
-    ``max_grams`` most frequent n-grams are kept, so the model has a bounded size
+    the counted words.  Every word of a language and every n-gram that comes twice is
+    kept, with its counts in all languages, so the model is as bounded as the sample
     and can go to every task.
     """
 
@@ -74,67 +117,73 @@ def train(sample: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GR
 
     total = F.sum("n").alias("n")
     by_word = cut_lineage(sample.mapInArrow(words, _ITEMS_SQL).groupBy("lang", "item").agg(total), "words")
-    by_gram = by_word.mapInArrow(grams, _ITEMS_SQL).groupBy("lang", "item").agg(total)
-    order = [F.desc("n"), "lang", "item"]
-    top_words = by_word.filter("n > 1").orderBy(*order).limit(max_words).collect()
-    top_grams = by_gram.filter("n > 1").orderBy(*order).limit(max_grams).collect()
-    sizes = {r.lang: float(r.n) for r in by_word.groupBy("lang").agg(total).collect()}
-    languages = sorted(sizes)
-    return Model(languages, _logs(top_words, languages), [_logs([r for r in top_grams if len(r.item) == k], languages) for k in range(1, LONGEST + 1)])
+    by_gram = cut_lineage(by_word.mapInArrow(grams, _ITEMS_SQL).groupBy("lang", "item").agg(total), "grams")
+    sizes = by_word.groupBy("lang").agg(total).collect()  # one row per language
+    languages = sorted(r.lang for r in sizes)
+    return Model(languages, _table(by_word, languages), [_table(by_gram.filter(F.length("item") == k), languages) for k in range(1, LONGEST + 1)])
 
 
 _ITEMS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])
 _ITEMS_SQL = "lang string, item string, n long"
 
 
-def _logs(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for r in rows:
-        counts[r.item][at[r.lang]] += r.n
-    whole = sum(counts.values()) if counts else np.zeros(len(languages))
-    base = np.log(whole + SMOOTH * (len(counts) + 1))
-    return {item: np.log(c + SMOOTH) - base for item, c in counts.items()}
-
-
-class _Scores(dict):
-    """word -> row of log frequencies, filled on demand and bounded."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.table = np.zeros((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.score(word)
-        self[word] = at
-        return at
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequency of a known word; else the mean over its longest known n-grams; else no evidence."""
-        row = self.model.words.get(word)
-        if row is not None:
-            return row
-        for n in range(LONGEST, 0, -1):
-            table = self.model.grams[n - 1]
-            known = [table[g] for g in _grams(word, n) if g in table]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.model.languages))
-
-
-_memo: dict[int, _Scores] = {}
-KEPT.append(_memo)
-
-
-def _scores_of(model: Model) -> _Scores:
-    """The scores of this worker for a model; they last from task to task."""
-    if id(model) not in _memo:
-        _memo.clear()
-        _memo[id(model)] = _Scores(model)
-    return _memo[id(model)]
+def _table(counts: DataFrame, languages: list[str]) -> Table:
+    """Table of the items (lang, item, n) that come twice in all."""
+    per = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    rows = counts.groupBy("item").agg(F.sum("n").alias("_all"), *per).filter("_all > 1").drop("_all").toArrow()
+    found = np.stack([rows[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1).astype(float) if languages else np.zeros((0, 0))
+    hashes = _hashes(rows["item"].to_pylist())
+    order = np.argsort(hashes)
+    logs = np.log(found + SMOOTH) - np.log(found.sum(axis=0) + SMOOTH * (len(found) + 1))
+    return Table(hashes[order], logs[order])
+
+
+def _scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(has a letter, log likelihood by language) of each text."""
+    codes, bounds = _points(texts)
+    kind = _kinds()[codes]
+    inside = np.append(kind > 0, False)
+    edge = np.flatnonzero(inside != np.append(False, inside[:-1]))
+    start, end = edge[::2], edge[1::2]
+    letters = np.append(0, np.cumsum(kind == 2))
+    lettered = letters[bounds[1:]] > letters[bounds[:-1]]
+    values, first, which = np.unique(Prefix(codes.astype(np.uint64)).of(start, end), return_index=True, return_inverse=True)
+    known, at = model.words.rows(values)
+    logs = np.zeros((len(values), len(model.languages)))
+    logs[known] = model.words.logs[at[known]]
+    unseen = np.flatnonzero(~known)
+    logs[unseen] = _backoff(model, [codes[start[i] : end[i]] for i in first[unseen]])
+    total = np.zeros((len(texts), len(model.languages)))
+    begin = np.searchsorted(start, bounds)
+    some = np.flatnonzero(begin[1:] > begin[:-1])  # texts with words
+    if len(some):
+        total[some] = np.add.reduceat(logs[which], begin[some], axis=0)
+    return lettered, total
+
+
+def _backoff(model: Model, words: list[np.ndarray]) -> np.ndarray:
+    """Mean log frequencies of the longest known n-grams of each word; zeros where none is known."""
+    out = np.zeros((len(words), len(model.languages)))
+    if not words:
+        return out
+    left, right = np.array([ord("<")], "<u4"), np.array([ord(">")], "<u4")
+    size = np.array([len(w) for w in words])
+    prefix = Prefix(np.concatenate([x for w in words for x in (left, w, right)]).astype(np.uint64))
+    head = np.append(0, np.cumsum(size + 2))[:-1]
+    open_ = np.ones(len(words), bool)
+    for n in range(LONGEST, 0, -1):
+        marks = n > 1
+        number = np.where(open_, np.maximum(size + 2 * marks - n + 1, 0), 0)
+        owner, at = spread(number)
+        start = head[owner] + at + (not marks)
+        known, row = model.grams[n - 1].rows(prefix.of(start, start + n))
+        owner, row = owner[known], row[known]
+        times = np.bincount(owner, minlength=len(words))
+        np.add.at(out, owner, model.grams[n - 1].logs[row])
+        done = times > 0
+        out[done] /= times[done, None]
+        open_ &= ~done
+    return out
 
 
 def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
@@ -143,28 +192,30 @@ def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
     Known words count by their log frequency in each language, unseen words by
     their character n-grams from the longest length that is known.  A null text and
     one without a letter is ``und`` with score 0, as is every text if nothing was
-    learned.  Only the text is looked at; repeated rows and other columns pass
-    through (a column named ``column`` is replaced); an empty table gives no rows.
+    learned.  Equal likelihoods go to the first language by name, so a text without
+    usable evidence has that one and an even share.  Only the text is looked at;
+    repeated rows and other columns pass through (a column named ``column`` is
+    replaced); an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
+        release()
         model = sent.value
-        scores = _scores_of(model)
-        out = []
-        for text in texts:
-            text = text.as_py()
-            found = _WORD.findall(text.lower()) if text else []
-            if not model.languages or not any(c.isalpha() for w in found for c in w):
-                out.append({"lang": UNKNOWN, "score": 0.0})
+        langs, shares = [], []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+            lower = [(t or "").lower() for t in part["text"].to_pylist()]
+            if not model.languages:
+                langs += [UNKNOWN] * len(lower)
+                shares += [0.0] * len(lower)
                 continue
-            if len(scores) > MEMO:
-                scores.clear()
-            at = list(map(scores.__getitem__, found))
-            total = scores.table[at].sum(axis=0)
-            best = int(total.argmax())
-            out.append({"lang": model.languages[best], "score": float(1 / np.exp(total - total[best]).sum())})
-        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
+            lettered, total = _scores(model, lower)
+            best = total.argmax(axis=1)
+            share = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(axis=1)
+            langs += [model.languages[b] if known else UNKNOWN for b, known in zip(best.tolist(), lettered)]
+            shares += np.where(lettered, share, 0.0).tolist()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(shares, pa.float64())], fields=list(kind))
 
     return docs.withColumn(column, of("text"))
