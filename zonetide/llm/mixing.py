@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from zonetide.llm.columns import fresh
 from zonetide.llm.ordered import running_total
 from zonetide.session import cut_lineage
 
@@ -93,10 +94,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = "") -> DataFrame:
     """The rows of ``docs`` that the mix takes, whole, once per round in which at least half of them is served.
 
-    The columns are those of ``docs``.  A row with null doc_id is not taken.
+    The columns are those of ``docs``, whatever their names.  A row with null doc_id is not taken.
     """
     rows, stream = mixed_stream(docs, weights, share, repeats, seed)
     rounds = stream.join(rows.select("_row", "size"), "_row").filter(F.col("words") * 2 >= F.col("size")).groupBy("_row", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    times = rounds.groupBy("doc_id").agg(F.max("n").alias("_n")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(times, F.col("doc_id") == F.col("_id"))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    own, n = fresh(docs, "_id", "_n")
+    times = rounds.groupBy(F.col("doc_id").alias(own)).agg(F.max("n").cast("int").alias(n))
+    joined = docs.join(times, F.col("doc_id") == F.col(own))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -83,7 +83,7 @@ def compacted(found: DataFrame, length: int, across: bool) -> DataFrame:
 def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, text, runs) of the documents that have runs to look at."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "count", "key")).alias("runs"))
-    return docs.select("doc_id", "text").join(lists, "doc_id")
+    return docs.select("doc_id", "text").filter("doc_id is not null").join(lists, "doc_id")
 
 
 def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

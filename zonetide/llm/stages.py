@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.llm.bpe import encode_decode, read_file
+from zonetide.llm.columns import fresh
 from zonetide.llm.jaccard import jaccard_components
 from zonetide.llm.language import UNKNOWN, labelled_sample, predict, train
 from zonetide.llm.mixing import mixed_documents
@@ -23,10 +24,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter or without a clear language go."""
+    """Documents whose language is told; null texts and those without a letter or without a clear language go.
+
+    Repeated rows go or stay together; other columns pass through, whatever their names.
+    """
     model = train(labelled_sample(docs.filter(~held_out())))
-    found = predict(docs, model, "_told")
-    return found.filter((F.col("_told.lang") != UNKNOWN) & (F.col("_told.score") >= LEAST_SCORE)).select(*docs.columns)
+    (told,) = fresh(docs, "_told")
+    found = predict(docs, model, told)
+    return found.filter((F.col(told)["lang"] != UNKNOWN) & (F.col(told)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +48,20 @@ def without_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     def whole(kept: pa.Array) -> pa.Array:
         return pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    cut = without_repeats(docs).filter((F.col("_cut.n_removed") == 0) | (F.col("_cut.n_removed") < F.col("_cut.n_bytes")))
-    text = F.when(F.col("_cut.n_removed") == 0, F.col("text")).otherwise(whole(F.col("_cut.kept")))
+    (column,) = fresh(docs, "_cut")
+    parts = F.col(column)
+    cut = without_repeats(docs, column=column).filter((parts["n_removed"] == 0) | (parts["n_removed"] < parts["n_bytes"]))
+    text = F.when(parts["n_removed"] == 0, F.col("text")).otherwise(whole(parts["kept"]))
     return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, one row for each time it takes at least half of them."""
+    """Documents that the mix takes, one row for each time it takes at least half of them; null and empty texts and null ids go."""
     return mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row; a null text has no ids, other columns go."""
     coded = encode_decode(docs, read_file(public_tokenizers.path("word_bpe_49k.json")), BATCH_BYTES)
     return coded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),

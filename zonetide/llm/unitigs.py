@@ -1,10 +1,11 @@
-"""Substring dedup on words by De Bruijn compaction.
-
-The edges of the graph are the windows of ``length`` words.  Windows that follow one
-another and share their least k-gram form a path; equal paths compact into one by
-a grouped join on their content, which settles the non-branching parts.  Paths of
-one key that differ somewhere are taken apart into single edges, and the source
-coordinates of each edge tell whether a document of smaller id has it too.
+"""Substring dedup on words by compacted paths of windows.
+
+The windows of ``length`` words are the edges of a De Bruijn graph.  A graph with a row
+for every edge does not fit: at 24 bytes an edge it is several times the input for a
+single shuffle.  So windows that follow one another and share their least k-gram are
+taken as one path from the start; equal paths compact by a grouped join on their
+content, and paths of one key that differ somewhere are taken apart into single
+windows, whose first place tells whether a document of smaller id has them too.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonetide.llm.columns import fresh
 from zonetide.llm.spans import by_document, compacted, covered, repeated_windows, runs, word_symbols
 from zonetide.session import cut_lineage
 
@@ -27,14 +29,15 @@ def repeated_word_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     return by_document(paths.filter("gone").select("doc_id", "lo", "count").unionByName(edges))
 
 
-def without_repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with a struct column ``_cut``: n_words, n_removed and the kept words, joined by one space.
+def without_repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: str = "_cut") -> DataFrame:
+    """``docs`` with a struct ``column``: n_words, n_removed and the kept words, joined by one space.
 
     Words are runs of non-white bytes, unchanged.  A word goes if it is covered by
     a window of ``length`` words that also starts in a document of smaller doc_id;
     windows are judged on the texts as given.  A null text has no words; a null
     doc_id keeps its words; rows that share a doc_id are one document; an empty
-    table gives no rows; other columns pass through (a column ``_cut`` is replaced).
+    table gives no rows; other columns pass through, whatever their names (one named
+    ``column`` is replaced).
     """
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
@@ -51,6 +54,9 @@ def without_repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GR
             pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         )
 
-    spans = repeated_word_spans(docs, length, gram).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.drop("_cut").join(spans, F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("_cut", cut("text", "_spans")).drop("_id", "_spans")
+    docs = docs.drop(column)
+    own, gone = fresh(docs, "_id", "_spans")
+    spans = repeated_word_spans(docs, length, gram).select(F.col("doc_id").alias(own), F.col("spans").alias(gone))
+    joined = docs.filter("doc_id is not null").join(spans, F.col("doc_id") == F.col(own), "left").withColumn(column, cut("text", gone)).drop(own, gone)
+    none = F.lit(None).cast(dict(spans.dtypes)[gone])
+    return joined.unionByName(docs.filter("doc_id is null").withColumn(column, cut("text", none)))
