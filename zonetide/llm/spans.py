@@ -96,6 +96,29 @@ def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     )
 
 
+def finer(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
+    """The wanted runs cut again by a longer k-gram, as :func:`runs` gives them; equal windows keep a key in common."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in slices(batch):
+                codes, bounds = symbols(part["text"])
+                row, lo, count, key = _flat(part)
+                size = count + (length - 1)
+                owner, at = spread(size)
+                r = pieces(codes[bounds[:-1][row[owner]] + lo[owner] + at], np.append(0, np.cumsum(size)), length, k)
+                of = r["row"]
+                doc = part["doc_id"].to_numpy(zero_copy_only=False)[row[of]]
+                inner = mixed(r["key"] ^ key[of].view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [signed(doc), signed(lo[of] + r["lo"]), signed(r["count"]), signed(inner), signed(r["content"]), pa.array(np.zeros(len(of), bool))],
+                    ["doc_id", "lo", "count", "key", "content", "sure"],
+                )
+
+    return with_texts(docs, wanted).mapInArrow(scan, _RUN)
+
+
 def repeated_windows(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: int, across: bool) -> DataFrame:
     """(doc_id, lo, count): single windows of the wanted runs that start earlier too.
 
