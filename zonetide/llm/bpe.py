@@ -75,6 +75,7 @@ def _read_at_positions(docs: DataFrame, file: str, decoded: bool, batch_bytes: i
                         yield _out(out, decoded)
                         out, size = ([], [], []), 0
                 yield _out(out, decoded)
+        release()
 
     def _out(out, decoded: bool) -> pa.RecordBatch:
         arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())]

@@ -59,6 +59,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in slices(batch):
                 _, _, n, node = shingle_sets(part["text"], width)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], signed(n), signed(node)], ["doc_id", "n_shingles", "node"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long")
 
@@ -112,6 +113,7 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
                     ids, size = np.unique(doc[lo:hi], return_counts=True)
                     rows.append((int(fragment[lo]), number, ids.astype("<u4").tobytes(), size.astype("<u4").tobytes(), node[ids].tobytes(), _pack(hashes[lo:hi]), None))
                 yield _rows(rows)
+        release()  # an executor keeps idle workers
 
     def share(table: pa.Table) -> pa.Table:
         """Keep the shingles of a fragment that lie in two sets or more, with the number of sets."""

@@ -25,6 +25,7 @@ from zonetide.session import cut_lineage
 ROWS_PER_LANGUAGE = 2500
 LONGEST = 4
 SMOOTH = 0.5
+SLICE = 1 << 18  # bytes of text looked up at once
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,6 +106,7 @@ def train(sample: DataFrame) -> Model:
                 counts[lang].update(_WORD.findall(text.lower()))
             flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             yield pa.RecordBatch.from_pylist([{"lang": a, "item": b, "n": c} for a, b, c in flat], schema=_ITEMS)
+        release()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +116,7 @@ def train(sample: DataFrame) -> Model:
                     for g in _grams(w, k):
                         counts[lang, g] += n
             yield pa.RecordBatch.from_pylist([{"lang": a, "item": g, "n": n} for (a, g), n in counts.items()], schema=_ITEMS)
+        release()
 
     total = F.sum("n").alias("n")
     by_word = cut_lineage(sample.mapInArrow(words, _ITEMS_SQL).groupBy("lang", "item").agg(total), "words")
@@ -202,10 +205,9 @@ def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
-        release()
         model = sent.value
         langs, shares = [], []
-        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), size=SLICE):
             lower = [(t or "").lower() for t in part["text"].to_pylist()]
             if not model.languages:
                 langs += [UNKNOWN] * len(lower)
@@ -216,6 +218,7 @@ def predict(docs: DataFrame, model: Model, column: str = "_lang") -> DataFrame:
             share = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(axis=1)
             langs += [model.languages[b] if known else UNKNOWN for b, known in zip(best.tolist(), lettered)]
             shares += np.where(lettered, share, 0.0).tolist()
+        release()  # an executor keeps idle workers
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(shares, pa.float64())], fields=list(kind))
 
     return docs.withColumn(column, of("text"))

@@ -57,6 +57,7 @@ def runs(docs: DataFrame, symbols: Symbols, length: int, k: int, across: bool) -
                     [signed(doc), signed(lo), signed(r["count"][order]), signed(key), signed(content), pa.array(sure)],
                     ["doc_id", "lo", "count", "key", "content", "sure"],
                 )
+        release()  # an executor keeps idle workers
 
     return docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(scan, _RUN)
 

@@ -69,6 +69,7 @@ def packed(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], fre
                     pa.array([planes(np.concatenate(found))], pa.binary()), pa.array([planes(np.concatenate(times)) if times else b""], pa.binary()),
                     pa.array([len(number)], pa.int64()), pa.array([[w.encode() for w in number]], pa.list_(pa.binary())),
                 ], _PACKED_NAMES)
+        release()  # an executor keeps idle workers
 
     rows = docs.select("doc_id", "text").mapInArrow(scan, _PACKED)
     path = scratch_path(spark, "words")
