@@ -1,6 +1,7 @@
 """Similarity joins of names, and names in texts, against all pairs."""
 
 import difflib
+import time
 
 import numpy as np
 import pytest
@@ -105,3 +106,14 @@ def test_names_in_texts(spark, texts, listed):
     some = spark.createDataFrame([(n,) for n in listed], "name string")
     got = sorted((r.id, r.found) for r in names.names_in_text(df, "t", some, "name").collect())
     assert got == sorted((i, n) for i, t in enumerate(texts) if t is not None for n in {n.upper() for n in listed if n is not None} if n in t.upper())
+
+
+def test_long_texts_are_walked_once(spark):
+    """Time grows with the length of a text, not with its square; characters beyond two bytes count as one."""
+    body = "".join(f"{i:x} " for i in range(120_000))
+    df = spark.createDataFrame([(1, body + "Å😀Z"), (2, "😀Å" + body + "lang=q"), (3, body)], "id int, t string")
+    some = spark.createDataFrame([("å😀z",), ("LANG=Q",), ("😀Å",), ("q",)], "name string")
+    start = time.perf_counter()
+    got = sorted((r.id, r.found) for r in names.names_in_text(df, "t", some, "name").collect())
+    assert got == [(1, "Å😀Z"), (2, "LANG=Q"), (2, "Q"), (2, "😀Å")]
+    assert time.perf_counter() - start < 40

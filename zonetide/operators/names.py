@@ -156,11 +156,10 @@ def match_names(raw: DataFrame, column: str, official: DataFrame, name: str, rul
 
 
 def _grams(text: str, width: int) -> Column:
+    """Distinct runs of ``width`` characters, found in one walk over the text: a substring would walk from its start each time."""
     if not width:
         return F.array(F.lit(""))
-    last = F.length(text) - (width - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(width)))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
 
 
 def names_in_text(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -177,8 +176,9 @@ def names_in_text(df: DataFrame, text: str, names: DataFrame, name: str) -> Data
     short = listed.filter((F.length("found") < GRAM) & (F.length("found") > 0)).select("found", width.alias("_w"), F.col("found").alias("_g"))
     runs = runs.unionByName(short)
     counts = runs.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    index = runs.join(counts, "_g").groupBy("found", "_w").agg(F.min(F.struct("_f", "_g")).alias("_x")).select("found", "_w", F.col("_x._g").alias("_g"))
-    widths = sorted(r["_w"] for r in listed.select(width.alias("_w")).distinct().collect())  # at most GRAM + 1 values
+    # written, so that its size is known before the runs of the texts are sent anywhere
+    index = cut_lineage(runs.join(counts, "_g").groupBy("found", "_w").agg(F.min(F.struct("_f", "_g")).alias("_x")).select("found", "_w", F.col("_x._g").alias("_g")), "runs")
+    widths = sorted(r["_w"] for r in index.select("_w").distinct().collect())  # at most GRAM + 1 values
     if not widths:
         return df.withColumn("found", F.lit(None).cast("string")).limit(0)
     keyed = df.withColumn("_text", F.upper(text)).withColumn("_key", F.sha2("_text", 256))
