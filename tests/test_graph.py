@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonetide.operators import forecast, graph
+from zonetide.plans.audit import plan_text
 
 
 def _vectors(rng, n, groups, spread, size=6):
@@ -58,3 +60,26 @@ def test_exponential_mean_over_blocks(spark, alpha):
             assert got[z, t] == (None if mean is None else pytest.approx(mean, rel=1e-12))
             if y is not None:
                 mean = y if mean is None else mean * (1 - alpha) + y * alpha
+
+
+def _crowd(spark):
+    """Half of all points in one spot's cell, two with one id, some without coordinates or neighbours."""
+    rng = np.random.default_rng(3)
+    rows = [(i, *(rng.normal(0, 0.004 if i % 2 else 0.2, 2) + [-5, -40]).tolist()) for i in range(900)]
+    rows += [(7, -5.0, -40.0), (2000, None, 1.0), (2001, 60.0, 179.999), (2002, 60.0, -179.999), (2003, -80.0, 0.0), (None, -5.0, -40.0)]
+    return rows, spark.createDataFrame(rows, "id int, lat double, lon double").coalesce(1)
+
+
+def test_crowded_cells_are_the_work_of_many(spark):
+    rows, df = _crowd(spark)
+    edges = graph.distance_edges(df, "id", "lat", "lon", 3.0)
+    r = np.radians(np.array([x[1:] for x in rows if x[1] is not None and x[0] is not None]))
+    ids = [x[0] for x in rows if x[1] is not None and x[0] is not None]
+    lat, lon = r[:, :1], r[:, 1:]
+    h = np.sin((lat - lat.T) / 2) ** 2 + np.cos(lat) * np.cos(lat.T) * np.sin((lon - lon.T) / 2) ** 2
+    near = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(h, 1))) < 3.0
+    want = sorted((ids[i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True) if ids[i] != ids[j])
+    assert sorted((e.src, e.dst) for e in edges.select("src", "dst").collect()) == want and (2001, 2002) in want
+    # the pairs are made by all tasks, though the table of points is one file
+    shares = edges.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(shares) > 4 and max(s["count"] for s in shares) < len(want) / 2

@@ -12,24 +12,35 @@ from pyspark.sql.window import Window
 from zonetide.functions import geo
 from zonetide.functions.numbers import ratio
 from zonetide.operators.joins import pairs_within_score
-from zonetide.operators.spatial import at_all_levels, level_of, sphere_cells
-from zonetide.session import cut_lineage
+from zonetide.operators.spatial import at_all_levels, cells_around, level_of, sphere_cells
+from zonetide.session import cut_lineage, spread_by
+
+
+BLOCK = 256  # points of one cell that stand together
 
 
 def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
     """Directed edges between points less than ``km`` apart.
 
     Points meet in cells of the unit sphere as wide as the threshold; points without
-    coordinates have no edge.
+    coordinates have no edge.  A cell is cut into blocks of about ``BLOCK`` points, and
+    pairs of blocks are dealt over all tasks, so a crowded cell is the work of many.
     """
+    reach = geo.chord(F.lit(float(km)))
     known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_u", geo.unit_vector(F.col(lat), F.col(lon)))
-    level = level_of(geo.chord(F.lit(float(km))))
-    near = known.select(F.col(key).alias("src"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), F.explode(sphere_cells(F.col("_u"), level, 1)).alias("_cell"))
-    home = known.select(F.col(key).alias("dst"), F.col(lat).alias("_lb"), F.col(lon).alias("_lp"), F.element_at(sphere_cells(F.col("_u"), level), 1).alias("_cell"))
-    gap = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lb"), F.col("_lp"))
+    placed = known.withColumn("_cell", F.element_at(sphere_cells(F.col("_u"), level_of(reach)), 1))
+    crowds = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_m"))
+    point = F.struct(F.col(key).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), "_u.x", "_u.y", "_u.z")
+    dealt = placed.join(crowds, "_cell").withColumn("_s", F.floor(F.rand(7) * F.col("_m")))
+    blocks = cut_lineage(dealt.groupBy("_cell", "_s").agg(F.collect_list(point).alias("_b")), "blocks")
+    near = blocks.select(F.col("_cell").alias("_home"), F.col("_s").alias("_t"), F.col("_b").alias("_a"), F.explode(cells_around(F.col("_cell"))).alias("_cell"))
+    pairs = spread_by(near.join(blocks, "_cell"), "_home", "_t", "_cell", "_s")
+    met = pairs.select(F.explode("_a").alias("a"), "_b").select("a", F.explode("_b").alias("b"))
+    straight = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz")
+    gap = geo.haversine_km(F.col("a.la"), F.col("a.lo"), F.col("b.la"), F.col("b.lo"))
     return (
-        near.join(home, "_cell").filter(F.col("src") != F.col("dst"))
-        .withColumn("km", gap).filter(F.col("km") < km).select("src", "dst", "km")
+        met.filter((F.col("a.id") != F.col("b.id")) & (straight <= reach * reach))
+        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), gap.alias("km")).filter(F.col("km") < km)
     )
 
 
@@ -196,12 +207,16 @@ def cosine_edges(zone_vectors: DataFrame, zone: str, vector: str, least: float =
 
 
 def attach_isolated(edges: DataFrame, nodes: DataFrame, key: str, roots: Sequence) -> DataFrame:
-    """Link nodes without any edge to the given root nodes, both ways."""
-    seen = edges.select(F.col("src").alias(key)).unionByName(edges.select(F.col("dst").alias(key))).distinct()
+    """Link nodes without any edge to the given root nodes, both ways; distinct links.
+
+    The ends of all edges come from one pass, each edge giving an array of two, and are
+    written.  A new link has an end without any edge, so it is not among the edges.
+    """
+    seen = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct(), "seen")
     alone = nodes.select(key).distinct().join(seen, key, "left_anti")
     repair = alone.select(F.col(key).alias("src"), F.explode(F.array(*[F.lit(r) for r in roots])).alias("dst")).filter(F.col("src") != F.col("dst"))
     both = repair.unionByName(repair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.select("src", "dst").unionByName(both).distinct()
+    return edges.select("src", "dst").distinct().unionByName(both.distinct())
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -36,6 +36,13 @@ def sphere_cells(unit: Column, level: Column, reach: int = 0) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.flatten(F.transform(ys, lambda y: F.transform(zs, lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
 
 
+def cells_around(cell: Column) -> Column:
+    """A cell and the 26 that touch it."""
+    axis = lambda v: F.sequence(v - 1, v + 1)
+    xs, ys, zs = axis(cell["x"]), axis(cell["y"]), axis(cell["z"])
+    return F.flatten(F.transform(xs, lambda x: F.flatten(F.transform(ys, lambda y: F.transform(zs, lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+
+
 def level_of(reach: Column) -> Column:
     """The finest level whose cells are ``reach`` wide or wider; 0 if that is unknown."""
     fit = F.floor(F.log2(F.lit(2.0) / reach))
