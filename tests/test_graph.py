@@ -83,3 +83,18 @@ def test_crowded_cells_are_the_work_of_many(spark):
     # the pairs are made by all tasks, though the table of points is one file
     shares = edges.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(shares) > 4 and max(s["count"] for s in shares) < len(want) / 2
+
+
+def test_edges_are_neither_shuffled_for_degrees_nor_made_thrice(spark):
+    _, df = _crowd(spark)
+    edges = graph.inverse_weights(graph.distance_edges(df, "id", "lat", "lon", 3.0)).select("src", "dst", "weight")
+    made = plan_text(edges).count("ASIN(")
+    assert made
+    assert plan_text(graph.normalise(edges)).count("ASIN(") <= made
+    links = graph.attach_isolated(edges, df, "id", [0, 1])
+    assert plan_text(links).count("ASIN(") <= made
+    got = [(e.src, e.dst) for e in links.collect()]
+    linked = {(e.src, e.dst) for e in edges.collect()}
+    alone = {r.id for r in df.collect() if r.id is not None} - {a for e in linked for a in e}
+    repair = {(a, b) for a in alone for b in (0, 1) if a != b}
+    assert len(got) == len(set(got)) and set(got) == linked | repair | {(b, a) for a, b in repair} and 2003 in alone

@@ -235,8 +235,12 @@ def graph_stats(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 
 def normalise(edges: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """weight / sqrt((d_src + eps) (d_dst + eps)) with row sums as degrees."""
-    d = edges.groupBy(F.col("src").alias("_k")).agg(F.sum("weight").alias("_d"))
+    """weight / sqrt((d_src + eps) (d_dst + eps)) with row sums as degrees.
+
+    The degrees are written, so that their known size decides whether the edges have to
+    be shuffled for them; the edges, far more, are not.
+    """
+    d = cut_lineage(edges.groupBy(F.col("src").alias("_k")).agg(F.sum("weight").alias("_d")), "degrees")
     src = d.select(F.col("_k").alias("src"), F.col("_d").alias("_ds"))
     dst = d.select(F.col("_k").alias("dst"), F.col("_d").alias("_dd"))
     scale = F.sqrt(F.col("_ds") + eps) * F.sqrt(F.coalesce(F.col("_dd"), F.lit(0.0)) + eps)
