@@ -117,3 +117,17 @@ def test_long_texts_are_walked_once(spark):
     got = sorted((r.id, r.found) for r in names.names_in_text(df, "t", some, "name").collect())
     assert got == [(1, "Å😀Z"), (2, "LANG=Q"), (2, "Q"), (2, "😀Å")]
     assert time.perf_counter() - start < 40
+
+
+@pytest.mark.parametrize("listed", [40, 600, 0])
+def test_names_without_a_match_keep_their_best_score(spark, listed):
+    rng = np.random.default_rng(listed)
+    word = lambda: "".join(rng.choice(list("abcdef "), rng.integers(1, 9)))
+    raw, official = [word() for _ in range(300 if listed == 40 else 30)] + ["zzz", "", "q  "], [word() for _ in range(listed)]
+    a, b = _tables(spark, raw, official)
+    got = {r.name: (r.matched, r.score) for r in matching.match_by_distance(a, "name", b, "o", 0.8, scored=True).collect()}
+    for r, (matched, score) in _brute(raw, official, 0.8, _distance).items():
+        best = max((_distance(r.strip().upper(), o.strip().upper()) for o in official), default=None)
+        assert got.pop(r) == (matched, None if best is None else pytest.approx(best)), r
+        assert matched is None or score == best
+    assert not got

@@ -16,9 +16,9 @@ def match_by_ratio(raw: DataFrame, column: str, official: DataFrame, name: str,
     return match_names(raw, column, official, name, Ratio(least), inclusive)
 
 
-def match_by_distance(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5) -> DataFrame:
-    """As above with edit distance: 1 - levenshtein / longer length, native."""
-    return match_names(raw, column, official, name, Distance(least))
+def match_by_distance(raw: DataFrame, column: str, official: DataFrame, name: str, least: float = 0.5, scored: bool = False) -> DataFrame:
+    """As above with edit distance: 1 - levenshtein / longer length, native; with ``scored`` the best score also where nothing matches."""
+    return match_names(raw, column, official, name, Distance(least), scored=scored)
 
 
 def apply_matches(df: DataFrame, column: str, matches: DataFrame, keep_original: bool = True, unknown: str = "NAO INFORMADO") -> DataFrame:

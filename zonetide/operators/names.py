@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.session import cut_lineage
+from zonetide.session import cut_lineage, spread_by
 
 GRAM = 3  # characters that names and texts must share
 TINY = 1e-9
@@ -133,13 +133,31 @@ def candidate_pairs(raw: DataFrame, official: DataFrame, rule: Ratio | Distance)
     return pairs.distinct()
 
 
-def match_names(raw: DataFrame, column: str, official: DataFrame, name: str, rule: Ratio | Distance, inclusive: bool = True) -> DataFrame:
+BLOCK = 256  # names that meet as many others at once
+
+
+def best_scores(mine: DataFrame, theirs: DataFrame, rule: Ratio | Distance) -> DataFrame:
+    """(a, far): the best score of each name of ``mine`` (a) against all of ``theirs`` (b).
+
+    Any pair may be the best, so all are scored: blocks of both lists meet, dealt over all tasks.
+    """
+    rows, columns = (names.count() // BLOCK + 1 for names in (mine, theirs))
+    right = theirs.groupBy(F.pmod(F.xxhash64("b"), F.lit(columns)).alias("_j")).agg(F.collect_list("b").alias("_bs"))
+    left = mine.groupBy(F.pmod(F.xxhash64("a"), F.lit(rows)).alias("_i")).agg(F.collect_list("a").alias("_as")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    pairs = spread_by(left.join(right, "_j"), "_i", "_j")
+    met = pairs.select(F.explode("_as").alias("a"), "_bs").select("a", F.explode("_bs").alias("b"))
+    return met.select("a", rule.score("a", "b").alias("s")).groupBy("a").agg(F.max("s").alias("far"))
+
+
+def match_names(raw: DataFrame, column: str, official: DataFrame, name: str, rule: Ratio | Distance, inclusive: bool = True, scored: bool = False) -> DataFrame:
     """(column, matched, score) of each distinct raw name that is not null.
 
     Both sides are compared in upper case without surrounding blanks; ``matched`` is
     the official name as listed, of equal scores the smaller.  Equal names score 1.
     Where nothing reaches ``rule.least`` (or is above it), both are null.  Only distinct
     names and pairs that share rare elements are scored; lists of any length are joined.
+    With ``scored`` a name without a match has its best score all the same, for which it
+    meets every listed name.
     """
     if not 0 < rule.least <= 1:
         raise ValueError("the least similarity is above 0 and at most 1")
@@ -149,10 +167,16 @@ def match_names(raw: DataFrame, column: str, official: DataFrame, name: str, rul
     mine, theirs = names.select("a").distinct(), listed.select("b")
     same = mine.join(theirs, F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("s"))
     others = candidate_pairs(mine.join(theirs, F.col("a") == F.col("b"), "left_anti"), theirs, rule)
-    scored = others.select("a", "b", rule.score("a", "b").alias("s"))
+    pairs = others.select("a", "b", rule.score("a", "b").alias("s"))
     enough = F.col("s") >= rule.least if inclusive else F.col("s") > rule.least
-    best = same.unionByName(scored).filter(enough).join(listed, "b").groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("_name").alias("n"))).alias("_w"))
-    return names.join(best, "a", "left").select(F.col("_raw").alias(column), F.col("_w.n").alias("matched"), (-F.col("_w.s")).alias("score"))
+    best = same.unionByName(pairs).filter(enough).join(listed, "b").groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("_name").alias("n"))).alias("_w"))
+    score = -F.col("_w.s")
+    if not scored:
+        return names.join(best, "a", "left").select(F.col("_raw").alias(column), F.col("_w.n").alias("matched"), score.alias("score"))
+    best = cut_lineage(best, "best")
+    rest = cut_lineage(mine.join(best, "a", "left_anti"), "rest")
+    out = names.join(best, "a", "left").join(best_scores(rest, theirs, rule), "a", "left")
+    return out.select(F.col("_raw").alias(column), F.col("_w.n").alias("matched"), F.coalesce(score, "far").alias("score"))
 
 
 def _grams(text: str, width: int) -> Column:

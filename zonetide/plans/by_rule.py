@@ -16,7 +16,7 @@ _RAW = "raw AS (SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN ' ' ||
 _BEST = "WITH RECURSIVE " + _RAW + best_names(0.7)
 _BY_DISTANCE = "WITH " + _RAW + (
     "nm AS (SELECT DISTINCT name, upper(trim(name)) AS a FROM raw), sc AS (SELECT name, o, 1 - levenshtein(a, o) / greatest(length(a), length(o)) AS s FROM nm CROSS JOIN off), "
-    "m AS (SELECT nm.name, b.o AS matched, b.s AS score FROM nm LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc WHERE s >= 0.7) b ON b.name = nm.name AND rn = 1) "
+    "m AS (SELECT nm.name, CASE WHEN b.s >= 0.7 THEN b.o END AS matched, b.s AS score FROM nm LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, o) AS rn FROM sc) b ON b.name = nm.name AND rn = 1) "
 )
 
 
@@ -38,7 +38,7 @@ def _matches(v, raw):
 
 @query("e1_match_by_distance", _BY_DISTANCE + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
 def _(v):
-    return matching.match_by_distance(_raw(v), "name", _official(v), "o", 0.7)
+    return matching.match_by_distance(_raw(v), "name", _official(v), "o", 0.7, scored=True)
 
 
 @query("e1_match_by_ratio", "WITH RECURSIVE " + _RAW + best_names(0.5) + "SELECT name, matched, round(score, 6) + 0.0 AS score FROM m")
