@@ -98,3 +98,23 @@ def test_edges_are_neither_shuffled_for_degrees_nor_made_thrice(spark):
     alone = {r.id for r in df.collect() if r.id is not None} - {a for e in linked for a in e}
     repair = {(a, b) for a in alone for b in (0, 1) if a != b}
     assert len(got) == len(set(got)) and set(got) == linked | repair | {(b, a) for a, b in repair} and 2003 in alone
+
+
+def test_a_hop_meets_a_zone_once_for_all_its_days(spark):
+    """Repeated rows count twice, nulls not at all, zones without a day or an edge are left out."""
+    rows = [(z, d, float((z or 0) * 10 + (d or 0)), None if d == 2 else 1.0) for z in (1, 2, 3, None) for d in (0, 1, 2, None)] + [(2, 1, 5.0, 1.0), (9, 0, 1.0, 1.0)]
+    panel = spark.createDataFrame(rows, "zone int, day int, n double, k double")
+    links = [(1, 2, 0.5), (1, 3, 0.25), (1, 4, 1.0), (2, 3, 2.0), (3, None, 1.0), (None, 2, 1.0), (4, 1, None)]
+    edges = spark.createDataFrame(links, "src int, dst int, weight double")
+    done = graph.hop(panel, edges, "zone", "day", ["n", "k"])
+    want = {}
+    for s, d, w in links:
+        for z, day, *values in rows:
+            if z is not None and z == d:
+                sums = want.setdefault((s, day), [None, None])
+                for i, v in enumerate(values):
+                    if v is not None and w is not None:
+                        sums[i] = (sums[i] or 0.0) + w * v
+    got = {(r.zone, r.day): [r.n, r.k] for r in done.collect()}
+    assert got == {key: [None if v is None else pytest.approx(v) for v in sums] for key, sums in want.items()}
+    assert "packed" in plan_text(done)

@@ -24,7 +24,8 @@ def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -
 
     Points meet in cells of the unit sphere as wide as the threshold; points without
     coordinates have no edge.  A cell is cut into blocks of about ``BLOCK`` points, and
-    pairs of blocks are dealt over all tasks, so a crowded cell is the work of many.
+    blocks are dealt over all tasks, so a crowded cell is the work of many and all edges of
+    a point are made in one task.
     """
     reach = geo.chord(F.lit(float(km)))
     known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_u", geo.unit_vector(F.col(lat), F.col(lon)))
@@ -34,7 +35,7 @@ def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -
     dealt = placed.join(crowds, "_cell").withColumn("_s", F.floor(F.rand(7) * F.col("_m")))
     blocks = cut_lineage(dealt.groupBy("_cell", "_s").agg(F.collect_list(point).alias("_b")), "blocks")
     near = blocks.select(F.col("_cell").alias("_home"), F.col("_s").alias("_t"), F.col("_b").alias("_a"), F.explode(cells_around(F.col("_cell"))).alias("_cell"))
-    pairs = spread_by(near.join(blocks, "_cell"), "_home", "_t", "_cell", "_s")
+    pairs = spread_by(near.join(blocks, "_cell"), "_home", "_t")
     met = pairs.select(F.explode("_a").alias("a"), "_b").select("a", F.explode("_b").alias("b"))
     straight = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz")
     gap = geo.haversine_km(F.col("a.la"), F.col("a.lo"), F.col("b.la"), F.col("b.lo"))
@@ -248,9 +249,15 @@ def normalise(edges: DataFrame, eps: float = 1e-8) -> DataFrame:
 
 
 def hop(panel: DataFrame, edges: DataFrame, zone: str, date: str, values: Sequence[str]) -> DataFrame:
-    """Weighted sum over the neighbours of each zone, per date."""
+    """Weighted sum over the neighbours of each zone, per date.
+
+    The panel is written with one row per zone, so that its known size decides whether the
+    edges have to be shuffled to meet it, and so that they meet it once, not once per date.
+    """
+    days = F.collect_list(F.struct(date, *values)).alias("_days")
+    packed = cut_lineage(panel.groupBy(F.col(zone).alias("dst")).agg(days), "packed")
     return (
-        edges.join(panel.select(F.col(zone).alias("dst"), date, *values), "dst")
+        edges.join(packed, "dst").select("src", "weight", F.inline("_days"))
         .groupBy("src", date)
         .agg(*[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values])
         .withColumnRenamed("src", zone)
