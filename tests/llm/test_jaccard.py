@@ -43,3 +43,15 @@ def test_components_of_long_paths(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_copied_sets_are_named_in_each_fragment(few):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(80))) for i in range(40)]
+    for copies in (0, 3):
+        docs = few(rows + [(100 + i, rows[0][1]) for i in range(copies)]).repartition(4)
+        packed = op.packed_shingles(docs, op.set_table(docs), 50).filter("tokens is not null").collect()
+        assert sum(len(r.tokens) // 5 for r in packed) >= 40 * 76
+        named = sum(len(r.nodes) for r in packed)
+        assert (named > 0) == (copies > 0) and named <= 8 * 76 * (1 + copies)
+        assert _result(op.jaccard_components(docs)) == jaccard([tuple(r) for r in docs.collect()])

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.llm.components import components, grow_forest
-from zonetide.llm.textscan import SLICE_BYTES, Prefix, Words, buffers, mixed, release, signed, slices, spread
+from zonetide.llm.textscan import Prefix, Words, buffers, mixed, release, signed, slices, spread
 from zonetide.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
-FRAGMENT_ROWS = 2 << 20  # shingles of one fragment in one task
+FRAGMENT_ROWS = 1 << 20  # shingles of one fragment in one task
+SLICE_ROWS = 1 << 20  # shingles of the documents that go to a fragment in one row
+COPY_BITS = 24
 SEGMENTS = 4  # fragments in which the overlap of a pair is counted
 TILE = 4096  # sets on one side of a task
 TOKEN_BITS = 40
@@ -75,46 +77,116 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The low byte of each number, then the second of each ...: the upper ones are zeros that compress."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _steps(docs: np.ndarray) -> bytes:
+    """Ascending documents as steps from one to the next."""
+    return _planes(np.diff(docs, prepend=docs[:0].dtype.type(0)))
+
+
+def _docs(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw), dtype=np.int64)
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 _PACKED = "fragment int, slice long, docs binary, sizes binary, nodes binary, tokens binary, counts binary"
 _NAMES = ["fragment", "slice", "docs", "sizes", "nodes", "tokens", "counts"]
 _ARROW = pa.schema([("fragment", pa.int32()), ("slice", pa.int64())] + [(c, pa.binary()) for c in _NAMES[2:]])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(node, n, tokens): sets of which at least ``percent`` is also in other sets, with the shared shingles, rarest first.
+def copied_sets(sets: DataFrame) -> np.ndarray:
+    """Bits by the low ``COPY_BITS`` of a node: set if some node of that kind belongs to several documents.
 
-    A task packs the shingles of a slice of documents by fragment; a fragment
-    counts in how many sets each of its shingles is and sends the shared ones back
-    to the slice, where the parts of each document meet again.  Copies of a set
-    inside a slice travel once.
+    A set of the table of :func:`set_table` without its bit has no copy for certain.
+    The bits are of fixed size whatever the input; Spark makes them, 4 kB a row.
+    """
+    copied = sets.filter("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    bit = F.pmod("node", F.lit(1 << COPY_BITS)) + 1
+    bits = copied.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros((1 << COPY_BITS) // 8, np.uint8)
+    for row in bits.toLocalIterator():
+        part = np.frombuffer(row.bits, np.uint8)
+        at = (row.bucket - 1) * len(part)
+        out[at : at + len(part)] = part
+    return out
+
+
+def packed_shingles(docs: DataFrame, sets: DataFrame, fragments: int, width: int = WIDTH) -> DataFrame:
+    """The shingles of every text by slice of documents and fragment, and a row without shingles for each slice.
+
+    Copies of a set inside a slice come once; of others only those that ``sets``, the
+    table of :func:`set_table`, has several times say in each fragment which set they are.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(copied_sets(sets))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
         for batch in batches:
-            for part in slices(batch, size=2 * SLICE_BYTES):
+            for part in slices(batch):
                 doc, hashes, n, node = shingle_sets(part["text"], width)
-                own = np.zeros(len(n), bool)
-                own[np.unique(node, return_index=True)[1]] = True
-                own &= n > 0
-                keep = own[doc]
-                doc, hashes = doc[keep], hashes[keep]
-                number += 1
-                fragment = ((hashes >> np.uint64(TOKEN_BITS)) % np.uint64(fragments)).astype(np.int32)
-                order = np.argsort(fragment, kind="stable")
-                doc, hashes, fragment = doc[order], hashes[order], fragment[order]
-                rows = [(number % fragments, number, None, n.astype("<u4").tobytes(), node.tobytes(), None, None)]
-                for lo, hi in _groups(fragment):
-                    ids, size = np.unique(doc[lo:hi], return_counts=True)
-                    rows.append((int(fragment[lo]), number, ids.astype("<u4").tobytes(), size.astype("<u4").tobytes(), node[ids].tobytes(), _pack(hashes[lo:hi]), None))
-                yield _rows(rows)
+                held.append((doc.astype(np.uint32), hashes, n, node))
+                size += len(hashes)
+                if size >= SLICE_ROWS:
+                    number += 1
+                    yield _rows(packed(number, held))
+                    held, size = [], 0
+        if held:
+            yield _rows(packed(number + 1, held))
+        held = []
         release()  # an executor keeps idle workers
 
+    def packed(number: int, held: list[tuple]) -> list[tuple]:
+        """One row for the documents of a slice and one for each fragment that they have shingles in; empties ``held``."""
+        n, node = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        first = np.zeros(len(n), bool)
+        first[np.unique(node, return_index=True)[1]] = True
+        first &= n > 0
+        base = np.cumsum([0] + [len(h[2]) for h in held])
+        place = (np.cumsum(first) - 1).astype(np.uint32)
+        doc, hashes = [], []
+        for i in range(len(held)):
+            mine = held[i][0] + np.uint32(base[i])
+            keep = first[mine]
+            doc.append(place[mine[keep]])
+            hashes.append(held[i][1][keep])
+            held[i] = None
+        doc, hashes = np.concatenate(doc), np.concatenate(hashes)
+        n, node = n[first], node[first]
+        kind = node & np.uint64((1 << COPY_BITS) - 1)
+        copied = (sent.value[(kind >> np.uint64(3)).astype(np.int64)] >> (kind & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        fragment = ((hashes >> np.uint64(TOKEN_BITS)) % np.uint64(fragments)).astype(np.int32)
+        order = np.argsort(fragment, kind="stable")
+        doc, hashes, fragment = doc[order], hashes[order], fragment[order]
+        rows = [(number % fragments, number, None, n.astype("<u4").tobytes(), node.tobytes(), None, None)]
+        for lo, hi in _groups(fragment):
+            mine = doc[lo:hi]
+            named = mine[np.append(True, mine[1:] != mine[:-1])]
+            rows.append((int(fragment[lo]), number, _steps(mine), None, node[named[copied[named]]].tobytes(), _pack(hashes[lo:hi]), np.packbits(copied[named]).tobytes()))
+        return rows
+
+    return docs.select("text").mapInArrow(cut, _PACKED)
+
+
+def shared_shingles(docs: DataFrame, sets: DataFrame, fragments: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(node, n, tokens): sets of which at least ``percent`` is also in other sets, with the shared shingles, rarest first.
+
+    A task packs the shingles of a slice of documents by fragment; a fragment
+    counts in how many sets each of its shingles is and sends the shared ones back
+    to the slice, where the parts of each document meet again.
+    """
+
     def share(table: pa.Table) -> pa.Table:
         """Keep the shingles of a fragment that lie in two sets or more, with the number of sets."""
         release()
@@ -123,13 +195,22 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
         parts = [p for p in parts if p["tokens"] is not None]
         if not parts:
             return pa.Table.from_batches([_rows(heads)])
-        size = [np.frombuffer(p["sizes"], "<u4") for p in parts]
-        node = np.concatenate([np.repeat(np.frombuffer(p["nodes"], np.uint64), s) for p, s in zip(parts, size)])
+        edge = np.cumsum([0] + [len(p["tokens"]) // 5 for p in parts])
         token = np.concatenate([_unpack(p["tokens"]) for p in parts])
         order = np.argsort(token, kind="stable")
-        tied = np.flatnonzero(token[order][1:] == token[order][:-1])
-        tied = order[np.union1d(tied, tied + 1)]  # shingles that occur again
-        t, v = token[tied], node[tied]
+        again = token[order]
+        again = again[1:] == again[:-1]
+        tied = order[np.append(again, False) | np.append(False, again)]  # shingles that occur again
+        del order, again
+        owner = []  # a set that is copied by its node, any other by its place
+        for i, p in enumerate(parts):
+            mine = _docs(p["docs"])
+            new = np.append(True, mine[1:] != mine[:-1])
+            who = (np.uint64(i + 1) << np.uint64(32)) | mine[new].astype(np.uint64)
+            who[np.unpackbits(np.frombuffer(p["counts"], np.uint8), count=len(who)) == 1] = np.frombuffer(p["nodes"], np.uint64)
+            owner.append(who[np.cumsum(new) - 1])
+        v, t = np.concatenate(owner)[tied], token[tied]
+        del owner
         by = np.lexsort((v, t))
         t, v, tied = t[by], v[by], tied[by]
         group = np.cumsum(np.append(True, t[1:] != t[:-1])[: len(t)]) - 1
@@ -137,15 +218,11 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
         times = np.bincount(group, weights=fresh, minlength=1).astype(np.int64)
         sets = np.zeros(len(token), "<u4")
         sets[tied] = np.minimum(times[group], 0xFFFFFFFF) if len(t) else 0
-        out, at = heads, 0
-        for p, s in zip(parts, size):
-            here = sets[at : at + s.sum()]
-            mine = token[at : at + s.sum()]
-            at += len(here)
-            hit = here > 1
+        out = heads
+        for p, lo, hi in zip(parts, edge[:-1], edge[1:]):
+            hit = sets[lo:hi] > 1
             if hit.any():
-                ids, n = np.unique(np.repeat(np.frombuffer(p["docs"], "<u4"), s)[hit], return_counts=True)
-                out.append((p["fragment"], p["slice"], ids.astype("<u4").tobytes(), n.astype("<u4").tobytes(), None, _pack(mine[hit]), here[hit].tobytes()))
+                out.append((p["fragment"], p["slice"], _steps(_docs(p["docs"])[hit]), None, None, _pack(token[lo:hi][hit]), _planes(sets[lo:hi][hit])))
         return pa.Table.from_batches([_rows(out)])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -156,15 +233,15 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
         parts = [p for p in parts if p["tokens"] is not None]
         total = np.zeros(len(n), np.int64)
         for p in parts:
-            np.add.at(total, np.frombuffer(p["docs"], "<u4"), np.frombuffer(p["sizes"], "<u4"))
+            total += np.bincount(_docs(p["docs"]), minlength=len(n))
         good = (total * 100 >= n * np.int64(percent)) & (n > 0) & (total > 0)
         doc, token, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, "<u4")]
         for p in parts:
-            d = np.repeat(np.frombuffer(p["docs"], "<u4"), np.frombuffer(p["sizes"], "<u4"))
+            d = _docs(p["docs"])
             keep = good[d]
-            doc.append(d[keep].astype(np.int64))
+            doc.append(d[keep])
             token.append(_unpack(p["tokens"])[keep] | np.uint64(p["fragment"] << TOKEN_BITS))
-            sets.append(np.frombuffer(p["counts"], "<u4")[keep])
+            sets.append(_from_planes(p["counts"])[keep])
         doc, token, sets = np.concatenate(doc), np.concatenate(token), np.concatenate(sets)
         order = np.lexsort((token, sets, doc))
         some = np.flatnonzero(good)
@@ -174,8 +251,7 @@ def shared_shingles(docs: DataFrame, fragments: int, width: int = WIDTH, percent
             "tokens": pa.ListArray.from_arrays(pa.array(offsets), signed(token[order])),
         })
 
-    packed = docs.select("text").mapInArrow(cut, _PACKED)
-    shared = packed.groupBy("fragment").applyInArrow(share, _PACKED)
+    shared = packed_shingles(docs, sets, fragments, width).groupBy("fragment").applyInArrow(share, _PACKED)
     return shared.groupBy("slice").applyInArrow(gather, "node long, n long, tokens array<long>").dropDuplicates(["node"])
 
 
@@ -289,7 +365,8 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = cut_lineage(across.groupBy(F.col("x_node").alias("x"), F.col("node").alias("y")).agg(F.first("both").alias("both")), "pairs")
     if pairs.isEmpty():
         return found
-    parts = sets.select("node", F.explode(F.transform(F.array(*[F.lit(i) for i in range(SEGMENTS)]), lambda i: F.struct(
+    met = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    parts = sets.join(met, "node", "left_semi").select("node", F.explode(F.transform(F.array(*[F.lit(i) for i in range(SEGMENTS)]), lambda i: F.struct(
         i.alias("part"), F.filter("tokens", lambda t: F.pmod(t, F.lit(SEGMENTS)) == i).alias("tokens")))).alias("p"))
     parts = parts.select("node", "p.part", "p.tokens").filter(F.size("tokens") > 0)
     partial = (
@@ -313,7 +390,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     sets = cut_lineage(set_table(docs, width), "sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = cut_lineage(shared_shingles(docs, 1 + total // FRAGMENT_ROWS, width, percent), "shared")
+    shared = cut_lineage(shared_shingles(docs, sets, 1 + total // FRAGMENT_ROWS, width, percent), "shared")
     label = linked_sets(shared, percent)
     first = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     first = first.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
