@@ -74,3 +74,17 @@ def test_a_text_that_repeats_itself(few):
     rows = [(i, "ab " * (i * 37) + "thines " * 1500 + f"end{i} " + "is is the " * 700) for i in range(4)]
     assert _bytes(suffix.without_repeats(few(rows))) == repeated_bytes(rows, suffix.LENGTH)
     assert _words(unitigs.without_repeated_words(few(rows))) == repeated_words(rows, unitigs.LENGTH)
+
+
+def test_large_keys_need_no_shuffle_of_texts_of_their_own(few, monkeypatch):
+    """Nothing is run between the steps of a large key, so all of them can read one shuffle."""
+    rng = random.Random(5)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + common[: rng.randrange(150, 260)] + f"end {i}") for i in range(40)]
+    monkeypatch.setattr(suffix, "KEY_BYTES", 300)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 4000)
+    written, steps, write, cut_again = [], [], suffix.cut_lineage, suffix.finer
+    monkeypatch.setattr(suffix, "cut_lineage", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(suffix, "finer", lambda *a: steps.append(a[-1]) or cut_again(*a))
+    assert _bytes(suffix.without_repeats(few(rows))) == repeated_bytes(rows, suffix.LENGTH)
+    assert written == ["runs"] and steps == [64, 100]
