@@ -48,3 +48,15 @@ def test_run(spark, sf_dir):
 @pytest.mark.parametrize("name", ["known_language", "one_of_each_group", "without_repeated_bytes", "mixed_sources", "encoded"])
 def test_stages_take_an_empty_table(spark, sf_dir, nothing, name):
     assert getattr(stages, name)(spark, nothing, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("name", ["known_language", "one_of_each_group", "without_repeated_bytes", "encoded"])
+def test_stages_with_workers_take_small_batches(spark, sf_dir, nothing, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        getattr(stages, name)(spark, nothing, sf_dir)
+        assert int(spark.conf.get(key).rstrip("b")) == stages.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)

@@ -76,3 +76,12 @@ def test_operators_tell_such_words_apart(few):
         first.add(w)
     want = int(covered.sum())
     assert {r.doc_id: r._cut.n_removed for r in without_repeats(bytes_).collect()}[2] == want
+
+
+def test_powers_are_no_more_than_a_slice_needs():
+    op.release()
+    assert len(op.powers(1000)[0]) == op.LEAST_POWERS
+    up, down = op.powers(op.LEAST_POWERS + 1)
+    assert len(up) == len(down) == 2 * op.LEAST_POWERS and op.powers(10)[0] is up
+    op.release()
+    assert len(op.powers(10)[0]) == op.LEAST_POWERS

@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.llm.components import components, grow_forest
-from zonetide.llm.textscan import Prefix, Words, buffers, mixed, release, signed, slices, spread
+from zonetide.llm.textscan import Prefix, Words, buffers, mixed, release, released, signed, slices, spread
 from zonetide.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 80
 FRAGMENT_ROWS = 1 << 20  # shingles of one fragment in one task
+SLICE = 1 << 18  # bytes of text hashed at a time; each takes some sixty times its size
 SLICE_ROWS = 1 << 20  # shingles of the documents that go to a fragment in one row
 COPY_BITS = 24
 SEGMENTS = 4  # fragments in which the overlap of a pair is counted
@@ -58,7 +59,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 _, _, n, node = shingle_sets(part["text"], width)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], signed(n), signed(node)], ["doc_id", "n_shingles", "node"])
         release()
@@ -134,7 +135,7 @@ def packed_shingles(docs: DataFrame, sets: DataFrame, fragments: int, width: int
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 doc, hashes, n, node = shingle_sets(part["text"], width)
                 held.append((doc.astype(np.uint32), hashes, n, node))
                 size += len(hashes)
@@ -189,7 +190,6 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, fragments: int, width: int
 
     def share(table: pa.Table) -> pa.Table:
         """Keep the shingles of a fragment that lie in two sets or more, with the number of sets."""
-        release()
         parts = table.to_pylist()
         heads = [tuple(p[c] for c in _NAMES) for p in parts if p["tokens"] is None]
         parts = [p for p in parts if p["tokens"] is not None]
@@ -251,8 +251,8 @@ def shared_shingles(docs: DataFrame, sets: DataFrame, fragments: int, width: int
             "tokens": pa.ListArray.from_arrays(pa.array(offsets), signed(token[order])),
         })
 
-    shared = packed_shingles(docs, sets, fragments, width).groupBy("fragment").applyInArrow(share, _PACKED)
-    return shared.groupBy("slice").applyInArrow(gather, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    shared = packed_shingles(docs, sets, fragments, width).groupBy("fragment").applyInArrow(released(share), _PACKED)
+    return shared.groupBy("slice").applyInArrow(released(gather), "node long, n long, tokens array<long>").dropDuplicates(["node"])
 
 
 def _groups(key: np.ndarray) -> list[tuple[int, int]]:

@@ -18,6 +18,11 @@ LEAST_SCORE = 0.5
 BATCH_BYTES = 8 << 20  # executors have served four stages by then, so batches are small
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bound what the JVM and the Python worker of every task hold of a batch; Spark's own bound is 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Documents that no language model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -28,6 +33,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows go or stay together; other columns pass through, whatever their names.
     """
+    _small_batches(spark)
     model = train(labelled_sample(docs.filter(~held_out())))
     (told,) = fresh(docs, "_told")
     found = predict(docs, model, told)
@@ -36,6 +42,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share four fifths of their 5-grams, the one of least id; rows of one id are one document."""
+    _small_batches(spark)
     found = jaccard_components(docs)
     copies = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -44,6 +51,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has too; documents of which nothing is left go, cut characters are dropped."""
 
+    _small_batches(spark)
+
     @F.arrow_udf("string")
     def whole(kept: pa.Array) -> pa.Array:
         return pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
@@ -62,6 +71,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row; a null text has no ids, other columns go."""
+    _small_batches(spark)
     coded = encode_decode(docs, read_file(public_tokenizers.path("word_bpe_49k.json")), BATCH_BYTES)
     return coded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
