@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from brute import jaccard, repeated_bytes
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -39,6 +40,18 @@ def test_each_stage_on_what_the_last_one_kept(spark, documents, sf_dir):
     assert all(np.frombuffer(r.ids, "<u4").tolist() == tok.encode(texts[r.doc_id], add_special_tokens=False).ids for r in last)
 
 
+def test_texts_are_cut_once_by_one_worker_of_a_task(spark, few):
+    """Each Python step of a task holds a worker, and an executor keeps them all."""
+    rows = [(1, "é" * 120), (2, "x" + "é" * 60 + "ü"), (3, "é" * 120), (None, "é" * 120), (4, None)]
+    docs = few(rows).select("*", F.lit(0).alias("n_chars"))
+    out = stages.without_repeated_bytes(spark, docs, "")
+    # one for the documents with an id, one for those without, which are other tasks
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    want = {d: x[3].decode("utf-8", "ignore") for d, x in repeated_bytes([r for r in rows if r[0]], 100).items() if x[3] or not x[1]}
+    want[None] = "é" * 120
+    assert {r.doc_id: r.text or "" for r in out.collect()} == want
+
+
 def test_run(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "suffix_array_dedup", "source_mixing", "bpe_encode_decode"]
     out = corpus_pipeline.run(spark, sf_dir)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +49,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has too; documents of which nothing is left go, cut characters are dropped."""
-
     _small_batches(spark)
-
-    @F.arrow_udf("string")
-    def whole(kept: pa.Array) -> pa.Array:
-        return pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
-
     (column,) = fresh(docs, "_cut")
     parts = F.col(column)
-    cut = without_repeats(docs, column=column).filter((parts["n_removed"] == 0) | (parts["n_removed"] < parts["n_bytes"]))
-    text = F.when(parts["n_removed"] == 0, F.col("text")).otherwise(whole(parts["kept"]))
+    cut = without_repeats(docs, column=column, characters=True).filter((parts["n_removed"] == 0) | (parts["n_removed"] < parts["n_bytes"]))
+    text = F.when(parts["n_removed"] == 0, F.col("text")).otherwise(parts["kept"].cast("string"))
     return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
