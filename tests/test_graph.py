@@ -118,3 +118,40 @@ def test_a_hop_meets_a_zone_once_for_all_its_days(spark):
     got = {(r.zone, r.day): [r.n, r.k] for r in done.collect()}
     assert got == {key: [None if v is None else pytest.approx(v) for v in sums] for key, sums in want.items()}
     assert "packed" in plan_text(done)
+
+
+def _scattered(spark):
+    """Crowds, lone points, keys in two places, rows that come twice, null keys and coordinates."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), float(-5 + 0.05 * rng.standard_normal()), float(-40 + 0.05 * rng.standard_normal())) for i in range(300)]
+    rows += [(1000 + i, -5.0 + 0.5 * i, 20.0) for i in range(5)] + [(2000 + i, -5.0 + 0.02 * (i % 2), 60.0 + i // 2) for i in range(6)]
+    rows += rows[:40] + [(i, rows[i + 9][1], rows[i + 9][2]) for i in range(20)] + [(3000, 10.0, 10.0), (3000, 10.0, 10.001)]
+    rows += [(None, -5.0, -40.0), (4000, None, -40.0), (4001, -5.0, None)]
+    return spark.createDataFrame(rows, "id long, lat double, lon double")
+
+
+@pytest.mark.parametrize("block", [graph.BLOCK, 8])
+def test_distinct_edges_and_linked_points(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    df = _scattered(spark)
+    every = {}
+    for r in graph.distance_edges(df, "id", "lat", "lon", 3.0).collect():
+        every[r.src, r.dst] = min(r.km, every.get((r.src, r.dst), 9.0))
+    got = graph.distance_edges(df, "id", "lat", "lon", 3.0, distinct=True).collect()
+    assert len(got) == len(every) and {(r.src, r.dst): r.km for r in got} == every
+    linked = [r.id for r in graph.linked_points(df, "id", "lat", "lon", 3.0).collect()]
+    assert len(linked) == len(set(linked)) and set(linked) == {src for src, _ in every}
+    fast = graph.attach_isolated(graph.distance_edges(df, "id", "lat", "lon", 3.0, True), df, "id", [0, 1], graph.linked_points(df, "id", "lat", "lon", 3.0), True)
+    plain = graph.attach_isolated(graph.distance_edges(df, "id", "lat", "lon", 3.0), df, "id", [0, 1])
+    key = lambda r: (r.src is None, r.src or 0, r.dst is None, r.dst or 0)
+    assert sorted(fast.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_edges_of_keys_in_one_place_are_not_shuffled_to_be_distinct(spark, tmp_path):
+    from zonetide.plans.catalog import run
+
+    points = [(i, [float(x) for x in (0.1 * (i % 7), 0.01 * i)], 0) for i in range(60)]
+    spark.createDataFrame(points, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    links = run("gr7_attach_isolated", spark, str(tmp_path))
+    assert plan_text(links).count("hashpartitioning(src") == 1  # of the new links
+    assert links.count() == links.distinct().count() > 60

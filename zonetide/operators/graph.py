@@ -19,30 +19,72 @@ from zonetide.session import cut_lineage, spread_by
 BLOCK = 256  # points of one cell that stand together
 
 
-def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
+def _blocks(points: DataFrame, key: str, lat: str, lon: str, km: float, *kinds: str) -> DataFrame:
+    """(_cell, _s, kinds, _b): points in blocks of about ``BLOCK``, written; ``kinds`` are columns on which the points of a block agree."""
+    known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_u", geo.unit_vector(F.col(lat), F.col(lon)))
+    placed = known.withColumn("_cell", F.element_at(sphere_cells(F.col("_u"), level_of(geo.chord(F.lit(float(km))))), 1))
+    crowds = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_m"))
+    point = F.struct(F.col(key).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), "_u.x", "_u.y", "_u.z")
+    dealt = placed.join(crowds, "_cell").withColumn("_s", F.floor(F.rand(7) * F.col("_m")))
+    return cut_lineage(dealt.groupBy("_cell", "_s", *kinds).agg(F.collect_list(point).alias("_b")), "blocks")
+
+
+def _within(a: Column, b: Column, km: float) -> Column:
+    """Whether two points of blocks have an edge; far from ``km`` the straight distance tells."""
+    reach = geo.chord(F.lit(float(km)))
+    surely = F.greatest(reach * (1 - 2e-9) - 2e-12, F.lit(0.0))
+    straight = sum((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz")
+    gap = geo.haversine_km(a["la"], a["lo"], b["la"], b["lo"])
+    return (a["id"] != b["id"]) & (straight <= reach * reach) & ((straight < surely * surely) | (gap < km))
+
+
+def _meet(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Edges (src, dst, km) from the points of some blocks to those of others."""
+    near = left.select(F.col("_cell").alias("_home"), F.col("_s").alias("_t"), F.col("_b").alias("_a"), F.explode(cells_around(F.col("_cell"))).alias("_cell"))
+    pairs = spread_by(near.join(right.select("_cell", "_b"), "_cell"), "_home", "_t")
+    met = pairs.select(F.explode("_a").alias("a"), "_b").select("a", F.explode("_b").alias("b"))
+    gap = geo.haversine_km(F.col("a.la"), F.col("a.lo"), F.col("b.la"), F.col("b.lo"))
+    return met.filter(_within(F.col("a"), F.col("b"), km)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), gap.alias("km"))
+
+
+def distance_edges(points: DataFrame, key: str, lat: str, lon: str, km: float, distinct: bool = False) -> DataFrame:
     """Directed edges between points less than ``km`` apart.
 
     Points meet in cells of the unit sphere as wide as the threshold; points without
     coordinates have no edge.  A cell is cut into blocks of about ``BLOCK`` points, and
     blocks are dealt over all tasks, so a crowded cell is the work of many and all edges of
     a point are made in one task.
+
+    If ``distinct``, two keys have one edge each way, the shortest.  Keys that stand in one
+    place, however often, can give no edge twice; only the edges of the others are grouped.
     """
-    reach = geo.chord(F.lit(float(km)))
-    known = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_u", geo.unit_vector(F.col(lat), F.col(lon)))
-    placed = known.withColumn("_cell", F.element_at(sphere_cells(F.col("_u"), level_of(reach)), 1))
-    crowds = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_m"))
-    point = F.struct(F.col(key).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), "_u.x", "_u.y", "_u.z")
-    dealt = placed.join(crowds, "_cell").withColumn("_s", F.floor(F.rand(7) * F.col("_m")))
-    blocks = cut_lineage(dealt.groupBy("_cell", "_s").agg(F.collect_list(point).alias("_b")), "blocks")
-    near = blocks.select(F.col("_cell").alias("_home"), F.col("_s").alias("_t"), F.col("_b").alias("_a"), F.explode(cells_around(F.col("_cell"))).alias("_cell"))
-    pairs = spread_by(near.join(blocks, "_cell"), "_home", "_t")
-    met = pairs.select(F.explode("_a").alias("a"), "_b").select("a", F.explode("_b").alias("b"))
-    straight = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz")
-    gap = geo.haversine_km(F.col("a.la"), F.col("a.lo"), F.col("b.la"), F.col("b.lo"))
-    return (
-        met.filter((F.col("a.id") != F.col("b.id")) & (straight <= reach * reach))
-        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), gap.alias("km")).filter(F.col("km") < km)
-    )
+    if not distinct:
+        blocks = _blocks(points, key, lat, lon, km)
+        return _meet(blocks, blocks, km)
+    places = points.filter(F.col(key).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(key, lat, lon).distinct()
+    moved = places.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_moved"))
+    blocks = _blocks(places.join(moved, key), key, lat, lon, km, "_moved")
+    still, rest = blocks.filter("not _moved"), blocks.filter("_moved")
+    edges = _meet(still, still, km)
+    if not rest.limit(1).count():
+        return edges
+    others = _meet(rest, blocks, km).unionByName(_meet(still, rest, km))
+    return edges.unionByName(others.groupBy("src", "dst").agg(F.min("km").alias("km")))
+
+
+def linked_points(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
+    """The keys of points with an edge of :func:`distance_edges`, without making the edges.
+
+    A point looks for a first partner in its own block, and only if there is none in the
+    other blocks of its cell and the cells around.
+    """
+    blocks = _blocks(points, key, lat, lon, km)
+    partner = lambda a: F.coalesce(F.exists("_b", lambda b: _within(a, b, km)), F.lit(False))
+    inside = F.transform("_b", lambda a: F.struct(a.alias("a"), partner(a).alias("hit")))
+    looked = cut_lineage(blocks.select("_cell", F.inline(inside)), "looked")
+    rest = looked.filter("not hit").select("_cell", "a").distinct()
+    around = rest.select("a", F.explode(cells_around(F.col("_cell"))).alias("_cell")).join(blocks.select("_cell", "_b"), "_cell").filter(partner(F.col("a")))
+    return looked.filter("hit").unionByName(around, allowMissingColumns=True).select(F.col("a.id").alias(key)).distinct()
 
 
 def nearest_edges(points: DataFrame, key: str, lat: str, lon: str, k: int) -> DataFrame:
@@ -207,17 +249,21 @@ def cosine_edges(zone_vectors: DataFrame, zone: str, vector: str, least: float =
     return _met(near.select("_id", "_u", "_p"), placed).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= fallback_k).drop("_r")
 
 
-def attach_isolated(edges: DataFrame, nodes: DataFrame, key: str, roots: Sequence) -> DataFrame:
+def attach_isolated(edges: DataFrame, nodes: DataFrame, key: str, roots: Sequence, linked: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """Link nodes without any edge to the given root nodes, both ways; distinct links.
 
-    The ends of all edges come from one pass, each edge giving an array of two, and are
-    written.  A new link has an end without any edge, so it is not among the edges.
+    The ends of all edges come from one pass, each edge giving an array of two, unless
+    ``linked`` has them as (key); they are written.  ``distinct`` says that no edge comes
+    twice, so that the edges need not be shuffled to tell.  A new link has an end without
+    any edge, so it is not among the edges.
     """
-    seen = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct(), "seen")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias(key)).distinct() if linked is None else linked.select(key)
+    seen = cut_lineage(ends, "seen")
     alone = nodes.select(key).distinct().join(seen, key, "left_anti")
     repair = alone.select(F.col(key).alias("src"), F.explode(F.array(*[F.lit(r) for r in roots])).alias("dst")).filter(F.col("src") != F.col("dst"))
     both = repair.unionByName(repair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.select("src", "dst").distinct().unionByName(both.distinct())
+    links = edges.select("src", "dst")
+    return (links if distinct else links.distinct()).unionByName(both.distinct())
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -229,8 +229,8 @@ def _(v):
 _D = f"de AS (SELECT a.id AS src, b.id AS dst, {KM_AB} AS km FROM pt a JOIN pt b ON a.id <> b.id WHERE {KM_AB} < 3.0), we AS (SELECT src, dst, 1 / (1 + km) AS weight FROM de) "
 
 
-def _edges(v):
-    return graph.inverse_weights(graph.distance_edges(v.point(), "id", "lat", "lon", 3.0)).select("src", "dst", "weight")
+def _edges(v, distinct=False):
+    return graph.inverse_weights(graph.distance_edges(v.point(), "id", "lat", "lon", 3.0, distinct)).select("src", "dst", "weight")
 
 
 def _g(body: str, rnd: str = "", needs: str = "pt") -> str:
@@ -298,7 +298,8 @@ def _(v):
     _g("SELECT src, dst FROM de UNION SELECT id, r FROM pt, (VALUES (0), (1)) t(r) WHERE id NOT IN (SELECT src FROM de) AND id <> r UNION SELECT r, id FROM pt, (VALUES (0), (1)) t(r) WHERE id NOT IN (SELECT src FROM de) AND id <> r"),
 )
 def _(v):
-    return graph.attach_isolated(_edges(v), v.point(), "id", [0, 1])
+    linked = graph.linked_points(v.point(), "id", "lat", "lon", 3.0)
+    return graph.attach_isolated(_edges(v, distinct=True), v.point(), "id", [0, 1], linked, distinct=True)
 
 
 @query("gr8_degrees", _g("SELECT src, count(*) AS degree, sum(weight) AS strength FROM we GROUP BY src", "strength"))
